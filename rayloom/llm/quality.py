@@ -67,7 +67,7 @@ def measure(df: DataFrame, text: str = "text", into: str = "quality", window: in
     df = df.withColumn(own("h"), F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(col("w"), i + k) for k in range(window)]))).otherwise(none))
     # (hash, position) in order, where some hash repeats
     pair = F.transform(col("h"), lambda x, i: F.struct(x.alias("h"), i.alias("p")))
-    df = df.withColumn(own("order"), F.when(F.size(F.array_distinct(col("h"))) < F.size(col("h")), F.sort_array(pair)).otherwise(F.slice(pair, 1, 0)))
+    df = df.withColumn(own("order"), F.when(F.size(F.array_distinct(col("h"))) < F.size(col("h")), F.sort_array(pair)).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
     n = F.size(col("order"))
     before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,p:int>")), F.slice(col("order"), 1, F.greatest(n - 1, F.lit(0))))
     after = F.concat(F.slice(col("order"), 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:bigint,p:int>")))
