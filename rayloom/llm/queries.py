@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, quality, sharding
+import public_tokenizers
+
+from . import bpe, lines, mixing, quality, sharding, tokens
 from .common import read
 
 
@@ -13,6 +15,16 @@ def op1_shard_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(read(spark, d, "documents"))
 
 
+def op2_bpe(spark: SparkSession, d: str) -> DataFrame:
+    out = bpe.encode(read(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+    return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_token_files(spark: SparkSession, d: str) -> DataFrame:
+    out = tokens.tokenize_to_files(spark, read(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumnRenamed("key", "doc_id")
+
+
 def op4_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     out = mixing.mix(read(spark, d, "documents").select("doc_id", "source", "text"), "doc_id", "source", mixing.n_words(F.col("text")))
     return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -29,7 +41,7 @@ def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", *[f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op4_mix_sources, op7_line_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op7_line_dedup, op9_quality_rules)}
 
 #: SQL for DuckDB, where it can express the operator.
 ORACLES: dict[str, str] = {}
