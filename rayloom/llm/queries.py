@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, lines, mixing, quality, sharding, tokens
+from . import bpe, lines, mixing, quality, sharding, tokens, toxicity
 from .common import read
 
 
@@ -30,9 +30,15 @@ def op4_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, read(spark, d, "labels")), ["doc_id"])
+    return out.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     pages = read(spark, d, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.html_lines(F.col("html")).alias("text"))
-    out = lines.line_dedup(pages, "page_id", F.col("host"))
+    out = lines.line_dedup(pages, F.col("host"))
     return out.select("page_id", "host", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -41,7 +47,7 @@ def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", *[f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op7_line_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op6_toxicity, op7_line_dedup, op9_quality_rules)}
 
 #: SQL for DuckDB, where it can express the operator.
 ORACLES: dict[str, str] = {}
