@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, lines, mixing, quality, sharding, tokens, toxicity
+from . import bpe, lines, minhash, mixing, quality, sharding, tokens, toxicity
 from .common import read
 
 
@@ -42,12 +42,17 @@ def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "host", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_minhash(spark: SparkSession, d: str) -> DataFrame:
+    out = minhash.near_duplicates(read(spark, d, "documents").select("doc_id", "text"), length=4)
+    return out.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.col("first")).alias("kept"))
+
+
 def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     out = quality.quality_rules(read(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", *[f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op6_toxicity, op7_line_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op6_toxicity, op7_line_dedup, op8_minhash, op9_quality_rules)}
 
 #: SQL for DuckDB, where it can express the operator.
 ORACLES: dict[str, str] = {}
