@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, lines, minhash, mixing, quality, sharding, tokens, toxicity
+from . import bpe, embeddings, lines, minhash, mixing, quality, sharding, tokens, toxicity
 from .common import read
 
 
@@ -30,6 +30,11 @@ def op4_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op5_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = embeddings.near_vectors(read(spark, d, "embeddings").select("vec_id", "embedding"))
+    return out.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.col("first")).alias("kept"))
+
+
 def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "text")
     out = toxicity.score(docs, toxicity.train(docs, read(spark, d, "labels")), ["doc_id"])
@@ -52,7 +57,7 @@ def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", *[f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op6_toxicity, op7_line_dedup, op8_minhash, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op5_embedding_dedup, op6_toxicity, op7_line_dedup, op8_minhash, op9_quality_rules)}
 
 #: SQL for DuckDB, where it can express the operator.
 ORACLES: dict[str, str] = {}
