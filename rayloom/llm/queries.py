@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embeddings, lines, minhash, mixing, quality, sharding, tokens, toxicity
+from . import bpe, embeddings, lines, minhash, mixing, quality, repeats, sharding, tokens, toxicity
 from .common import read
 
 
@@ -57,7 +57,12 @@ def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", *[f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op5_embedding_dedup, op6_toxicity, op7_line_dedup, op8_minhash, op9_quality_rules)}
+def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = repeats.remove_repeats(read(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op5_embedding_dedup, op6_toxicity, op7_line_dedup, op8_minhash, op9_quality_rules, op10_suffix_dedup)}
 
 #: SQL for DuckDB, where it can express the operator.
 ORACLES: dict[str, str] = {}
