@@ -10,10 +10,11 @@
 3. In each list the row with the smallest set is the pivot, and the others are held against it:
    collisions over the whole signatures are counted, pairs with `match` or more are confirmed on
    the full shingle sets of the whole texts. Confirmed links are joined into components.
-4. What the pivots leave open is only pairs of rows of one list in different components. These
-   are held against each other in the same way, until no list has two components or all their
-   pairs are decided. A large group of copies ends in one component after step 3, so its pairs
-   are never listed.
+4. What the pivots leave open is only pairs of rows of one list in different components. Rows
+   that such lists connect make a family; its rows are cut into cells of neighbouring set sizes,
+   and cells whose sizes can be similar enough meet in one task. There collisions are counted by
+   array comparison, pairs of rows already in one component are skipped, the rest is confirmed on
+   the full sets, and only each row's smallest linked row comes back: no pair is ever listed.
 
 A pair at similarity 0.8 agrees in fewer than 38 of 64 coordinates with a probability of about
 1e-4, and more similar pairs less often; nothing else is left to chance.
@@ -28,8 +29,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from hashlib import blake2b
-from itertools import count
+from hashlib import blake2b, md5
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,17 +58,21 @@ class Shingles:
     def clear(self) -> None:
         self.code, self.hashes = defaultdict(count().__next__), np.zeros(0, np.uint64)
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         from xxhash import xxh3_64_intdigest
 
         if len(self.code) > CACHE_WORDS:
             self.clear()
+        see = self.code.__getitem__
         # bytes: lower() and split() know the ASCII letters and spaces only
-        codes = np.fromiter(map(self.code.__getitem__, (text or "").encode().lower().split()), np.int64)
+        codes = [np.fromiter(map(see, (t or "").encode().lower().split()), np.int64) for t in texts]
         if len(self.code) > len(self.hashes):
-            new = list(self.code)[len(self.hashes) :]
+            new = list(islice(self.code, len(self.hashes), None))
             self.hashes = np.r_[self.hashes, np.fromiter(map(xxh3_64_intdigest, new), np.uint64, len(new))]
-        w, k = self.hashes[codes], min(self.length, len(codes))
+        return [self.combine(self.hashes[c]) for c in codes]
+
+    def combine(self, w: np.ndarray) -> np.ndarray:
+        k = min(self.length, len(w))
         if not k:
             return w
         h = np.full(len(w) - k + 1, k, np.uint64)
@@ -91,20 +96,21 @@ def minima(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """row, key, n (size of the set), same (digest), sig; row numbers are settled by a cut."""
+    """row, key, md5 (of the text), n (size of the set), same (digest), sig; row numbers are settled by a cut."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         see = Shingles(length)
         for b in parts:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                sets = [see(t.as_py()) for t in part.column(1)]
+                texts = part.column(1).to_pylist()
+                sets = see(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([minima(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    names=["key", "n", "same", "sig"],
+                    [part.column(0), pa.array([md5((t or "").encode()).digest() for t in texts], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([minima(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    names=["key", "md5", "n", "same", "sig"],
                 )
 
-    seen = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n long, same binary, sig array<long>")
+    seen = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, md5 binary, n long, same binary, sig array<long>")
     return cut(seen.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
@@ -144,25 +150,124 @@ def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, length: int,
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         see, at, own = Shingles(length), None, None
-        for batch in parts:
+        for batch, lo in ((b, lo) for b in parts for lo in range(0, b.num_rows, 500)):
             found = []
-            for a, block_, b, same, text_ in zip(*(batch.column(i) for i in range(5)), strict=True):
-                s, here = see(text_.as_py()), (a.as_py(), block_.as_py())
-                if digest(s) != same.as_py():
+            a_, block_, b_, same_, texts_ = (batch.column(i).slice(lo, 500).to_pylist() for i in range(5))
+            for a, block, b, same, s in zip(a_, block_, b_, same_, see(texts_), strict=True):
+                if digest(s) != same:
                     continue  # another text under the same id
-                if b.as_py() is None:
-                    at, own = here, s
-                elif at == here:
+                if b is None:
+                    at, own = (a, block), s
+                elif at == (a, block):
                     both = len(np.intersect1d(own, s, assume_unique=True))
                     if 100 * both >= percent * (len(own) + len(s) - both):
-                        found.append((here[0], b.as_py()))
+                        found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _agreeing(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) and the number of equal coordinates, where it is `least` or more."""
+    out = []
+    for lo in range(0, len(x), 64):
+        n = np.zeros((min(64, len(x) - lo), len(y)), np.uint8)
+        for k in range(x.shape[1]):
+            n += x[lo : lo + 64, k, None] == y[None, :, k]
+        i, j = np.nonzero(n >= least)
+        out.append((i + lo, j, n[i, j]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def _meet(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tuple[int, int]]:
+    """(row, smallest row of its part) for the rows (row, label, set) of one or two cells."""
+    rows = left + (right or [])
+    x = np.stack([minima(s) for _, _, s in rows])
+    low = (x & 0x7FFFFFFFFFFF).astype(np.int64) >> 6  # a number's lowest bits are its coordinate
+    low = low.astype(np.uint32)
+    size = np.array([len(s) for _, _, s in rows], np.int64)
+    split = len(left)
+    i, j, n = _agreeing(low, low, MATCH) if right is None else _agreeing(low[:split], low[split:], MATCH)
+    j = j if right is None else j + split
+    names = {}
+    part = np.array([names.setdefault(label, len(names)) for _, label, _ in rows], np.int64)
+    fits = (i < j) & (part[i] != part[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+    i, j, n = i[fits], j[fits], n[fits]
+    likely = np.argsort(-n.astype(np.int64), kind="stable")
+    i, j = i[likely], j[likely]
+    parent = list(range(len(names)))
+
+    def root(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        return a
+
+    done = 0
+    while done < len(i):
+        roots = np.array([root(a) for a in range(len(parent))], np.int64)[part]
+        todo = np.flatnonzero(roots[i[done:]] != roots[j[done:]])[:5000] + done
+        if not len(todo):
+            break
+        for k in todo.tolist():
+            a, b = root(part[i[k]]), root(part[j[k]])
+            if a != b:
+                s, t = rows[i[k]][2], rows[j[k]][2]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    parent[max(a, b)] = min(a, b)
+        done = int(todo[-1]) + 1
+    first: dict[int, int] = {}
+    for (row, _, _), p in zip(rows, part.tolist(), strict=True):
+        first[root(p)] = min(first.get(root(p), row), row)
+    return [(row, first[root(p)]) for (row, _, _), p in zip(rows, part.tolist(), strict=True) if first[root(p)] != row]
+
+
+def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: str, length: int, percent: int, cell: int = 3000) -> DataFrame:
+    """(a, b): links between rows of `rest` (token, row, n, label) in different components."""
+    heads = rest.groupBy("token").agg(F.min("row").alias("b"))
+    kin = components(rest.join(heads, "token").select(F.col("row").alias("a"), "b"))
+    rows = rest.select("row", "n", "label").distinct().join(kin, F.col("row") == F.col("node"), "left")
+    # similar sets differ in size by a factor below 100 / percent, so by one step at most
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    rows = rows.select(F.coalesce("component", "row").alias("f"), step.alias("step"), "row", "label")
+    per = rows.groupBy("f", "step").agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).withColumn("cells", F.ceil(F.col("k") / cell))
+    rows = cut(rows.join(per.select("f", "step", "cells"), ["f", "step"]).withColumn("cell", F.pmod(F.xxhash64("row"), "cells")).drop("cells"), "cells")
+    cells = per.select("f", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
+    x, y = (cells.select("f", F.col("step").alias(f"s{i}"), F.col("cell").alias(f"c{i}")) for i in "12")
+    pairs = x.join(y, "f").where(((F.col("s1") == F.col("s2")) & (F.col("c1") <= F.col("c2"))) | (F.col("s2") == F.col("s1") + 1))
+    own = (F.col("s1") == F.col("s2")) & (F.col("c1") == F.col("c2"))
+    sides = pairs.withColumn("side", F.explode(F.when(own, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))))
+    sides = sides.withColumns({"step": F.when(F.col("side") == 1, F.col("s1")).otherwise(F.col("s2")), "cell": F.when(F.col("side") == 1, F.col("c1")).otherwise(F.col("c2"))})
+    texts = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
+    named = rows.join(sigs.select("row", "key", "same"), "row")
+    found = named.join(texts, named["key"].eqNullSafe(texts["k"])).select("f", "step", "cell", "row", "label", "same", "text")
+    met = sides.join(found, ["f", "step", "cell"]).select("f", "s1", "c1", "s2", "c2", "side", "row", "label", "same", "text")
+    met = met.repartition("f", "s1", "c1", "s2", "c2").sortWithinPartitions("f", "s1", "c1", "s2", "c2", "side")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        see, at, held = Shingles(length), None, ([], [])
+
+        def flush():
+            out = _meet(held[0], None if at[1:3] == at[3:] else held[1], percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch, lo in ((b, lo) for b in parts for lo in range(0, b.num_rows, 500)):
+            cols = [batch.column(i).slice(lo, 500).to_pylist() for i in range(10)]
+            for f, s1, c1, s2, c2, side, row, label, same, s in zip(*cols[:9], see(cols[9]), strict=True):
+                if (f, s1, c1, s2, c2) != at:
+                    if at and held[0]:
+                        yield flush()
+                    at, held = (f, s1, c1, s2, c2), ([], [])
+                if digest(s) == same:
+                    held[side - 1].append((row, label, s))
+        if at and held[0]:
+            yield flush()
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 5, percent: int = PERCENT) -> DataFrame:
-    """A row for each row of `df`: key, n (size of its set), component (the smallest key of the
+    """A row for each row of `df`: key, md5 (of its text), n (size of its set), component (the smallest key of the
     rows that links reach), first (this row is its component's row to keep)."""
     sigs = signatures(df, key, text, length)
     classes = sigs.where("n > 0").groupBy("same").agg(F.min("row").alias("rep"))
@@ -178,12 +283,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     named = posted.join(labels, posted["row"] == labels["node"], "left").select("token", "row", "n", F.coalesce("component", "row").alias("label"))
     open_ = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     rest = cut(named.join(open_, "token"), "open")
-    x, y = (rest.select("token", F.col("row").alias(r), F.col("n").alias(f"n{r}"), F.col("label").alias(f"l{r}")) for r in "ab")
-    more = x.join(y, "token").where((F.col("la") < F.col("lb")) & fits).select("a", "b").distinct()
-    links = links.unionByName(confirmed(colliding(more, sigs), df, key, text, length, percent))
+    links = links.unionByName(cut(families(rest, sigs, df, key, text, length, percent), "links"))
     labels = components(links)
 
-    member = sigs.join(classes, "same", "left").select("row", "key", "n", "rep")
-    member = member.join(labels, member["rep"] == labels["node"], "left").select("row", "key", "n", F.coalesce("component", "rep", "row").alias("c"))
+    member = sigs.join(classes, "same", "left").select("row", "key", "md5", "n", "rep")
+    member = member.join(labels, member["rep"] == labels["node"], "left").select("row", "key", "md5", "n", F.coalesce("component", "rep", "row").alias("c"))
     named = member.groupBy("c").agg(F.min("key").alias("component"), F.min(F.struct(F.col("key").isNull().alias("i"), "key", "row")).alias("f")).select("c", "component", F.col("f.row").alias("f"))
-    return member.join(named, "c").select("key", "n", "component", (F.col("row") == F.col("f")).alias("first"))
+    return member.join(named, "c").select("key", "md5", "n", "component", (F.col("row") == F.col("f")).alias("first"))
