@@ -62,7 +62,13 @@ def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op5_embedding_dedup, op6_toxicity, op7_line_dedup, op8_minhash, op9_quality_rules, op10_suffix_dedup)}
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    import corpus_pipeline  # stands at the top of the repository and imports this subpackage
+
+    return corpus_pipeline.run(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op5_embedding_dedup, op6_toxicity, op7_line_dedup, op8_minhash, op9_quality_rules, op10_suffix_dedup, pipeline)}
 
 #: SQL for DuckDB, where it can express the operator.
 ORACLES: dict[str, str] = {}
