@@ -1,0 +1,5 @@
+"""Interpolation of scattered values."""
+
+from .matching import idw
+
+__all__ = ["idw"]
