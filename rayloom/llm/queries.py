@@ -9,6 +9,7 @@ import public_tokenizers
 
 from . import bpe, embeddings, lines, minhash, mixing, quality, repeats, sharding, tokens, toxicity
 from .common import read
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_shard_shuffle(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +70,3 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op5_embedding_dedup, op6_toxicity, op7_line_dedup, op8_minhash, op9_quality_rules, op10_suffix_dedup, pipeline)}
-
-#: SQL for DuckDB, where it can express the operator.
-ORACLES: dict[str, str] = {}
