@@ -62,4 +62,4 @@ def line_dedup(df: DataFrame, host: Column, text: str = "text", ratio: float = R
     kept = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     n = lambda a: F.coalesce(F.size(a), F.lit(0)).cast("long")
     counts = F.struct(n(F.array_compact("__keys")).alias("n_lines"), F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(n(F.filter("__keys", gone))).cast("long").alias("n_dropped"))
-    return own.select(*[kept.alias(text) if c == text else F.col(c) for c in df.columns], counts.alias("line_dedup"))
+    return own.select(*[kept.alias(text) if c == text else F.col(c) for c in df.columns if c != "line_dedup"], counts.alias("line_dedup"))

@@ -64,18 +64,18 @@ def mix(df: DataFrame, key: str, source: str, size: Column, weights: tuple[int,
     upto = W.partitionBy("source").orderBy("size", "salt").rowsBetween(W.unboundedPreceding, -1)
     t = targets(sizes, weights, cap)
     placed = groups.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    plan = placed.join(t, placed["source"].eqNullSafe(t["source"])).select(placed["source"].alias("__source"), "size", "salt", "first", "source_size", "weight", "target")
-    own = d.join(plan, d[source].eqNullSafe(F.col("__source")) & (d["__size"] == F.col("size")) & (d["__salt"] == F.col("salt")))
+    plan = placed.join(t, placed["source"].eqNullSafe(t["source"])).select(*[(placed["source"] if c == "source" else F.col(c)).alias(f"__p_{c}") for c in ("source", "size", "salt", "first", "source_size", "weight", "target")])
+    own = d.join(plan, d[source].eqNullSafe(F.col("__p_source")) & (d["__size"] == F.col("__p_size")) & (d["__salt"] == F.col("__p_salt")))
     inside = F.row_number().over(W.partitionBy(source, "__size", "__salt").orderBy("__draw", *[c for c in (key,) if c])) - 1
-    own = own.withColumn("__i", F.col("first") + inside)
-    r = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+    own = own.withColumn("__i", F.col("__p_first") + inside)
+    r = F.coalesce(F.try_divide(F.col("__p_target"), F.col("__p_source_size").cast("double")), F.lit(0.0))
     whole, part = F.floor(r), r - F.floor(r)
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("offset"), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))), 1, 8), 16, 10).cast("double") / float(2**32)
     extra = F.floor(part * (F.col("__i") + 1) + u) - F.floor(part * F.col("__i") + u)
     own = own.withColumn("__times", (whole + extra).cast("long"))
     return own.select(
-        *df.columns,
-        F.struct(F.col("__size").alias("size"), "source_size", "weight", "target", F.col("__times").alias("times"), (F.col("__times") * F.col("__size")).alias("taken")).alias("mix"),
+        *[c for c in df.columns if c != "mix"],
+        F.struct(F.col("__size").alias("size"), *[F.col(f"__p_{c}").alias(c) for c in ("source_size", "weight", "target")], F.col("__times").alias("times"), (F.col("__times") * F.col("__size")).alias("taken")).alias("mix"),
     )
 
 
