@@ -21,7 +21,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Unique words that a task remembers at most; beyond that it starts anew.
 CACHE_WORDS = 300_000
 
@@ -155,7 +157,7 @@ class Encoder:
     def learn(self) -> None:
         """Merge the words that got a code since the last time."""
         m, n = self.model, len(self.shown)
-        new = list(self.code)[n:] if n else list(self.code)
+        new = list(islice(self.code, n, None))
         if not new:
             return
         plain = [w.encode() for w in new if isinstance(w, str)]
@@ -205,4 +207,4 @@ def encode(df: DataFrame, path: str, keep: list[str], text: str = "text", decode
                 cols = [part.column(i) for i in range(at)] + [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(tidy(run), schema)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 from .components import components
 
 COORDS, MATCH, PERCENT = 64, 38, 80
@@ -110,7 +110,7 @@ def signatures(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
                     names=["key", "md5", "n", "same", "sig"],
                 )
 
-    seen = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, md5 binary, n long, same binary, sig array<long>")
+    seen = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), "key long, md5 binary, n long, same binary, sig array<long>")
     return cut(seen.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
@@ -164,36 +164,32 @@ def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, length: int,
                         found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _agreeing(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (i, j) and the number of equal coordinates, where it is `least` or more."""
-    out = []
-    for lo in range(0, len(x), 64):
-        n = np.zeros((min(64, len(x) - lo), len(y)), np.uint8)
-        for k in range(x.shape[1]):
-            n += x[lo : lo + 64, k, None] == y[None, :, k]
-        i, j = np.nonzero(n >= least)
-        out.append((i + lo, j, n[i, j]))
-    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _meet(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tuple[int, int]]:
     """(row, smallest row of its part) for the rows (row, label, set) of one or two cells."""
     rows = left + (right or [])
-    x = np.stack([minima(s) for _, _, s in rows])
-    low = (x & 0x7FFFFFFFFFFF).astype(np.int64) >> 6  # a number's lowest bits are its coordinate
-    low = low.astype(np.uint32)
+    # 32 bits of each minimum; a number's lowest bits are its coordinate
+    low = np.stack([(minima(s) >> 6).astype(np.uint32) for _, _, s in rows])
     size = np.array([len(s) for _, _, s in rows], np.int64)
-    split = len(left)
-    i, j, n = _agreeing(low, low, MATCH) if right is None else _agreeing(low[:split], low[split:], MATCH)
-    j = j if right is None else j + split
-    names = {}
+    names: dict[int, int] = {}
     part = np.array([names.setdefault(label, len(names)) for _, label, _ in rows], np.int64)
-    fits = (i < j) & (part[i] != part[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-    i, j, n = i[fits], j[fits], n[fits]
-    likely = np.argsort(-n.astype(np.int64), kind="stable")
+    first, width = (0, len(left)) if right is None else (len(left), len(right))
+    found = []
+    for lo in range(0, len(left), 64):
+        hi, other = min(lo + 64, len(left)), slice(first, first + width)
+        n = np.zeros((hi - lo, width), np.uint8)
+        for k in range(COORDS):
+            n += low[lo:hi, k, None] == low[None, other, k]
+        small, large = np.minimum(size[lo:hi, None], size[None, other]), np.maximum(size[lo:hi, None], size[None, other])
+        ok = (n >= MATCH) & (part[lo:hi, None] != part[None, other]) & (100 * small >= percent * large)
+        if right is None:
+            ok &= np.arange(lo, hi)[:, None] < np.arange(width)[None, :]
+        i, j = np.nonzero(ok)
+        found.append(((i + lo).astype(np.int32), (j + first).astype(np.int32), n[i, j]))
+    i, j, n = (np.concatenate(z) for z in zip(*found, strict=True))
+    likely = np.argsort(COORDS - n, kind="stable")
     i, j = i[likely], j[likely]
     parent = list(range(len(names)))
 
@@ -216,13 +212,13 @@ def _meet(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tu
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     parent[max(a, b)] = min(a, b)
         done = int(todo[-1]) + 1
-    first: dict[int, int] = {}
+    least: dict[int, int] = {}
     for (row, _, _), p in zip(rows, part.tolist(), strict=True):
-        first[root(p)] = min(first.get(root(p), row), row)
-    return [(row, first[root(p)]) for (row, _, _), p in zip(rows, part.tolist(), strict=True) if first[root(p)] != row]
+        least[root(p)] = min(least.get(root(p), row), row)
+    return [(row, least[root(p)]) for (row, _, _), p in zip(rows, part.tolist(), strict=True) if least[root(p)] != row]
 
 
-def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: str, length: int, percent: int, cell: int = 3000) -> DataFrame:
+def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: str, length: int, percent: int, cell: int = 1500) -> DataFrame:
     """(a, b): links between rows of `rest` (token, row, n, label) in different components."""
     heads = rest.groupBy("token").agg(F.min("row").alias("b"))
     kin = components(rest.join(heads, "token").select(F.col("row").alias("a"), "b"))
@@ -263,7 +259,7 @@ def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: st
         if at and held[0]:
             yield flush()
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 5, percent: int = PERCENT) -> DataFrame:
