@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 WINDOW, GRAM, BLOCK, HOT, BATCH = 400, 32, 64, 4_000, 2_000
 PIECE = 1 << 22
@@ -99,7 +99,7 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
                 whole = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), kind)
                 yield pa.RecordBatch.from_arrays([pa.array(same, pa.binary()), whole(start, pa.int32()), whole(n, pa.int32()), whole(rel, pa.int32()), whole(anchor, pa.int64()), pa.array(ctx, pa.binary())], names=["same", "start", "n", "rel", "anchor", "ctx"])
 
-    return docs.select("text").mapInArrow(run, "same binary, start int, n int, rel int, anchor long, ctx binary")
+    return docs.select("text").mapInArrow(tidy(run), "same binary, start int, n int, rel int, anchor long, ctx binary")
 
 
 def blocks(reps: DataFrame, docs: DataFrame, window: int, block: int) -> DataFrame:
@@ -127,7 +127,7 @@ def blocks(reps: DataFrame, docs: DataFrame, window: int, block: int) -> DataFra
                 kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["anchor", "ctx", "at", "off", "size", "key", "left", "right"])
 
-    return rows.mapInArrow(run, "anchor long, ctx binary, at int, off int, size int, key binary, left binary, right binary")
+    return rows.mapInArrow(tidy(run), "anchor long, ctx binary, at int, off int, size int, key binary, left binary, right binary")
 
 
 def halved(b: DataFrame) -> DataFrame:
@@ -283,11 +283,12 @@ def construct(groups: DataFrame, window: int, batch: int = BATCH) -> DataFrame:
             held.append(group)
         yield flush()
 
-    return rows.mapInArrow(run, "anchor long, ctx binary, lo int, hi int")
+    return rows.mapInArrow(tidy(run), "anchor long, ctx binary, lo int, hi int")
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(same, ranges): for each text with repeats, the byte ranges [a, b) that go."""
+    block = min(block, window)
     occ = cut(occurrences(docs, window), "occurrences")
     ctxs = occ.groupBy("anchor", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("same", "start", "n", "rel")).alias("r"))
     per = ctxs.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("times").alias("all"))
@@ -313,9 +314,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, h
 
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """`keep`, with n_bytes, n_removed, n_spans and the bytes that are left (`kept`, binary)."""
-    own = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranges = repeated_ranges(own.select("text"), window, block, hot)
-    rows = own.withColumn("__same", F.unhex(F.md5("text"))).join(ranges.withColumnRenamed("same", "__same"), "__same", "left").select(*keep, "text", "ranges")
+    own = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    ranges = repeated_ranges(own.select(F.col("__text").alias("text")), window, block, hot)
+    rows = own.withColumn("__same", F.unhex(F.md5("__text"))).join(ranges.toDF("__same", "__ranges"), "__same", "left").select(*keep, "__text", "__ranges")
     at = len(keep)
     schema = own.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(b"").alias("kept")).schema
 
@@ -339,4 +340,4 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", window:
                 cols = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at)), *(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
