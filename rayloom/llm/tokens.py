@@ -26,7 +26,8 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import young_letters
+from .bpe import byte_symbols, young_letters
 from .common import cut, scratch
 
-END_ID, DOCS_PER_FILE, LEVEL, CACHE_WORDS = 2, 10_000, 3, 400_000
+END_ID, DOCS_PER_FILE, LEVEL, CACHE_WORDS = 2, 10_000, 1, 800_000
 #: Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
@@ -45,14 +46,20 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92
 class WordEncoder:
     """The tokenizers library over the distinct words of the texts, remembered for a while.
 
-    The library splits a text by a fixed pattern before it merges, so a text's ids are those of
-    its pieces, one after another. Texts with an added token's string or with letters that are
-    newer than our Unicode tables go to the library whole.
+    The library splits a text by a fixed pattern before it merges. Where no two spaces stand
+    together, no piece of that pattern reaches over a space but from it to the right, so a text's
+    ids are those of its parts between spaces, each with the space before it. Other texts are
+    split by the pattern itself; texts with an added token's string, or with letters that are
+    newer than our Unicode tables, go to the library whole.
     """
 
     def __init__(self, path: str):
+        import os
+
         import public_tokenizers
         import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is Spark's to share out
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -60,6 +67,8 @@ class WordEncoder:
         self.lib.no_truncation()
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.young, self.n = young_letters(), self.lib.get_vocab_size()
+        space = byte_symbols()[32]
+        self.spaced = np.array([(self.lib.id_to_token(i) or "").startswith(space) for i in range(self.n)])
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -68,14 +77,49 @@ class WordEncoder:
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn(self) -> None:
-        new = list(self.code)[len(self.sizes) :]
+        new = list(islice(self.code, len(self.sizes), None))
         if new:
-            self.odd |= {self.code[w] for w in new if not w.isascii() and not self.young.isdisjoint(w)}
-            ids = [e.ids for e in self.lib.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.r_[self.starts, np.cumsum(sizes) - sizes + len(self.ids)]
-            self.sizes = np.r_[self.sizes, sizes]
-            self.ids = np.r_[self.ids, np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))]
+            self.odd |= {self.code[w] for w in new if isinstance(w, str) and not w.isascii() and not self.young.isdisjoint(w)}
+            self.odd |= {self.code[w] for w in new if isinstance(w, tuple) and not self.young.isdisjoint(w[0])}
+            ids, starts, sizes = self.encode_words([w[0] if isinstance(w, tuple) else " " + w for w in new])
+            self.starts = np.r_[self.starts, starts + len(self.ids)]
+            self.sizes, self.ids = np.r_[self.sizes, sizes], np.r_[self.ids, ids]
+
+    def parts(self, text: str) -> list:
+        """The words of a text; one that follows a space is a string without it, others are (word,)."""
+        if "  " in text:
+            return [w[1:] if len(w) > 1 and w[0] == " " else (w,) for w in self.find(text)]
+        first, *rest = text.split(" ")
+        return [(first,), *rest] if first else rest
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The library's ids of the words in one array, each word's start there and its size.
+
+        Words that begin with their only space are given to the library as one text, few at a
+        time; the tokens that begin with a space part them again.
+        """
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat, n, rest = [], 0, []
+        joint = np.array([i for i, w in enumerate(words) if w[:1] == " " and not w[1:2].isspace() and len(w) > 1], np.int64)
+        for lo in range(0, len(joint), 500):
+            some = joint[lo : lo + 500]
+            ids = np.array(self.lib.encode("".join([words[i] for i in some]), add_special_tokens=False).ids, np.uint32)
+            heads = np.flatnonzero(self.spaced[ids])
+            if len(heads) == len(some):
+                starts[some], sizes[some] = heads + n, np.diff(np.r_[heads, len(ids)])
+                flat.append(ids)
+                n += len(ids)
+            else:
+                rest += some.tolist()
+        rest += np.setdiff1d(np.arange(len(words)), joint).tolist()
+        for lo in range(0, len(rest), 500):  # the library's encodings are large beside their ids
+            some = rest[lo : lo + 500]
+            for i, e in zip(some, self.lib.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                starts[i], sizes[i] = n, len(ids)
+                flat.append(ids)
+                n += len(ids)
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), starts, sizes
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         if len(self.code) > CACHE_WORDS:
@@ -83,7 +127,7 @@ class WordEncoder:
         texts = [t or "" for t in texts]
         whole = [any(a in t for a in self.added) for t in texts]
         see = self.code.__getitem__
-        codes = [np.zeros(0, np.int64) if w else np.fromiter(map(see, self.find(t)), np.int64) for t, w in zip(texts, whole, strict=True)]
+        codes = [np.zeros(0, np.int64) if w else np.fromiter(map(see, self.parts(t)), np.int64) for t, w in zip(texts, whole, strict=True)]
         self.learn()
         for t, w, c in zip(texts, whole, codes, strict=True):
             if w or (self.odd and not self.odd.isdisjoint(c.tolist())):
@@ -93,6 +137,12 @@ class WordEncoder:
                 yield self.ids[np.repeat(self.starts[c] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
+@lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """One for a Python worker, which serves many tasks: the words of one help the next."""
+    return WordEncoder(path)
+
+
 def _xxh64(raw: bytes) -> int:
     import xxhash
 
@@ -105,7 +155,7 @@ def frames(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        enc, pack = WordEncoder(path), zstandard.ZstdCompressor(level=level, write_checksum=True)
+        enc, pack = encoder(path), zstandard.ZstdCompressor(level=level, write_checksum=True)
         width = 2 if max(enc.n, end_id) < 1 << 16 else 4
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
@@ -125,7 +175,7 @@ def write(docs: DataFrame, path: str, to: str, key: str = "doc_id", docs_per_fil
     cuts = [] if files == 1 else docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / files for i in range(1, files)], 100 * files)).first()[0] or []
     at = F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("key"))), F.lit(0)) if cuts else F.lit(0)
     dealt = frames(docs, path, key, end_id=end_id).withColumn("file_no", F.when(F.col("key").isNull(), 0).otherwise(at).cast("int"))
-    dealt = dealt.repartition(files, "file_no").sortWithinPartitions("file_no", F.col("key").asc_nulls_first())
+    dealt = dealt.repartitionById(files, "file_no").sortWithinPartitions("file_no", F.col("key").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
@@ -232,7 +282,7 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
                     n[i], crc[i] = len(ids), zlib.crc32(ids.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(r.keys, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc)], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.repartition(max(1, manifest.count()), "file_no").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartitionById(max(1, manifest.agg(F.max("file_no")).first()[0] or 0) + 1, "file_no").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_to_files(spark: SparkSession, docs: DataFrame, path: str, to: str | None = None) -> DataFrame:
