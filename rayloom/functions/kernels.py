@@ -155,3 +155,53 @@ def clip(ring: np.ndarray, by: np.ndarray) -> np.ndarray:
                 kept.append(q)
         out = kept
     return np.array(out).reshape(-1, 2)
+
+
+def decompose_perspective(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Calibration, rotation, translation and centre of a 3 x 4 matrix."""
+    p = p if np.linalg.det(p[:, :3]) > 0 else -p  # a matrix has no sign
+    flip = np.eye(3)[::-1]
+    q, r = np.linalg.qr((flip @ p[:, :3]).T)
+    k, rot = flip @ r.T @ flip, flip @ q.T
+    sign = np.diag(np.sign(np.diag(k)))
+    k, rot = k @ sign, sign @ rot
+    centre = -np.linalg.solve(p[:, :3], p[:, 3])
+    return k, rot, -rot @ centre, centre
+
+
+def compose_perspective(k: np.ndarray, rot: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Scaled so that the last entry is 1, as all stored matrices are."""
+    p = k @ rot @ np.c_[np.eye(3), -centre]
+    return p / p[2, 3]
+
+
+def decompose_affine(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """2 x 2 calibration (upper triangular), rotation and translation."""
+    m = p[:2, :3]
+    k = np.linalg.cholesky((m @ m.T)[::-1, ::-1])[::-1, ::-1]
+    two = np.linalg.solve(k, m)
+    return k, np.vstack([two, np.cross(two[0], two[1])]), np.linalg.solve(k, p[:2, 3])
+
+
+def compose_affine(k: np.ndarray, rot: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return np.vstack([np.c_[k @ rot[:2], k @ t], [0, 0, 0, 1]])
+
+
+def fundamental(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    """x2' F x1 = 0 for the images of any point."""
+    pick = lambda p, i: np.delete(p, i, axis=0)
+    return np.array([[(-1) ** (i + j) * np.linalg.det(np.vstack([pick(p1, j), pick(p2, i)])) for j in range(3)] for i in range(3)])
+
+
+def rescaled(rpc: dict, alpha: float) -> dict:
+    """The model of the image zoomed by alpha."""
+    return rpc | {f"{a}_{s}": rpc[f"{a}_{s}"] * alpha for a in ("col", "row") for s in ("off", "scale")}
+
+
+def affine_approximation(rpc: dict, lon: float, lat: float, alt: float) -> np.ndarray:
+    """3 x 4 matrix with the model's value and derivatives at a ground point, by ECEF steps of a metre."""
+    x = ecef(lon, lat, alt)
+    see = lambda y: project(rpc, *geodetic(*y[:, None]))[:, 0]
+    f = see(x)
+    j = np.stack([(see(x + e) - see(x - e)) / 2 for e in np.eye(3)], axis=1)
+    return np.vstack([np.c_[j, f - j @ x], [0, 0, 0, 1]])

@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder that the session names, and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="rayloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/rayloom/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..session import kept
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,13 +16,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the way to the root at least. Labels are aggregated before they are shuffled.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _kept(both)
-    labels = _kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    both = kept(both)
+    labels = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "m").alias("c"), F.col("component").alias("was"))
         up = labels.select(F.col("node").alias("r"), F.col("component").alias("rr"))
-        now = _kept(step.join(up, step["c"] == up["r"], "left").select("node", F.least("c", F.coalesce("rr", "c")).alias("component"), "was"))
+        now = kept(step.join(up, step["c"] == up["r"], "left").select("node", F.least("c", F.coalesce("rr", "c")).alias("component"), "was"))
         labels = now.select("node", "component")
         if now.where("component <> was").isEmpty():
             return labels
@@ -62,17 +49,17 @@ def best_neighbours(edges: DataFrame, k: int) -> DataFrame:
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The heaviest spanning forest of edges (a, b, n) by Boruvka's rounds: every component picks
     its heaviest edge outwards (ties by ids, so no cycles), and the picked edges join components."""
-    e = _kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n"))
+    e = kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n"))
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    labels, tree = _kept(nodes.select("node", F.col("node").alias("c"))), None
+    labels, tree = kept(nodes.select("node", F.col("node").alias("c"))), None
     while True:
         x, y = (labels.select(F.col("node").alias(i), F.col("c").alias(f"c{i}")) for i in "ab")
-        cross = _kept(e.join(x, "a").join(y, "b").where("ca <> cb"))
+        cross = kept(e.join(x, "a").join(y, "b").where("ca <> cb"))
         if cross.isEmpty():
             return tree if tree is not None else e.limit(0)
         ends = cross.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct(F.col("n"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y")).alias("s"))
         best = ends.groupBy("c").agg(F.max("s").alias("s")).select((-F.col("s.x")).alias("a"), (-F.col("s.y")).alias("b"), F.col("s.n").alias("n")).distinct()
-        best = _kept(best)
-        tree = best if tree is None else _kept(tree.unionByName(best))
+        best = kept(best)
+        tree = best if tree is None else kept(tree.unionByName(best))
         joined = connected_components(best.join(x, "a").join(y, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        labels = _kept(labels.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("node", F.coalesce("component", "c").alias("c")))
+        labels = kept(labels.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("node", F.coalesce("component", "c").alias("c")))

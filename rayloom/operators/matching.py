@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .outliers import elbows
+
 
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x))
@@ -72,3 +78,51 @@ def idw(points: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     return m.groupBy("q_id").agg(F.coalesce(exact, w).alias("z"))
 
 
+
+
+def consistent(matches: DataFrame, slack: float = 5.0) -> DataFrame:
+    """Matches (cam_i, cam_j, xi, yi, xj, yj) whose ends are no farther apart on the ground than
+    their pair's elbow plus `slack`; a pair without an elbow keeps all."""
+    pair = F.concat_ws("-", "cam_i", "cam_j")
+    m = matches.withColumns({"grp": pair, "err": F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2))})
+    e = elbows(m.select("grp", "err"))
+    return m.join(e.select("grp", F.when(F.col("found"), F.col("elbow") + slack).otherwise(F.col("high")).alias("thr")), "grp").where("err <= thr").drop("grp", "thr")
+
+
+def ransac(matches: DataFrame, thr: float = 0.3, trials: int = 1000, seed: int = 0) -> DataFrame:
+    """Matches (cam_i, cam_j, kp_i, kp_j, x1, y1, x2, y2) that agree with the best affine epipolar
+    geometry of their pair: samples of four, seeded by the pair, then one refit on the inliers.
+    A pair's matches are one group; an image has `FT_kp_max` keypoints at most."""
+
+    def fit(a: np.ndarray) -> np.ndarray:
+        c = a.mean(axis=0)
+        n = np.linalg.svd(a - c, full_matrices=False)[2][-1]
+        return np.append(n, -n @ c)
+
+    def off(f: np.ndarray, a: np.ndarray) -> np.ndarray:
+        d = np.abs(a @ f[:4] + f[4])
+        return np.maximum(d / max(np.hypot(f[0], f[1]), 1e-300), d / max(np.hypot(f[2], f[3]), 1e-300))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf.sort_values(["kp_i", "kp_j"])[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        if len(a) < 7:
+            return pdf.iloc[:0]
+        draw, best = np.random.default_rng([seed, int(pdf["cam_i"].iloc[0]), int(pdf["cam_j"].iloc[0])]), None
+        for _ in range(trials):
+            ok = off(fit(a[draw.choice(len(a), 4, replace=False)]), a) < thr
+            if best is None or ok.sum() > best.sum():
+                best = ok
+        f = fit(a[best]) if best.sum() >= 4 else None
+        return pdf.iloc[:0] if f is None else pdf[off(f, pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)) < thr]
+
+    cols = ["cam_i", "cam_j", "kp_i", "kp_j", "x1", "y1", "x2", "y2"]
+    return matches.select(*cols).groupBy("cam_i", "cam_j").applyInPandas(run, matches.select(*cols).schema)
+
+
+def normalized(points: DataFrame, by: str, axes: str = "xy") -> DataFrame:
+    """Points moved to their group's centroid and scaled to a mean distance of sqrt(dimensions)."""
+    c = points.groupBy(by).agg(*[F.avg(a).alias(f"m{a}") for a in axes])
+    p = points.join(c, by).withColumn("d", F.sqrt(sum(F.pow(F.col(a) - F.col(f"m{a}"), 2) for a in axes)))
+    s = p.groupBy(by).agg((math.sqrt(len(axes)) / F.avg("d")).alias("s"))
+    p = p.join(s, by)
+    return p.select(*[k for k in points.columns if k not in axes], *[((F.col(a) - F.col(f"m{a}")) * F.col("s")).alias(a) for a in axes])

@@ -44,7 +44,7 @@ def nearest_dates(dates: DataFrame, n: int = 1) -> DataFrame:
     """
     w = W.orderBy("date_idx").rowsBetween(W.unboundedPreceding, -1)
     before = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("adjusted"), F.col("date_idx"))).over(w))), 1, n)
-    d = dates.select("date_idx", F.posexplode(before).alias("k", "prev_idx"))
+    d = dates.withColumn("before", before).select("date_idx", F.posexplode("before").alias("k", "prev_idx"))
     return d.select("date_idx", "prev_idx", (F.col("k") + 1).alias("place"))
 
 

@@ -5,10 +5,14 @@ One row stands for one keypoint of one camera in one track; what is missing is a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def covisibility(obs: DataFrame, least: int = 10, strict: bool = False) -> DataFrame:
     """(cam_i < cam_j, n): tracks that two cameras share, where there are `least` or more
@@ -59,6 +63,7 @@ def _ranked(tracks: DataFrame, order: list[Column], parts: int = 64) -> DataFram
     over partitions, counted there, and numbered behind the partitions before theirs."""
     ranged = tracks.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumns({"__p": F.shiftright("__id", 33), "__i": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    ranged = kept(ranged)  # the ranges come from a sample; both uses below must see the same ones
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return ranged.join(F.broadcast(before), "__p").withColumn("rank", F.col("__before") + F.col("__i") + 1).drop("__id", "__p", "__i", "__n", "__before")
@@ -122,3 +127,54 @@ def tracks_from_matches(matches: DataFrame, components) -> DataFrame:
     labels = components(edges)
     o = ends.select(code("n").alias("node"), "n.cam_id", "n.kp_id").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
     return o.groupBy("root", "cam_id").agg(F.min("kp_id").alias("kp_id")).withColumnRenamed("root", "track_id")
+
+
+def quick_weights(obs: DataFrame, cameras: DataFrame) -> DataFrame:
+    """(cam_id, neighbors, obs): cameras that share a track, and the whole-number median of the
+    shared tracks over all cameras, itself and strangers (0) included."""
+    edges = covisibility(obs, 1)
+    ends = edges.select(F.col("cam_i").alias("cam_id"), "n").unionAll(edges.select("cam_j", "n"))
+    per = ends.groupBy("cam_id").agg(F.count("*").alias("neighbors"), F.array_sort(F.collect_list("n")).alias("shared"))  # a row of cameras
+    total = cameras.select("cam_id").distinct().count()
+    at = lambda i: F.when(i < total - F.col("neighbors"), 0).otherwise(F.get("shared", (i - (total - F.col("neighbors"))).cast("int")))
+    low, high = (total - 1) // 2, total // 2
+    return per.select("cam_id", "neighbors", F.floor((at(F.lit(low)) + at(F.lit(high))) / 2).alias("obs"))
+
+
+def pair_coverage(cameras: DataFrame, to_match: DataFrame, to_triangulate: DataFrame) -> DataFrame:
+    """Cameras with whether a pair to match and one to triangulate holds them."""
+    held = lambda p, c: p.select(F.explode(F.array("cam_i", "cam_j")).alias("cam_id")).distinct().withColumn(c, F.lit(True))
+    r = cameras.select("cam_id").join(held(to_match, "matched"), "cam_id", "left").join(held(to_triangulate, "triangulated"), "cam_id", "left")
+    return r.fillna(False, ["matched", "triangulated"])
+
+
+def select_tracks(obs: DataFrame, ranked: DataFrame, k: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(track_id, tree): tracks that span the cameras `k` times over.
+
+    A tree starts at the camera with most observations among the tracks that are left. In each
+    layer every camera that is not reached takes the best-ranked track that it shares with a
+    reached one; these tracks are selected, and the cameras are the next layer. A layer is one
+    join and one aggregation, whatever the number of tracks. `keep` writes a table to the shared
+    folder and reads it back.
+    """
+    left, chosen = obs.join(ranked.select("track_id", "rank"), "track_id").select("track_id", "cam_id", "rank"), None
+    left = keep(left)
+    for tree in range(k):
+        root = left.groupBy("cam_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cam_id").select("cam_id").limit(1)
+        reached, mine = keep(root), None
+        front = reached
+        while True:
+            seen = left.join(front, "cam_id", "left_semi").select("track_id").distinct()
+            new = left.join(seen, "track_id", "left_semi").join(reached, "cam_id", "left_anti")
+            layer = keep(new.groupBy("cam_id").agg(F.min(F.struct("rank", "track_id")).alias("t")).select("cam_id", "t.track_id"))
+            if layer.isEmpty():
+                break
+            mine = layer if mine is None else mine.unionByName(layer)
+            front = layer.select("cam_id")
+            reached = keep(reached.unionByName(front))
+        if mine is None:
+            break
+        picked = keep(mine.select("track_id").distinct().withColumn("tree", F.lit(tree)))
+        chosen = picked if chosen is None else chosen.unionByName(picked)
+        left = keep(left.join(picked, "track_id", "left_anti"))
+    return chosen if chosen is not None else obs.limit(0).select("track_id", F.lit(0).alias("tree"))

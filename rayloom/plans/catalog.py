@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cameras, geodesy, rotation
 from ..operators import graph, interpolate, matching, outliers, pairs, polygons, tracks
-from ..session import table
+from ..session import kept, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -447,3 +447,62 @@ def polygon_area(spark, d):
 def convex_hulls(spark, d):
     p = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return polygons.hulls(p, "label")
+
+
+@query(f"""WITH {COVIS}, e AS (SELECT cam_i c, n FROM covis UNION ALL SELECT cam_j, n FROM covis), g AS (SELECT x.s_suppkey a, y.s_suppkey b FROM supplier x, supplier y),
+m AS (SELECT cam_i a, cam_j b, n FROM covis UNION ALL SELECT cam_j, cam_i, n FROM covis), f AS (SELECT g.a, coalesce(m.n, 0) n FROM g LEFT JOIN m ON g.a = m.a AND g.b = m.b)
+SELECT a cam_id, count(*) FILTER (n > 0) neighbors, CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) obs FROM f GROUP BY 1 HAVING count(*) FILTER (n > 0) > 0""")
+def quick_camera_weights(spark, d):
+    return tracks.quick_weights(obs(spark, d), cams(spark, d))
+
+
+@query("WITH p AS (SELECT a.s_suppkey i, b.s_suppkey j, a.s_nationkey = b.s_nationkey t FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_nationkey - a.s_nationkey BETWEEN 0 AND 1 WHERE a.s_nationkey < 12), e AS (SELECT i c, t FROM p UNION ALL SELECT j, t FROM p), h AS (SELECT c, bool_or(t) t FROM e GROUP BY 1) SELECT s_suppkey cam_id, h.c IS NOT NULL matched, coalesce(h.t, false) triangulated FROM supplier LEFT JOIN h ON h.c = s_suppkey")
+def pair_coverage(spark, d):
+    c = cams(spark, d)
+    a = c.where("s_nationkey < 12").select(F.col("cam_id").alias("cam_i"), F.col("s_nationkey").alias("na"), F.explode(F.sequence(F.col("s_nationkey"), F.col("s_nationkey") + 1)).alias("nb"))
+    p = a.join(c.select(F.col("cam_id").alias("cam_j"), F.col("s_nationkey").alias("nb")), "nb").where("cam_i < cam_j")
+    return tracks.pair_coverage(c, p, p.where("na = nb"))
+
+
+CONS = """m AS (SELECT a.label cam_i, b.label cam_j, a.vec_id ki, b.vec_id kj, sqrt(power(CAST(a.embedding[1] AS DOUBLE) * 100 - CAST(b.embedding[1] AS DOUBLE) * 100, 2) + power(CAST(a.embedding[2] AS DOUBLE) * 100 - CAST(b.embedding[2] AS DOUBLE) * 100, 2)) err FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.label < b.label),
+e AS (SELECT *, row_number() OVER (PARTITION BY cam_i, cam_j ORDER BY err) - 1 i, count(*) OVER w n, min(err) OVER w lo, max(err) OVER w hi FROM m WINDOW w AS (PARTITION BY cam_i, cam_j)),
+b AS (SELECT *, row_number() OVER (PARTITION BY cam_i, cam_j ORDER BY round(abs((hi - lo) * i - (n - 1) * (err - lo)), 6) DESC, i) k FROM e), q AS (SELECT cam_i, cam_j, quantile_cont(err, 0.8) c FROM m GROUP BY 1, 2),
+t AS (SELECT cam_i, cam_j, CASE WHEN err >= c THEN err + 5 ELSE hi END thr FROM b JOIN q USING (cam_i, cam_j) WHERE k = 1)"""
+
+
+@query(f"WITH {CONS} SELECT ki, kj, round(err, 6) err FROM m JOIN t USING (cam_i, cam_j) WHERE err <= thr")
+def consistent_matches(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label", *[(F.col("embedding")[i].cast("double") * 100).alias(c) for i, c in enumerate("xy")])
+    a = e.select(F.col("label").alias("cam_i"), F.col("vec_id").alias("ki"), F.col("x").alias("xi"), F.col("y").alias("yi"))
+    b = e.select(F.col("label").alias("cam_j"), F.col("vec_id").alias("kj"), F.col("x").alias("xj"), F.col("y").alias("yj"))
+    m = a.join(b, F.col("kj") == F.col("ki") + 1).where("cam_i < cam_j")
+    return matching.consistent(m).select("ki", "kj", F.round("err", 6).alias("err"))
+
+
+@query("""WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y FROM embeddings), c AS (SELECT label, avg(x) mx, avg(y) my FROM p GROUP BY 1), s AS (SELECT label, sqrt(2) / avg(sqrt(power(x - mx, 2) + power(y - my, 2))) s FROM p JOIN c USING (label) GROUP BY 1)
+SELECT vec_id, round((x - mx) * s, 6) + 0.0 x, round((y - my) * s, 6) + 0.0 y FROM p JOIN c USING (label) JOIN s USING (label)""")
+def normalized_points(spark, d):
+    p = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return matching.normalized(p, "label").select("vec_id", _r(F.col("x")).alias("x"), _r(F.col("y")).alias("y"))
+
+
+@query("SELECT label, round((max(CAST(embedding[1] AS DOUBLE)) - min(CAST(embedding[1] AS DOUBLE))) / 2, 6) scale, round((max(CAST(embedding[1] AS DOUBLE)) + min(CAST(embedding[1] AS DOUBLE))) / 2, 6) + 0.0 \"offset\" FROM embeddings GROUP BY 1")
+def scaling_params(spark, d):
+    v = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("v"))
+    return v.groupBy("label").agg(F.round((F.max("v") - F.min("v")) / 2, 6).alias("scale"), _r((F.max("v") + F.min("v")) / 2).alias("offset"))
+
+
+RPC2 = {**RPC, "col_num": [0.011 * i for i in range(1, 21)], "row_num": [0.019 * (21 - i) for i in range(1, 21)]}
+
+
+@query(f"WITH g AS (SELECT a * 10.0 lon, b * 5.0 lat, c * 100.0 alt FROM range(11) t(a), range(9) u(b), range(5) v(c)), n AS (SELECT *, lon / 180.0 x, lat / 90.0 y, alt / 10000.0 z FROM g) SELECT " + ", ".join(f"round({_poly(r[f'{a}_num'])} / {_poly(r[f'{a}_den'])} * {r[f'{a}_scale']} + {r[f'{a}_off']}, 6) {a}_{i}" for i, r in (("i", RPC), ("j", RPC2)) for a in ("col", "row")) + " FROM n")
+def virtual_matches(spark, d):
+    g = gcp_mesh(spark, d)
+    one, two = (cameras.project_rpc(r, F.col("x"), F.col("y"), F.col("z")) for r in (RPC, RPC2))
+    return g.select(*[F.round(c, 6).alias(k) for c, k in zip((*one, *two), ("col_i", "row_i", "col_j", "row_j"), strict=True)])
+
+
+@query()
+def selected_tracks(spark, d):
+    o = obs(spark, d)
+    return tracks.select_tracks(o, tracks.rank_tracks(o), 2, kept)

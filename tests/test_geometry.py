@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rayloom.functions import cameras, geodesy, kernels, rotation
-from rayloom.operators import geometry, graph, solve
+from rayloom.operators import geometry, solve
+from rayloom.session import kept
 from rayloom.sources import files
 
 g = np.random.default_rng(7)
@@ -91,6 +92,26 @@ def test_matrices():
     assert np.allclose(kernels.camera_matrix(x, see(p2)), p2 / p2[2, 3])
 
 
+def test_decompositions():
+    # the two matrices and their scale are fixed values that any right decomposition gives back
+    persp = np.array([[7.29623172e-02, -5.17799277e-02, -1.02734764e-02, -9.62027582e04], [-5.01011603e-02, -6.23291457e-02, -4.15721807e-02, -2.59250341e05], [2.78193760e-08, 7.15619726e-08, -1.43761111e-07, 1.0]])
+    k, r, t, c = kernels.decompose_perspective(persp)
+    assert np.allclose(kernels.compose_perspective(k, r, c), persp) and np.allclose(r @ r.T, np.eye(3)) and np.allclose(t, -r @ c)
+    aff = np.array([[7.61064055e-01, -9.35843155e-01, -1.00554841e-01, -1.13554311e06], [6.65950776e-02, -7.40405784e-02, 1.36333044e00, 4.07093217e06], [0, 0, 0, 1]])
+    assert np.allclose(kernels.compose_affine(*kernels.decompose_affine(aff)), aff)
+    a, b = np.c_[np.eye(3), [0, 0, 4.0]], np.c_[solve._turn(np.array([0.1, -0.3, 0.2])), [1.0, 0.5, 5]]
+    x = np.c_[g.uniform(-1, 1, (10, 3)), np.ones(10)]
+    assert np.allclose(np.einsum("ni,ij,nj->n", x @ b.T, kernels.fundamental(a, b), x @ a.T), 0)
+
+
+def test_approximations():
+    m = model(1)
+    p = kernels.affine_approximation(m, 10.0, 45.0, 300.0)
+    near = kernels.ecef(10.0003, 45.0002, 310.0)
+    assert np.allclose((p @ np.append(near, 1))[:2], kernels.project(m, 10.0003, 45.0002, 310.0).ravel(), atol=0.05)
+    assert np.allclose(kernels.project(kernels.rescaled(m, 0.5), 10.01, 45.0, 300.0), kernels.project(m, 10.01, 45.0, 300.0) / 2)
+
+
 def test_refit(spark, models):
     got = geometry.refit(models, 8).collect()
     assert len(got) == 4 and all(r.rmse < 1e-2 for r in got)
@@ -107,7 +128,7 @@ def test_solver_recovers_a_known_scene(spark, models):
     o = spark.createDataFrame(obs, "track_id long, cam_id long, col double, row double")
     pts = spark.createDataFrame([(t, *map(float, x[t] + g.normal(scale=1.0, size=3))) for t in range(n)], "track_id long, x double, y double, z double")
     cen = spark.createDataFrame([(k, *map(float, v)) for k, v in centre.items()], "cam_id long, cx double, cy double, cz double")
-    angles, moved, costs = solve.adjust(spark, o, pts, models, cen, graph._kept, fixed={0}, settings=solve.Settings(rounds=8))
+    angles, moved, costs = solve.adjust(spark, o, pts, models, cen, kept, fixed={0}, settings=solve.Settings(rounds=8))
     assert costs[-1] < 0.01 * costs[0]
     err = solve.errors(solve._state(spark, o, moved, models, angles, cen)).agg(F.avg("err")).first()[0]
     assert err < 0.1

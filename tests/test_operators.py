@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rayloom.operators import graph, matching, outliers, pairs, polygons, tracks
 from rayloom.plans import catalog
+from rayloom.session import kept
 
 DATA = "/root/testdata/sf0.001"
 rnd = random.Random(1)
@@ -100,6 +101,29 @@ def test_hull_and_overlap(spark):
     assert {r.cam_j: r.overlap for r in polygons.overlap(df).collect()} == {2: pytest.approx(0.5), 3: 0.0}
 
 
+def test_ransac(spark):
+    import numpy as np
+
+    f = np.array([0.3, -0.8, 0.5, 0.4])
+    rows = []
+    for k in range(120):
+        x = np.array([rnd.uniform(0, 500) for _ in range(4)])
+        if k < 90:
+            x[3] = -(x[:3] @ f[:3] + 2.0) / f[3] + rnd.gauss(0, 0.05)
+        rows.append((1, 2, k, k, *map(float, x)))
+    m = spark.createDataFrame(rows, "cam_i long, cam_j long, kp_i long, kp_j long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.kp_i for r in matching.ransac(m, 0.3, 300).collect()}
+    assert len(got & set(range(90))) >= 88 and len(got - set(range(90))) <= 3
+    assert matching.ransac(m.where("kp_i < 6")).count() == 0
+
+
+def test_selected_tracks_span_the_cameras(spark):
+    rows = [(t, c, 1.0, 0.1) for t, cs in enumerate([(1, 2), (2, 3), (1, 2), (3, 4), (5, 6), (2, 3, 4)]) for c in cs]
+    obs = spark.createDataFrame(rows, "track_id int, cam_id int, scale double, err double")
+    got = {(r.tree, r.track_id) for r in tracks.select_tracks(obs, tracks.rank_tracks(obs), 2, kept).collect()}
+    assert {t for k, t in got if k == 0} == {5, 0} and {t for k, t in got if k == 1} == {1, 2, 3}
+
+
 def test_window_match_is_strict(spark):
     kp = spark.createDataFrame([(1, 0.0, 0.0, [0.0, 0.0]), (2, 100.0, 0.0, [5.0, 5.0])], "kp_id long, x double, y double, desc array<double>")
     other = spark.createDataFrame([(7, 29.9, 0.0, [3.0, 4.0]), (8, 30.1, 0.0, [0.0, 0.0])], "kp_id long, x double, y double, desc array<double>")
