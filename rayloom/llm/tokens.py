@@ -129,12 +129,22 @@ class WordEncoder:
         see = self.code.__getitem__
         codes = [np.zeros(0, np.int64) if w else np.fromiter(map(see, self.parts(t)), np.int64) for t, w in zip(texts, whole, strict=True)]
         self.learn()
-        for t, w, c in zip(texts, whole, codes, strict=True):
-            if w or (self.odd and not self.odd.isdisjoint(c.tolist())):
-                yield np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint32)
-            else:
-                sizes = self.sizes[c]
-                yield self.ids[np.repeat(self.starts[c] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        lo = 0
+        while lo < len(texts):  # some texts at once, by their words
+            hi, n = lo + 1, len(codes[lo])
+            while hi < len(texts) and n + len(codes[hi]) <= 200_000:
+                n, hi = n + len(codes[hi]), hi + 1
+            some = np.concatenate(codes[lo:hi])
+            sizes = self.sizes[some]
+            ends = np.cumsum(sizes)
+            flat = self.ids[np.repeat(self.starts[some] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+            cuts = np.r_[0, ends][np.cumsum([0, *map(len, codes[lo:hi])])].tolist()
+            for k in range(lo, hi):
+                if whole[k] or (self.odd and not self.odd.isdisjoint(codes[k].tolist())):
+                    yield np.array(self.lib.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield flat[cuts[k - lo] : cuts[k - lo + 1]]
+            lo = hi
 
 
 @lru_cache(1)
