@@ -6,7 +6,8 @@ leaves most weights at exactly zero, so the model is a short list of (place, wei
 size bound of 2^`bits` whatever the corpus, which is what is broadcast to score all texts.
 
 Learning takes labelled rows only, never those of the held-out fold, and of these a seeded
-sample of `sample` rows at most (a fixed parameter of the method, the same at every size).
+sample of `sample` rows at most (a fixed parameter of the method, the same at every size; their
+ids are broadcast, so that only their texts are looked at).
 Features are made where the texts are; one task then runs FTRL over the sample's places for
 `epochs` passes, leaving out one fold, on which a logistic curve sets slope and intercept, so
 that 0.5 is where the odds are even. Scoring reads every whole text.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 from zlib import crc32
 
 import numpy as np
@@ -56,7 +57,7 @@ class Features:
             self.clear()
         see = self.code.__getitem__
         codes = [np.fromiter(map(see, (t or "").encode().lower().split()), np.int64) for t in texts]
-        new = list(self.code)[len(self.hashes) :]
+        new = list(islice(self.code, len(self.hashes), None))
         h = np.fromiter(map(crc32, new), np.uint64, len(new)) * MIX[0] + np.fromiter(map(len, new), np.uint64, len(new))
         self.hashes = np.r_[self.hashes, (h ^ (h >> np.uint64(31))) * MIX[1]]
         out = []
@@ -121,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     other folds: with (a, b) from there, a * (w . x) + b is again a linear score."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & (fold(F.col("k")) != 0))
     chosen = known.withColumn("draw", F.xxhash64(F.lit(11), F.col("k"))).orderBy("draw", "k", "y").limit(sample)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").select("draw", F.col("k").cast("string").alias("id"), "t", "y")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("draw", F.col("k").cast("string").alias("id"), "t", "y")
 
     def places(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         see = Features(bits)
