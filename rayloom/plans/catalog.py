@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cameras, geodesy, rotation
-from ..operators import graph, interpolate, matching, outliers, pairs, polygons, tracks
+from ..operators import geometry, graph, interpolate, matching, outliers, pairs, polygons, tracks
 from ..session import kept, table
+from . import scene
 
 QUERIES, ORACLES = {}, {}
 
@@ -506,3 +507,24 @@ def virtual_matches(spark, d):
 def selected_tracks(spark, d):
     o = obs(spark, d)
     return tracks.select_tracks(o, tracks.rank_tracks(o), 2, kept)
+
+
+@query(f"SELECT id, lon, lat FROM ({scene.GROUND})")
+def rpc_localize(spark, d):
+    p = scene.ground(spark, d).withColumn("cam_id", F.col("id") % 2)
+    seen = geometry.project(p, scene.models(spark)).join(p.select("id", "alt"), "id")
+    return geometry.localize(seen, scene.models(spark)).select("id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query(f"SELECT id, lon, lat, alt FROM ({scene.GROUND})")
+def rpc_triangulate(spark, d):
+    p, m = scene.ground(spark, d), scene.models(spark)
+    i, j = (geometry.project(p.withColumn("cam_id", F.lit(k).cast("long")), m).select(F.col("id").alias("track_id"), F.col("cam_id").alias(f"cam_{x}"), F.col("col").alias(f"c{x}"), F.col("row").alias(f"r{x}")) for k, x in enumerate("ij"))
+    t = geometry.triangulate(i.join(j, "track_id").select("track_id", "cam_i", "cam_j", "ci", "ri", "cj", "rj"), m)
+    lat, lon, alt = geodesy.from_ecef(F.col("x"), F.col("y"), F.col("z"))
+    return t.select(F.col("track_id").alias("id"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), F.round(alt, 1).alias("alt"))
+
+
+@query("SELECT range cam_id, true fits FROM range(2)")
+def rpc_refit(spark, d):
+    return geometry.refit(scene.models(spark), 8).select("cam_id", (F.col("rmse") < 0.01).alias("fits"))

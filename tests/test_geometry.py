@@ -135,6 +135,28 @@ def test_solver_recovers_a_known_scene(spark, models):
     assert (angles[0] == 0).all()
 
 
+def test_robust_refinement_end_to_end(spark, models):
+    from rayloom.plans import refine
+
+    n = 50
+    lla = np.c_[10 + g.uniform(-0.03, 0.03, n), 45 + g.uniform(-0.03, 0.03, n), 300 + g.uniform(-200, 200, n)]
+    x, up = kernels.ecef(*lla.T).T, kernels.ecef(10.0, 45.0, 300.0) / np.linalg.norm(kernels.ecef(10.0, 45.0, 300.0))
+    centre = {k: kernels.ecef(10.0, 45.0, 300.0) + 5e5 * up + 1e5 * g.normal(size=3) for k in range(3)}
+    turn = {k: np.zeros(3) if k == 0 else g.normal(scale=2e-6, size=3) for k in range(3)}
+    kp = [(k, t, *map(float, solve._see(model(k), x[t : t + 1], turn[k], centre[k])[0] + g.normal(scale=0.05, size=2) + (30.0 if (t, k) in ((5, 1), (9, 2), (20, 1)) else 0.0)), 1.0) for t in range(n) for k in range(3)]
+    keypoints = spark.createDataFrame(kp, "cam_id long, kp_id long, col double, row double, scale double")
+    matches = spark.createDataFrame([(i, j, t, t) for t in range(n) for i, j in ((0, 1), (1, 2))], "cam_i long, cam_j long, kp_i long, kp_j long")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "cam_i long, cam_j long")
+    cen = spark.createDataFrame([(k, *map(float, v)) for k, v in centre.items()], "cam_id long, cx double, cy double, cz double")
+    out = refine.refine(spark, matches, keypoints, pairs, models.where("cam_id < 3"), cen, refine.Config(fixed=frozenset({0}), fit_grid=6))
+    left = {(r.track_id, r.cam_id) for r in out["obs"].collect()}
+    assert not left & {(5, 1), (9, 2), (20, 1)} and len(left) >= 0.7 * 3 * n
+    err = solve.errors(solve._state(spark, out["obs"], out["points"], models, out["angles"], cen)).agg(F.percentile("err", 0.5)).first()[0]
+    assert err < 0.15
+    fitted = out["models"].collect()
+    assert len(fitted) == 3 and all(r.rmse < 0.05 for r in fitted)
+
+
 def test_rpc_text(spark, tmp_path, models):
     files.write_rpc_texts(models.withColumn("image_id", F.concat(F.lit("img"), "cam_id")), f"{tmp_path}/rpc")
     lines = files.rpc_lines(models.withColumn("image_id", F.col("cam_id").cast("string")))
