@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,18 +53,33 @@ def nearest_dates(dates: DataFrame, n: int = 1) -> DataFrame:
 
 
 def timeline(acq: DataFrame, minutes: float = 30) -> DataFrame:
-    """`acq` (scene, ts, id) with `anchor`: an acquisition opens a group where it is `minutes` or
-    more after the first one of the latest group, else joins that group.
+    """`acq` (scene, ts, id) with `anchor` and the group's number `g`: an acquisition opens a group
+    where it is `minutes` or more after the first one of the latest group, else joins that group.
 
-    The anchor depends on the anchor before, so each scene's times are folded once in order; the
-    scenes are the parallelism. Only distinct times enter the fold.
+    The anchor depends on the anchor before, so a scene's times are folded once in order. The fold
+    runs over sorted rows as they stream past and holds one anchor, however long a scene is; it
+    jumps from group to group by binary search. Rows without a time have no group and go.
     """
-    times = acq.groupBy("scene").agg(F.array_sort(F.collect_set("ts")).alias("t"))
-    far = lambda x, a: (F.unix_micros(x.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) >= int(minutes * 60e6)
-    kind = acq.schema["ts"].dataType.simpleString()
-    first = F.array().cast(f"array<{kind}>")
-    opened = F.aggregate("t", first, lambda a, x: F.when((F.size(a) == 0) | far(x, F.coalesce(F.try_element_at(a, F.lit(-1)), x)), F.concat(a, F.array(x))).otherwise(a))
-    groups = times.select("scene", F.posexplode(opened).alias("g", "anchor"))
-    spans = groups.withColumn("until", F.lead("anchor").over(W.partitionBy("scene").orderBy("anchor")))
-    j = acq.join(spans, "scene").where((F.col("ts") >= F.col("anchor")) & (F.col("until").isNull() | (F.col("ts") < F.col("until"))))
-    return j.select("scene", "id", "ts", "anchor", "g")
+    gap = np.timedelta64(int(minutes * 60e6), "us")
+    rows = acq.where("ts IS NOT NULL").select("scene", "id", "ts").repartition("scene").sortWithinPartitions("scene", "ts", "id")
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, anchor, g = None, None, -1
+        for pdf in parts:
+            t, anchors, groups = pdf["ts"].to_numpy(), [], []
+            edges = np.flatnonzero(np.r_[True, pdf["scene"].to_numpy()[1:] != pdf["scene"].to_numpy()[:-1]]) if len(pdf) else []
+            for lo, hi in zip(edges, [*edges[1:], len(pdf)], strict=True):
+                if at is None or pdf["scene"].iloc[lo] != at[0]:
+                    at, anchor, g = (pdf["scene"].iloc[lo],), None, -1
+                while lo < hi:
+                    if anchor is None or t[lo] - anchor >= gap:
+                        anchor, g = t[lo], g + 1
+                    end = lo + int(np.searchsorted(t[lo:hi], anchor + gap, "left"))
+                    anchors.append(np.full(end - lo, anchor))
+                    groups.append(np.full(end - lo, g))
+                    lo = end
+            if anchors:
+                yield pdf.assign(anchor=np.concatenate(anchors), g=np.concatenate(groups))
+
+    kind = {c: acq.schema[c].dataType.simpleString() for c in ("scene", "id", "ts")}
+    return rows.mapInPandas(fold, f"scene {kind['scene']}, id {kind['id']}, ts {kind['ts']}, anchor {kind['ts']}, g long")
