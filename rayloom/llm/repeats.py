@@ -17,7 +17,8 @@ first cut into small collections that together hold every possible match:
    symbol of each document in front of its latest suffix: the symbol goes into the collection's
    Burrows-Wheeler transform, its rank there is the place of the new suffix, and the common
    prefixes with the new neighbours follow from the weight of the symbol and the range minimum
-   of the old common prefixes. Transform, common prefixes and suffix numbers are files that each
+   of the old common prefixes. Documents with one text stand for each other, and only one of them
+   goes in. Transform, common prefixes and suffix numbers are files that each
    round reads and writes from front to back. A window repeats if the common prefix of its
    suffix with a neighbour reaches `WINDOW` bytes.
 4. The repeated windows of a context hold at all its occurrences; each text's ranges are joined
@@ -260,27 +261,40 @@ def construct(groups: DataFrame, window: int, batch: int = BATCH) -> DataFrame:
         tails = [*heads[1:], len(doc)] if len(doc) else []
         return [(flat[doc[a]][0], flat[doc[a]][1], flat[doc[a]][2] + int(start[a]), flat[doc[a]][2] + int(start[b - 1]) + 1) for a, b in zip(heads, tails, strict=True)]
 
+    def distinct(group: list[tuple], out: list[tuple]) -> list[tuple]:
+        """One document for each text of a group; documents with one text repeat as a whole."""
+        texts: dict[tuple, list[tuple]] = {}
+        for r in group:
+            texts.setdefault(r[5:7], []).append(r)
+        for (left, right), same in texts.items():
+            if len(same) > 1:
+                out += [(r[0], r[1], r[2], r[2] + len(left) + len(right) - r[3] + 2) for r in same]
+        return [same[0] for same in texts.values()]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group, n = [], [], 0
+        held, group, n, found = [], [], 0, []
 
         def flush():
-            out = solve(held) if held else []
+            out = found + (solve(held) if held else [])
             cols = list(zip(*out, strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "ctx", "lo", "hi"])
 
+        def close():
+            docs = distinct(group, found)
+            if len(docs) > 1:
+                held.append(docs)
+            return len(docs) if len(docs) > 1 else 0
+
         for b in parts:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and group[0][4] != r[4]:
-                    if len(group) > 1:
-                        held.append(group)
-                        n += len(group)
-                        if n >= batch:
-                            yield flush()
-                            held, n = [], 0
+                    n += close()
                     group = []
+                    if n >= batch or len(found) >= 50_000:
+                        yield flush()
+                        held, n, found = [], 0, []
                 group.append(r)
-        if len(group) > 1:
-            held.append(group)
+        close()
         yield flush()
 
     return rows.mapInArrow(tidy(run), "anchor long, ctx binary, lo int, hi int")
