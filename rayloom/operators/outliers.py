@@ -57,3 +57,9 @@ def reprojection_error(residuals: DataFrame) -> DataFrame:
 def drift(before_after: DataFrame) -> DataFrame:
     """Mean shift of points (x, y, z) to (x1, y1, z1)."""
     return before_after.agg(*[F.avg(F.col(f"{c}1") - F.col(c)).alias(f"d{c}") for c in "xyz"])
+
+
+def error_grid(points: DataFrame, res: float) -> DataFrame:
+    """(gx, gy, n, mean_err): errors of points (x, y, err) on a grid, the data of a heat map."""
+    cell = lambda c: F.floor(F.col(c) / res)
+    return points.groupBy(cell("x").alias("gx"), cell("y").alias("gy")).agg(F.count("*").alias("n"), F.avg("err").alias("mean_err"))

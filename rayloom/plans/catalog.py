@@ -528,3 +528,20 @@ def rpc_triangulate(spark, d):
 @query("SELECT range cam_id, true fits FROM range(2)")
 def rpc_refit(spark, d):
     return geometry.refit(scene.models(spark), 8).select("cam_id", (F.col("rmse") < 0.01).alias("fits"))
+
+
+@query("SELECT CAST(floor(CAST(embedding[1] AS DOUBLE) / 0.05) AS BIGINT) gx, CAST(floor(CAST(embedding[2] AS DOUBLE) / 0.05) AS BIGINT) gy, count(*) n, round(avg(abs(CAST(embedding[3] AS DOUBLE))), 6) mean_err FROM embeddings GROUP BY 1, 2")
+def error_grid(spark, d):
+    p = table(spark, d, "embeddings").select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.abs(F.col("embedding")[2].cast("double")).alias("err"))
+    return outliers.error_grid(p, 0.05).withColumn("mean_err", F.round("mean_err", 6))
+
+
+@query()
+def footprint_overlap(spark, d):
+    """Footprints of the made scene's cameras at one height, and what share of the first's the second covers."""
+    m = scene.models(spark)
+    corners = m.select("cam_id", F.posexplode(F.array(*[F.struct(F.lit(float(c)).alias("col"), F.lit(float(r)).alias("row")) for c, r in ((0, 0), (4000, 0), (4000, 4000), (0, 4000))])).alias("id", "p"))
+    ground = geometry.localize(corners.select("cam_id", F.col("id").cast("long").alias("id"), "p.col", "p.row", F.lit(300.0).alias("alt")), m)
+    f = ground.groupBy("cam_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("f"))  # four corners
+    i, j = (f.select(F.col("cam_id").alias(f"cam_{k}"), F.col("f").alias(f"footprint_{k}")) for k in "ij")
+    return polygons.overlap(i.join(j, F.col("cam_i") < F.col("cam_j")))
