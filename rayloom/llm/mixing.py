@@ -58,15 +58,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
 def mix(df: DataFrame, key: str, source: str, size: Column, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED, salts: int = SALTS) -> DataFrame:
     """`df` with the struct column `mix`: size, source_size, weight, target, times, taken."""
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    d = df.withColumns({"__size": size, "__draw": draw}).withColumns({"__salt": F.conv(F.substring("__draw", 1, 8), 16, 10).cast("long") % salts})
-    groups = d.groupBy(F.col(source).alias("source"), F.col("__size").alias("size"), F.col("__salt").alias("salt")).agg(F.count("*").alias("n"))
-    sizes = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    upto = W.partitionBy("source").orderBy("size", "salt").rowsBetween(W.unboundedPreceding, -1)
-    t = targets(sizes, weights, cap)
+    name = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))  # never null: the join and the ranks share one exchange
+    d = df.withColumns({"__name": name, "__size": size, "__draw": draw}).withColumns({"__salt": F.conv(F.substring("__draw", 1, 8), 16, 10).cast("long") % salts})
+    group = ["__name", "__size", "__salt"]
+    groups = d.groupBy(*group).agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("__name").agg(F.sum(F.col("__size") * F.col("n")).alias("source_size"))
+    sizes = sizes.withColumn("source", F.when(F.col("__name") != "n", F.expr("substring(__name, 2)")))
+    t = targets(sizes, weights, cap).withColumn("__name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    upto = W.partitionBy("__name").orderBy("__size", "__salt").rowsBetween(W.unboundedPreceding, -1)
     placed = groups.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    plan = placed.join(t, placed["source"].eqNullSafe(t["source"])).select(*[(placed["source"] if c == "source" else F.col(c)).alias(f"__p_{c}") for c in ("source", "size", "salt", "first", "source_size", "weight", "target")])
-    own = d.join(plan, d[source].eqNullSafe(F.col("__p_source")) & (d["__size"] == F.col("__p_size")) & (d["__salt"] == F.col("__p_salt")))
-    inside = F.row_number().over(W.partitionBy(source, "__size", "__salt").orderBy("__draw", *[c for c in (key,) if c])) - 1
+    plan = placed.join(t, "__name").select(*group, *[F.col(c).alias(f"__p_{c}") for c in ("first", "source_size", "weight", "target")])
+    own = d.join(plan, group)
+    inside = F.row_number().over(W.partitionBy(*group).orderBy("__draw", key)) - 1
     own = own.withColumn("__i", F.col("__p_first") + inside)
     r = F.coalesce(F.try_divide(F.col("__p_target"), F.col("__p_source_size").cast("double")), F.lit(0.0))
     whole, part = F.floor(r), r - F.floor(r)
