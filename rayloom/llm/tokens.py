@@ -22,6 +22,7 @@ doc_ids next to each other in any order; an empty table makes no file; texts are
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -41,16 +42,19 @@ from .common import cut, scratch
 END_ID, DOCS_PER_FILE, LEVEL, CACHE_WORDS = 2, 10_000, 1, 800_000
 #: Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
+#: A space inside or at the end of a run of white space. Python's \s holds all of the pattern's.
+INNER_SPACE = re.compile(r" (?<=\s )(?:\s|\Z)")
 
 
 class WordEncoder:
     """The tokenizers library over the distinct words of the texts, remembered for a while.
 
-    The library splits a text by a fixed pattern before it merges. Where no two spaces stand
-    together, no piece of that pattern reaches over a space but from it to the right, so a text's
-    ids are those of its parts between spaces, each with the space before it. Other texts are
-    split by the pattern itself; texts with an added token's string, or with letters that are
-    newer than our Unicode tables, go to the library whole.
+    The library splits a text by a fixed pattern before it merges. A piece of that pattern holds
+    a space past its start only inside a run of white space: one that goes on after the space, or
+    ends the text with it. Where there is no such space, nor two spaces together, a text's ids are
+    those of its parts between spaces, each with the space before it. Other texts are split by the
+    pattern itself; texts with an added token's string, or with letters that are newer than our
+    Unicode tables, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -87,7 +91,7 @@ class WordEncoder:
 
     def parts(self, text: str) -> list:
         """The words of a text; one that follows a space is a string without it, others are (word,)."""
-        if "  " in text:
+        if "  " in text or INNER_SPACE.search(text):
             return [w[1:] if len(w) > 1 and w[0] == " " else (w,) for w in self.find(text)]
         first, *rest = text.split(" ")
         return [(first,), *rest] if first else rest

@@ -50,6 +50,15 @@ def test_byte_words_are_the_library(monkeypatch):
             assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_spaces_among_other_white_space_are_the_library():
+    white = [" ", " ", " ", "\u00a0", "\u3000", "\t", "\n", "\r", "\x1c", "\x85", "\u2028", "a", "b", ".", "é"]
+    texts = ["a \u00a0 \u00a0 b", "a \u3000 \u3000 b", "a\n ", "a\t \tb", " \u00a0 " * 4 + "x", "x\n \n \ny"] + ["".join(rnd.choice(white) for _ in range(rnd.randrange(12))) for _ in range(4000)]
+    texts += ["a" + " \u00a0" * n + end for n in (1, 2, 4, 8) for end in ("", " ", " b", "b")]
+    e, t = tokens.WordEncoder(BYTE), lib(BYTE)
+    for text, ids in zip(texts, e(texts), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("per_file", [7, 10_000])
 def test_files_round_trip(spark, tmp_path, per_file):
     t, rows = lib(BYTE), [(rnd.randrange(-50, 500), x) for x in TEXTS[:60]] + [(None, None), (9, "same"), (9, "same")]
