@@ -151,3 +151,18 @@ def test_balanced_codes():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     mean, p = embeddings.fit(x)
     assert np.abs(((x - mean) @ p > 0).mean(0) - 0.5).max() < 0.1
+
+
+@pytest.mark.parametrize("n", [2_000, 60_000, 400_000, 100_000_000])
+def test_neighbours_reach_is_the_same_at_any_row_count(spark, n):
+    near, far = [], []
+    for k in range(12):
+        a = rnd.getrandbits(64)
+        for flips, out in ((11, near), (17, far)):
+            b = a
+            for i in range(flips):  # spread evenly, so that no table has few of them
+                b ^= 1 << (64 * i // flips + k % 3)
+            out.append(tuple(sorted(np.array([a, b], np.uint64).view(np.int64).tolist())))
+    classes = spark.createDataFrame([(c,) for c in {c for p in near + far for c in p}], "code long")
+    got = {tuple(r) for r in embeddings.neighbours(classes, 64, n).collect()}
+    assert got.issuperset(near) and got.isdisjoint(far)
