@@ -214,6 +214,7 @@ def image_pairs(spark, d):
     return pairs.all_pairs(cams(spark, d).where("s_nationkey < 5"))
 
 
+
 @query("""WITH c AS (SELECT s_suppkey cam_id, CAST(s_nationkey AS INTEGER) date_idx FROM supplier) SELECT a.cam_id cam_i, b.cam_id cam_j, a.date_idx di, b.date_idx dj FROM c a JOIN c b ON b.date_idx BETWEEN a.date_idx AND a.date_idx + 1 WHERE b.date_idx > a.date_idx OR a.cam_id < b.cam_id""")
 def date_window_pairs(spark, d):
     return pairs.date_window_pairs(cams(spark, d).select("cam_id", F.col("s_nationkey").alias("date_idx")))
@@ -244,6 +245,13 @@ def timeline_groups(spark, d):
     return pairs.timeline(e, 120).select(F.col("id").alias("event_id"), "anchor")
 
 
+@query()
+def timeline_groups_all(spark, d):
+    """All users, where `timeline_groups` has its recursive SQL's subset."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("scene"), "ts", F.col("event_id").alias("id"))
+    return pairs.timeline(e, 120).select(F.col("id").alias("event_id"), "anchor")
+
+
 @query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) x, round(CAST(embedding[2] AS DOUBLE), 6) y FROM embeddings WHERE embedding[1] > -0.1 AND embedding[1] < 0.1 AND embedding[2] > -0.1 AND embedding[2] < 0.1")
 def bbox_filter(spark, d):
     p = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
@@ -270,6 +278,9 @@ def top_matches(spark, d):
     return matching.top_matches(_ratio(spark, d), 5).select("cam_i", "cam_j", "kp_i", "kp_j", "place")
 
 
+
+
+
 @query("""WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding AS DOUBLE[]) e FROM embeddings), m AS (SELECT a.vec_id kp_i, b.vec_id kp_j, round(list_distance(a.e, b.e), 9) dist FROM p a JOIN p b ON a.label = 0 AND b.label = 1 AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 0.05 * 0.05),
 r AS (SELECT *, row_number() OVER (PARTITION BY kp_i ORDER BY dist, kp_j) k FROM m) SELECT kp_i, kp_j, round(dist, 6) dist FROM r WHERE k = 1 AND dist < 250""")
 def local_window_match(spark, d):
@@ -277,6 +288,7 @@ def local_window_match(spark, d):
     return matching.window_match(p.where("label = 0"), p.where("label = 1"), 0.05, 250).withColumn("dist", F.round("dist", 6))
 
 
+
 FUND = [[1e-4, 2e-3, -0.3], [-1e-3, 2e-4, 0.5], [0.2, -0.6, 0.1]]
 EPI = """x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) x1, CAST(embedding[2] AS DOUBLE) y1, CAST(embedding[3] AS DOUBLE) x2, CAST(embedding[4] AS DOUBLE) y2 FROM embeddings),
 l AS (SELECT *, 1e-4*x1+2e-3*y1-0.3 a, -1e-3*x1+2e-4*y1+0.5 b, 0.2*x1-0.6*y1+0.1 c, 1e-4*x2-1e-3*y2+0.2 p, 2e-3*x2+2e-4*y2-0.6 q, -0.3*x2+0.5*y2+0.1 r FROM x)"""

@@ -1,5 +1,6 @@
 """Relational operators on small fixtures; the queries are held against DuckDB where it is there."""
 
+import datetime
 import glob
 import math
 import os
@@ -160,3 +161,16 @@ def test_streamed_groups_are_the_batch_groups(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r.n for r in spark.table("errs").collect()) == 200
+
+
+def test_timeline_groups_all_folds_every_user(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, rnd.randrange(35, 60), start + datetime.timedelta(minutes=rnd.randrange(3000))) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    expected = {}
+    for user in {r[1] for r in rows}:
+        anchor = None
+        for ts, i in sorted((r[2], r[0]) for r in rows if r[1] == user):
+            anchor = ts if anchor is None or ts - anchor >= datetime.timedelta(minutes=120) else anchor
+            expected[i] = anchor
+    assert {r.event_id: r.anchor for r in catalog.QUERIES["timeline_groups_all"](spark, str(tmp_path)).collect()} == expected
