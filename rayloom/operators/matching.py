@@ -45,16 +45,17 @@ def inside(points: DataFrame, box: DataFrame) -> DataFrame:
     return points.crossJoin(b).where("x > x0 and x < x1 and y > y0 and y < y1").select(points["*"])
 
 
-def window_match(a: DataFrame, b: DataFrame, radius: float, most: float) -> DataFrame:
+def window_match(a: DataFrame, b: DataFrame, radius: float, most: float, by: tuple[str, ...] = ()) -> DataFrame:
     """For each keypoint of `a` the nearest descriptor of `b` within `radius` in space, if its
-    distance is below `most`. Both (kp_id, x, y, desc). Points meet by grid cells of the radius."""
+    distance is below `most`. Both (kp_id, x, y, desc). Points meet by grid cells of the radius,
+    and only where they agree in the columns `by`, such as the pair of images that both stand for."""
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.explode(F.array(*[F.struct((cell("x") + i).alias("gx"), (cell("y") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = a.select(F.col("kp_id").alias("kp_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("desc").alias("di"), around.alias("g")).select("*", "g.gx", "g.gy")
-    right = b.select(F.col("kp_id").alias("kp_j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("desc").alias("dj"), cell("x").alias("gx"), cell("y").alias("gy"))
-    m = left.join(right, ["gx", "gy"]).where(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2) <= radius * radius)
-    best = m.select("kp_i", F.struct(F.round(l2(F.col("di"), F.col("dj")), 9).alias("d"), "kp_j").alias("c")).groupBy("kp_i").agg(F.min("c").alias("c"))
-    return best.where(F.col("c.d") < most).select("kp_i", "c.kp_j", F.col("c.d").alias("dist"))
+    left = a.select(*by, F.col("kp_id").alias("kp_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("desc").alias("di"), around.alias("g")).select("*", "g.gx", "g.gy")
+    right = b.select(*by, F.col("kp_id").alias("kp_j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("desc").alias("dj"), cell("x").alias("gx"), cell("y").alias("gy"))
+    m = left.join(right, [*by, "gx", "gy"]).where(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2) <= radius * radius)
+    best = m.select(*by, "kp_i", F.struct(F.round(l2(F.col("di"), F.col("dj")), 9).alias("d"), "kp_j").alias("c")).groupBy(*by, "kp_i").agg(F.min("c").alias("c"))
+    return best.where(F.col("c.d") < most).select(*by, "kp_i", "c.kp_j", F.col("c.d").alias("dist"))
 
 
 def epipolar_inliers(m: DataFrame, f: list[list[float]], thr: float) -> DataFrame:

@@ -278,8 +278,22 @@ def top_matches(spark, d):
     return matching.top_matches(_ratio(spark, d), 5).select("cam_i", "cam_j", "kp_i", "kp_j", "place")
 
 
+def _ratio_all(spark, d):
+    k = kps(spark, d)
+    return matching.ratio_match(k, pairs.all_pairs(k.select("cam_id").distinct()), 0.97)
+
+
+@query()
+def ratio_match_all(spark, d):
+    """All pairs of images, where `ratio_match` has its SQL's subset."""
+    return _ratio_all(spark, d).withColumn("dist", F.round("dist", 6))
 
 
+@query()
+def top_matches_all(spark, d):
+    """All pairs of images, where `top_matches` has its SQL's subset."""
+    return matching.top_matches(_ratio_all(spark, d), 5).select("cam_i", "cam_j", "kp_i", "kp_j", "place")
+
 
 @query("""WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding AS DOUBLE[]) e FROM embeddings), m AS (SELECT a.vec_id kp_i, b.vec_id kp_j, round(list_distance(a.e, b.e), 9) dist FROM p a JOIN p b ON a.label = 0 AND b.label = 1 AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 0.05 * 0.05),
 r AS (SELECT *, row_number() OVER (PARTITION BY kp_i ORDER BY dist, kp_j) k FROM m) SELECT kp_i, kp_j, round(dist, 6) dist FROM r WHERE k = 1 AND dist < 250""")
@@ -288,6 +302,14 @@ def local_window_match(spark, d):
     return matching.window_match(p.where("label = 0"), p.where("label = 1"), 0.05, 250).withColumn("dist", F.round("dist", 6))
 
 
+@query()
+def local_window_match_all(spark, d):
+    """All pairs of images, where `local_window_match` has its SQL's two."""
+    p = kps(spark, d).withColumns({"x": F.col("desc")[0].cast("double"), "y": F.col("desc")[1].cast("double")})
+    both = pairs.all_pairs(p.select("cam_id").distinct())
+    a, b = (both.join(p.withColumnRenamed("cam_id", c), c) for c in ("cam_i", "cam_j"))
+    return matching.window_match(a, b, 0.05, 250, ("cam_i", "cam_j")).withColumn("dist", F.round("dist", 6))
+
 
 FUND = [[1e-4, 2e-3, -0.3], [-1e-3, 2e-4, 0.5], [0.2, -0.6, 0.1]]
 EPI = """x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) x1, CAST(embedding[2] AS DOUBLE) y1, CAST(embedding[3] AS DOUBLE) x2, CAST(embedding[4] AS DOUBLE) y2 FROM embeddings),

@@ -174,3 +174,24 @@ def test_timeline_groups_all_folds_every_user(spark, tmp_path):
             anchor = ts if anchor is None or ts - anchor >= datetime.timedelta(minutes=120) else anchor
             expected[i] = anchor
     assert {r.event_id: r.anchor for r in catalog.QUERIES["timeline_groups_all"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_matches_all_pairs_of_images(spark, tmp_path):
+    rows = [(i, i % 7, [rnd.uniform(-0.2, 0.2) for _ in range(4)]) for i in range(140)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ratio, top, window = set(), set(), set()
+    for i in range(7):
+        for j in range(i + 1, 7):
+            found = []
+            for k, label, v in rows:
+                if label == i:
+                    near = sorted((round(math.dist(v, w), 9), x) for x, other, w in rows if other == j)
+                    if near[0][0] < 0.97 * near[1][0]:
+                        found.append((near[0][0], k, near[0][1]))
+                    beside = [(round(math.dist(v, w), 9), x) for x, other, w in rows if other == j and (v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2 <= 0.05**2]
+                    window |= {(i, j, k, min(beside)[1])} if beside else set()
+            ratio |= {(i, j, a, b) for _, a, b in found}
+            top |= {(i, j, a, b, place) for place, (_, a, b) in enumerate(sorted(found)[:5], 1)}
+    rows_of = lambda name, n: [tuple(r)[:n] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    for name, n, expected in (("ratio_match_all", 4, ratio), ("top_matches_all", 5, top), ("local_window_match_all", 4, window)):
+        assert sorted(rows_of(name, n)) == sorted(expected)
