@@ -214,6 +214,11 @@ def image_pairs(spark, d):
     return pairs.all_pairs(cams(spark, d).where("s_nationkey < 5"))
 
 
+@query()
+def image_pairs_all(spark, d):
+    """All cameras, where `image_pairs` has its SQL's subset."""
+    return pairs.all_pairs(cams(spark, d))
+
 
 @query("""WITH c AS (SELECT s_suppkey cam_id, CAST(s_nationkey AS INTEGER) date_idx FROM supplier) SELECT a.cam_id cam_i, b.cam_id cam_j, a.date_idx di, b.date_idx dj FROM c a JOIN c b ON b.date_idx BETWEEN a.date_idx AND a.date_idx + 1 WHERE b.date_idx > a.date_idx OR a.cam_id < b.cam_id""")
 def date_window_pairs(spark, d):

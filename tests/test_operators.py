@@ -195,3 +195,9 @@ def test_matches_all_pairs_of_images(spark, tmp_path):
     rows_of = lambda name, n: [tuple(r)[:n] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
     for name, n, expected in (("ratio_match_all", 4, ratio), ("top_matches_all", 5, top), ("local_window_match_all", 4, window)):
         assert sorted(rows_of(name, n)) == sorted(expected)
+
+
+def test_image_pairs_all_has_every_camera(spark, tmp_path):
+    spark.createDataFrame([(i, i % 25) for i in range(60)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["image_pairs_all"](spark, str(tmp_path)).collect())
+    assert got == [(i, j) for i in range(60) for j in range(i + 1, 60)]
