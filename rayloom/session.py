@@ -1,34 +1,61 @@
-"""Session defaults and table access."""
+"""Session defaults, table access, the shared folder, and the package on the workers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(app: str = "rayloom", **conf: str) -> SparkSession:
     """A session with the settings that the operators are written for."""
     b = SparkSession.builder.appName(app)
     for k, v in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hand this package to the session's Python workers, once a session: executors on other
+    machines have neither the driver's folders nor its path."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        made = f"{tempfile.mkdtemp(prefix='rayloom-ship-')}/rayloom.zip"  # the driver's own; Spark serves it
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+        spark.sparkContext.addPyFile(made)
+        _shipped.add(app)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder that the session names, and read again: the lineage ends in a
-    file that survives the loss of any executor. Only where `spark.checkpoint.dir` is unset, as in
-    local tests, a folder is made and set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it in
+    `spark.checkpoint.dir`. Where that is unset, a local master gets one made and set; on a
+    cluster no folder of the driver's would do, so that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="rayloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """Written to the shared folder and read again: the lineage ends in a file that survives the
+    loss of any executor."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="rayloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/rayloom/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rayloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
