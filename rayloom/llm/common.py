@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count, islice
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import kept, shared_dir
+
 #: A word is a run of anything but the ASCII space characters (fixed by the task's contracts).
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,29 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where `spark.checkpoint.dir` is unset, as in local tests, one is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="rayloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/rayloom/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: the lineage ends at a file that
-    survives the loss of any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Write a table to the shared folder and read it back: the lineage ends there.
+cut = kept
 
 
 def words(text: Column) -> Column:
@@ -67,3 +55,28 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
             ctypes.CDLL(None).malloc_trim(0)
 
     return tidied
+
+
+class WordHashes:
+    """The 64-bit hashes of the words of texts, one after the other. Words that were seen are
+    remembered until `most` of them are held."""
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.code, self.hashes = defaultdict(count().__next__), np.zeros(0, np.uint64)
+
+    def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        from xxhash import xxh3_64_intdigest
+
+        for t in texts:
+            if len(self.code) > self.most:
+                self.clear()
+            # bytes: split() knows the ASCII spaces only
+            codes = np.fromiter(map(self.code.__getitem__, t.split()), np.int64)
+            if len(self.code) > len(self.hashes):
+                new = list(islice(self.code, len(self.hashes), None))
+                self.hashes = np.r_[self.hashes, np.fromiter(map(xxh3_64_intdigest, new), np.uint64, len(new))]
+            yield self.hashes[codes]

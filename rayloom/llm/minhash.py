@@ -27,17 +27,15 @@ are told apart by their text. Other columns are not touched.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b, md5
-from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import WordHashes, cut, tidy
 from .components import components
 
 COORDS, MATCH, PERCENT = 64, 38, 80
@@ -52,24 +50,11 @@ class Shingles:
     """The sorted 64-bit hashes of a text's distinct shingles."""
 
     def __init__(self, length: int):
-        self.length = length
-        self.clear()
-
-    def clear(self) -> None:
-        self.code, self.hashes = defaultdict(count().__next__), np.zeros(0, np.uint64)
+        self.length, self.words = length, WordHashes(CACHE_WORDS)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self.code) > CACHE_WORDS:
-            self.clear()
-        see = self.code.__getitem__
-        # bytes: lower() and split() know the ASCII letters and spaces only
-        codes = [np.fromiter(map(see, (t or "").encode().lower().split()), np.int64) for t in texts]
-        if len(self.code) > len(self.hashes):
-            new = list(islice(self.code, len(self.hashes), None))
-            self.hashes = np.r_[self.hashes, np.fromiter(map(xxh3_64_intdigest, new), np.uint64, len(new))]
-        return [self.combine(self.hashes[c]) for c in codes]
+        # bytes: lower() knows the ASCII letters only
+        return [self.combine(w) for w in self.words([(t or "").encode().lower() for t in texts])]
 
     def combine(self, w: np.ndarray) -> np.ndarray:
         k = min(self.length, len(w))

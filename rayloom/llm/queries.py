@@ -60,7 +60,7 @@ def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = repeats.remove_repeats(read(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:

@@ -166,3 +166,22 @@ def test_neighbours_reach_is_the_same_at_any_row_count(spark, n):
     classes = spark.createDataFrame([(c,) for c in {c for p in near + far for c in p}], "code long")
     got = {tuple(r) for r in embeddings.neighbours(classes, 64, n).collect()}
     assert got.issuperset(near) and got.isdisjoint(far)
+
+
+@pytest.mark.parametrize(("words", "hot"), [(12, 4000), (12, 1), (20, 3)])
+def test_shared_passages(spark, words, hot):
+    passages = [" ".join(rnd.choice(VOCAB) for _ in range(rnd.randrange(words - 3, words + 8))) for _ in range(8)]
+    texts = ["\n ".join(rnd.choice([rnd.choice(passages), " ".join(rnd.choice(VOCAB[:40]) for _ in range(rnd.randrange(1, 40)))]) for _ in range(rnd.randrange(0, 5))) for _ in range(80)]
+    alone = " ".join(f"only{k}" for k in range(30))
+    texts += [alone + " " + alone, "a " * 60, "b " * 60, "b " * 70, "", None, " \n", "w " * (words - 1), *[" ".join(f"copy{k}" for k in range(40))] * 2]
+    runs = [(lambda w: {tuple(w[i : i + words]) for i in range(len(w) - words + 1)})((t or "").encode().split()) for t in texts]
+    n = Counter(x for r in runs for x in r)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.shares_passage for r in repeats.remove_repeats(df, ["doc_id"], window=40, hot=hot, words=words).collect()}
+    assert got == {i: any(n[x] > 1 for x in r) for i, r in enumerate(runs)}
+
+
+def test_repeats_refuse_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, n_bytes long")
+    with pytest.raises(ValueError, match="n_bytes"):
+        repeats.remove_repeats(df, ["doc_id", "n_bytes"])
