@@ -69,14 +69,23 @@ class WordHashes:
         self.code, self.hashes = defaultdict(count().__next__), np.zeros(0, np.uint64)
 
     def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        from xxhash import xxh3_64_intdigest
-
+        held: list[np.ndarray] = []
         for t in texts:
-            if len(self.code) > self.most:
-                self.clear()
             # bytes: split() knows the ASCII spaces only
-            codes = np.fromiter(map(self.code.__getitem__, t.split()), np.int64)
-            if len(self.code) > len(self.hashes):
-                new = list(islice(self.code, len(self.hashes), None))
-                self.hashes = np.r_[self.hashes, np.fromiter(map(xxh3_64_intdigest, new), np.uint64, len(new))]
-            yield self.hashes[codes]
+            held.append(np.fromiter(map(self.code.__getitem__, t.split()), np.int64))
+            if len(self.code) > len(self.hashes) + 50_000:
+                yield from self.known(held)
+                held = []
+        yield from self.known(held)
+
+    def known(self, held: list[np.ndarray]) -> Iterator[np.ndarray]:
+        from xxhash import xxh3_64_intdigest
+
+        if len(self.code) > len(self.hashes):
+            new = list(islice(self.code, len(self.hashes), None))
+            self.hashes = np.r_[self.hashes, np.fromiter(map(xxh3_64_intdigest, new), np.uint64, len(new))]
+        hashes = self.hashes
+        if len(self.code) > self.most:
+            self.clear()
+        for codes in held:
+            yield hashes[codes]

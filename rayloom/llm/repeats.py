@@ -25,16 +25,17 @@ first cut into small collections that together hold every possible match:
    and cut out of it.
 
 A passage of `PASSAGE` words is often shorter than `WINDOW` bytes, so texts that share one are
-found too, though nothing of it is removed: the same steps run over words in place of bytes, with
-a whole context as its block (its core is the anchor), and a text shares a passage if one of its
-suffixes has `PASSAGE` words in common with a neighbour of another text. Contexts of an anchor
-that more than `HOT` have are compared window by window.
+marked too (`shares_passage`), though nothing of it is removed: the anchors of all windows of
+`PASSAGE` words are taken (32 words each), and a text is marked where another row has one of its
+anchors. Equal windows have equal anchors, so every passage of `PASSAGE` words that two rows share
+is found, and none of less than an anchor's words is.
 
 Defined results: a passage shared with a row of an equal text counts as shared, one that only
 repeats inside its own text does not; a null text is an empty one; texts shorter than a window lose nothing; rows with
 equal texts are occurrences of each other, whatever their ids, so their texts of `WINDOW` bytes or
 more go as a whole. Texts are taken whole at any length: above 2^22 bytes (words) they are read in
-overlapping pieces. Hashes of contexts and cores have 128 bits, those of words 32 and more. Columns
+overlapping pieces. Hashes of contexts and cores have 128 bits, those
+of anchors of words 63 and more. Columns
 of `keep` named like a result (n_bytes, n_removed, n_spans, kept, shares_passage) are refused.
 """
 
@@ -53,7 +54,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, tidy
 
-PASSAGE, PASSAGE_GRAM = 50, 8
+PASSAGE = 50
 WINDOW, GRAM, BLOCK, HOT, BATCH = 400, 32, 64, 4_000, 2_000
 PIECE = 1 << 22
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -170,24 +171,18 @@ def halved(b: DataFrame) -> DataFrame:
 class Columnwise:
     """Transform, common prefixes and suffix numbers of a collection of short documents."""
 
-    def __init__(self, docs: list[tuple[bytes, int, int, bytes]], folder: str, kind: str = "u1"):
-        """docs: left symbols, number of the core, its weight, right symbols; symbols are of `kind`."""
+    def __init__(self, docs: list[tuple[bytes, int, int, bytes]], folder: str):
+        """docs: left bytes, number of the core, its weight, right bytes."""
         self.folder, self.n = folder, len(docs)
-        each = np.dtype(kind).itemsize
-        sizes = np.array([(len(a) + len(b)) // each + 1 for a, _, _, b in docs], np.int64)
-        raw = np.frombuffer(b"".join(x for a, _, _, b in docs for x in (a, bytes(each), b)), kind)
-        if each > 1:  # in the order of their values, from 0 without gaps
-            raw = np.unique(raw, return_inverse=True)[1]
-        first = int(raw.max(initial=0)) + 2  # 0 stands for a document's end, cores follow the others
-        last = first + max((c for _, c, _, _ in docs), default=0)
-        symbols = (raw + 1 if each > 1 else raw.astype(np.uint16) + np.uint16(1)).astype(np.uint16 if last < 1 << 16 else np.uint32)
+        sizes = np.array([len(a) + 1 + len(b) for a, _, _, b in docs], np.int64)
+        raw = np.frombuffer(b"".join(x for a, _, _, b in docs for x in (a, b"\0", b)), np.uint8)
+        symbols = raw.astype(np.uint16) + np.uint16(1)  # 0 stands for a document's end
         ends = np.cumsum(sizes)
-        core = ends - np.array([len(b) // each for _, _, _, b in docs], np.int64) - 1
-        numbers = first + np.array([c for _, c, _, _ in docs], np.int64)
-        symbols[core] = numbers
-        weights = np.ones(last + 1, np.int64)
-        weights[numbers] = [w for _, _, w, _ in docs]
-        self.write(bwt=np.zeros(self.n, symbols.dtype), lcp=np.zeros(self.n, np.uint16), doc=np.arange(self.n, dtype=np.int32), size=np.zeros(self.n, np.uint16))
+        core = ends - np.array([len(b) for _, _, _, b in docs], np.int64) - 1
+        symbols[core] = np.array([257 + c for _, c, _, _ in docs], np.uint16)
+        weights = np.ones(258 + max((c for _, c, _, _ in docs), default=0), np.int64)
+        weights[[257 + c for _, c, _, _ in docs]] = [w for _, _, w, _ in docs]
+        self.write(bwt=np.zeros(self.n, np.uint16), lcp=np.zeros(self.n, np.uint16), doc=np.arange(self.n, dtype=np.int32), size=np.zeros(self.n, np.uint16))
         place = np.arange(self.n)
         for j in range(int(sizes.max(initial=0))):
             live = np.flatnonzero(sizes > j)
@@ -233,10 +228,6 @@ class Columnwise:
         self.write(bwt=merged(bwt, 0), lcp=prefixes, doc=merged(self.read("doc"), live), size=merged(self.read("size"), size))
         return new
 
-    def alike(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """The document of each suffix, and the number of the run of suffixes that share `window`."""
-        return self.read("doc"), np.cumsum(self.read("lcp") < window)
-
     def repeated(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and symbol counts of the suffixes that share `window` bytes with a neighbour."""
         lcp = self.read("lcp")
@@ -345,133 +336,34 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, h
     return spans.groupBy("same").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
 
 
-def word_contexts(docs: DataFrame, window: int) -> DataFrame:
-    """same, start, n, rel, anchor, ctx as `occurrences` gives them, counted in words; and for each
-    row with `window` words or more one context of its whole text, whose n is 0."""
+def word_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(anchor, same) of each text with `window` words or more: the anchors of its windows of words, even
+    numbers, and an odd one for the text itself; `same` is 64 bits of the text's digest."""
+    gram = 1 << ((2 * window // 3).bit_length() - 1)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
         see = WordHashes()
         for batch in parts:
             for lo_ in range(0, batch.num_rows, 500):
                 raws = [(t.as_py() or "").encode() for t in batch.column(0).slice(lo_, 500)]
-                same, ctx, found = [], [], []
+                found, same = [np.zeros(0, np.int64)], []
                 for raw, w in zip(raws, see(raws), strict=True):
-                    if len(w) < window:
-                        continue
-                    mine, w = hashlib.md5(raw).digest(), _short(w)
-                    one, whole = np.zeros(1, np.int64), np.frombuffer(mine[:8], np.int64)
-                    found.append((one, one, one, whole))
-                    same.append(mine)
-                    ctx.append(mine)
-                    for lo, hi in pieces(len(w), window):
-                        h, at, first, last = anchors(w[lo:hi], window, PASSAGE_GRAM)
-                        found.append((first + lo, last - first + 1, first - at, h))
-                        same += [mine] * len(h)
-                        ctx += [xxh3_128_digest(w[lo + i : lo + j + window], seed=r) for i, j, r in zip(first.tolist(), last.tolist(), (at - first).tolist(), strict=True)]
-                cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(same, pa.binary()), *(pa.array(x, pa.int32()) for x in cols[:3]), pa.array(cols[3], pa.int64()), pa.array(ctx, pa.binary())], names=["same", "start", "n", "rel", "anchor", "ctx"])
-
-    return docs.select("text").mapInArrow(tidy(run), "same binary, start int, n int, rel int, anchor long, ctx binary")
-
-
-def _short(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(32)).astype(np.uint32)
-
-
-def word_blocks(reps: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """anchor, ctx, owner, members, left and right words (32-bit hashes) of each context in `reps`."""
-    wanted = reps.groupBy("same").agg(F.collect_list(F.struct("anchor", "ctx", "owner", "members", "start", "n", "rel")).alias("c"))
-    texts = docs.withColumn("same", F.unhex(F.md5("text"))).groupBy("same").agg(F.first("text").alias("text"))
-    gram = 1 << (min(PASSAGE_GRAM, window).bit_length() - 1)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        see = WordHashes()
-        for batch in parts:
-            for lo in range(0, batch.num_rows, 200):
-                texts_, contexts = (x.slice(lo, 200).to_pylist() for x in batch.columns)
-                out = []
-                for w, cs in zip(see([t.encode() for t in texts_]), contexts, strict=True):
-                    w = _short(w)
-                    for c in cs:
-                        at = c["start"] - c["rel"]  # the anchor
-                        out.append((c["anchor"], c["ctx"], c["owner"], c["members"], w[c["start"] : at].tobytes(), w[at + gram : c["start"] + c["n"] - 1 + window].tobytes()))
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["anchor", "ctx", "owner", "members", "left", "right"])
-
-    return texts.join(wanted, "same").select("text", "c").mapInArrow(tidy(run), "anchor long, ctx binary, owner binary, members long, left binary, right binary")
-
-
-def shared_contexts(groups: DataFrame, window: int, batch: int = BATCH) -> DataFrame:
-    """(anchor, ctx) of the contexts that have a window of words in common with a context of the
-    same anchor and another owner; an owner is the one text of a context, or null for several."""
-    rows = groups.select("anchor", "ctx", "owner", "left", "right").repartition("anchor").sortWithinPartitions("anchor")
-    gram = 1 << (min(PASSAGE_GRAM, window).bit_length() - 1)
-
-    def solve(held: list[list[tuple]]) -> list[tuple]:
-        flat = list(chain.from_iterable(held))
-        names: dict = {}
-        owner = np.array([names.setdefault(r[2], len(names)) if r[2] else -1 - k for k, r in enumerate(flat)], np.int64)
-        docs = [(r[3], k, gram, r[4]) for k, g in enumerate(held) for r in g]
-        with tempfile.TemporaryDirectory() as folder:
-            doc, part = Columnwise(docs, folder, "<u4").alike(window)
-        # a run of suffixes with more than one owner
-        low, high = np.full(part[-1] + 1, len(flat), np.int64), np.full(part[-1] + 1, -1 - len(flat), np.int64)
-        np.minimum.at(low, part, owner[doc])
-        np.maximum.at(high, part, owner[doc])
-        return [flat[k][:2] for k in np.unique(doc[(low < high)[part]]).tolist()]
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group, n = [], [], 0
-
-        def flush():
-            cols = list(zip(*(solve(held) if held else []), strict=True)) or [()] * 2
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["anchor", "ctx"])
-
-        for b in parts:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if group and group[0][0] != r[0]:
-                    held.append(group)
-                    n += len(group)
-                    group = []
-                    if n >= batch:
-                        yield flush()
-                        held, n = [], 0
-                group.append(r)
-        if group:
-            held.append(group)
-        yield flush()
-
-    return rows.mapInArrow(tidy(run), "anchor long, ctx binary")
-
+                    if len(w) >= window:
+                        mine = np.frombuffer(hashlib.md5(raw).digest()[:8], ">i8").astype(np.int64)
+                        own = [mine | 1, *(np.unique(anchors(w[lo:hi], window, gram)[0] & ~1) for lo, hi in pieces(len(w), window))]
+                        found += own
+                        same.append(np.repeat(mine, sum(map(len, own))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(same) if same else found[0])], names=["anchor", "same"])
 
-def shared_windows(groups: DataFrame, window: int) -> DataFrame:
-    """(anchor, ctx) as `shared_contexts` gives them, by the hash of each window: for anchors with
-    any number of contexts."""
-    gram = 1 << (min(PASSAGE_GRAM, window).bit_length() - 1)
-    n_left, n_right = F.expr("octet_length(left) div 4"), F.expr("octet_length(right) div 4")
-    # a window starts k words left of the anchor
-    k = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(window - gram) - n_right), F.least(n_left, F.lit(window - gram)))).alias("k")
-    w = groups.select("anchor", "ctx", "owner", "left", "right", n_left.alias("n"), k)
-    key = F.md5(F.concat(F.expr("substring(left, (n - k) * 4 + 1)"), F.lit(b"|"), F.expr(f"substring(right, 1, ({window - gram} - k) * 4)")))
-    w = w.select("anchor", "ctx", F.coalesce("owner", "ctx").alias("owner"), F.unhex(key).alias("key"))
-    both = w.groupBy("anchor", "key").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo <> hi").select("anchor", "key")
-    return w.join(both, ["anchor", "key"]).select("anchor", "ctx").distinct()
+    return docs.select("text").mapInArrow(tidy(run), "anchor long, same long")
 
 
-def passages(docs: DataFrame, window: int = PASSAGE, hot: int = HOT) -> DataFrame:
-    """(same): the texts that share `window` words in a row with another row of `docs` (text)."""
-    occ = cut(word_contexts(docs, window), "words")
-    ctxs = occ.groupBy("anchor", "ctx").agg(F.count("*").alias("times"), F.min("same").alias("lo"), F.max("same").alias("hi"), F.min(F.struct("same", "start", "n", "rel")).alias("r"))
-    # a context of several texts, or the whole text of several rows
-    ctxs = ctxs.withColumn("several", (F.col("lo") != F.col("hi")) | ((F.col("r.n") == 0) & (F.col("times") > 1)))
-    per = ctxs.where("r.n > 0").groupBy("anchor").agg(F.count("*").alias("members"), F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most").select("anchor", "members")
-    ctxs = cut(ctxs.join(per, "anchor", "left").where("several or members > 1").select("anchor", "ctx", "several", F.when(~F.col("several"), F.col("lo")).alias("owner"), "members", "r.*"), "contexts")
-    b = cut(word_blocks(ctxs.where("n > 0 and members > 1").drop("several"), docs, window), "blocks")
-    found = ctxs.where("several").select("anchor", "ctx").unionByName(shared_contexts(b.where(F.col("members") <= hot), window)).unionByName(shared_windows(b.where(F.col("members") > hot), window))
-    return occ.join(found.distinct(), ["anchor", "ctx"], "left_semi").select("same").distinct()
+def passages(docs: DataFrame, window: int = PASSAGE) -> DataFrame:
+    """(same): 64 bits of the digests of the texts that share an anchor of `window` words with another row."""
+    found = cut(word_anchors(docs, window), "passages")
+    per = found.groupBy("anchor").agg(F.min("same").alias("lo"), F.max("same").alias("hi"), F.count("*").alias("n"))
+    shared = per.where("lo <> hi or (anchor & 1 = 1 and n > 1)").select("anchor")
+    return found.join(shared, "anchor", "left_semi").select("same").distinct()
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW, block: int = BLOCK, hot: int = HOT, words: int = PASSAGE) -> DataFrame:
@@ -481,9 +373,12 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", window:
         raise ValueError(f"columns {clash} would stand twice in the result")
     own = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     ranges = repeated_ranges(own.select(F.col("__text").alias("text")), window, block, hot)
-    shared = passages(own.select(F.col("__text").alias("text")), words, hot)
-    found = ranges.join(shared.withColumn("shares", F.lit(True)), "same", "full").toDF("__same", "__ranges", "__shares")
-    rows = own.withColumn("__same", F.unhex(F.md5("__text"))).join(found, "__same", "left").select(*keep, "__text", "__ranges", F.coalesce("__shares", F.lit(False)).alias("__shares"))
+    shared = passages(own.select(F.col("__text").alias("text")), words).withColumnRenamed("same", "part")
+    digest = F.unhex(F.md5("__text"))
+    texts = own.select(digest.alias("same")).distinct().withColumn("part", F.conv(F.hex(F.substring("same", 1, 8)), 16, -10).cast("long"))
+    shared = texts.join(shared, "part", "left_semi").select("same", F.lit(True).alias("shares"))
+    found = ranges.join(shared, "same", "full").toDF("__same", "__ranges", "__shares")
+    rows = own.withColumn("__same", digest).join(found, "__same", "left").select(*keep, "__text", "__ranges", F.coalesce("__shares", F.lit(False)).alias("__shares"))
     at = len(keep)
     schema = own.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), F.lit(True).alias("shares_passage")).schema
 

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rayloom.llm import components, embeddings, minhash, repeats
+from rayloom.llm import common, components, embeddings, minhash, repeats
 
 rnd = random.Random(4)
 VOCAB = [f"{a}{b}{c}" for a in "bdfgkl" for b in "aeiou" for c in "mnrst"]
@@ -168,17 +168,27 @@ def test_neighbours_reach_is_the_same_at_any_row_count(spark, n):
     assert got.issuperset(near) and got.isdisjoint(far)
 
 
-@pytest.mark.parametrize(("words", "hot"), [(12, 4000), (12, 1), (20, 3)])
-def test_shared_passages(spark, words, hot):
-    passages = [" ".join(rnd.choice(VOCAB) for _ in range(rnd.randrange(words - 3, words + 8))) for _ in range(8)]
+@pytest.mark.parametrize(("words", "gram"), [(12, 8), (20, 8), (50, 32)])
+def test_shared_passages(spark, words, gram):
+    passages = [" ".join(rnd.choice(VOCAB) for _ in range(rnd.randrange(gram - 4, words + 8))) for _ in range(8)]
     texts = ["\n ".join(rnd.choice([rnd.choice(passages), " ".join(rnd.choice(VOCAB[:40]) for _ in range(rnd.randrange(1, 40)))]) for _ in range(rnd.randrange(0, 5))) for _ in range(80)]
-    alone = " ".join(f"only{k}" for k in range(30))
-    texts += [alone + " " + alone, "a " * 60, "b " * 60, "b " * 70, "", None, " \n", "w " * (words - 1), *[" ".join(f"copy{k}" for k in range(40))] * 2]
-    runs = [(lambda w: {tuple(w[i : i + words]) for i in range(len(w) - words + 1)})((t or "").encode().split()) for t in texts]
-    n = Counter(x for r in runs for x in r)
+    alone = " ".join(f"only{k}" for k in range(60))
+    texts += [alone + " " + alone, "a " * 60, "b " * 60, "b " * 70, "", None, " \n", "w " * (words - 1), *[" ".join(f"copy{k}" for k in range(70))] * 2]
+
+    def shared(size):
+        runs = [(lambda w: {tuple(w[i : i + size]) for i in range(len(w) - size + 1)})((t or "").encode().split()) for t in texts]
+        n = Counter(x for r in runs for x in r)
+        return {i for i, r in enumerate(runs) if any(n[x] > 1 for x in r)}
+
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.shares_passage for r in repeats.remove_repeats(df, ["doc_id"], window=40, hot=hot, words=words).collect()}
-    assert got == {i: any(n[x] > 1 for x in r) for i, r in enumerate(runs)}
+    got = {r.doc_id for r in repeats.remove_repeats(df, ["doc_id"], window=40, words=words).where("shares_passage").collect()}
+    assert shared(words) <= got <= shared(gram)
+    assert len(texts) - 10 not in got and {len(texts) - 1, len(texts) - 2} <= got
+
+
+def test_word_hashes_do_not_depend_on_what_is_remembered():
+    texts = [" ".join(rnd.choice(VOCAB) for _ in range(30)).encode() for _ in range(40)]
+    assert all((a == b).all() for a, b in zip(common.WordHashes()(texts), common.WordHashes(most=5)(texts), strict=True))
 
 
 def test_repeats_refuse_clashing_names(spark):
