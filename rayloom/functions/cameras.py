@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geodesy import from_ecef
 from .rotation import apply, euler_to_matrix
 
 
@@ -42,3 +43,28 @@ def project_rpc(rpc: dict, lon: Column, lat: Column, alt: Column) -> tuple[Colum
     terms = basis((lon - rpc["lon_off"]) / rpc["lon_scale"], (lat - rpc["lat_off"]) / rpc["lat_scale"], (alt - rpc["alt_off"]) / rpc["alt_scale"])
     poly = lambda c: reduce(lambda a, b: a + b, [float(k) * t for k, t in zip(c, terms, strict=True) if k])
     return tuple(poly(rpc[f"{a}_num"]) / poly(rpc[f"{a}_den"]) * rpc[f"{a}_scale"] + rpc[f"{a}_off"] for a in ("col", "row"))
+
+
+def normalised(rpc: dict, axes: tuple[str, ...], v: list[Column]) -> list[Column]:
+    """Coordinates less their offset, over their scale: (lon, lat, alt) of the world, (col, row) of an image."""
+    return [(c - rpc[f"{a}_off"]) / rpc[f"{a}_scale"] for a, c in zip(axes, v, strict=True)]
+
+
+def slope(coefficients: list[float], x: Column, y: Column, z: Column, axis: int) -> Column:
+    """The polynomial's derivative by x (0), y (1) or z (2)."""
+    out = F.lit(0.0)
+    for c, powers in zip(coefficients, BASIS, strict=True):
+        if powers[axis]:
+            left = [n - (k == axis) for k, n in enumerate(powers)]
+            out = out + reduce(lambda a, b: a * b, [v for v, n in zip((x, y, z), left, strict=True) for _ in range(n)], F.lit(float(c * powers[axis])))
+    return out
+
+
+def project(kind: str, model: dict | list, x: list[Column]) -> tuple[Column, Column]:
+    """Column and row of an ECEF point by a model of the kind `rpc` (a dict), or by a matrix."""
+    if kind == "rpc":
+        lat, lon, alt = from_ecef(*x)
+        return project_rpc(model, lon, lat, alt)
+    if kind not in ("affine", "perspective"):
+        raise ValueError(f"unknown camera model: {kind}")
+    return project_matrix(model, x)

@@ -79,3 +79,45 @@ def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[
 def raster_shape(x0: Column, x1: Column, y0: Column, y1: Column, res: float) -> tuple[Column, Column]:
     """Rows and columns of a box at a resolution."""
     return tuple((F.floor((b - a) / res) + 1).cast("int") for a, b in ((y0, y1), (x0, x1)))
+
+
+def zone_string(lon: Column, lat: Column) -> Column:
+    """Number and hemisphere of the zone, as in 31N."""
+    return F.concat(utm_zone(lon).cast("string"), F.when(lat >= 0, "N").otherwise("S"))
+
+
+def utm_pixel(east: Column, north: Column, x0: Column, y0: Column, y1: Column, res: float) -> tuple[Column, Column]:
+    """Column and row of a UTM point in the raster of a box; a northing below 0 is a southern one."""
+    north = F.when(north < 0, north + NORTH0).otherwise(north)
+    height = F.floor((y1 - y0) / res) + 1
+    return F.floor((east - x0) / res), height - F.floor((north - y0) / res)
+
+
+def transform(p: list[Column], source: int, target: int) -> list[Column]:
+    """(lon, lat, alt), (x, y, z) or (east, north, alt) from one EPSG code to another: 4326 and 4979
+    (geodetic), 4978 (geocentric), 326zz and 327zz (UTM)."""
+
+    def geodetic() -> list[Column]:
+        if source in (4326, 4979):
+            return list(p)
+        if source == 4978:
+            lat, lon, alt = from_ecef(*p)
+            return [lon, lat, alt]
+        _utm(source)
+        lon, lat = from_utm(p[0], p[1], F.lit(source % 100), F.lit(source // 100 == 327))
+        return [lon, lat, p[2]]
+
+    lon, lat, alt = geodetic()
+    if target in (4326, 4979):
+        return [lon, lat, alt]
+    if target == 4978:
+        return list(to_ecef(lat, lon, alt))
+    _utm(target)
+    east, north = to_utm(lon, lat, F.lit(target % 100))
+    shift = F.when(lat < 0, 0.0).otherwise(NORTH0) if target // 100 == 327 else F.when(lat < 0, -NORTH0).otherwise(0.0)
+    return [east, north + shift, alt]
+
+
+def _utm(epsg: int) -> None:
+    if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
+        raise ValueError(f"EPSG:{epsg} is none of 4326, 4979, 4978, 32601-32660, 32701-32760")

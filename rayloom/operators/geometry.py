@@ -102,3 +102,92 @@ def grid(models: DataFrame, n: int = 10) -> DataFrame:
 def refit(models: DataFrame, n: int = 10) -> DataFrame:
     """Each model fitted again to its own grid: samples by localisation, then the fit."""
     return fit_models(localize(grid(models, n), models))
+
+
+def transfer(points: DataFrame, models: DataFrame) -> DataFrame:
+    """Points (id, cam_i, cam_j, col, row, alt) of image i as (id, cam_j, col, row) where j sees the same
+    ground; a pair's rows of a batch go through numpy together."""
+
+    def run(parts):
+        for pdf in parts:
+            out = []
+            for _, g in pdf.groupby(["cam_i", "cam_j"]):
+                alt = g["alt"].to_numpy()
+                col, row = kernels.project(_model(g.iloc[0], "j_"), *kernels.localize(_model(g.iloc[0], "i_"), g["col"], g["row"], alt), alt)
+                out.append(g[["id", "cam_j"]].assign(col=col, row=row))
+            if out:
+                yield pd.concat(out)
+
+    rows = _with_models(_with_models(points, models, "cam_i", "i_"), models, "cam_j", "j_")
+    return rows.mapInPandas(run, "id long, cam_j long, col double, row double")
+
+
+def rescaled(models: DataFrame, alpha: float) -> DataFrame:
+    """The models of images that are zoomed by alpha."""
+    return models.withColumns({f"{k}_{s}": F.col(f"{k}_{s}") * alpha for k in ("row", "col") for s in ("off", "scale")})
+
+
+PARAMS = ("roll", "pitch", "yaw", "t0", "t1", "t2", "fx", "fy", "skew", "cx", "cy")
+
+
+def decomposed(matrices: DataFrame, kind: str) -> DataFrame:
+    """What matrices (cam_id, p: 3 rows of 4) are made of: angles, translation, calibration, and the
+    camera's centre (ECEF). An affine one has no t2, cx, cy and no centre (nulls)."""
+    if kind not in ("affine", "perspective"):
+        raise ValueError(f"unknown camera model: {kind}")
+
+    def angles(r: np.ndarray) -> list[float]:
+        s = np.hypot(r[0, 0], r[1, 0])
+        roll, yaw = (np.arctan2(-r[1, 2], r[1, 1]), 0.0) if s < 1e-6 else (np.arctan2(r[2, 1], r[2, 2]), np.arctan2(r[1, 0], r[0, 0]))
+        return [roll, np.arctan2(-r[2, 0], s), yaw]
+
+    def one(p: np.ndarray) -> list[float]:
+        if kind == "affine":
+            k, r, t = kernels.decompose_affine(p)
+            return [*angles(r), *t, np.nan, k[0, 0], k[1, 1], k[0, 1], *[np.nan] * 5]
+        k, r, t, c = kernels.decompose_perspective(p)
+        k = k / k[2, 2]
+        return [*angles(r), *t, k[0, 0], k[1, 1], k[0, 1], k[0, 2], k[1, 2], *c]
+
+    names = [*PARAMS, "cx_", "cy_", "cz_"]
+
+    def run(parts):
+        for pdf in parts:
+            rows = [one(np.array([list(r) for r in p], float)) for p in pdf["p"]]
+            out = pd.DataFrame(np.array(rows, float).reshape(-1, len(names)), columns=names)
+            yield pd.concat([pdf[["cam_id"]].reset_index(drop=True), out], axis=1)
+
+    kind_ = matrices.schema["cam_id"].dataType.simpleString()
+    found = matrices.select("cam_id", "p").mapInPandas(run, f"cam_id {kind_}, " + ", ".join(f"{c} double" for c in names))
+    return found.select("cam_id", *PARAMS, F.col("cx_").alias("cx_ecef"), F.col("cy_").alias("cy_ecef"), F.col("cz_").alias("cz_ecef"))
+
+
+def approximated(models: DataFrame, n: int = 10) -> DataFrame:
+    """(cam_id, p, worst): the perspective matrix nearest to each model over its own grid of n x n x n
+    points, and its largest miss in pixels. With `decomposed` it gives the camera's centre."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = kernels.ecef(pdf["lon"].to_numpy(), pdf["lat"].to_numpy(), pdf["alt"].to_numpy()).T
+        p = kernels.camera_matrix(x, pdf[["col", "row"]].to_numpy())
+        h = np.c_[x, np.ones(len(x))] @ p.T
+        worst = np.linalg.norm(h[:, :2] / h[:, 2:] - pdf[["col", "row"]].to_numpy(), axis=1).max()
+        return pd.DataFrame([{"cam_id": pdf["cam_id"].iloc[0], "p": p.tolist(), "worst": float(worst)}])
+
+    return localize(grid(models, n), models).groupBy("cam_id").applyInPandas(fit, "cam_id long, p array<array<double>>, worst double")
+
+
+def covered(samples: DataFrame, crops: DataFrame) -> DataFrame:
+    """(cam_id, covered): whether the hull of each camera's image points (cam_id, col, row) holds its whole
+    crop: a convex area holds a rectangle where it holds the four corners."""
+    from .polygons import hulls
+
+    h = hulls(samples.select("cam_id", F.col("col").alias("x"), F.col("row").alias("y")), "cam_id")
+    ring = h.groupBy("cam_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r"))  # a hull of one grid
+    c = ring.join(crops, "cam_id")
+    side = lambda a, b, p, q: (b["x"] - a["x"]) * (q - a["y"]) - (b["y"] - a["y"]) * (p - a["x"])
+    inside = lambda p, q: F.forall(F.zip_with("r", F.concat(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1)), lambda a, b: side(a, b, p, q) >= 0), lambda v: v)
+    ends = [(F.col("col0") + a * F.col("width"), F.col("row0") + b * F.col("height")) for a in (0, 1) for b in (0, 1)]
+    all_in = inside(*ends[0])
+    for e in ends[1:]:
+        all_in = all_in & inside(*e)
+    return c.select("cam_id", (all_in & (F.size("r") > 2)).alias("covered"))

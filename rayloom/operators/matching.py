@@ -127,3 +127,29 @@ def normalized(points: DataFrame, by: str, axes: str = "xy") -> DataFrame:
     s = p.groupBy(by).agg((math.sqrt(len(axes)) / F.avg("d")).alias("s"))
     p = p.join(s, by)
     return p.select(*[k for k in points.columns if k not in axes], *[((F.col(a) - F.col(f"m{a}")) * F.col("s")).alias(a) for a in axes])
+
+
+def overlap_keypoints(kp: DataFrame, pairs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(cam_i, cam_j, cam_id, kp_id): the keypoints (cam_id, kp_id, x, y) of each pair that stand strictly
+    inside what the boxes (cam_id, x0, x1, y0, y1) of its two images have in common."""
+    b = lambda c: boxes.select(F.col("cam_id").alias(c), *[F.col(k).alias(f"{k}_{c[-1]}") for k in ("x0", "x1", "y0", "y1")])
+    r = pairs.join(b("cam_i"), "cam_i").join(b("cam_j"), "cam_j")
+    r = r.select("cam_i", "cam_j", F.greatest("x0_i", "x0_j").alias("x0"), F.least("x1_i", "x1_j").alias("x1"), F.greatest("y0_i", "y0_j").alias("y0"), F.least("y1_i", "y1_j").alias("y1"))
+    both = r.select("*", F.explode(F.array("cam_i", "cam_j")).alias("cam_id"))
+    return both.join(kp.select("cam_id", "kp_id", "x", "y"), "cam_id").where("x > x0 and x < x1 and y > y0 and y < y1").select("cam_i", "cam_j", "cam_id", "kp_id")
+
+
+def epipolar_match(kp: DataFrame, pairs: DataFrame, thr: float, ratio: float) -> DataFrame:
+    """For each keypoint of cam_i the nearest descriptor of cam_j among the keypoints no farther than
+    `thr` from its epipolar line, if nearer than `ratio` times the second nearest, where there is one.
+    kp (cam_id, kp_id, x, y, desc), pairs (cam_i, cam_j, f: 9 numbers of x_j' F x_i = 0).
+
+    The line is made where the keypoint is, so the join's own condition drops what is off the line;
+    the two smallest distances are kept by aggregation.
+    """
+    line = lambda r: F.col("f")[3 * r] * F.col("x") + F.col("f")[3 * r + 1] * F.col("y") + F.col("f")[3 * r + 2]
+    a = pairs.join(kp.withColumnRenamed("cam_id", "cam_i"), "cam_i").select("cam_i", "cam_j", F.col("kp_id").alias("kp_i"), F.col("desc").alias("di"), *[line(r).alias(k) for r, k in enumerate("abc")])
+    b = kp.select(F.col("cam_id").alias("cam_j"), F.col("kp_id").alias("kp_j"), "x", "y", F.col("desc").alias("dj"))
+    m = a.join(b, "cam_j").where(F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")) <= thr * F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")))
+    two = m.groupBy("cam_i", "cam_j", "kp_i").agg(F.min_by("kp_j", F.struct(F.round(l2(F.col("di"), F.col("dj")), 9), "kp_j")).alias("kp_j"), F.min(F.round(l2(F.col("di"), F.col("dj")), 9)).alias("dist"), F.slice(F.array_sort(F.collect_list(F.round(l2(F.col("di"), F.col("dj")), 9))), 2, 1).alias("next"))
+    return two.where((F.size("next") == 0) | (F.col("dist") < ratio * F.col("next")[0])).select("cam_i", "cam_j", "kp_i", "kp_j", "dist")

@@ -178,3 +178,23 @@ def select_tracks(obs: DataFrame, ranked: DataFrame, k: int, keep: Callable[[Dat
         chosen = picked if chosen is None else chosen.unionByName(picked)
         left = keep(left.join(picked, "track_id", "left_anti"))
     return chosen if chosen is not None else obs.limit(0).select("track_id", F.lit(0).alias("tree"))
+
+
+def select_by_sensor(obs: DataFrame, sensors: DataFrame, k: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(track_id): tracks selected for the cameras (cam_id, sensor) of each sensor by themselves, and for
+    all cameras together. The sensors have no camera in common, so one selection of tracks cut by
+    sensor would start in one of them only; each sensor, a handful, is a run of its own."""
+    names = [r.sensor for r in sensors.select("sensor").distinct().orderBy("sensor").limit(100).collect()]
+    o = obs.join(sensors, "cam_id")
+    chosen = select_tracks(obs, rank_tracks(obs), k, keep).select("track_id")
+    for name in names:
+        own = o.where(F.col("sensor") == name).drop("sensor")
+        own = keep(own.join(valid_tracks(own), "track_id", "left_semi"))
+        chosen = chosen.unionByName(select_tracks(own, rank_tracks(own), k, keep).select("track_id"))
+    return chosen.distinct()
+
+
+def tracks_of(obs: DataFrame, new: DataFrame) -> DataFrame:
+    """Observations of the tracks that a new camera (cam_id) sees, by old cameras too."""
+    seen = obs.join(new.select("cam_id").distinct(), "cam_id", "left_semi").select("track_id").distinct()
+    return obs.join(seen, "track_id", "left_semi")

@@ -37,6 +37,47 @@ def parse_rpc_texts(raw: DataFrame) -> DataFrame:
     return m.select("image_id", *[get(t).alias(f) for t, f in SCALARS.items()], *[vector(t).alias(f) for t, f in VECTORS.items()])
 
 
+#: Tags of the XML formats (fixed values): one number a tag and coefficient, or one list of 20 a tag.
+NUMBERED = SCALARS | {f"{t}_{i}": f for t, f in VECTORS.items() for i in range(1, 21)}
+LISTED = {"LINENUMCOEF": "row_num", "LINEDENCOEF": "row_den", "SAMPNUMCOEF": "col_num", "SAMPDENCOEF": "col_den"}
+LISTED_SCALARS = {t.replace("_OFF", "OFFSET").replace("_SCALE", "SCALE"): f for t, f in SCALARS.items()}
+
+
+def parse_rpc_xml(raw: DataFrame) -> DataFrame:
+    """`parse_rpc_texts` for XML: (image_id, value) whose value has an Inverse_Model of numbered tags,
+    with pixels counted from 1, or tags that end in OFFSET, SCALE and COEF, the latter with 20 numbers."""
+    pattern = rf"<([A-Za-z_0-9]+)>\s*({NUMBER}(?:\s+{NUMBER})*)\s*</"
+    inverse = F.locate("<Inverse_Model>", "value")
+    # offsets and scales stand outside the inverse model, behind it or before
+    own = F.when(inverse > 0, F.concat(F.expr("substring(value, locate('<Inverse_Model>', value))"), F.regexp_replace("value", r"(?s)<Direct_Model>.*?</Direct_Model>|<Inverse_Model>.*?</Inverse_Model>", ""))).otherwise(F.col("value"))
+    r = raw.select("image_id", own.alias("v"), (inverse > 0).alias("numbered"))
+    tags, values = (F.regexp_extract_all("v", F.lit(pattern), F.lit(i)) for i in (1, 2))
+    pairs = F.filter(F.arrays_zip(tags.alias("t"), values.alias("n")), lambda p: p["t"].isin(*NUMBERED, *LISTED, *LISTED_SCALARS))
+    # the first of equal tags counts
+    first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["t"]), p["t"]) == i + 1)
+    m = r.select("image_id", "numbered", F.map_from_entries(first).alias("m"))
+    get = lambda tag: F.try_element_at("m", F.lit(tag)).cast("double")
+    other = {f: t for t, f in LISTED_SCALARS.items()}
+    less = lambda f: F.when(F.col("numbered"), 1.0).otherwise(0.0) if f in ("row_off", "col_off") else F.lit(0.0)
+    lists = {f: t for t, f in LISTED.items()}
+    vector = lambda tag, f: F.when(F.col("numbered"), F.array(*[get(f"{tag}_{i}") for i in range(1, 21)])).otherwise(F.transform(F.split(F.try_element_at("m", F.lit(lists[f])), r"\s+"), lambda x: x.cast("double")))
+    return m.select("image_id", *[(F.coalesce(get(t), get(other[f])) - less(f)).alias(f) for t, f in SCALARS.items()], *[vector(t, f).alias(f) for t, f in VECTORS.items()])
+
+
+def read_rpc_files(spark: SparkSession, path: str) -> DataFrame:
+    """Sensor models of any of the three formats; XML is known by its first character."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("image_id"), F.col("value"))
+    xml = F.ltrim("value").startswith("<")
+    return parse_rpc_texts(raw.where(~xml)).unionByName(parse_rpc_xml(raw.where(xml)))
+
+
+def rpc_tags(models: DataFrame) -> DataFrame:
+    """(image_id, tags): each model as a map from tag to text, a vector as its 20 numbers with spaces."""
+    one = lambda t, v: (F.lit(t), v)
+    pairs = [one(t, F.col(f).cast("string")) for t, f in SCALARS.items()] + [one(t, F.array_join(F.transform(f, lambda x: x.cast("string")), " ")) for t, f in VECTORS.items()]
+    return models.select("image_id", F.create_map(*[x for p in pairs for x in p]).alias("tags"))
+
+
 def rpc_lines(models: DataFrame) -> DataFrame:
     """(image_id, i, value): the lines of each model's text file."""
     one = lambda tag, v: F.concat(F.lit(f"{tag}: "), v.cast("string"))
@@ -99,3 +140,62 @@ def read_predefined_matches(keypoints: DataFrame, matches: DataFrame, old: DataF
 def latest(files: DataFrame) -> DataFrame:
     """The newest row of each image of (image_id, ts, ...)."""
     return files.withColumn("k", F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("ts")))).where("k = 1").drop("k")
+
+
+def discover(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
+    """(path, image_id, bytes, ts) of the files below a folder, however deep; contents are not read.
+    `ts` is when the image was taken, by its name."""
+    from ..functions import names
+
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return f.select("path", names.image_id(F.col("path")).alias("image_id"), F.col("length").alias("bytes"), names.acquired(F.lit(None).cast("string"), F.col("path")).alias("ts"))
+
+
+def write_lines(lines: DataFrame, path: str, by: str = "image_id") -> None:
+    """Rows (by, i, value) as one folder a group of `by`, its lines in order of `i`."""
+    lines.repartition(by).sortWithinPartitions(by, "i").select(by, "value").write.partitionBy(by).mode("overwrite").text(path)
+
+
+def matrix_json(matrices: DataFrame) -> DataFrame:
+    """(image_id, i, value): a JSON text for each matrix (image_id, p: 3 rows of 4, col0, row0, width, height)."""
+    whole = lambda c: F.col(c).cast("long")
+    v = F.to_json(F.struct(F.col("p").alias("P"), whole("height").alias("height"), whole("width").alias("width"), whole("col0").alias("col_offset"), whole("row0").alias("row_offset")))
+    return matrices.select("image_id", F.lit(0).alias("i"), v.alias("value"))
+
+
+def read_matrices(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """(image_id, p, col0, row0, width, height): matrices divided by their last entry, and crops, of JSON files;
+    `suffix` is what a file's name has behind the image's."""
+    schema = "P array<array<double>>, height long, width long, col_offset long, row_offset long"
+    raw = spark.read.schema(schema).json(path, multiLine=True)
+    name = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1), rf"{suffix}(\.[^.]*)?$", "")
+    last = F.col("P")[2][3]
+    p = F.transform("P", lambda r: F.transform(r, lambda x: x / last))
+    return raw.select(name.alias("image_id"), p.alias("p"), F.col("col_offset").alias("col0"), F.col("row_offset").alias("row0"), "width", "height")
+
+
+def params_lines(params: DataFrame) -> DataFrame:
+    """(image_id, i, value): for each camera (image_id, params: map of a name to numbers) a line with each
+    name and one with its numbers at 16 places."""
+    e = params.select("image_id", F.posexplode(F.map_entries("params")).alias("k", "e"))
+    two = F.array(F.col("e.key"), F.array_join(F.transform("e.value", lambda x: F.format_string("%.16f", x)), " "))
+    return e.select("image_id", "k", F.posexplode(two).alias("j", "value")).select("image_id", (2 * F.col("k") + F.col("j")).alias("i"), "value")
+
+
+def write_points(points: DataFrame, drift: DataFrame | None, path: str) -> None:
+    """Points (x, y, z) less a drift of one row (dx, dy, dz), as one table of text lines with its header."""
+    if drift is not None:
+        points = points.crossJoin(F.broadcast(drift.limit(1))).select(*[(F.col(c) - F.col(f"d{c}")).alias(c) for c in "xyz"])
+    point_cloud_lines(points).sort("i").select("value").write.mode("overwrite").text(path)
+
+
+def write_list(paths: DataFrame, path: str) -> None:
+    """Paths (path), one a line."""
+    paths.select("path").write.mode("overwrite").text(path)
+
+
+def write_predefined_matches(keypoints: DataFrame, matches: DataFrame, images: DataFrame, folder: str) -> None:
+    """What `read_predefined_matches` takes: keypoints without descriptors, matches and the image list."""
+    keypoints.select("cam_id", "kp_id", "col", "row", "scale").write.mode("overwrite").parquet(f"{folder}/keypoints")
+    matches.select("cam_i", "cam_j", "kp_i", "kp_j").write.mode("overwrite").parquet(f"{folder}/matches")
+    images.select("cam_id", "image_id").write.mode("overwrite").parquet(f"{folder}/images")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rayloom.operators import graph, matching, outliers, pairs, polygons, tracks
-from rayloom.plans import catalog
+from rayloom.plans import catalog, ground  # noqa: F401
 from rayloom.session import kept
 
 DATA = "/root/testdata/sf0.001"
