@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import kept
+from ..session import discard, kept
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,8 +23,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "m").alias("c"), F.col("component").alias("was"))
         up = labels.select(F.col("node").alias("r"), F.col("component").alias("rr"))
         now = kept(step.join(up, step["c"] == up["r"], "left").select("node", F.least("c", F.coalesce("rr", "c")).alias("component"), "was"))
+        discard(labels)
         labels = now.select("node", "component")
         if now.where("component <> was").isEmpty():
+            discard(both)
             return labels
 
 

@@ -59,3 +59,15 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/rayloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `kept` wrote and that nothing reads any more: what was made of them stands in
+    tables of its own."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not folder.rsplit("/", 1)[0].endswith("/rayloom"):
+                raise ValueError(f"{folder} is no table of the shared folder")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
