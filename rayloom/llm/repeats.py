@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, tidy
+from .common import WordHashes, cut, discard, tidy
 
 PASSAGE = 50
 WINDOW, GRAM, BLOCK, HOT, BATCH = 400, 32, 64, 4_000, 2_000
@@ -320,7 +320,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, h
     ctxs = cut(ctxs.join(shared, "anchor").select("anchor", "ctx", "times", "contexts", "r.*"), "contexts")
     whole = ctxs.where("times > 1").select("anchor", "ctx", F.lit(0).alias("lo"), F.col("n").alias("hi"))
     level = cut(blocks(ctxs.where("contexts > 1").select("anchor", "ctx", "same", "start", "n", "rel"), docs, window, block), "blocks")
-    found = whole
+    found, levels = whole, [level]
     while True:
         per = level.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
         sized = level.join(per, "key")
@@ -330,7 +330,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, h
         if crowd.isEmpty():
             break
         level = cut(halved(crowd), "blocks")
+        levels.append(level)
     found = cut(found, "found")
+    discard(ctxs, *levels)
     # a window of this context repeats at all its occurrences
     spans = occ.join(found, ["anchor", "ctx"]).select("same", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") - 1 + window).alias("b")).distinct()
     return spans.groupBy("same").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
@@ -363,7 +365,9 @@ def passages(docs: DataFrame, window: int = PASSAGE) -> DataFrame:
     found = cut(word_anchors(docs, window), "passages")
     per = found.groupBy("anchor").agg(F.min("same").alias("lo"), F.max("same").alias("hi"), F.count("*").alias("n"))
     shared = per.where("lo <> hi or (anchor & 1 = 1 and n > 1)").select("anchor")
-    return found.join(shared, "anchor", "left_semi").select("same").distinct()
+    marked = cut(found.join(shared, "anchor", "left_semi").select("same").distinct(), "passages")
+    discard(found)
+    return marked
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW, block: int = BLOCK, hot: int = HOT, words: int = PASSAGE) -> DataFrame:
