@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .outliers import elbows
 
 
@@ -17,20 +18,60 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x))
 
 
-def ratio_match(kp: DataFrame, pairs: DataFrame, ratio: float = 0.6) -> DataFrame:
+BLOCK = 1000
+
+
+def ratio_match(kp: DataFrame, pairs: DataFrame, ratio: float = 0.6, block: int = BLOCK) -> DataFrame:
     """Nearest descriptor of cam_j for each keypoint of cam_i, if nearer than `ratio` times the
     second nearest (strictly). kp (cam_id, kp_id, desc); pairs (cam_i, cam_j).
 
-    Only keypoints of two paired images meet: an equality join on the images, then the two
-    smallest distances by aggregation, so that no row but these is shuffled.
+    The keypoints of an image are cut into blocks by a hash. Two blocks of two paired images meet in
+    one task as arrays, which returns the two nearest of each keypoint; only these are shuffled again,
+    to find the two nearest of all blocks. Distances count to nine places, ties by the smaller kp_j.
     """
-    a = pairs.join(kp.select(F.col("cam_id").alias("cam_i"), F.col("kp_id").alias("kp_i"), F.col("desc").alias("di")), "cam_i")
-    m = a.join(kp.select(F.col("cam_id").alias("cam_j"), F.col("kp_id").alias("kp_j"), F.col("desc").alias("dj")), "cam_j")
-    m = m.select("cam_i", "cam_j", "kp_i", F.struct(F.round(l2(F.col("di"), F.col("dj")), 9).alias("d"), "kp_j").alias("c"))
-    w = W.partitionBy("cam_i", "cam_j", "kp_i").orderBy("c")
-    two = m.withColumn("k", F.row_number().over(w)).where("k <= 2")
-    best = two.groupBy("cam_i", "cam_j", "kp_i").agg(F.min("c").alias("b"), F.max("c").alias("s"), F.count("*").alias("k"))
-    return best.where((F.col("k") == 2) & (F.col("b.d") < ratio * F.col("s.d"))).select("cam_i", "cam_j", "kp_i", F.col("b.kp_j").alias("kp_j"), F.col("b.d").alias("dist"))
+    per = kp.groupBy("cam_id").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    k = kp.join(per, "cam_id").withColumn("b", F.pmod(F.xxhash64("kp_id"), "blocks"))
+    n = lambda c: per.select(F.col("cam_id").alias(c), F.col("blocks").alias(f"n{c[-1]}"))
+    met = pairs.select("cam_i", "cam_j").join(n("cam_i"), "cam_i").join(n("cam_j"), "cam_j")
+    met = met.withColumn("bi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1))).withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)))
+    side = lambda s, c: met.select("cam_i", "cam_j", "bi", "bj", F.lit(s).alias("side"), F.col(f"cam_{c}").alias("cam_id"), F.col(f"b{c}").alias("b"))
+    rows = side(0, "i").unionByName(side(1, "j")).join(k.select("cam_id", "b", "kp_id", "desc"), ["cam_id", "b"])
+    keys = ["cam_i", "cam_j", "bi", "bj"]
+    rows = rows.select(*keys, "side", "kp_id", F.col("desc").cast("array<double>").alias("desc")).repartition(*keys).sortWithinPartitions(*keys, "side", "kp_id")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("cam_i", "cam_j", "kp_id")}
+    schema = f"cam_i {kind['cam_i']}, cam_j {kind['cam_j']}, kp_i {kind['kp_id']}, kp_j {kind['kp_id']}, d double"
+
+    def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x, y, ids = np.stack(left["desc"]), np.stack(right["desc"]), right["kp_id"].to_numpy()
+        two, out = min(2, len(y)), []
+        for lo in range(0, len(x), 16):
+            d = np.sqrt(((x[lo : lo + 16, None] - y[None]) ** 2).sum(axis=2)).round(9)
+            best = np.argsort(d, axis=1, kind="stable")[:, :two]  # ids stand in order
+            out.append(pd.DataFrame({"kp_i": np.repeat(left["kp_id"].to_numpy()[lo : lo + 16], two), "kp_j": ids[best].ravel(), "d": np.take_along_axis(d, best, axis=1).ravel()}))
+        found = pd.concat(out)
+        return found.assign(cam_i=key[0], cam_j=key[1])[["cam_i", "cam_j", "kp_i", "kp_j", "d"]]
+
+    def run(parts):
+        at, held = None, ([], [])
+
+        def flush():
+            if held[0] and held[1]:
+                yield nearest(at, *(pd.concat(h) for h in held))
+
+        for pdf in parts:
+            key = pdf[[*keys, "side"]].to_numpy()
+            heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else []
+            for lo, hi in zip(heads, [*heads[1:], len(key)], strict=True):
+                if tuple(key[lo, :4]) != at:
+                    yield from flush()
+                    at, held = tuple(key[lo, :4]), ([], [])
+                held[int(key[lo, 4])].append(pdf.iloc[lo:hi])
+        yield from flush()
+
+    two = rows.mapInPandas(run, schema).select("cam_i", "cam_j", "kp_i", F.struct("d", "kp_j").alias("c"))
+    # two rows a block of cam_j
+    best = two.groupBy("cam_i", "cam_j", "kp_i").agg(F.slice(F.array_sort(F.collect_list("c")), 1, 2).alias("t"))
+    return best.where((F.size("t") == 2) & (F.col("t")[0]["d"] < ratio * F.col("t")[1]["d"])).select("cam_i", "cam_j", "kp_i", F.col("t")[0]["kp_j"].alias("kp_j"), F.col("t")[0]["d"].alias("dist"))
 
 
 def top_matches(matches: DataFrame, k: int) -> DataFrame:
@@ -67,18 +108,42 @@ def epipolar_inliers(m: DataFrame, f: list[list[float]], thr: float) -> DataFram
     return m.withColumn("d2", d).where(F.col("d2") < thr * thr)
 
 
-def idw(points: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
-    """Inverse distance weighting of z over the `k` nearest points: points (x, y, z), queries
-    (q_id, x, y). A point nearer than 1e-10 gives its own value. `points` is one camera's sparse
-    error samples; queries are spread over the cluster and keep only `k` candidates each."""
-    m = queries.select("q_id", F.col("x").alias("qx"), F.col("y").alias("qy")).crossJoin(points.select("p_id", "x", "y", "z"))
-    d = F.sqrt(F.pow(F.col("qx") - F.col("x"), 2) + F.pow(F.col("qy") - F.col("y"), 2))
-    m = m.withColumn("d", d).withColumn("k", F.row_number().over(W.partitionBy("q_id").orderBy("d", "p_id"))).where(F.col("k") <= k)
-    exact = F.max(F.when((F.col("k") == 1) & (F.col("d") < 1e-10), F.col("z")))
-    w = F.sum(F.col("z") / F.greatest("d", F.lit(1e-300))) / F.sum(1 / F.greatest("d", F.lit(1e-300)))
-    return m.groupBy("q_id").agg(F.coalesce(exact, w).alias("z"))
-
+def idw(points: DataFrame, queries: DataFrame, k: int = 8, per_cell: int = 4) -> DataFrame:
+    """Inverse distance weighting of z over the `k` nearest points: points (p_id, x, y, z), queries
+    (q_id, x, y). A point nearer than 1e-10 gives its own value.
 
+    Both are dealt to the cells of a grid with about `per_cell` points a cell, and a query meets the
+    points of the nine cells around it. Its k nearest are certain if they are no farther away than a
+    cell's side; queries that have fewer go on with cells twice as large, until all are certain.
+    """
+    s = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]).first()
+    q = queries.agg(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]).first()
+    left = queries.select("q_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    if not s["n"] or q["x0"] is None:
+        return left.limit(0).select("q_id", F.lit(0.0).alias("z"))
+    wide, high = s["x1"] - s["x0"], s["y1"] - s["y0"]
+    side = math.sqrt(wide * high * per_cell / s["n"]) or max(wide, high) * per_cell / s["n"] or 1.0
+    reach = math.hypot(max(s["x1"], q["x1"]) - min(s["x0"], q["x0"]), max(s["y1"], q["y1"]) - min(s["y0"], q["y0"]))
+    left, done = kept(left), None
+    while True:
+        cell = lambda c: F.floor((F.col(c) - s[f"{c[-1]}0"]) / side)  # noqa: B023, E731
+        around = F.explode(F.array(*[F.struct((cell("qx") + i).alias("gx"), (cell("qy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        asked = left.select("q_id", "qx", "qy", around.alias("g")).select("q_id", "qx", "qy", "g.gx", "g.gy")
+        m = asked.join(points.select("p_id", "x", "y", "z", cell("x").alias("gx"), cell("y").alias("gy")), ["gx", "gy"])
+        near = F.struct(F.sqrt(F.pow(F.col("qx") - F.col("x"), 2) + F.pow(F.col("qy") - F.col("y"), 2)).alias("d"), "p_id", "z").alias("c")
+        first = m.select("q_id", "gx", "gy", near).withColumn("k", F.row_number().over(W.partitionBy("q_id", "gx", "gy").orderBy("c"))).where(F.col("k") <= k)
+        best = first.groupBy("q_id").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k).alias("c"))  # k of each of nine cells
+        sure = (F.size("c") == k) & (F.col("c")[k - 1]["d"] <= side) if side < reach else F.lit(True)
+        best = kept(best.where(sure))
+        done = best if done is None else done.unionByName(best)
+        left = kept(left.join(best, "q_id", "left_anti"))
+        if side >= reach or left.isEmpty():
+            break
+        side *= 2
+    w = lambda c: 1 / F.greatest(c["d"], F.lit(1e-300))
+    total = lambda f: F.aggregate("c", F.lit(0.0), lambda a, c: a + f(c))
+    z = F.when(F.col("c")[0]["d"] < 1e-10, F.col("c")[0]["z"]).otherwise(total(lambda c: c["z"] * w(c)) / total(w))
+    return done.select("q_id", z.alias("z"))
 
 
 def consistent(matches: DataFrame, slack: float = 5.0) -> DataFrame:

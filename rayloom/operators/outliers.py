@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import placed, quantile
+
 
 def elbows(err: DataFrame, percent: int = 20) -> DataFrame:
     """(grp, n, elbow, high, found) for errors (grp, err).
@@ -14,12 +15,11 @@ def elbows(err: DataFrame, percent: int = 20) -> DataFrame:
     on the other, the first of equals); it is `found` where it reaches the (100 - percent)th
     percentile.
     """
-    w = W.partitionBy("grp")
-    r = err.where(F.col("err").isNotNull() & ~F.isnan("err")).withColumns({"i": F.row_number().over(w.orderBy("err")) - 1, "n": F.count("*").over(w), "lo": F.min("err").over(w), "hi": F.max("err").over(w)})
+    r = placed(err.select("grp", "err"), "grp", "err")
     # twice the triangle's area over the chord: the chord's length is the same for all places
     off = F.abs((F.col("hi") - F.col("lo")) * F.col("i") - (F.col("n") - 1) * (F.col("err") - F.col("lo")))
     r = r.withColumn("off", F.round(off, 6))
-    s = r.groupBy("grp").agg(F.count("*").alias("n"), F.max_by("err", F.struct("off", -F.col("i"))).alias("elbow"), F.percentile("err", 1 - percent / 100).alias("cut"), F.max("err").alias("high"))
+    s = r.groupBy("grp").agg(F.count("*").alias("n"), F.max_by("err", F.struct("off", -F.col("i"))).alias("elbow"), quantile(1 - percent / 100, "err").alias("cut"), F.max("err").alias("high"))
     return s.select("grp", "n", "elbow", "high", (F.col("elbow") >= F.col("cut")).alias("found"))
 
 
@@ -44,7 +44,7 @@ def histogram(err: DataFrame, bins: int = 40) -> DataFrame:
 
 def equalize(values: DataFrame, percent: float = 5) -> DataFrame:
     """`v` clipped to the outer percentiles of its group and scaled to 0..255."""
-    q = values.groupBy("grp").agg(F.percentile("v", percent / 100).alias("lo"), F.percentile("v", 1 - percent / 100).alias("hi"))
+    q = placed(values.select("grp", "v"), "grp", "v").groupBy("grp").agg(quantile(percent / 100, "v").alias("q0"), quantile(1 - percent / 100, "v").alias("q1")).toDF("grp", "lo", "hi")
     v = values.join(q, "grp").withColumn("c", F.least(F.greatest("v", "lo"), "hi"))
     return v.withColumn("scaled", F.when(F.col("hi") > F.col("lo"), 255 * (F.col("c") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)).drop("c", "lo", "hi")
 

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def all_pairs(cameras: DataFrame) -> DataFrame:
     """(cam_i < cam_j) of a camera table, which is small: pairs of images are what is asked for."""
@@ -43,13 +44,13 @@ def qualify_pairs(pairs: DataFrame, least_overlap: float = 0.1, least_baseline:
 def nearest_dates(dates: DataFrame, n: int = 1) -> DataFrame:
     """For each date index the `n` nearest earlier adjusted ones; dates (date_idx, adjusted).
 
-    The last n adjusted dates before a row are the last n of a running list, so one sort over the
-    timeline, which has a row a date, answers all.
+    A date with c adjusted ones before it takes those numbered c - 1, c - 2, ...: a running count and a
+    join on the number, so no row holds the dates before it.
     """
-    w = W.orderBy("date_idx").rowsBetween(W.unboundedPreceding, -1)
-    before = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("adjusted"), F.col("date_idx"))).over(w))), 1, n)
-    d = dates.withColumn("before", before).select("date_idx", F.posexplode("before").alias("k", "prev_idx"))
-    return d.select("date_idx", "prev_idx", (F.col("k") + 1).alias("place"))
+    d = running(dates.withColumn("one", F.col("adjusted").cast("long")), ["date_idx"], "one", "c")
+    wanted = d.select("date_idx", "c", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place")).withColumn("number", F.col("c") - F.col("place"))
+    known = d.where("adjusted").select(F.col("c").alias("number"), F.col("date_idx").alias("prev_idx"))
+    return wanted.join(known, "number").select("date_idx", "prev_idx", "place")
 
 
 def timeline(acq: DataFrame, minutes: float = 30) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tracks
+from .ranges import ranked
 
 
 def before_after(errors: DataFrame, by: str = "cam_id") -> DataFrame:
@@ -60,7 +61,7 @@ def images_of_dates(images: DataFrame, timeline: DataFrame, chosen: DataFrame) -
     that are adjusted first; timeline (date_idx, date_id, adjusted)."""
     t = timeline.join(chosen, "date_idx", "left_semi")
     own = images.join(t, "date_id")
-    return tracks._ranked(own, [F.desc("adjusted"), F.asc("date_idx"), F.asc("image_id")]).withColumn("cam_id", F.col("rank") - 1).drop("rank")
+    return ranked(own, [F.desc("adjusted"), F.asc("date_idx"), F.asc("image_id")]).withColumn("cam_id", F.col("rank") - 1).drop("rank")
 
 
 def selected_dates(timeline: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:

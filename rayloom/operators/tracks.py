@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import kept
+from .ranges import ranked
 
 
 def covisibility(obs: DataFrame, least: int = 10, strict: bool = False) -> DataFrame:
@@ -58,21 +58,10 @@ def restrict_to_free(obs: DataFrame, free: DataFrame) -> DataFrame:
     return obs.join(obs.join(free, "cam_id", "left_semi").select("track_id").distinct(), "track_id", "left_semi")
 
 
-def _ranked(tracks: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
-    """`rank` from 1 over all rows in the given order, without one task for all: rows are ranged
-    over partitions, counted there, and numbered behind the partitions before theirs."""
-    ranged = tracks.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumns({"__p": F.shiftright("__id", 33), "__i": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
-    ranged = kept(ranged)  # the ranges come from a sample; both uses below must see the same ones
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranged.join(F.broadcast(before), "__p").withColumn("rank", F.col("__before") + F.col("__i") + 1).drop("__id", "__p", "__i", "__n", "__before")
-
-
 def rank_tracks(obs: DataFrame) -> DataFrame:
     """Tracks from best to worst: long first, then small mean scale (two places), small error."""
     t = obs.groupBy("track_id").agg(F.count("*").alias("length"), F.round(F.avg("scale"), 2).alias("mean_scale"), F.round(F.avg("err"), 6).alias("cost"))
-    return _ranked(t, [F.desc("length"), F.asc("mean_scale"), F.asc("cost"), F.asc("track_id")])
+    return ranked(t, [F.desc("length"), F.asc("mean_scale"), F.asc("cost"), F.asc("track_id")])
 
 
 def camera_track_lists(obs: DataFrame, ranked: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cameras, geodesy, rotation
-from ..operators import geometry, graph, interpolate, matching, outliers, pairs, polygons, tracks
+from ..operators import geometry, graph, matching, outliers, pairs, polygons, tracks
 from ..session import kept, table
 from . import scene
 
@@ -209,15 +209,15 @@ def global_drift(spark, d):
     return outliers.drift(p).select(F.round("dx", 4).alias("dx"), F.round("dy", 6).alias("dy"), F.round("dz", 6).alias("dz"))
 
 
-@query("SELECT a.s_suppkey cam_i, b.s_suppkey cam_j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE a.s_nationkey < 5 AND b.s_nationkey < 5")
+@query("SELECT a.s_suppkey cam_i, b.s_suppkey cam_j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
 def image_pairs(spark, d):
-    return pairs.all_pairs(cams(spark, d).where("s_nationkey < 5"))
+    return pairs.all_pairs(cams(spark, d))
 
 
 @query()
 def image_pairs_all(spark, d):
-    """All cameras, where `image_pairs` has its SQL's subset."""
-    return pairs.all_pairs(cams(spark, d))
+    """The name of the first round."""
+    return image_pairs(spark, d)
 
 
 @query("""WITH c AS (SELECT s_suppkey cam_id, CAST(s_nationkey AS INTEGER) date_idx FROM supplier) SELECT a.cam_id cam_i, b.cam_id cam_j, a.date_idx di, b.date_idx dj FROM c a JOIN c b ON b.date_idx BETWEEN a.date_idx AND a.date_idx + 1 WHERE b.date_idx > a.date_idx OR a.cam_id < b.cam_id""")
@@ -242,19 +242,18 @@ def nearest_adjusted(spark, d):
     return pairs.nearest_dates(o.withColumn("adjusted", F.col("date_idx") % 3 == 0), 2).withColumn("place", F.col("place").cast("long"))
 
 
-@query("""WITH RECURSIVE ev AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) k FROM (SELECT DISTINCT user_id, ts FROM events WHERE user_id <= 40)),
+@query("""WITH RECURSIVE ev AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) k FROM (SELECT DISTINCT user_id, ts FROM events)),
 f(user_id, k, ts, anchor) AS (SELECT user_id, k, ts, ts FROM ev WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.ts, CASE WHEN e.ts - f.anchor >= INTERVAL 120 MINUTE THEN e.ts ELSE f.anchor END FROM f JOIN ev e ON e.user_id = f.user_id AND e.k = f.k + 1)
 SELECT event_id, f.anchor FROM events JOIN f USING (user_id, ts)""")
 def timeline_groups(spark, d):
-    e = table(spark, d, "events").where("user_id <= 40").select(F.col("user_id").alias("scene"), "ts", F.col("event_id").alias("id"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("scene"), "ts", F.col("event_id").alias("id"))
     return pairs.timeline(e, 120).select(F.col("id").alias("event_id"), "anchor")
 
 
 @query()
 def timeline_groups_all(spark, d):
-    """All users, where `timeline_groups` has its recursive SQL's subset."""
-    e = table(spark, d, "events").select(F.col("user_id").alias("scene"), "ts", F.col("event_id").alias("id"))
-    return pairs.timeline(e, 120).select(F.col("id").alias("event_id"), "anchor")
+    """The name of the first round."""
+    return timeline_groups(spark, d)
 
 
 @query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) x, round(CAST(embedding[2] AS DOUBLE), 6) y FROM embeddings WHERE embedding[1] > -0.1 AND embedding[1] < 0.1 AND embedding[2] > -0.1 AND embedding[2] < 0.1")
@@ -264,12 +263,12 @@ def bbox_filter(spark, d):
     return matching.inside(p, box).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-RATIO = """d AS (SELECT a.label cam_i, b.label cam_j, a.vec_id kp_i, b.vec_id kp_j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) dist FROM embeddings a JOIN embeddings b ON a.label < 4 AND b.label < 4 AND a.label < b.label),
+RATIO = """d AS (SELECT a.label cam_i, b.label cam_j, a.vec_id kp_i, b.vec_id kp_j, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) dist FROM embeddings a JOIN embeddings b ON a.label < b.label),
 r AS (SELECT *, row_number() OVER w k, lead(dist) OVER w nxt FROM d WINDOW w AS (PARTITION BY cam_i, cam_j, kp_i ORDER BY dist, kp_j)), m AS (SELECT cam_i, cam_j, kp_i, kp_j, dist FROM r WHERE k = 1 AND dist < 0.97 * nxt)"""
 
 
 def _ratio(spark, d):
-    k = kps(spark, d).where("cam_id < 4")
+    k = kps(spark, d)
     return matching.ratio_match(k, pairs.all_pairs(k.select("cam_id").distinct()), 0.97)
 
 
@@ -283,39 +282,33 @@ def top_matches(spark, d):
     return matching.top_matches(_ratio(spark, d), 5).select("cam_i", "cam_j", "kp_i", "kp_j", "place")
 
 
-def _ratio_all(spark, d):
-    k = kps(spark, d)
-    return matching.ratio_match(k, pairs.all_pairs(k.select("cam_id").distinct()), 0.97)
-
-
 @query()
 def ratio_match_all(spark, d):
-    """All pairs of images, where `ratio_match` has its SQL's subset."""
-    return _ratio_all(spark, d).withColumn("dist", F.round("dist", 6))
+    """The name of the first round."""
+    return ratio_match(spark, d)
 
 
 @query()
 def top_matches_all(spark, d):
-    """All pairs of images, where `top_matches` has its SQL's subset."""
-    return matching.top_matches(_ratio_all(spark, d), 5).select("cam_i", "cam_j", "kp_i", "kp_j", "place")
+    """The name of the first round."""
+    return top_matches(spark, d)
 
 
-@query("""WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding AS DOUBLE[]) e FROM embeddings), m AS (SELECT a.vec_id kp_i, b.vec_id kp_j, round(list_distance(a.e, b.e), 9) dist FROM p a JOIN p b ON a.label = 0 AND b.label = 1 AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 0.05 * 0.05),
-r AS (SELECT *, row_number() OVER (PARTITION BY kp_i ORDER BY dist, kp_j) k FROM m) SELECT kp_i, kp_j, round(dist, 6) dist FROM r WHERE k = 1 AND dist < 250""")
+@query("""WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding AS DOUBLE[]) e FROM embeddings), m AS (SELECT a.label cam_i, b.label cam_j, a.vec_id kp_i, b.vec_id kp_j, round(list_distance(a.e, b.e), 9) dist FROM p a JOIN p b ON a.label < b.label AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 0.05 * 0.05),
+r AS (SELECT *, row_number() OVER (PARTITION BY cam_i, cam_j, kp_i ORDER BY dist, kp_j) k FROM m) SELECT cam_i, cam_j, kp_i, kp_j, round(dist, 6) dist FROM r WHERE k = 1 AND dist < 250""")
 def local_window_match(spark, d):
-    p = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("kp_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.col("embedding").alias("desc"))
-    return matching.window_match(p.where("label = 0"), p.where("label = 1"), 0.05, 250).withColumn("dist", F.round("dist", 6))
-
-
-@query()
-def local_window_match_all(spark, d):
-    """All pairs of images, where `local_window_match` has its SQL's two."""
     p = kps(spark, d).withColumns({"x": F.col("desc")[0].cast("double"), "y": F.col("desc")[1].cast("double")})
     both = pairs.all_pairs(p.select("cam_id").distinct())
     a, b = (both.join(p.withColumnRenamed("cam_id", c), c) for c in ("cam_i", "cam_j"))
     return matching.window_match(a, b, 0.05, 250, ("cam_i", "cam_j")).withColumn("dist", F.round("dist", 6))
 
 
+@query()
+def local_window_match_all(spark, d):
+    """The name of the first round."""
+    return local_window_match(spark, d)
+
+
 FUND = [[1e-4, 2e-3, -0.3], [-1e-3, 2e-4, 0.5], [0.2, -0.6, 0.1]]
 EPI = """x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) x1, CAST(embedding[2] AS DOUBLE) y1, CAST(embedding[3] AS DOUBLE) x2, CAST(embedding[4] AS DOUBLE) y2 FROM embeddings),
 l AS (SELECT *, 1e-4*x1+2e-3*y1-0.3 a, -1e-3*x1+2e-4*y1+0.5 b, 0.2*x1-0.6*y1+0.1 c, 1e-4*x2-1e-3*y2+0.2 p, 2e-3*x2+2e-4*y2-0.6 q, -0.3*x2+0.5*y2+0.1 r FROM x)"""
@@ -327,11 +320,11 @@ def epipolar_inliers(spark, d):
     return matching.epipolar_inliers(m, FUND, 0.2).select("vec_id", F.round("d2", 9).alias("d2"))
 
 
-@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z, label FROM embeddings), m AS (SELECT q.vec_id q_id, p.z, sqrt(power(q.x - p.x, 2) + power(q.y - p.y, 2)) d, row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt(power(q.x - p.x, 2) + power(q.y - p.y, 2)), p.vec_id) k FROM p q JOIN p ON p.label < 5 WHERE q.label >= 4)
+@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z, CAST(embedding[4] AS DOUBLE) u, CAST(embedding[5] AS DOUBLE) v FROM embeddings), m AS (SELECT q.vec_id q_id, p.z, sqrt(power(q.u - p.x, 2) + power(q.v - p.y, 2)) d, row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt(power(q.u - p.x, 2) + power(q.v - p.y, 2)), p.vec_id) k FROM p q, p)
 SELECT q_id, round(coalesce(max(CASE WHEN k = 1 AND d < 1e-10 THEN z END), sum(z / greatest(d, 1e-300)) / sum(1 / greatest(d, 1e-300))), 6) z FROM m WHERE k <= 8 GROUP BY 1""")
 def idw(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
-    return interpolate.idw(e.where("label < 5").select(F.col("vec_id").alias("p_id"), "x", "y", "z"), e.where("label >= 4").select(F.col("vec_id").alias("q_id"), "x", "y")).withColumn("z", F.round("z", 6))
+    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyzuv")])
+    return matching.idw(e.select(F.col("vec_id").alias("p_id"), "x", "y", "z"), e.select(F.col("vec_id").alias("q_id"), F.col("u").alias("x"), F.col("v").alias("y"))).withColumn("z", F.round("z", 6))
 
 
 CC = f"WITH RECURSIVE {COVIS}, e AS (SELECT cam_i a, cam_j b FROM covis WHERE n >= 9 UNION SELECT cam_j, cam_i FROM covis WHERE n >= 9), r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)"
@@ -354,7 +347,13 @@ def best_neighbours(spark, d):
     return graph.best_neighbours(tracks.covisibility(obs(spark, d), 1).select(F.col("cam_i").alias("a"), F.col("cam_j").alias("b"), "n"), 3)
 
 
-@query()
+#: The heaviest forest by its definition: an edge is in it if no path of edges that come before it (heavier,
+#: then by ids) joins its ends. Reached sets grow from each edge's first end over edges before it.
+FOREST = f"""WITH RECURSIVE {COVIS}, e AS (SELECT *, row_number() OVER (ORDER BY n DESC, cam_i, cam_j) k FROM covis WHERE n >= 4), x AS (SELECT cam_i a, cam_j b, k FROM e UNION ALL SELECT cam_j, cam_i, k FROM e),
+r(k, y) AS (SELECT k, cam_i FROM e UNION SELECT r.k, x.b FROM r JOIN x ON x.a = r.y AND x.k < r.k) SELECT cam_i a, cam_j b, n FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = e.k AND r.y = e.cam_j)"""
+
+
+@query(FOREST)
 def spanning_forest(spark, d):
     return graph.spanning_forest(tracks.covisibility(obs(spark, d), 4).select(F.col("cam_i").alias("a"), F.col("cam_j").alias("b"), "n"))
 
@@ -445,7 +444,7 @@ def utm_raster_shape(spark, d):
     return b.select("label", h.alias("h"), w.alias("w"))
 
 
-P = [[7.29623172e-02, -5.17799277e-02, -1.02734764e-02, -9.62027582e04], [-5.01011603e-02, -6.23291457e-02, -4.15721807e-02, -2.59250341e05], [2.78193760e-08, 7.15619726e-08, -1.43761111e-07, 1.0]]
+P = [[0.061, -0.044, -0.012, -81000.0], [-0.047, -0.058, -0.039, -240000.0], [3e-08, 6.5e-08, -1.3e-07, 1.0]]
 _row = lambda r: " + ".join(f"({v!r}) * {c}" for v, c in zip(r, ("x", "y", "z", "1"), strict=True))
 
 
@@ -483,7 +482,17 @@ def polygon_area(spark, d):
     return polygons.areas(p, "label").withColumn("area", F.round("area", 6))
 
 
-@query()
+#: A point is a corner of the hull if all others fit into an angle of less than half a turn seen from it: the
+#: largest gap between neighbouring directions is above pi. Corners stand in order of the angle about the mean.
+HULLS = """WITH p AS (SELECT DISTINCT label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y FROM embeddings),
+t AS (SELECT a.label, a.x, a.y, atan2(b.y - a.y, b.x - a.x) t FROM p a JOIN p b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y)),
+g AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w + 2 * pi()) - t gap FROM t WINDOW w AS (PARTITION BY label, x, y ORDER BY t)),
+c AS (SELECT label, x, y FROM g GROUP BY 1, 2, 3 HAVING max(gap) > pi()), m AS (SELECT label, avg(x) mx, avg(y) my, min(x) lx FROM c GROUP BY 1),
+o AS (SELECT c.*, atan2(y - my, x - mx) a, min(CASE WHEN x = lx THEN atan2(y - my, x - mx) END) OVER (PARTITION BY c.label) a0 FROM c JOIN m USING (label))
+SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY CASE WHEN a < a0 THEN a + 2 * pi() ELSE a END) - 1 AS INTEGER) i, x, y FROM o"""
+
+
+@query(HULLS)
 def convex_hulls(spark, d):
     p = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return polygons.hulls(p, "label")
@@ -496,10 +505,10 @@ def quick_camera_weights(spark, d):
     return tracks.quick_weights(obs(spark, d), cams(spark, d))
 
 
-@query("WITH p AS (SELECT a.s_suppkey i, b.s_suppkey j, a.s_nationkey = b.s_nationkey t FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_nationkey - a.s_nationkey BETWEEN 0 AND 1 WHERE a.s_nationkey < 12), e AS (SELECT i c, t FROM p UNION ALL SELECT j, t FROM p), h AS (SELECT c, bool_or(t) t FROM e GROUP BY 1) SELECT s_suppkey cam_id, h.c IS NOT NULL matched, coalesce(h.t, false) triangulated FROM supplier LEFT JOIN h ON h.c = s_suppkey")
+@query("WITH p AS (SELECT a.s_suppkey i, b.s_suppkey j, a.s_nationkey = b.s_nationkey t FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_nationkey - a.s_nationkey BETWEEN 0 AND 1), e AS (SELECT i c, t FROM p UNION ALL SELECT j, t FROM p), h AS (SELECT c, bool_or(t) t FROM e GROUP BY 1) SELECT s_suppkey cam_id, h.c IS NOT NULL matched, coalesce(h.t, false) triangulated FROM supplier LEFT JOIN h ON h.c = s_suppkey")
 def pair_coverage(spark, d):
     c = cams(spark, d)
-    a = c.where("s_nationkey < 12").select(F.col("cam_id").alias("cam_i"), F.col("s_nationkey").alias("na"), F.explode(F.sequence(F.col("s_nationkey"), F.col("s_nationkey") + 1)).alias("nb"))
+    a = c.select(F.col("cam_id").alias("cam_i"), F.col("s_nationkey").alias("na"), F.explode(F.sequence(F.col("s_nationkey"), F.col("s_nationkey") + 1)).alias("nb"))
     p = a.join(c.select(F.col("cam_id").alias("cam_j"), F.col("s_nationkey").alias("nb")), "nb").where("cam_i < cam_j")
     return tracks.pair_coverage(c, p, p.where("na = nb"))
 

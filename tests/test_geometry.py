@@ -93,11 +93,11 @@ def test_matrices():
 
 
 def test_decompositions():
-    # the two matrices and their scale are fixed values that any right decomposition gives back
-    persp = np.array([[7.29623172e-02, -5.17799277e-02, -1.02734764e-02, -9.62027582e04], [-5.01011603e-02, -6.23291457e-02, -4.15721807e-02, -2.59250341e05], [2.78193760e-08, 7.15619726e-08, -1.43761111e-07, 1.0]])
+    turn = solve._turn(np.array([0.4, -0.7, 1.1]))
+    persp = kernels.compose_perspective(np.array([[9000.0, 3.0, 2000.0], [0, 9100.0, 1500.0], [0, 0, 1]]), turn, np.array([4.1e6, 7.2e5, 5.3e6]))
     k, r, t, c = kernels.decompose_perspective(persp)
     assert np.allclose(kernels.compose_perspective(k, r, c), persp) and np.allclose(r @ r.T, np.eye(3)) and np.allclose(t, -r @ c)
-    aff = np.array([[7.61064055e-01, -9.35843155e-01, -1.00554841e-01, -1.13554311e06], [6.65950776e-02, -7.40405784e-02, 1.36333044e00, 4.07093217e06], [0, 0, 0, 1]])
+    aff = kernels.compose_affine(np.array([[1.2, 0.01], [0, 1.1]]), turn, np.array([-1.1e6, 4.0e6]))
     assert np.allclose(kernels.compose_affine(*kernels.decompose_affine(aff)), aff)
     a, b = np.c_[np.eye(3), [0, 0, 4.0]], np.c_[solve._turn(np.array([0.1, -0.3, 0.2])), [1.0, 0.5, 5]]
     x = np.c_[g.uniform(-1, 1, (10, 3)), np.ones(10)]

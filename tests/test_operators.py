@@ -133,7 +133,7 @@ def test_window_match_is_strict(spark):
 
 
 def test_plans_have_no_cartesian_product(spark, con):
-    for name in ("covisibility", "ratio_match", "local_window_match", "date_window_pairs", "timeline_groups", "pair_qualification"):
+    for name in ("covisibility", "idw", "ratio_match", "local_window_match", "date_window_pairs", "timeline_groups", "pair_qualification"):
         plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
     plan = catalog.QUERIES["bbox_filter"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
