@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running  # noqa: F401
 from ..session import discard, kept, shared_dir  # noqa: F401
 
 #: A word is a run of anything but the ASCII space characters (fixed by the task's contracts).

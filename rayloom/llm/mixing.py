@@ -10,9 +10,12 @@ once more with the fraction that is left. Which documents get the additional rep
 systematic sample in the order of document size: within a source, the i-th document (sizes
 ascending, ties in the order of a seeded hash) is drawn where floor(f * (i + 1) + u) exceeds
 floor(f * i + u), u being the source's seeded offset. The share of the words is then within one
-document's size of the target, and reruns agree. The order is found without a global sort:
-equal (source, size, salt) rows are counted first, and only the running sums of these counts
-are windowed; rows are then ranked inside their own small group.
+document's size of the target, and reruns agree. The order is found without a global sort: rows
+of equal (source, size, salt, first letters of the draw) are counted first, and the running sums of
+these counts are taken over ranges of all of them, so that no task holds a source; rows are then
+ranked inside their own group, of which a source with one size alone has 65,536.
+
+A column `mix` of the input gives way to the result's.
 
 Defined results: a null or empty text has size 0 and is taken as 0 words; a null source is the
 last source, one of its own; sources of size 0 have target 0; repeated rows are separate
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import running, words
 
 WEIGHTS, CAP, SEED, SALTS = (5, 2, 1), 3, "mix-1", 256
 
@@ -60,14 +63,17 @@ def mix(df: DataFrame, key: str, source: str, size: Column, weights: tuple[int,
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     name = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))  # never null: the join and the ranks share one exchange
     d = df.withColumns({"__name": name, "__size": size, "__draw": draw}).withColumns({"__salt": F.conv(F.substring("__draw", 1, 8), 16, 10).cast("long") % salts})
-    group = ["__name", "__size", "__salt"]
+    # ranks follow the draw's letters inside a salt, so its first two cut the groups without changing the order
+    d = d.withColumn("__sub", F.substring("__draw", 1, 2))
+    group = ["__name", "__size", "__salt", "__sub"]
     groups = d.groupBy(*group).agg(F.count("*").alias("n"))
     sizes = groups.groupBy("__name").agg(F.sum(F.col("__size") * F.col("n")).alias("source_size"))
     sizes = sizes.withColumn("source", F.when(F.col("__name") != "n", F.expr("substring(__name, 2)")))
     t = targets(sizes, weights, cap).withColumn("__name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    upto = W.partitionBy("__name").orderBy("__size", "__salt").rowsBetween(W.unboundedPreceding, -1)
-    placed = groups.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    plan = placed.join(t, "__name").select(*group, *[F.col(c).alias(f"__p_{c}") for c in ("first", "source_size", "weight", "target")])
+    placed = running(groups, group, "n", "before")
+    start = placed.groupBy("__name").agg(F.min("before").alias("start"))
+    plan = placed.join(t.join(start, "__name"), "__name").withColumn("first", F.col("before") - F.col("start"))
+    plan = plan.select(*group, *[F.col(c).alias(f"__p_{c}") for c in ("first", "source_size", "weight", "target")])
     own = d.join(plan, group)
     inside = F.row_number().over(W.partitionBy(*group).orderBy("__draw", key)) - 1
     own = own.withColumn("__i", F.col("__p_first") + inside)
