@@ -13,6 +13,8 @@ the end of the file, and then only the frames of the documents that it wants.
 
 Texts are encoded and compressed where they are read; only compressed frames are shuffled, by
 ranges of doc_id that a quantile pass over the id column gives, so that no text is encoded twice.
+The bounds of these ranges (8 bytes a file) are broadcast and looked up by binary search; an id that
+fills several ranges is dealt out over all of them, null ids over files of their own in front.
 A task streams its sorted frames into one file under a name of its own and renames it when it is
 complete: a task that is run again replaces the file by the same bytes.
 
@@ -44,6 +46,9 @@ END_ID, DOCS_PER_FILE, LEVEL, CACHE_WORDS = 2, 10_000, 1, 800_000
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: A space inside or at the end of a run of white space. Python's \s holds all of the pattern's.
 INNER_SPACE = re.compile(r" (?<=\s )(?:\s|\Z)")
+#: White space other than the space, before a space: a text without any of these has no inner space.
+ODD_SPACE = tuple(f"{c} " for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
+ODD_ASCII = tuple(c for c in ODD_SPACE if c.isascii())
 
 
 class WordEncoder:
@@ -91,7 +96,7 @@ class WordEncoder:
 
     def parts(self, text: str) -> list:
         """The words of a text; one that follows a space is a string without it, others are (word,)."""
-        if "  " in text or INNER_SPACE.search(text):
+        if "  " in text or (any(c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACE)) and INNER_SPACE.search(text)):
             return [w[1:] if len(w) > 1 and w[0] == " " else (w,) for w in self.find(text)]
         first, *rest = text.split(" ")
         return [(first,), *rest] if first else rest
@@ -163,8 +168,17 @@ def _xxh64(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
 
 
-def frames(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, level: int = LEVEL) -> DataFrame:
-    """key -> (n_tokens, width, checksum, frame)."""
+def frames(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, level: int = LEVEL, bounds: np.ndarray | None = None, null_files: int = 0) -> DataFrame:
+    """key -> (n_tokens, width, checksum, frame, file_no). `bounds` are the largest ids of each file but
+    the last, `null_files` the files of null ids in front of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if bounds is None else bounds)
+
+    def files(keys: pa.Array, sums: np.ndarray) -> np.ndarray:
+        null = np.asarray(keys.is_null())
+        k = np.asarray(keys.fill_null(0))
+        low, high = np.searchsorted(shared.value, k, "left"), np.searchsorted(shared.value, k, "right")
+        low, high = np.where(null, 0, low + null_files), np.where(null, null_files, high + null_files)
+        return (low + (sums + np.arange(len(k))) % (high - low + 1)).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -175,20 +189,21 @@ def frames(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 raw = [np.append(x, np.uint32(end_id)).astype(f"<u{width}").tobytes() for x in enc(part.column(1).to_pylist())]
-                cols = [part.column(0), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([width] * len(raw), pa.int32()), pa.array(list(map(_xxh64, raw)), pa.int64()), pa.array(map(pack.compress, raw), pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "n_tokens", "width", "checksum", "frame"])
+                cols = [part.column(0), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([width] * len(raw), pa.int32()), pa.array(sums := np.fromiter(map(_xxh64, raw), np.int64, len(raw))), pa.array(map(pack.compress, raw), pa.binary()), pa.array(files(part.column(0), sums))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "n_tokens", "width", "checksum", "frame", "file_no"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_tokens long, width int, checksum long, frame binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_tokens long, width int, checksum long, frame binary, file_no int")
 
 
 def write(docs: DataFrame, path: str, to: str, key: str = "doc_id", docs_per_file: int = DOCS_PER_FILE, end_id: int = END_ID) -> DataFrame:
     """Write all documents below the folder `to`; the manifest has a row for each file:
     file_no, file, n_docs, n_tokens and `start`, the tokens in the files before it."""
-    n = docs.count()
-    files = max(1, -(-n // docs_per_file))
-    cuts = [] if files == 1 else docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / files for i in range(1, files)], 100 * files)).first()[0] or []
-    at = F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("key"))), F.lit(0)) if cuts else F.lit(0)
-    dealt = frames(docs, path, key, end_id=end_id).withColumn("file_no", F.when(F.col("key").isNull(), 0).otherwise(at).cast("int"))
+    own = F.col(key).cast("long")
+    n, known = docs.agg(F.count("*"), F.count(own)).first()
+    files, null_files = max(1, -(-known // docs_per_file)), (n - known) // docs_per_file
+    bounds = docs.agg(F.percentile_approx(own, [i / files for i in range(1, files)], 100 * files)).first()[0] if files > 1 else []
+    dealt = frames(docs, path, key, end_id=end_id, bounds=np.array(bounds or [], np.int64), null_files=null_files)
+    files += null_files
     dealt = dealt.repartitionById(files, "file_no").sortWithinPartitions("file_no", F.col("key").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
