@@ -36,7 +36,7 @@ equal texts are occurrences of each other, whatever their ids, so their texts of
 more go as a whole. Texts are taken whole at any length: above 2^22 bytes (words) they are read in
 overlapping pieces. Hashes of contexts and cores have 128 bits, those
 of anchors of words 63 and more. Columns
-of `keep` named like a result (n_bytes, n_removed, n_spans, kept, shares_passage) are refused.
+of `keep` named like a result (n_bytes, n_removed, n_spans, kept, shares_passage) give way to it.
 """
 
 from __future__ import annotations
@@ -373,16 +373,15 @@ def passages(docs: DataFrame, window: int = PASSAGE) -> DataFrame:
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW, block: int = BLOCK, hot: int = HOT, words: int = PASSAGE) -> DataFrame:
     """`keep`, with n_bytes, n_removed, n_spans, the bytes that are left (`kept`, binary) and
     `shares_passage`: whether `words` words in a row stand in another row too."""
-    if clash := sorted({"n_bytes", "n_removed", "n_spans", "kept", "shares_passage", "__text"}.intersection(keep)):
-        raise ValueError(f"columns {clash} would stand twice in the result")
-    own = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    ranges = repeated_ranges(own.select(F.col("__text").alias("text")), window, block, hot)
-    shared = passages(own.select(F.col("__text").alias("text")), words).withColumnRenamed("same", "part")
-    digest = F.unhex(F.md5("__text"))
+    keep = [c for c in keep if c not in ("n_bytes", "n_removed", "n_spans", "kept", "shares_passage")]
+    own = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__own_text"))
+    ranges = repeated_ranges(own.select(F.col("__own_text").alias("text")), window, block, hot)
+    shared = passages(own.select(F.col("__own_text").alias("text")), words).withColumnRenamed("same", "part")
+    digest = F.unhex(F.md5("__own_text"))
     texts = own.select(digest.alias("same")).distinct().withColumn("part", F.conv(F.hex(F.substring("same", 1, 8)), 16, -10).cast("long"))
     shared = texts.join(shared, "part", "left_semi").select("same", F.lit(True).alias("shares"))
     found = ranges.join(shared, "same", "full").toDF("__same", "__ranges", "__shares")
-    rows = own.withColumn("__same", digest).join(found, "__same", "left").select(*keep, "__text", "__ranges", F.coalesce("__shares", F.lit(False)).alias("__shares"))
+    rows = own.withColumn("__same", digest).join(found, "__same", "left").select(*keep, "__own_text", "__ranges", F.coalesce("__shares", F.lit(False)).alias("__shares"))
     at = len(keep)
     schema = own.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), F.lit(True).alias("shares_passage")).schema
 

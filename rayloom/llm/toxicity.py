@@ -13,8 +13,9 @@ Features are made where the texts are; one task then runs FTRL over the sample's
 that 0.5 is where the odds are even. Scoring reads every whole text.
 
 Defined results: null and empty texts have no features and score by the intercept alone; with
-no labelled row of either class the score is 0.5. A repeated labelled doc_id counts as often as
-it occurs. Scores depend on nothing but the text.
+no labelled row of either class the score is 0.5. A doc_id that repeats among the documents is
+learnt from once, by the text that comes first in order; columns named `score` or `__text` give way
+to the operator's own. Scores depend on nothing but the text.
 """
 
 from __future__ import annotations
@@ -122,7 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     other folds: with (a, b) from there, a * (w . x) + b is again a linear score."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & (fold(F.col("k")) != 0))
     chosen = known.withColumn("draw", F.xxhash64(F.lit(11), F.col("k"))).orderBy("draw", "k", "y").limit(sample)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("draw", F.col("k").cast("string").alias("id"), "t", "y")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    rows = rows.groupBy("draw", "k", "y").agg(F.min("t").alias("t"))  # an id that repeats is one row, so the sample's bound holds
+    rows = rows.select("draw", F.col("k").cast("string").alias("id"), "t", "y")
 
     def places(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         see = Features(bits)
@@ -160,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(df: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text", bits: int = BITS) -> DataFrame:
     """`keep` and `score`."""
+    keep = [c for c in keep if c not in ("score", "__text")]
     at, names = len(keep), [*keep, "score"]
     model = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     schema = df.select(*keep, F.lit(0.0).alias("score")).schema

@@ -191,7 +191,8 @@ def test_word_hashes_do_not_depend_on_what_is_remembered():
     assert all((a == b).all() for a, b in zip(common.WordHashes()(texts), common.WordHashes(most=5)(texts), strict=True))
 
 
-def test_repeats_refuse_clashing_names(spark):
-    df = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, n_bytes long")
-    with pytest.raises(ValueError, match="n_bytes"):
-        repeats.remove_repeats(df, ["doc_id", "n_bytes"])
+def test_repeats_win_over_clashing_names(spark):
+    df = spark.createDataFrame([(1, "ab", "x", "y")], "doc_id long, text string, n_bytes string, __text string")
+    out = repeats.remove_repeats(df, ["doc_id", "n_bytes", "__text"])
+    assert out.columns == ["doc_id", "__text", "n_bytes", "n_removed", "n_spans", "kept", "shares_passage"]
+    assert (out.first().n_bytes, out.first()["__text"]) == (2, "y")

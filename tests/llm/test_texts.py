@@ -33,15 +33,33 @@ def test_sharding(spark, rows):
         assert max(counts) - min(counts) <= 1
 
 
-def test_sharding_reruns_and_digests(spark):
+def test_sharding_reruns_and_digests(spark, tmp_path):
     df = spark.createDataFrame(ROWS, DOCS).repartition(3)
-    a, b = (sorted(map(tuple, sharding.external_shuffle(df, 5, bucket_rows=30).collect()), key=str) for _ in range(2))
+    # files that are split otherwise make no difference
+    a, b = (sorted(map(tuple, sharding.external_shuffle(x, shards=5, bucket_rows=30).collect()), key=str) for x in (df, df.repartition(7, "text")))
     assert a == b
-    for r in sharding.shard_documents(df, 5).collect():
+    for r in sharding.shard_documents(df, shards=5).collect():
         text = next(t for i, t, *_ in ROWS if i == r.doc_id) or ""
         assert (r.size, r.text_crc32) == (len(text.encode()) + 16, zlib.crc32(text.encode()))
 
 
+def test_written_shards_hold_the_records(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, DOCS).withColumn("slot", F.lit("clash"))
+    out = sharding.write_shards(df, f"{tmp_path}/s", shards=4, bucket_bytes=2_000)
+    assert out.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "shard", "slot"]
+    assert Counter(tuple(r)[:4] for r in out.collect()) == Counter(ROWS)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir()) == [f"shard={k}" for k in range(4)]
+
+
+def test_records_that_are_equal_in_all_columns_are_spread(spark):
+    rows = [(1, "same", "a", None)] * 300 + ROWS[:100]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sharding.external_shuffle(df, shards=3, bucket_rows=20).collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(rows)
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(3))
+    assert min(sum(r.doc_id == 1 for r in got if r.shard == k) for k in range(3)) > 30
+
+
 def fill(sizes, weights, cap):
     total, target, free = sum(sizes.values()), {}, set(sizes)
     while free:

@@ -78,6 +78,15 @@ def test_files_round_trip(spark, tmp_path, per_file):
     assert [x.tolist()[-1] for x in one.find(one.keys[-1])][0] == 2
 
 
+def test_ids_that_repeat_or_lack_fill_several_files(spark, tmp_path):
+    rows = [(None, f"none {k}") for k in range(40)] + [(5, f"five {k}") for k in range(60)] + [(k, f"own {k}") for k in range(40)]
+    to = f"file://{tmp_path}/t"
+    manifest = tokens.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), BYTE, to, docs_per_file=10)
+    assert max(r.n_docs for r in manifest.collect()) <= 25 and manifest.agg({"n_docs": "sum"}).first()[0] == 140
+    got = sorted(tokens.read_back(manifest, to).collect(), key=lambda r: r.start)
+    assert [r.key for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k))
+
+
 def test_file_is_seekable_zstandard(spark, tmp_path):
     import zstandard
 

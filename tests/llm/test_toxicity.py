@@ -1,7 +1,10 @@
 """Held-out accuracy, and texts without features."""
 
+import math
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +50,59 @@ def test_nothing_to_learn(spark, data):
     w = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, w, ["doc_id"]).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), w, ["doc_id"]).count() == 0
+
+
+def plain_ftrl(rows, epochs, seed):
+    """Per-coordinate FTRL-proximal, one number at a time."""
+    z, n = {}, {}
+    draw = np.random.default_rng(seed)
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for k in draw.permutation(len(rows)):
+            places, label = rows[k]
+            x = {**{int(i): (len(places) + 1) ** -0.25 for i in places}, "intercept": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - s * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_is_the_plain_one():
+    rows = [(np.array(sorted(rnd.sample(range(60), rnd.randrange(1, 20)))), rnd.randrange(2)) for _ in range(200)]
+    w = toxicity.ftrl(rows, bits=6, epochs=3, seed=4)
+    expected = plain_ftrl(rows, 3, 4)
+    assert w[-1] == pytest.approx(expected["intercept"]) and sum(v == 0 for k, v in expected.items()) > 3
+    assert all(w[i] == pytest.approx(expected.get(i, 0.0), abs=1e-12) for i in range(64))
+
+
+def test_features_are_words_pairs_and_skips():
+    m = 2**64
+    mix = [int(x) for x in toxicity.MIX]
+
+    def word(t):
+        h = (zlib.crc32(t) * mix[0] + len(t)) % m
+        return (h ^ (h >> 31)) * mix[1] % m
+
+    texts = ["One two  THREE two", "", None, "x", "a b", "É é " + "long " * 2000]
+    for t, got in zip(texts, toxicity.Features()(texts), strict=True):
+        w = [word(x) for x in (t or "").encode().lower().split()]
+        found = [x * mix[3] % m for x in w] + [(a * mix[1] + b) * mix[2] % m for a, b in zip(w, w[1:], strict=False)] + [(a * mix[2] + b * mix[1]) * mix[0] % m for a, b in zip(w, w[2:], strict=False)]
+        assert got.tolist() == sorted({x >> 44 for x in found})
+
+
+def test_ids_that_repeat_and_clashing_names(spark, data):
+    docs, labels = data
+    w = toxicity.train(docs, labels)
+    assert (toxicity.train(docs.unionByName(docs), labels) == w).all()
+    out = toxicity.score(docs.withColumn("score", F.lit("clash")), w, ["doc_id", "score"])
+    assert out.columns == ["doc_id", "score"] and out.schema["score"].dataType.simpleString() == "double"
