@@ -1,14 +1,19 @@
 """Robust least squares over cameras and points, one Schur complement a step.
 
-Unknowns are three Euler angles for each free camera, turning the world about the camera's
-centre, and the points. A step eliminates every track's point where its observations are: the
-track's task returns its share of the reduced camera system, which is summed by camera pair
-before it is shuffled. The reduced system has three rows a camera, so it is the one thing that
-the driver solves. Damping is that of Levenberg and Marquardt; the loss is squared or soft L1.
+Unknowns are the points and, of each free camera, what the settings name: its rotation R, its
+translation T, its calibration K, or one calibration for all (COMMON_K). A camera is a sensor model
+whose world is turned about the camera's centre and moved (rpc), or a perspective or an affine
+projection. A step eliminates every point where its observations are: sorted tracks stream through
+numpy, camera by camera and then in segments, and each batch returns its share of the reduced camera
+system, summed by camera pair before it is shuffled. The reduced system has a few rows a camera, so
+it is the one thing that the driver solves: densely up to `DENSE` unknowns, else by conjugate
+gradients over its blocks, which are as many as pairs of cameras with a track in common. Damping is
+that of Levenberg and Marquardt; the loss is squared or soft L1.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +24,44 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from .geometry import _model, _with_models
 
+#: Places of R, T and K in a camera's parameters, by kind.
+LAYOUT = {
+    "rpc": {"R": range(3), "T": range(3, 6), "K": range(0)},
+    "perspective": {"R": range(3), "T": range(3, 6), "K": range(6, 11)},
+    "affine": {"R": range(3), "T": range(3, 5), "K": range(5, 8)},
+}
+COMMON, DENSE = -2, 6000
+
 
 @dataclass(frozen=True)
 class Settings:
     rounds: int = 30
     ftol: float = 1e-4
     soft: bool = False
+    f_scale: float = 1.0
     first_damping: float = 1e-3
+    kind: str = "rpc"
+    correct: tuple[str, ...] = ("R",)
+
+    def __post_init__(self):
+        if self.kind not in LAYOUT:
+            raise ValueError(f"unknown camera model: {self.kind}")
+        if not self.correct or set(self.correct) - {"R", "T", "K", "COMMON_K"} or {"K", "COMMON_K"} <= set(self.correct):
+            raise ValueError(f"cannot correct {self.correct}")
+
+    @property
+    def own(self) -> list[int]:
+        """Places of a camera's own unknowns."""
+        return [i for c in ("R", "T", "K") if c in self.correct for i in LAYOUT[self.kind][c]]
+
+    @property
+    def common(self) -> list[int]:
+        """Places of the unknowns that all cameras share."""
+        return list(LAYOUT[self.kind]["K"]) if "COMMON_K" in self.correct else []
+
+    @property
+    def size(self) -> int:
+        return max(max(r, default=-1) for r in LAYOUT[self.kind].values()) + 1
 
 
 def _turn(e: np.ndarray) -> np.ndarray:
@@ -33,120 +69,265 @@ def _turn(e: np.ndarray) -> np.ndarray:
     return np.array([[cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr], [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr], [-sp, cp * sr, cp * cr]])
 
 
-def _see(model: dict, x: np.ndarray, euler: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """(n, 2) images of ECEF points (n, 3) that the correction has turned."""
-    return kernels.project(model, *kernels.geodetic(*((x - centre) @ _turn(euler).T + centre).T)).T
-
-
-def _blocks(pdf: pd.DataFrame, step_a: float = 1e-8, step_x: float = 0.1) -> tuple[np.ndarray, ...]:
-    """Residuals (n, 2) and derivatives by angles and by points (n, 2, 3), camera by camera."""
+def _see(model: dict | None, x: np.ndarray, theta: np.ndarray, centre: np.ndarray | None, kind: str = "rpc") -> np.ndarray:
+    """(n, 2) images of points (n, 3) by a camera of parameters theta; angles alone move nothing."""
+    r = _turn(theta[:3])
+    if kind == "rpc":
+        t = theta[3:6] if len(theta) > 3 else 0.0
+        return kernels.project(model, *kernels.geodetic(*((x - t - centre) @ r.T + centre).T)).T
+    y = x @ r.T
+    if kind == "affine":
+        (t0, t1), (fx, fy, skew) = theta[3:5], theta[5:8]
+        return np.stack([fx * (y[:, 0] + t0) + skew * (y[:, 1] + t1), fy * (y[:, 1] + t1)], axis=1)
+    fx, fy, skew, cx, cy = theta[6:11]
+    u, v, w = (y + theta[3:6]).T
+    return np.stack([fx * u / w + skew * v / w + cx, fy * v / w + cy], axis=1)
+
+
+def _blocks(pdf: pd.DataFrame, s: Settings) -> tuple[np.ndarray, ...]:
+    """Residuals (n, 2), weighted, their derivatives by the camera's parameters (n, 2, size) and by points
+    (n, 2, 3), and the weights: camera by camera."""
     n = len(pdf)
-    r, ja, jx = np.zeros((n, 2)), np.zeros((n, 2, 3)), np.zeros((n, 2, 3))
+    r, jc, jx = np.zeros((n, 2)), np.zeros((n, 2, s.size)), np.zeros((n, 2, 3))
+    weight = pdf["weight"].to_numpy(float)
+    wanted = sorted({*s.own, *s.common})
     for _, rows in pdf.reset_index(drop=True).groupby("cam_id"):
         i, one = rows.index.to_numpy(), rows.iloc[0]
-        m, c, e = _model(one), np.array([one["cx"], one["cy"], one["cz"]]), np.array([one["a0"], one["a1"], one["a2"]])
-        x = rows[["x", "y", "z"]].to_numpy()
-        f = _see(m, x, e, c)
-        r[i] = f - rows[["col", "row"]].to_numpy()
+        m, c = (_model(one), np.array([one["cx"], one["cy"], one["cz"]])) if s.kind == "rpc" else (None, None)
+        th = np.array(one["theta"], float)
+        x = rows[["x", "y", "z"]].to_numpy(float)
+        see = lambda x, th, m=m, c=c: _see(m, x, th, c, s.kind)
+        f = see(x, th)
+        r[i] = f - rows[["col", "row"]].to_numpy(float)
+        for k in wanted:
+            step = (1e-8 if s.kind == "rpc" else 1e-7) if k < 3 else (0.1 if s.kind == "rpc" else 1e-6 * max(1.0, abs(th[k])))
+            jc[i, :, k] = (see(x, th + step * np.eye(s.size)[k]) - f) / step
         for k in range(3):
-            unit = np.eye(3)[k]
-            ja[i, :, k] = (_see(m, x, e + step_a * unit, c) - f) / step_a
-            jx[i, :, k] = (_see(m, x + step_x * unit, e, c) - f) / step_x
-    return r, ja, jx
-
-
-def _state(spark: SparkSession, obs: DataFrame, points: DataFrame, models: DataFrame, angles: dict[int, np.ndarray], centres: DataFrame) -> DataFrame:
-    a = spark.createDataFrame([(int(k), *map(float, v)) for k, v in angles.items()], "cam_id long, a0 double, a1 double, a2 double")
-    rows = _with_models(obs.join(points, "track_id"), models)
-    return rows.join(centres, "cam_id").join(a, "cam_id")
-
-
-def _loss(r2: np.ndarray, soft: bool) -> tuple[np.ndarray, np.ndarray]:
-    return (2 * (np.sqrt(1 + r2) - 1), 1 / np.sqrt(1 + r2)) if soft else (r2, np.ones_like(r2))
-
+            step = 0.1 if s.kind == "rpc" else 1e-6 * max(1.0, np.abs(x).max())
+            jx[i, :, k] = (see(x + step * np.eye(3)[k], th) - f) / step
+    return r * weight[:, None], jc * weight[:, None, None], jx * weight[:, None, None], weight
+
+
+def _state(spark: SparkSession, obs: DataFrame, points: DataFrame, models: DataFrame, params: dict[int, np.ndarray], centres: DataFrame | None, s: Settings | None = None) -> DataFrame:
+    """Observations with their points, weights, models and parameters."""
+    s = s or Settings()
+    full = lambda v: [float(x) for x in np.r_[v, np.zeros(s.size - len(v))]]
+    a = spark.createDataFrame([(int(k), full(v)) for k, v in params.items()], "cam_id long, theta array<double>")
+    weight = F.col("weight").cast("double") if "weight" in obs.columns else F.lit(1.0)
+    rows = obs.select("track_id", "cam_id", "col", "row", weight.alias("weight")).join(points.select("track_id", "x", "y", "z"), "track_id")
+    if s.kind == "rpc":
+        rows = _with_models(rows, models).join(centres, "cam_id")
+    return rows.join(a, "cam_id")
+
+
+def _loss(r2: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The loss of squared residuals, and the weight that it gives them."""
+    if not s.soft:
+        return r2, np.ones_like(r2)
+    z = r2 / s.f_scale**2
+    return 2 * s.f_scale**2 * (np.sqrt(1 + z) - 1), 1 / np.sqrt(1 + z)
+
+
+def _whole_tracks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of sorted rows, cut between tracks."""
+    rest = None
+    for pdf in parts:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        last = pdf["track_id"].ne(pdf["track_id"].iloc[-1]).to_numpy() if len(pdf) else np.zeros(0, bool)
+        if last.any():
+            yield pdf[last].reset_index(drop=True)
+        rest = pdf[~last]
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True)
+
+
+def _eliminated(pdf: pd.DataFrame, s: Settings, damping: float):
+    """(starts of the tracks, each row's track, r, jc, jx, w, V^-1, g) of sorted rows."""
+    r, jc, jx, _ = _blocks(pdf, s)
+    cost, w = _loss((r**2).sum(1), s)
+    track = pdf["track_id"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, track[1:] != track[:-1]])
+    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(track)]))
+    v = np.add.reduceat(np.einsum("n,nki,nkj->nij", w, jx, jx), starts)
+    v = v + damping * v * np.eye(3) + 1e-12 * np.eye(3)
+    return starts, of, r, jc, jx, w, np.linalg.inv(v), cost
+
+
+def _reduced(state: DataFrame, free: set[int], damping: float, s: Settings) -> DataFrame:
+    """(ci, cj, block, rhs, cost): the tracks' shares of the reduced system, summed by pairs of owners of
+    unknowns: cameras, and COMMON. The sum of costs stands under -1."""
+    width = max(len(s.own), len(s.common), 1)
 
-def _reduced(state: DataFrame, free: set[int], damping: float, soft: bool) -> DataFrame:
-    """(ci, cj, block, rhs, cost): each track's share of the reduced system."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, ja, jx = _blocks(pdf)
-        cost, w = _loss((r**2).sum(1), soft)
-        v = np.einsum("n,nki,nkj->ij", w, jx, jx)
-        v = np.linalg.inv(v + damping * np.diag(np.diag(v)) + 1e-12 * np.eye(3))
-        g = np.einsum("n,nki,nk->i", w, jx, r)
-        cams = pdf["cam_id"].to_numpy()
-        out = [(-1, -1, [0.0] * 9, [0.0] * 3, float(cost.sum()))]
-        mine = [k for k in range(len(cams)) if int(cams[k]) in free]
-        wk = {k: w[k] * ja[k].T @ jx[k] for k in mine}
-        for k in mine:
-            u = w[k] * ja[k].T @ ja[k]
-            out.append((int(cams[k]), int(cams[k]), (u + damping * np.diag(np.diag(u))).ravel().tolist(), (w[k] * ja[k].T @ r[k] - wk[k] @ v @ g).tolist(), 0.0))
-            out += [(int(cams[k]), int(cams[j]), (-wk[k] @ v @ wk[j].T).ravel().tolist(), [0.0] * 3, 0.0) for j in mine]
-        return pd.DataFrame(out, columns=["ci", "cj", "block", "rhs", "cost"])
+    def run(parts):
+        for pdf in _whole_tracks(parts):
+            starts, of, r, jc, jx, w, vi, cost = _eliminated(pdf, s, damping)
+            cams = pdf["cam_id"].to_numpy()
+            g = np.add.reduceat(np.einsum("n,nki,nk->ni", w, jx, r), starts)
+            # entries: a row's unknowns of one owner, padded with zeros
+            mine = np.flatnonzero(np.isin(cams, list(free)))
+            entry, owner, j = [mine], [cams[mine]], [np.pad(jc[mine][:, :, s.own], ((0, 0), (0, 0), (0, width - len(s.own))))]
+            if s.common:
+                entry.append(np.arange(len(cams)))
+                owner.append(np.full(len(cams), COMMON))
+                j.append(np.pad(jc[:, :, s.common], ((0, 0), (0, 0), (0, width - len(s.common)))))
+            entry, owner, j = np.concatenate(entry), np.concatenate(owner), np.concatenate(j)
+            order = np.argsort(of[entry], kind="stable")
+            entry, owner, j = entry[order], owner[order], j[order]
+            we = w[entry]
+            wx = np.einsum("n,nki,nkj->nij", we, j, jx[entry])
+            rhs = np.einsum("n,nki,nk->ni", we, j, r[entry]) - np.einsum("nij,njk,nk->ni", wx, vi[of[entry]], g[of[entry]])
+            # pairs of entries of one track
+            size = np.bincount(of[entry], minlength=len(starts))
+            first = np.cumsum(size) - size
+            a = np.repeat(np.arange(len(entry)), size[of[entry]])
+            b = np.arange(len(a)) - np.repeat(np.cumsum(size[of[entry]]) - size[of[entry]], size[of[entry]]) + first[of[entry]][a]
+            block = -np.einsum("nij,njk,nlk->nil", wx[a], vi[of[entry[a]]], wx[b])
+            same = entry[a] == entry[b]
+            u = np.einsum("n,nki,nkj->nij", we[a[same]], j[a[same]], j[b[same]])
+            u = u + damping * np.where((owner[a] == owner[b])[same, None, None], u * np.eye(width), 0.0)
+            block[same] += u
+            pairs, at = np.unique(np.stack([owner[a], owner[b]], axis=1), axis=0, return_inverse=True)
+            total = np.zeros((len(pairs), width, width))
+            np.add.at(total, at.ravel(), block)
+            owners, at = np.unique(owner, return_inverse=True)
+            right = np.zeros((len(owners), width))
+            np.add.at(right, at, rhs)
+            right = dict(zip(owners.tolist(), right, strict=True))
+            rows = [(-1, -1, [0.0] * width**2, [0.0] * width, float(cost.sum()))]
+            rows += [(int(p), int(q), m.ravel().tolist(), right[p].tolist() if p == q else [0.0] * width, 0.0) for (p, q), m in zip(pairs.tolist(), total, strict=True)]
+            yield pd.DataFrame(rows, columns=["ci", "cj", "block", "rhs", "cost"])
+
+    parts = state.repartition("track_id").sortWithinPartitions("track_id").mapInPandas(run, "ci long, cj long, block array<double>, rhs array<double>, cost double")
+    return parts.groupBy("ci", "cj").agg(F.array(*[F.sum(F.col("block")[i]) for i in range(width**2)]).alias("block"), F.array(*[F.sum(F.col("rhs")[i]) for i in range(width)]).alias("rhs"), F.sum("cost").alias("cost"))
+
+
+def _moved(state: DataFrame, steps: dict[int, np.ndarray], damping: float, s: Settings) -> DataFrame:
+    """Points after the cameras' step: back substitution in segments."""
 
-    parts = state.groupBy("track_id").applyInPandas(run, "ci long, cj long, block array<double>, rhs array<double>, cost double")
-    return parts.groupBy("ci", "cj").agg(F.array(*[F.sum(F.col("block")[i]) for i in range(9)]).alias("block"), F.array(*[F.sum(F.col("rhs")[i]) for i in range(3)]).alias("rhs"), F.sum("cost").alias("cost"))
+    def run(parts):
+        for pdf in _whole_tracks(parts):
+            starts, of, r, jc, jx, w, vi, _ = _eliminated(pdf, s, damping)
+            d = np.array([steps.get(int(c), np.zeros(len(s.own))) for c in pdf["cam_id"]]).reshape(len(pdf), len(s.own))
+            left = r + np.einsum("nki,ni->nk", jc[:, :, s.own], d)
+            if s.common:
+                left = left + jc[:, :, s.common] @ steps[COMMON]
+            g = np.add.reduceat(np.einsum("n,nki,nk->ni", w, jx, left), starts)
+            x = pdf[["x", "y", "z"]].to_numpy(float)[starts] - np.einsum("nij,nj->ni", vi, g)
+            yield pd.DataFrame({"track_id": pdf["track_id"].to_numpy()[starts], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
 
+    return state.repartition("track_id").sortWithinPartitions("track_id").mapInPandas(run, "track_id long, x double, y double, z double")
 
-def _moved(state: DataFrame, steps: dict[int, np.ndarray], damping: float, soft: bool) -> DataFrame:
-    """Points after the cameras' step: back substitution, track by track."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, ja, jx = _blocks(pdf)
-        _, w = _loss((r**2).sum(1), soft)
-        v = np.einsum("n,nki,nkj->ij", w, jx, jx)
-        v = v + damping * np.diag(np.diag(v)) + 1e-12 * np.eye(3)
-        d = np.array([steps.get(int(c), np.zeros(3)) for c in pdf["cam_id"]])
-        g = np.einsum("n,nki,nk->i", w, jx, r + np.einsum("nki,ni->nk", ja, d))
-        x = pdf[["x", "y", "z"]].iloc[0].to_numpy() - np.linalg.solve(v, g)
-        return pd.DataFrame([(pdf["track_id"].iloc[0], *x)], columns=["track_id", "x", "y", "z"])
+def errors(state: DataFrame, s: Settings | None = None) -> DataFrame:
+    """(track_id, cam_id, err): the reprojection error of each observation, without its weight."""
+    s = s or Settings()
 
-    return state.groupBy("track_id").applyInPandas(run, "track_id long, x double, y double, z double")
+    def run(parts):
+        for pdf in parts:
+            if len(pdf):
+                r, _, _, weight = _blocks(pdf, Settings(kind=s.kind))
+                yield pdf[["track_id", "cam_id"]].assign(err=np.sqrt((r**2).sum(1)) / weight)
 
+    return state.mapInPandas(run, "track_id long, cam_id long, err double")
 
-def errors(state: DataFrame) -> DataFrame:
-    """(track_id, cam_id, err): the reprojection error of each observation."""
 
+def _cost(state: DataFrame, s: Settings) -> float:
     def run(parts):
         for pdf in parts:
             if len(pdf):
-                yield pdf[["track_id", "cam_id"]].assign(err=np.sqrt((_blocks(pdf)[0] ** 2).sum(1)))
-
-    return state.mapInPandas(run, "track_id long, cam_id long, err double")
+                yield pd.DataFrame({"cost": [float(_loss((_blocks(pdf, Settings(kind=s.kind))[0] ** 2).sum(1), s)[0].sum())]})
+
+    return float(state.mapInPandas(run, "cost double").agg(F.sum("cost")).first()[0] or 0.0)
+
+
+def solve_blocks(blocks: dict[tuple[int, int], np.ndarray], rhs: dict[int, np.ndarray], sizes: dict[int, int], dense: int = DENSE) -> dict[int, np.ndarray]:
+    """The step of each owner of unknowns: the system's blocks (i, j) and right sides by owner."""
+    if not sizes:
+        return {}
+    first, n = {}, 0
+    for k in sorted(sizes):
+        first[k], n = n, n + sizes[k]
+    b = np.zeros(n)
+    for k, v in rhs.items():
+        b[first[k] : first[k] + sizes[k]] += v[: sizes[k]]
+    if n <= dense:
+        a = np.zeros((n, n))
+        for (i, j), m in blocks.items():
+            a[first[i] : first[i] + sizes[i], first[j] : first[j] + sizes[j]] += m[: sizes[i], : sizes[j]]
+        x = -np.linalg.lstsq(a, b, rcond=None)[0]
+    else:
+        w = max(sizes.values())
+        rows = np.array([[first[i] + (r if r < sizes[i] else 0) for r in range(w)] for i, _ in blocks])
+        cols = np.array([[first[j] + (r if r < sizes[j] else 0) for r in range(w)] for _, j in blocks])
+        m = np.stack([np.pad(v[: sizes[i], : sizes[j]], ((0, w - sizes[i]), (0, w - sizes[j]))) for (i, j), v in blocks.items()])
+        scale = np.zeros(n)
+        for (i, j), v in blocks.items():
+            if i == j:
+                scale[first[i] : first[i] + sizes[i]] = 1 / np.maximum(np.diag(v)[: sizes[i]], 1e-300)
+
+        def times(v: np.ndarray) -> np.ndarray:
+            out = np.zeros(n)
+            np.add.at(out, rows, np.einsum("nij,nj->ni", m, v[cols]))
+            return out
+
+        x, r = np.zeros(n), -b
+        z = scale * r
+        p, rz = z, r @ z
+        for _ in range(2 * n):
+            ap = times(p)
+            alpha = rz / max(p @ ap, 1e-300)
+            x, r = x + alpha * p, r - alpha * ap
+            if np.linalg.norm(r) <= 1e-10 * np.linalg.norm(b):
+                break
+            z = scale * r
+            p, rz = z + (r @ z) / rz * p, r @ z
+    return {k: x[first[k] : first[k] + sizes[k]] for k in sizes}
 
 
-def adjust(spark: SparkSession, obs: DataFrame, points: DataFrame, models: DataFrame, centres: DataFrame, keep, fixed: set[int] = frozenset(), settings: Settings | None = None):
-    """(angles by camera, points, costs): the refined scene.
+def adjust(spark: SparkSession, obs: DataFrame, points: DataFrame, models: DataFrame, centres: DataFrame | None, keep, fixed: set[int] = frozenset(), settings: Settings | None = None):
+    """(parameters by camera, points, costs): the refined scene.
 
-    obs (track_id, cam_id, col, row), points (track_id, x, y, z), centres (cam_id, cx, cy, cz);
-    `keep(df)` writes a table to the shared folder and reads it back, which ends each round's
-    lineage. `fixed` cameras keep their angles.
+    obs (track_id, cam_id, col, row, and weight where observations count unequally), points (track_id, x,
+    y, z), centres (cam_id, cx, cy, cz). models: sensor models, whose parameters start from zero, or, for
+    the other kinds, (cam_id, theta), the parameters to start from. `keep(df)` writes a table to the shared
+    folder and reads it back, which ends each round's lineage. `fixed` cameras keep their parameters; so do
+    points whose track has `is_fixed` in `points`.
     """
     s = settings or Settings()
-    cams = [r.cam_id for r in models.select("cam_id").distinct().collect()]
-    angles, damping, costs = {c: np.zeros(3) for c in cams}, s.first_damping, []
-    free = {int(c) for c in cams if c not in fixed}
+    if s.kind == "rpc":
+        params = {int(r.cam_id): np.zeros(s.size) for r in models.select("cam_id").distinct().collect()}
+    else:
+        params = {int(r.cam_id): np.array(r.theta, float) for r in models.select("cam_id", "theta").collect()}
+    if s.common and params:
+        shared = np.mean([v[s.common] for v in params.values()], axis=0)
+        params = {c: _put(v, s.common, shared) for c, v in params.items()}
+    damping, costs = s.first_damping, []
+    free = {c for c in params if c not in fixed} if s.own else set()
+    held = points.where("is_fixed").select("track_id") if "is_fixed" in points.columns else None
     points = keep(points.select("track_id", "x", "y", "z"))
-    slot = {c: i for i, c in enumerate(sorted(free))}
+    sizes = {c: len(s.own) for c in free} | ({COMMON: len(s.common)} if s.common else {})
+    width = max(len(s.own), len(s.common), 1)
     for _ in range(s.rounds):
-        state = _state(spark, obs, points, models, angles, centres)
-        rows = _reduced(state, free, damping, s.soft).collect()  # cameras' pairs, not observations
+        state = _state(spark, obs, points, models, params, centres, s)
+        rows = _reduced(state, free, damping, s).collect()  # cameras' pairs, not observations
         costs = costs or [sum(r.cost for r in rows)]
-        a, b = np.zeros((3 * len(slot),) * 2), np.zeros(3 * len(slot))
-        for r in rows:
-            if r.ci >= 0:
-                i, j = 3 * slot[r.ci], 3 * slot[r.cj]
-                a[i : i + 3, j : j + 3] += np.array(r.block).reshape(3, 3)
-                b[i : i + 3] += np.array(r.rhs)
-        d = -np.linalg.lstsq(a, b, rcond=None)[0] if len(slot) else np.zeros(0)
-        steps = {c: d[3 * i : 3 * i + 3] for c, i in slot.items()}
-        tried = {c: v + steps.get(int(c), 0.0) for c, v in angles.items()}
-        moved = keep(_moved(state, steps, damping, s.soft))
-        e = errors(_state(spark, obs, moved, models, tried, centres))
-        cost = float(_cost(e, s.soft))
+        blocks = {(r.ci, r.cj): np.array(r.block).reshape(width, width) for r in rows if r.ci != -1}
+        rhs = {r.ci: np.array(r.rhs) for r in rows if r.ci == r.cj != -1}
+        seen = {k: n for k, n in sizes.items() if (k, k) in blocks}
+        steps = solve_blocks(blocks, rhs, seen)
+        if s.common:
+            steps.setdefault(COMMON, np.zeros(len(s.common)))
+        tried = {c: _put(v, s.own, v[s.own] + steps[c]) if c in steps else v for c, v in params.items()}
+        if s.common:
+            tried = {c: _put(v, s.common, v[s.common] + steps[COMMON]) for c, v in tried.items()}
+        moved = _moved(state, steps, damping, s)
+        if held is not None:
+            moved = moved.join(held, "track_id", "left_anti").unionByName(points.join(held, "track_id", "left_semi"))
+        moved = keep(moved)
+        cost = _cost(_state(spark, obs, moved, models, tried, centres, s), s)
         if cost < costs[-1]:
             done = (costs[-1] - cost) < s.ftol * costs[-1]
-            angles, points, damping = tried, moved, damping / 3
+            params, points, damping = tried, moved, damping / 3
             costs.append(cost)
             if done:
                 break
@@ -154,9 +335,11 @@ def adjust(spark: SparkSession, obs: DataFrame, points: DataFrame, models: DataF
             damping *= 10
             if damping > 1e8:
                 break
-    return angles, points, costs
+    return params, points, costs
+
 
+def _put(v: np.ndarray, at: list[int], values: np.ndarray) -> np.ndarray:
+    out = v.copy()
+    out[at] = values
+    return out
 
-def _cost(e: DataFrame, soft: bool) -> float:
-    r2 = F.col("err") * F.col("err")
-    return e.agg(F.sum(2 * (F.sqrt(1 + r2) - 1) if soft else r2)).first()[0]

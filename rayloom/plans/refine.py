@@ -47,7 +47,7 @@ def first_points(obs: DataFrame, pairs: DataFrame, models: DataFrame) -> DataFra
 def corrected_models(models: DataFrame, centres: DataFrame, angles: dict[int, np.ndarray], n: int = 10) -> DataFrame:
     """Models fitted to what the corrected cameras see of their own ground grids."""
     spark = models.sparkSession
-    turn = spark.createDataFrame([(int(k), *map(float, v)) for k, v in angles.items()], "cam_id long, a0 double, a1 double, a2 double")
+    turn = spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in angles.items()], "cam_id long, theta array<double>")
     ground = geometry.localize(geometry.grid(models, n), models)
     rows = geometry._with_models(ground.select("cam_id", "id", "lon", "lat", "alt"), models).join(centres, "cam_id").join(turn, "cam_id")
 
@@ -56,7 +56,7 @@ def corrected_models(models: DataFrame, centres: DataFrame, angles: dict[int, np
             for _, g in pdf.groupby("cam_id"):
                 one = g.iloc[0]
                 x = kernels.ecef(g["lon"].to_numpy(), g["lat"].to_numpy(), g["alt"].to_numpy()).T
-                at = solve._see(geometry._model(one), x, np.array([one["a0"], one["a1"], one["a2"]]), np.array([one["cx"], one["cy"], one["cz"]]))
+                at = solve._see(geometry._model(one), x, np.array(one["theta"], float), np.array([one["cx"], one["cy"], one["cz"]]))
                 yield pd.DataFrame({"cam_id": g["cam_id"], "lon": g["lon"], "lat": g["lat"], "alt": g["alt"], "col": at[:, 0], "row": at[:, 1]})
 
     return geometry.fit_models(rows.mapInPandas(see, "cam_id long, lon double, lat double, alt double, col double, row double"))

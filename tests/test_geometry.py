@@ -178,3 +178,68 @@ def test_polygons_and_clouds(spark, tmp_path):
     cloud = files.point_cloud_lines(spark.createDataFrame([(1.0, 2.0, 1e-5), (4.0, 5.0, 6e10)], "x double, y double, z double"))
     cloud.orderBy("i").select("value").coalesce(1).write.text(f"{tmp_path}/c")
     assert sorted(tuple(r) for r in files.read_point_cloud(spark, f"{tmp_path}/c").collect()) == [(1.0, 2.0, 1e-5), (4.0, 5.0, 6e10)]
+
+
+def scene(kind: str):
+    """Cameras around a cloud of points: parameters, points and what is seen."""
+    draw = np.random.default_rng(21)
+    x = draw.uniform(-1, 1, (40, 3))
+    theta = {}
+    for k in range(5):
+        turn = draw.normal(scale=0.4, size=3)
+        theta[k] = np.r_[turn, draw.normal(scale=0.1, size=2), [6.0, 900.0, 905.0, 0.5, 500.0, 400.0]] if kind == "perspective" else np.r_[turn, draw.normal(scale=0.1, size=2), [300.0, 310.0, 0.4]]
+    obs = [(t, k, *map(float, solve._see(None, x[t : t + 1], v, None, kind)[0])) for k, v in theta.items() for t in range(len(x)) if (t + k) % 4]
+    return theta, x, obs
+
+
+@pytest.mark.parametrize(("kind", "correct"), [("perspective", ("R",)), ("perspective", ("R", "T")), ("perspective", ("R", "T", "COMMON_K")), ("affine", ("R", "T")), ("affine", ("R", "K"))])
+def test_solver_recovers_matrices(spark, kind, correct):
+    theta, x, obs = scene(kind)
+    s = solve.Settings(kind=kind, correct=correct, rounds=12, ftol=1e-9)
+    o = spark.createDataFrame(obs, "track_id long, cam_id long, col double, row double")
+    pts = spark.createDataFrame([(t, *map(float, v + g.normal(scale=0.01, size=3))) for t, v in enumerate(x)], "track_id long, x double, y double, z double")
+    off = {k: v.copy() for k, v in theta.items()}
+    for k in (1, 2, 3):
+        off[k][[0, 1, 2]] += g.normal(scale=0.01, size=3)
+        if "T" in correct:
+            off[k][[3, 4]] += g.normal(scale=0.01, size=2)
+        if "K" in correct:
+            off[k][5:7] *= 1.01
+    if "COMMON_K" in correct:
+        for v in off.values():
+            v[6:8] *= 1.01
+    start = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in off.items()], "cam_id long, theta array<double>")
+    params, moved, costs = solve.adjust(spark, o, pts, start, None, kept, fixed={0, 4}, settings=s)
+    assert costs[-1] < 1e-3 * costs[0] and costs[-1] < 1e-2 * len(obs)
+    assert (params[0][:6] == off[0][:6]).all()
+    if "COMMON_K" in correct:
+        assert all((v[6:] == params[0][6:]).all() for v in params.values()) and abs(params[0][6] - 900) < abs(off[0][6] - 900) / 3
+
+
+def test_weights_and_fixed_points(spark):
+    """A camera that counts much pulls the others; points that are fixed stay."""
+    theta, x, obs = scene("perspective")
+    s = solve.Settings(kind="perspective", correct=("R",), rounds=3)
+    o = spark.createDataFrame([(*r, 5.0 if r[1] == 1 else 1.0) for r in obs], "track_id long, cam_id long, col double, row double, weight double")
+    pts = spark.createDataFrame([(t, *map(float, v + 0.01), t < 5) for t, v in enumerate(x)], "track_id long, x double, y double, z double, is_fixed boolean")
+    start = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in theta.items()], "cam_id long, theta array<double>")
+    _, moved, costs = solve.adjust(spark, o, pts, start, None, kept, fixed={0}, settings=s)
+    got = {r.track_id: (r.x, r.y, r.z) for r in moved.collect()}
+    assert all(np.allclose(got[t], x[t] + 0.01) for t in range(5)) and not np.allclose(got[7], x[7] + 0.01, atol=1e-4)
+    e = {r.cam_id: r.e for r in solve.errors(solve._state(spark, o, moved, start, theta, None, s), s).groupBy("cam_id").agg(F.avg("err").alias("e")).collect()}
+    assert len(e) == 5 and costs[-1] < costs[0]
+
+
+def test_block_gradients_are_the_dense_solution():
+    draw = np.random.default_rng(3)
+    a = draw.normal(size=(30, 30))
+    a = a @ a.T + np.eye(30)
+    b = draw.normal(size=30)
+    ends = {0: (0, 6), 1: (6, 12), 2: (12, 18), 3: (18, 24), solve.COMMON: (24, 30)}
+    blocks = {(i, j): a[slice(*p), slice(*q)] for i, p in ends.items() for j, q in ends.items()}
+    rhs = {i: b[slice(*p)] for i, p in ends.items()}
+    sizes = {i: 6 for i in ends}
+    one, two = (solve.solve_blocks(blocks, rhs, sizes, dense) for dense in (100, 1))
+    assert all(np.allclose(one[k], two[k], atol=1e-7) and np.allclose(one[k], -np.linalg.solve(a, b)[slice(*ends[k])]) for k in ends)
+    with pytest.raises(ValueError):
+        solve.Settings(correct=("K", "COMMON_K"))
