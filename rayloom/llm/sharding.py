@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, scratch
 
-SHARDS, SEED, BUCKET_ROWS, BUCKET_BYTES = 40, 20240, 20_000, 1 << 25
+SHARDS, SEED, BUCKET_ROWS, BUCKET_BYTES, PARTS = 40, 20240, 20_000, 1 << 25, 1 << 20
 
 
 def byte_size(text: Column) -> Column:
@@ -48,20 +48,21 @@ def external_shuffle(df: DataFrame, size: Column | None = None, shards: int = SH
     n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     buckets = max(1, math.ceil(n / bucket_rows), math.ceil(total / bucket_bytes))
     rows = df.select(F.struct(F.xxhash64(F.lit(seed), *cols).alias("draw"), F.struct(*cols).alias("row")).alias("rec"), size.cast("long").alias("size"))
-    rows = rows.withColumns({"bucket": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("rec.draw")), F.lit(buckets)).cast("int"), "part": F.lit(0)})
-    tally = lambda r: cut(r.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "buckets")
+    # one key of bucket and part, so that the exchange below serves the join too
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("rec.draw")), F.lit(buckets)) * PARTS)
+    tally = lambda r: cut(r.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "buckets")
     counts = tally(rows)
     parts = F.ceil(F.greatest(F.col("n") / (2 * bucket_rows), F.col("bytes") / (2 * bucket_bytes)))
-    crowded = counts.select("bucket", parts.cast("int").alias("parts")).where("parts > 1")
+    crowded = counts.select("bucket", F.least(parts, F.lit(PARTS)).alias("parts")).where("parts > 1")
     if not crowded.isEmpty():
-        place = F.pmod(F.xxhash64(F.lit(seed + 2), F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).cast("int")
-        rows = cut(rows.drop("part").join(crowded, "bucket", "left").withColumn("part", place).drop("parts"), "scatter")
+        place = F.pmod(F.xxhash64(F.lit(seed + 2), F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
+        rows = cut(rows.join(crowded, "bucket", "left").withColumn("bucket", F.col("bucket") + place).drop("parts"), "scatter")
         counts = tally(rows)
-    upto = W.orderBy("bucket", "part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(F.col("bucket").alias("b"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    dealt = rows.groupBy("bucket", "part").agg(F.array_sort(F.collect_list("rec"), lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).otherwise(0)).alias("recs"))
+    upto = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    dealt = rows.groupBy("bucket").agg(F.array_sort(F.collect_list("rec"), lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).otherwise(0)).alias("recs"))
     # both sides are dealt by bucket already; the merge join leaves the buckets in order
-    ordered = dealt.join(offsets.hint("merge"), (dealt["bucket"] == offsets["b"]) & (dealt["part"] == offsets["p"]))
+    ordered = dealt.join(offsets.hint("merge"), dealt["bucket"] == offsets["b"])
     mixed = ordered.select("before", F.posexplode(F.shuffle("recs", F.lit(seed))).alias("i", "rec"))
     placed = mixed.withColumn("g", F.col("before") + F.col("i"))
     placed = placed.withColumn("shard", F.expr(f"(g * {shards}) div {max(n, 1)}").cast("int"))
