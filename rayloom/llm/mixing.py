@@ -72,7 +72,10 @@ def mix(df: DataFrame, key: str, source: str, size: Column, weights: tuple[int,
     t = targets(sizes, weights, cap).withColumn("__name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     placed = running(groups, group, "n", "before")
     start = placed.groupBy("__name").agg(F.min("before").alias("start"))
-    plan = placed.join(t.join(start, "__name"), "__name").withColumn("first", F.col("before") - F.col("start"))
+    # the rows of one source meet their target sixteen ways
+    slots = F.explode(F.array(*[F.lit(f"{k:x}") for k in range(16)])).alias("__slot")
+    sources = t.join(start, "__name").select("*", slots)
+    plan = placed.withColumn("__slot", F.substring("__sub", 1, 1)).join(sources, ["__name", "__slot"]).withColumn("first", F.col("before") - F.col("start"))
     plan = plan.select(*group, *[F.col(c).alias(f"__p_{c}") for c in ("first", "source_size", "weight", "target")])
     own = d.join(plan, group)
     inside = F.row_number().over(W.partitionBy(*group).orderBy("__draw", key)) - 1
