@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .bpe import byte_symbols, young_letters
 from .common import cut, scratch
 
-END_ID, DOCS_PER_FILE, LEVEL, CACHE_WORDS = 2, 10_000, 1, 800_000
+END_ID, DOCS_PER_FILE, LEVEL, CACHE_WORDS, JOINT = 2, 10_000, 1, 800_000, 50
 #: Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: A space inside or at the end of a run of white space. Python's \s holds all of the pattern's.
@@ -87,12 +87,41 @@ class WordEncoder:
 
     def learn(self) -> None:
         new = list(islice(self.code, len(self.sizes), None))
-        if new:
-            self.odd |= {self.code[w] for w in new if isinstance(w, str) and not w.isascii() and not self.young.isdisjoint(w)}
-            self.odd |= {self.code[w] for w in new if isinstance(w, tuple) and not self.young.isdisjoint(w[0])}
-            ids, starts, sizes = self.encode_words([w[0] if isinstance(w, tuple) else " " + w for w in new])
-            self.starts = np.r_[self.starts, starts + len(self.ids)]
-            self.sizes, self.ids = np.r_[self.sizes, sizes], np.r_[self.ids, ids]
+        if not new:
+            return
+        texts = [w[0] if isinstance(w, tuple) else w for w in new]
+        self.odd |= {self.code[w] for w, t in zip(new, texts, strict=True) if not t.isascii() and not self.young.isdisjoint(t)}
+        alone = np.array([isinstance(w, tuple) or not w or w[0].isspace() for w in new])
+        starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        flat: list[np.ndarray] = []
+        n, joint = len(self.ids), np.flatnonzero(~alone)
+        for lo in range(0, len(joint), 20 * JOINT):
+            some = joint[lo : lo + 20 * JOINT]
+            n = self.encode_joint(texts, some, starts, sizes, flat, alone, n)
+        rest = np.flatnonzero(alone).tolist()
+        for lo in range(0, len(rest), 500):  # the library's encodings are large beside their ids
+            some = rest[lo : lo + 500]
+            for i, e in zip(some, self.lib.encode_batch_fast([texts[i] if isinstance(new[i], tuple) else " " + texts[i] for i in some], add_special_tokens=False), strict=True):
+                flat.append(np.array(e.ids, np.uint32))
+                starts[i], sizes[i] = n, len(flat[-1])
+                n += len(flat[-1])
+        self.starts, self.sizes, self.ids = np.r_[self.starts, starts], np.r_[self.sizes, sizes], np.concatenate([self.ids, *flat])
+
+    def encode_joint(self, texts: list[str], some: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: list[np.ndarray], alone: np.ndarray, n: int) -> int:
+        """Words that follow a space and begin with none, `JOINT` to a text of the library's: the tokens that
+        begin with a space part them again. Where these are more or fewer, the words go on `alone`."""
+        chunks = [some[lo : lo + JOINT] for lo in range(0, len(some), JOINT)]
+        made = [e.ids for e in self.lib.encode_batch_fast([" " + " ".join([texts[i] for i in c.tolist()]) for c in chunks], add_special_tokens=False)]
+        for c, e in zip(chunks, made, strict=True):
+            ids = np.array(e, np.uint32)
+            heads = np.flatnonzero(self.spaced[ids])
+            if len(heads) == len(c):
+                starts[c], sizes[c] = heads + n, np.diff(heads, append=len(ids))
+                flat.append(ids)
+                n += len(ids)
+            else:
+                alone[c] = True
+        return n
 
     def parts(self, text: str) -> list:
         """The words of a text; one that follows a space is a string without it, others are (word,)."""
@@ -101,35 +130,6 @@ class WordEncoder:
         first, *rest = text.split(" ")
         return [(first,), *rest] if first else rest
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The library's ids of the words in one array, each word's start there and its size.
-
-        Words that begin with their only space are given to the library as one text, few at a
-        time; the tokens that begin with a space part them again.
-        """
-        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        flat, n, rest = [], 0, []
-        joint = np.array([i for i, w in enumerate(words) if w[:1] == " " and not w[1:2].isspace() and len(w) > 1], np.int64)
-        for lo in range(0, len(joint), 500):
-            some = joint[lo : lo + 500]
-            ids = np.array(self.lib.encode("".join([words[i] for i in some]), add_special_tokens=False).ids, np.uint32)
-            heads = np.flatnonzero(self.spaced[ids])
-            if len(heads) == len(some):
-                starts[some], sizes[some] = heads + n, np.diff(np.r_[heads, len(ids)])
-                flat.append(ids)
-                n += len(ids)
-            else:
-                rest += some.tolist()
-        rest += np.setdiff1d(np.arange(len(words)), joint).tolist()
-        for lo in range(0, len(rest), 500):  # the library's encodings are large beside their ids
-            some = rest[lo : lo + 500]
-            for i, e in zip(some, self.lib.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.uint32)
-                starts[i], sizes[i] = n, len(ids)
-                flat.append(ids)
-                n += len(ids)
-        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), starts, sizes
-
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         if len(self.code) > CACHE_WORDS:
             self.clear()
