@@ -90,12 +90,13 @@ def fit_models(samples: DataFrame) -> DataFrame:
     return samples.groupBy("cam_id").applyInPandas(fit, _fit_schema())
 
 
-def grid(models: DataFrame, n: int = 10) -> DataFrame:
-    """(cam_id, id, col, row, alt): an n x n x n grid over each model's image and heights."""
+def grid(models: DataFrame, n: int = 10, margin: float = 0.0) -> DataFrame:
+    """(cam_id, id, col, row, alt): an n x n x n grid over each model's image, `margin` pixels beyond it on
+    all sides, and its heights."""
     at = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     g = models.select("cam_id", *[f"{k}_{s}" for k in ("col", "row", "alt") for s in ("off", "scale")], at.alias("a"))
     g = g.select("*", at.alias("b")).select("*", at.alias("c"))
-    place = lambda k, i: F.col(f"{k}_off") + F.col(f"{k}_scale") * (2 * F.col(i) / (n - 1) - 1)
+    place = lambda k, i: F.col(f"{k}_off") + (F.col(f"{k}_scale") + (0.0 if k == "alt" else float(margin))) * (2 * F.col(i) / (n - 1) - 1)
     return g.select("cam_id", ((F.col("a") * n + F.col("b")) * n + F.col("c")).cast("long").alias("id"), place("col", "a").alias("col"), place("row", "b").alias("row"), place("alt", "c").alias("alt"))
 
 
@@ -191,3 +192,35 @@ def covered(samples: DataFrame, crops: DataFrame) -> DataFrame:
     for e in ends[1:]:
         all_in = all_in & inside(*e)
     return c.select("cam_id", (all_in & (F.size("r") > 2)).alias("covered"))
+
+
+def affine_approximated(models: DataFrame) -> DataFrame:
+    """(cam_id, p): the affine matrix with each model's value and derivatives at the middle of its ground."""
+
+    def run(parts):
+        for pdf in parts:
+            p = [kernels.affine_approximation(_model(r), r["lon_off"], r["lat_off"], r["alt_off"])[:3] for _, r in pdf.iterrows()]
+            yield pd.DataFrame({"cam_id": pdf["cam_id"], "p": [[list(map(float, v)) for v in m] for m in p]})
+
+    return models.select("cam_id", *FIELDS).mapInPandas(run, "cam_id long, p array<array<double>>")
+
+
+def epipolar_lines(pairs: DataFrame, models: DataFrame) -> DataFrame:
+    """Pairs (cam_i, cam_j) with `f`: the nine numbers of x_j' F x_i = 0, of both models' affine
+    approximations at the middle of image i's ground."""
+
+    def run(parts):
+        for pdf in parts:
+            out = []
+            for _, r in pdf.iterrows():
+                a, b = _model(r, "i_"), _model(r, "j_")
+                p = [kernels.affine_approximation(m, a["lon_off"], a["lat_off"], a["alt_off"]) for m in (a, b)]
+                # about that ground point, so that the numbers stay small
+                x = kernels.ecef(a["lon_off"], a["lat_off"], a["alt_off"])
+                two = [np.vstack([np.c_[m[:2, :3], m[:2, :3] @ x + m[:2, 3]], [0, 0, 0, 1]]) for m in p]
+                f = kernels.fundamental(*two)
+                out.append((f / np.abs(f).max()).ravel().tolist())
+            yield pdf[["cam_i", "cam_j"]].assign(f=out)
+
+    rows = _with_models(_with_models(pairs.select("cam_i", "cam_j"), models, "cam_i", "i_"), models, "cam_j", "j_")
+    return rows.mapInPandas(run, "cam_i long, cam_j long, f array<double>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +11,16 @@ from pyspark.sql import functions as F
 from ..operators import outliers, solve, tracks
 
 
-def robust(spark: SparkSession, obs: DataFrame, points: DataFrame, models: DataFrame, centres: DataFrame, keep: Callable[[DataFrame], DataFrame], fixed: set[int] = frozenset()):
+def robust(spark: SparkSession, obs: DataFrame, points: DataFrame, models: DataFrame, centres: DataFrame, keep: Callable[[DataFrame], DataFrame], fixed: set[int] = frozenset(), settings: solve.Settings | None = None):
     """Soft L1 first, then outliers by each camera's elbow go, then squared loss on what is left:
     tracks that keep two observations."""
-    angles, moved, _ = solve.adjust(spark, obs, points, models, centres, keep, fixed, solve.Settings(soft=True))
-    err = keep(solve.errors(solve._state(spark, obs, moved, models, angles, centres)))
+    s = settings or solve.Settings()
+    angles, moved, _ = solve.adjust(spark, obs, points, models, centres, keep, fixed, replace(s, soft=True))
+    err = keep(solve.errors(solve._state(spark, obs, moved, models, angles, centres, s), s))
     good = outliers.inliers(err.withColumnRenamed("cam_id", "grp")).select("track_id", F.col("grp").alias("cam_id"))
     left = obs.join(good, ["track_id", "cam_id"], "left_semi")
     left = keep(left.join(tracks.valid_tracks(left), "track_id", "left_semi"))
-    return solve.adjust(spark, left, points, models, centres, keep, fixed), left
+    return solve.adjust(spark, left, points, models, centres, keep, fixed, s), left
 
 
 def by_date(spark: SparkSession, dates: dict[int, set[int]], obs: DataFrame, points: DataFrame, models: DataFrame, centres: DataFrame, keep: Callable[[DataFrame], DataFrame], back: int = 1) -> dict:
