@@ -26,9 +26,9 @@ def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame
     return out.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__before", "__own")
 
 
-def ranked(df: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     """`rank` from 1 over all rows in the given order."""
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumns({"__p": F.shiftright("__id", 33), "__i": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
     ranged = kept(ranged, "ranges")
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
