@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import cameras, geodesy, names, poses, rotation
 from ..operators import footprints, geometry, matching, pairs, plane, summaries, tracks
 from ..session import kept, table
-from .catalog import FUND, LL, N_SQL, OBS, RPC, _angles, _lonlat, _r, _terms, cams, kps, obs, query
+from .catalog import FUND, LL, N_SQL, OBS, RPC, _lonlat, _poly, _r, _terms, cams, kps, obs, query
 
 # SQL of UTM, with the series' numbers
 _radius, _forward, _ = geodesy._series()
@@ -554,3 +554,18 @@ def epipolar_match(spark, d):
     k = kps(spark, d).withColumns({"x": F.col("desc")[0].cast("double"), "y": F.col("desc")[1].cast("double")})
     both = pairs.all_pairs(k.select("cam_id").distinct()).withColumn("f", F.array(*[F.lit(v) for v in _F9]))
     return matching.epipolar_match(k, both, 0.05, 0.95).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH {LL}, n AS (SELECT c_custkey, lon / 180.0 x, lat / 90.0 y, alt / 10000.0 z FROM g) SELECT c_custkey, round({_poly(RPC['col_num'])} / {_poly(RPC['col_den'])} * 510.0 + 500.0, 4) col, round({_poly(RPC['row_num'])} / {_poly(RPC['row_den'])} * 410.0 + 400.0, 4) \"row\" FROM n")
+def projected_points(spark, d):
+    """Geocentric points seen by a camera whose kind is a parameter."""
+    x = geodesy.to_ecef(F.col("lat"), F.col("lon"), F.col("alt"))
+    p = _lonlat(spark, d).select("c_custkey", *[c.alias(k) for c, k in zip(x, "xyz", strict=True)])
+    col, row = cameras.project("rpc", RPC, [F.col(k) for k in "xyz"])
+    return p.select("c_custkey", F.round(col, 4).alias("col"), F.round(row, 4).alias("row"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(sqrt(power(l_quantity - l_tax * 100, 2) + power(l_linenumber - l_discount * 10, 2)), 6) err FROM lineitem")
+def fit_errors(spark, d):
+    s = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_tax") * 100).alias("col"), (F.col("l_discount") * 10).alias("row"), F.col("l_quantity").alias("col_fit"), F.col("l_linenumber").alias("row_fit"))
+    return summaries.fit_errors(s).select("l_orderkey", "l_linenumber", F.round("err", 6).alias("err"))
