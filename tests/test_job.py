@@ -46,7 +46,7 @@ def series(spark):
 
 def test_date_after_date_goes_on(spark, series, tmp_path):
     images, models, kps = series
-    j = jobs.Job(out=f"{tmp_path}/a", method="by_date", filter_pairs=False, ransac_trials=50, slack=100.0, fit_grid=5, rounds=4, clean_outliers=False, fix_reference=True)
+    j = jobs.Job(out=f"{tmp_path}/a", method="by_date", filter_pairs=False, ransac_trials=50, slack=100.0, fit_grid=4, rounds=3, clean_outliers=False, fix_reference=True)
     first = jobs.run(spark, j, images.where("ts < '2024-01-02'"), models, kps).collect()
     assert [(r.date_id, r.n_images, r.n_tracks > 30) for r in first] == [("20240101_000000", 2, True)]
     both = jobs.run(spark, jobs.Job(**{**j.__dict__, "reset": False}), images, models, kps).collect()
@@ -58,7 +58,7 @@ def test_date_after_date_goes_on(spark, series, tmp_path):
 def test_all_dates_with_selected_tracks(spark, series, tmp_path):
     images, models, kps = series
     stored = spark.createDataFrame([(f"{i:02d}_img", f"{k:02d}_img", t, t) for i in range(4) for k in range(i) for t in range(45)], "image_i string, image_j string, kp_i long, kp_j long")
-    j = jobs.Job(out=f"{tmp_path}/b", method="windowed", matcher="stored", filter_pairs=False, select=12, fit_grid=5, rounds=3, clean_outliers=False, most_first_error=500.0)
+    j = jobs.Job(out=f"{tmp_path}/b", method="windowed", matcher="stored", filter_pairs=False, select=12, fit_grid=4, rounds=2, clean_outliers=False, most_first_error=500.0)
     r = jobs.run(spark, j, images, models, kps, stored).first()
     assert r.n_images == 4 and 5 <= r.n_tracks <= 45 and r.mean_after < r.mean_before
     e = spark.read.parquet(f"{tmp_path}/b/errors")
