@@ -196,3 +196,26 @@ def test_repeats_win_over_clashing_names(spark):
     out = repeats.remove_repeats(df, ["doc_id", "n_bytes", "__text"])
     assert out.columns == ["doc_id", "__text", "n_bytes", "n_removed", "n_spans", "kept", "shares_passage"]
     assert (out.first().n_bytes, out.first()["__text"]) == (2, "y")
+
+
+@pytest.mark.parametrize("dims", [64, 128])
+def test_recall_with_the_tables_of_large_inputs(dims):
+    """Pairs at cosine 0.95 to 0.96, looked up with as many tables as 2 thousand to 10^10 codes get."""
+    g = np.random.default_rng(9)
+    x = g.normal(size=(10_000, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean, p = embeddings.fit(x, rounds=20)
+    a = x[:5000]
+    side = g.normal(size=a.shape)
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = g.uniform(0.95, 0.96, (len(a), 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * side
+    differ = ((a - mean) @ p > 0) != ((b - mean) @ p > 0)
+    bits = differ.shape[1]
+    for n in (2_000, 60_000, 10**6, 10**8, 10**10):
+        tables = min(bits, max(2, round(bits / np.log2(n))))
+        edges = [bits * i // tables for i in range(tables + 1)]
+        per = np.stack([differ[:, lo:hi].sum(1) for lo, hi in zip(edges, edges[1:], strict=False)])
+        found = (per.min(axis=0) <= max(1, embeddings.REACH // tables)) & (differ.sum(1) <= embeddings.RADIUS)
+        assert found.mean() >= 0.95, (n, tables)
