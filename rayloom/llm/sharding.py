@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, scratch
 
-SHARDS, SEED, BUCKET_ROWS, BUCKET_BYTES, PARTS = 40, 20240, 20_000, 1 << 25, 1 << 20
+SHARDS, SEED, BUCKET_ROWS, BUCKET_BYTES, PARTS, MOST_TASKS = 40, 20240, 20_000, 1 << 25, 1 << 20, 20_000
 
 
 def byte_size(text: Column) -> Column:
@@ -60,6 +60,8 @@ def external_shuffle(df: DataFrame, size: Column | None = None, shards: int = SH
         counts = tally(rows)
     upto = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    # a task has one bucket at a time, or a few where there are more than a shuffle has partitions
+    rows = rows.repartition(min(buckets, MOST_TASKS), "bucket")
     dealt = rows.groupBy("bucket").agg(F.array_sort(F.collect_list("rec"), lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).otherwise(0)).alias("recs"))
     # both sides are dealt by bucket already; the merge join leaves the buckets in order
     ordered = dealt.join(offsets.hint("merge"), dealt["bucket"] == offsets["b"])
