@@ -192,7 +192,16 @@ def frames(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 cols = [part.column(0), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([width] * len(raw), pa.int32()), pa.array(sums := np.fromiter(map(_xxh64, raw), np.int64, len(raw))), pa.array(map(pack.compress, raw), pa.binary()), pa.array(files(part.column(0), sums))]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "n_tokens", "width", "checksum", "frame", "file_no"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_tokens long, width int, checksum long, frame binary, file_no int")
+    def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
+        gc.disable()  # no cycles are made here, and each collection would walk through all words that are held
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(uncollected, "key long, n_tokens long, width int, checksum long, frame binary, file_no int")
 
 
 def write(docs: DataFrame, path: str, to: str, key: str = "doc_id", docs_per_file: int = DOCS_PER_FILE, end_id: int = END_ID) -> DataFrame:
