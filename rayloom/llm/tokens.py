@@ -125,7 +125,7 @@ class WordEncoder:
 
     def parts(self, text: str) -> list:
         """The words of a text; one that follows a space is a string without it, others are (word,)."""
-        if "  " in text or (any(c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACE)) and INNER_SPACE.search(text)):
+        if "  " in text or (any(c[0] in text and c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACE)) and INNER_SPACE.search(text)):
             return [w[1:] if len(w) > 1 and w[0] == " " else (w,) for w in self.find(text)]
         first, *rest = text.split(" ")
         return [(first,), *rest] if first else rest
