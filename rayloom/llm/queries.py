@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embeddings, lines, minhash, mixing, quality, repeats, sharding, tokens, toxicity
+from . import bpe, codes, embeddings, lines, minhash, mixing, pieces, quality, repeats, resample, sharding, tokens, toxicity
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -63,10 +63,26 @@ def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
+def op11_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    out = pieces.encode(read(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    out = codes.compress(read(spark, d, "embeddings").select("vec_id", "embedding", "label"), "vec_id", "embedding", "label")
+    # a code has a byte a part, so its hexadecimal digits stand two by two
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_resample(spark: SparkSession, d: str) -> DataFrame:
+    out = resample.resample(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("text"))
+    return out.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline  # stands at the top of the repository and imports this subpackage
 
     return corpus_pipeline.run(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op5_embedding_dedup, op6_toxicity, op7_line_dedup, op8_minhash, op9_quality_rules, op10_suffix_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_shard_shuffle, op2_bpe, op3_token_files, op4_mix_sources, op5_embedding_dedup, op6_toxicity, op7_line_dedup, op8_minhash, op9_quality_rules, op10_suffix_dedup, op11_sentencepiece, op12_vector_codes, op13_resample, pipeline)}

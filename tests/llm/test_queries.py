@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from rayloom.llm.oracles import ORACLES
@@ -30,7 +31,7 @@ def docs(spark):
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = entry.queries()[name](spark, DATA)
     cur = con.execute(entry.oracle_sql()[name])
@@ -86,6 +87,16 @@ def test_op6(spark, docs):
     assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.8 * len(held)
 
 
+def test_op11(spark, docs):
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in rows(spark, "op11_sentencepiece")}
+    assert len(got) == len(docs)
+    for d in docs:
+        ids, r = lib.encode(d.text or "", add_eos=True), got[d.doc_id]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
 def test_op8(spark, docs):
     sets = {}
     for d in docs:
