@@ -1,7 +1,8 @@
 """Footprints of images on the ground and what follows from them: boxes, areas, crops, areas of interest.
 
-Rings are tables of points (group, i, x, y); unions are found edge by edge, so that a union of any
-number of footprints is a join and an aggregation, and no task holds them all.
+Rings are tables of points (group, i, x, y); unions are found edge by edge: an edge meets the rings
+whose boxes touch its own ring's, which the cells of `regions.box_pairs` find, so that a union of any
+number of footprints is joins and aggregations, and no task holds them all.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, kernels
-from . import geometry, polygons
+from ..session import kept
+from . import geometry, polygons, regions
 
 CORNERS = ((0, 0), (0, 1), (1, 1), (1, 0))
 
@@ -157,7 +159,9 @@ def union_border(rings: DataFrame, by: str, member: str) -> DataFrame:
     flip = lambda a, b: F.when(F.col("left"), F.col(a)).otherwise(F.col(b))
     e = e.select(by, member, "i", flip("x", "u").alias("x"), flip("y", "v").alias("y"), flip("u", "x").alias("u"), flip("v", "y").alias("v"))
     walls = e.groupBy(by, F.col(member).alias("other")).agg(F.collect_list(F.struct("x", "y", "u", "v")).alias("walls"), *[f(k).alias(f"{k}{j}") for k in "xy" for j, f in enumerate((F.min, F.max))])
-    met = e.join(walls, [by]).where(F.col(member) != F.col("other"))
+    near = regions.box_pairs(walls.drop("walls"), [by], "other")
+    near = near.select(by, F.explode(F.array(F.struct(F.col("a").alias(member), F.col("b").alias("other")), F.struct(F.col("b").alias(member), F.col("a").alias("other")))).alias("__p")).select(by, f"__p.{member}", "__p.other")
+    met = e.join(near, [by, member]).join(walls, [by, "other"])
     met = met.where((F.least("x", "u") <= F.col("x1")) & (F.greatest("x", "u") >= F.col("x0")) & (F.least("y", "v") <= F.col("y1")) & (F.greatest("y", "v") >= F.col("y0")))
     dx, dy = F.col("u") - F.col("x"), F.col("v") - F.col("y")
     # inside a wall's left: s0 + t (s1 - s0) > 0
@@ -191,7 +195,8 @@ def shared_parts(rings: DataFrame, by: str, member: str) -> DataFrame:
     that has an area in common; `member` numbers the pairs of a group."""
     r = rings.groupBy(by, member).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r"), *[f(k).alias(f"{k}{j}") for k in "xy" for j, f in enumerate((F.min, F.max))])
     a, b = (r.select(by, *[F.col(c).alias(f"{c}_{s}") for c in (member, "r", "x0", "x1", "y0", "y1")]) for s in "ab")
-    m = a.join(b, by).where(F.col(f"{member}_a") < F.col(f"{member}_b")).where("x0_a < x1_b and x0_b < x1_a and y0_a < y1_b and y0_b < y1_a")
+    near = regions.box_pairs(r.drop("r"), [by], member).toDF(by, f"{member}_a", f"{member}_b")
+    m = near.join(a, [by, f"{member}_a"]).join(b, [by, f"{member}_b"]).where("x0_a < x1_b and x0_b < x1_a and y0_a < y1_b and y0_b < y1_a")
     kind = rings.schema[by].dataType.simpleString()
 
     def cut(parts):
@@ -217,7 +222,9 @@ def footprint_pairs(rings: DataFrame, centres_: DataFrame) -> DataFrame:
     not meet have no overlap and no row."""
     r = rings.groupBy("cam_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r"), *[f(k).alias(f"{k}{j}") for k in "xy" for j, f in enumerate((F.min, F.max))])
     r = r.join(centres_, "cam_id").withColumn("footprint", F.transform("r", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    r = kept(r, "footprints")
     a, b = (r.select(*[F.col(c).alias(f"{c.removesuffix('_id')}_{s}") for c in ("cam_id", "footprint", "x0", "x1", "y0", "y1", "cx", "cy", "cz")]) for s in "ij")
-    m = a.join(b, F.col("cam_i") < F.col("cam_j")).where("x0_i < x1_j and x0_j < x1_i and y0_i < y1_j and y0_j < y1_i")
+    near = regions.box_pairs(r.select("cam_id", "x0", "x1", "y0", "y1"), [], "cam_id").toDF("cam_i", "cam_j")
+    m = near.join(a, "cam_i").join(b, "cam_j").where("x0_i < x1_j and x0_j < x1_i and y0_i < y1_j and y0_j < y1_i")
     far = F.sqrt(sum((F.pow(F.col(f"{c}_i") - F.col(f"{c}_j"), 2) for c in ("cx", "cy", "cz")), F.lit(0.0)))
     return polygons.overlap(m.select("cam_i", "cam_j", "footprint_i", "footprint_j")).join(m.select("cam_i", "cam_j", far.alias("baseline")), ["cam_i", "cam_j"])

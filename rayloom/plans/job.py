@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import footprints, geometry, matching, pairs, solve, summaries, tracks
+from ..operators import footprints, geometry, matching, pairs, regions, solve, summaries, tracks
 from ..session import kept
 from . import refine
 
@@ -48,7 +48,7 @@ class Job:
     ransac_trials: int = 1000
     slack: float | None = 5.0  # metres over the elbow that matched keypoints may lie apart, None: any
     most_keypoints: int = 60_000
-    area: tuple[tuple[float, float], ...] | None = None  # a ring in degrees: only keypoints in its box count
+    area: tuple | None = None  # a ring of points in degrees, or several (holes, parts): only keypoints inside count
     select: int = 0
     sensor_aware: bool = False
     filter_pairs: bool = True
@@ -105,9 +105,10 @@ def matched(keypoints: DataFrame, cams: DataFrame, models: DataFrame, p: DataFra
     utm = footprints.keypoints_to_utm(k, cams.select("cam_id", "col0", "row0", "alt"), models)
     k = kept(k.drop("place").join(utm, ["cam_id", "kp_id"]))
     if job.area is not None:
-        ring = cams.sparkSession.createDataFrame([(0, i, *map(float, v)) for i, v in enumerate(job.area)], "g int, i int, x double, y double")
-        b = footprints.utm_boxes(ring, "g").select("x0", "x1", "y0", "y1")
-        k = kept(matching.inside(k.withColumns({"x": F.col("east"), "y": F.col("north")}), b).drop("x", "y"))
+        several = isinstance(job.area[0][0], (tuple, list))
+        points = [(r, i, *map(float, v)) for r, ring in enumerate(job.area if several else (job.area,)) for i, v in enumerate(ring)]
+        area = cams.sparkSession.createDataFrame(points, "ring int, i int, x double, y double")
+        k = kept(regions.inside_area(k, area, cams.select("cam_id", "col0", "row0", "height", "alt"), models))
     # only what stands in the ground that both images of a pair see
     boxes = k.groupBy("cam_id").agg(F.min("east").alias("x0"), F.max("east").alias("x1"), F.min("north").alias("y0"), F.max("north").alias("y1"))
     wide = boxes.select("cam_id", *[(F.col(c) - 1).alias(c) for c in ("x0", "y0")], *[(F.col(c) + 1).alias(c) for c in ("x1", "y1")])

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: By application: the folders that were made where a local session names none.
+_folders: dict[str, str] = {}
 
 
 def session(app: str = "rayloom", **conf: str) -> SparkSession:
@@ -41,14 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in
-    `spark.checkpoint.dir`. Where that is unset, a local master gets one made and set; on a
-    cluster no folder of the driver's would do, so that is an error."""
+    `spark.checkpoint.dir`. Where that is unset, a local master gets one made, the same for the whole
+    application; on a cluster no folder of the driver's would do, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="rayloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _folders:
+            _folders[app] = "file://" + tempfile.mkdtemp(prefix="rayloom-")
+        found = _folders[app]
     return found.rstrip("/")
 
 

@@ -31,6 +31,24 @@ def test_workers_find_the_package_from_anywhere(tmp_path):
     assert "ROWS " in out.stdout, out.stderr[-2000:]
 
 
+UNSET = """
+import sys
+sys.path.insert(0, {root!r})
+from rayloom.session import session, kept, shared_dir
+spark = session(**{{"spark.master": "local[2]", "spark.ui.enabled": "false"}})
+assert not spark.conf.get("spark.checkpoint.dir", None)
+one = shared_dir(spark)
+print("ROWS", kept(spark.range(7)).count(), one == shared_dir(spark.newSession()), one.startswith("file:/"))
+"""
+
+
+def test_a_local_session_without_a_shared_folder(tmp_path):
+    """The key is unset, also in the defaults of the machine."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_CONF_DIR": str(tmp_path)}
+    out = subprocess.run([sys.executable, "-c", UNSET.format(root=str(ROOT))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 7 True True" in out.stdout, out.stderr[-2000:]
+
+
 class Far:
     """A session on a cluster that names no shared folder."""
 
