@@ -58,6 +58,18 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
+def slices(column, chars: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of an Arrow column of strings with about so many bytes each; one row at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + chars)))
+        yield lo, hi
+        lo = hi
+
+
 class WordHashes:
     """The 64-bit hashes of the words of texts, one after the other. Words that were seen are
     remembered until `most` of them are held."""

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import slices, tidy
 
 MARK, CACHE_WORDS, LONG, SLICE_CHARS = "▁", 600_000, 200, 2_000_000
 NONE = np.int64(1) << 40
@@ -268,18 +268,6 @@ class Encoder:
         return ids, each, texts
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about SLICE_CHARS characters each; at least one row."""
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64) + 1)
-    lo = 0
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_CHARS)))
-        yield lo, hi
-        lo = hi
-
-
 def encode(df: DataFrame, path: str, keep: list[str], text: str = "text", decode: bool = True) -> DataFrame:
     """`keep`, with `ids` (array of int, the end id last) and `decoded` (string)."""
     keep = [c for c in keep if c not in ("ids", "decoded")]
@@ -289,7 +277,7 @@ def encode(df: DataFrame, path: str, keep: list[str], text: str = "text", decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path)
         for batch in batches:
-            for lo, hi in _slices(batch.column(at)):
+            for lo, hi in slices(batch.column(at), SLICE_CHARS):
                 part = batch.slice(lo, hi - lo)
                 ids, each, texts = enc(part.column(at).to_pylist(), decode)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)].astype(np.int32)), pa.array(ids))

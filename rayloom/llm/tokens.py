@@ -11,15 +11,15 @@ compressed size, its decompressed size and the low 32 bits of the XXH64 of its c
 the number of frames, a descriptor (checksums on) and the closing magic number. A reader fetches
 the end of the file, and then only the frames of the documents that it wants.
 
-Texts are encoded and compressed where they are read; only compressed frames are shuffled, by
-ranges of doc_id that a quantile pass over the id column gives, so that no text is encoded twice.
-The bounds of these ranges (8 bytes a file) are broadcast and looked up by binary search; an id that
-fills several ranges is dealt out over all of them, null ids over files of their own in front.
-A task streams its sorted frames into one file under a name of its own and renames it when it is
-complete: a task that is run again replaces the file by the same bytes.
+Texts are encoded and compressed where they are read, once, into a written table of frames; only these are
+shuffled, by Spark's ranges of doc_id (equal and null ids by their checksums besides, so that
+an id may fill several ranges). A task streams its sorted frames into files of about `FILE_BYTES` of ids,
+each under a name of its own until it is complete: a task that is run again
+replaces the files by the same documents' frames.
 
 Defined results: null and empty texts hold the end token alone; null doc_ids stand first, equal
-doc_ids next to each other in any order; an empty table makes no file; texts are taken whole.
+doc_ids next to each other in any order; an empty table makes no file; texts are taken whole, however
+long. Only the key and the text are read, so other columns and their names are no matter.
 """
 
 from __future__ import annotations
@@ -30,18 +30,19 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count, islice
+from itertools import chain, compress, count, islice, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols, young_letters
-from .common import cut, scratch
+from ..operators.ranges import running
+from .common import cut, discard, scratch, slices
 
-END_ID, DOCS_PER_FILE, LEVEL, CACHE_WORDS, JOINT = 2, 10_000, 1, 800_000, 50
+END_ID, FILE_BYTES, PART_BYTES, SLICE_CHARS, LEVEL, CACHE_WORDS, JOINT = 2, 16 << 20, 64 << 20, 4_000_000, 1, 600_000, 50
 #: Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: A space inside or at the end of a run of white space. Python's \s holds all of the pattern's.
@@ -52,14 +53,15 @@ ODD_ASCII = tuple(c for c in ODD_SPACE if c.isascii())
 
 
 class WordEncoder:
-    """The tokenizers library over the distinct words of the texts, remembered for a while.
+    """The tokenizers library over the distinct pieces of the texts, remembered for a while.
 
     The library splits a text by a fixed pattern before it merges. A piece of that pattern holds
     a space past its start only inside a run of white space: one that goes on after the space, or
     ends the text with it. Where there is no such space, nor two spaces together, a text's ids are
-    those of its parts between spaces, each with the space before it. Other texts are split by the
-    pattern itself; texts with an added token's string, or with letters that are newer than our
-    Unicode tables, go to the library whole.
+    those of its parts between spaces, each with the space before it, and Arrow splits a batch of such
+    texts and numbers their distinct words. Other texts are split by the pattern itself; texts with an
+    added token's string, or with letters that are newer than our Unicode tables, go to the library whole.
+    New words are split by the pattern into pieces, of which only the new ones go to the library.
     """
 
     def __init__(self, path: str):
@@ -78,65 +80,111 @@ class WordEncoder:
         self.young, self.n = young_letters(), self.lib.get_vocab_size()
         space = byte_symbols()[32]
         self.spaced = np.array([(self.lib.id_to_token(i) or "").startswith(space) for i in range(self.n)])
+        line = self.lib.encode("a\nb", add_special_tokens=False).ids
+        self.line = line[1] if len(line) == 3 else -1
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.code, self.odd = defaultdict(count().__next__), set()
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.pieces = _Known()
 
     def learn(self) -> None:
+        """The ids of words that got a number since the last time."""
         new = list(islice(self.code, len(self.sizes), None))
         if not new:
             return
-        texts = [w[0] if isinstance(w, tuple) else w for w in new]
-        self.odd |= {self.code[w] for w, t in zip(new, texts, strict=True) if not t.isascii() and not self.young.isdisjoint(t)}
-        alone = np.array([isinstance(w, tuple) or not w or w[0].isspace() for w in new])
-        starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        flat: list[np.ndarray] = []
-        n, joint = len(self.ids), np.flatnonzero(~alone)
-        for lo in range(0, len(joint), 20 * JOINT):
-            some = joint[lo : lo + 20 * JOINT]
-            n = self.encode_joint(texts, some, starts, sizes, flat, alone, n)
-        rest = np.flatnonzero(alone).tolist()
+        full = [w[0] if isinstance(w, tuple) else " " + w for w in new]
+        first = len(self.sizes)
+        self.odd |= {first + i for i, t in enumerate(full) if not t.isascii() and not self.young.isdisjoint(t)}
+        # a word that follows a space and begins with none opens the piece that begins with a space
+        joint = _opens(full)
+        split = self.find("".join(compress(full, joint)))
+        heads = np.flatnonzero(np.fromiter(map(str.startswith, split, repeat(" ")), bool, len(split)))
+        if len(heads) != joint.sum():
+            joint[:], split, heads = False, [], heads[:0]
+        rest = [self.find(t) for t in compress(full, ~joint)]
+        codes = np.fromiter(map(self.pieces.code.__getitem__, chain(split, chain.from_iterable(rest))), np.int64)
+        self.encode_new()
+        ids, sizes = self.pieces.gather(codes)
+        # words as runs of pieces: first those that were split together
+        tops = np.r_[heads, len(split) + np.cumsum([0, *map(len, rest)])]
+        ends = np.cumsum(np.r_[0, sizes])[tops]
+        place = np.r_[np.flatnonzero(joint), np.flatnonzero(~joint)]
+        starts, length = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        starts[place], length[place] = ends[:-1] + len(self.ids), np.diff(ends)
+        self.starts, self.sizes, self.ids = np.r_[self.starts, starts], np.r_[self.sizes, length], np.r_[self.ids, ids]
+
+    def encode_new(self) -> None:
+        """The ids of new pieces: those that begin with a space stand `JOINT` to a text of the library's, where the
+        tokens that begin with a space part them again; those of letters alone too, between line ends.
+        Where the parts are more or fewer, and for all other pieces, each is a text of its own."""
+        known = self.pieces
+        new = known.new()
+        if not new:
+            return
+        starts, sizes, flat, n = np.zeros(len(new), np.int64), np.full(len(new), -1, np.int64), [known.ids], len(known.ids)
+        opens = _opens(new)
+        letters = np.fromiter(map(str.isalpha, new), bool, len(new)) & (self.line >= 0)
+        for group, link in ((np.flatnonzero(opens), ""), (np.flatnonzero(letters), "\n")):
+            texts = list(map(new.__getitem__, group.tolist()))
+            for big in range(0, len(group), 20 * JOINT):
+                at = range(big, min(big + 20 * JOINT, len(group)), JOINT)
+                for lo, e in zip(at, self.lib.encode_batch_fast([link.join(texts[lo : lo + JOINT]) for lo in at], add_special_tokens=False), strict=True):
+                    c, ids = group[lo : lo + JOINT], np.array(e.ids, np.uint32)
+                    heads = np.r_[0, np.flatnonzero(ids == self.line) + 1] if link else np.flatnonzero(self.spaced[ids])
+                    if len(heads) == len(c):
+                        starts[c], sizes[c] = heads + n, np.diff(heads, append=len(ids) + bool(link)) - bool(link)
+                        flat.append(ids)
+                        n += len(ids)
+        rest = np.flatnonzero(sizes < 0).tolist()
         for lo in range(0, len(rest), 500):  # the library's encodings are large beside their ids
             some = rest[lo : lo + 500]
-            for i, e in zip(some, self.lib.encode_batch_fast([texts[i] if isinstance(new[i], tuple) else " " + texts[i] for i in some], add_special_tokens=False), strict=True):
+            for i, e in zip(some, self.lib.encode_batch_fast([new[i] for i in some], add_special_tokens=False), strict=True):
                 flat.append(np.array(e.ids, np.uint32))
                 starts[i], sizes[i] = n, len(flat[-1])
                 n += len(flat[-1])
-        self.starts, self.sizes, self.ids = np.r_[self.starts, starts], np.r_[self.sizes, sizes], np.concatenate([self.ids, *flat])
-
-    def encode_joint(self, texts: list[str], some: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: list[np.ndarray], alone: np.ndarray, n: int) -> int:
-        """Words that follow a space and begin with none, `JOINT` to a text of the library's: the tokens that
-        begin with a space part them again. Where these are more or fewer, the words go on `alone`."""
-        chunks = [some[lo : lo + JOINT] for lo in range(0, len(some), JOINT)]
-        made = [e.ids for e in self.lib.encode_batch_fast([" " + " ".join([texts[i] for i in c.tolist()]) for c in chunks], add_special_tokens=False)]
-        for c, e in zip(chunks, made, strict=True):
-            ids = np.array(e, np.uint32)
-            heads = np.flatnonzero(self.spaced[ids])
-            if len(heads) == len(c):
-                starts[c], sizes[c] = heads + n, np.diff(heads, append=len(ids))
-                flat.append(ids)
-                n += len(ids)
-            else:
-                alone[c] = True
-        return n
-
-    def parts(self, text: str) -> list:
-        """The words of a text; one that follows a space is a string without it, others are (word,)."""
-        if "  " in text or (any(c[0] in text and c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACE)) and INNER_SPACE.search(text)):
-            return [w[1:] if len(w) > 1 and w[0] == " " else (w,) for w in self.find(text)]
-        first, *rest = text.split(" ")
-        return [(first,), *rest] if first else rest
+        known.starts, known.sizes, known.ids = np.r_[known.starts, starts], np.r_[known.sizes, sizes], np.concatenate(flat)
+
+    def plain(self, text: str) -> bool:
+        """The text's parts between spaces are independent."""
+        return "  " not in text and not (any(c[0] in text and c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACE)) and INNER_SPACE.search(text))
+
+    def numbered(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For plain texts the numbers of their words; one that follows a space is a string without it,
+        others are (word,)."""
+        import pyarrow.compute as pc
+
+        see = self.code.__getitem__
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        flat = parts.flatten().dictionary_encode()
+        own = flat.dictionary.to_numpy(zero_copy_only=False)
+        heads = np.asarray(parts.offsets)[:-1]
+        each = np.diff(np.asarray(parts.offsets))
+        index = np.asarray(flat.indices)
+        inner = np.ones(len(index), bool)
+        inner[heads] = False
+        used = np.zeros(len(own), bool)
+        used[index[inner]] = True
+        number = np.zeros(len(own), np.int64)
+        number[used] = np.fromiter(map(see, own[used].tolist()), np.int64)
+        codes = number[index]
+        for lo, n in zip(heads.tolist(), each.tolist(), strict=True):
+            first = own[index[lo]]
+            if first:
+                codes[lo] = see((first,))
+            yield codes[lo if first else lo + 1 : lo + n]
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        if len(self.code) > CACHE_WORDS:
+        if len(self.code) > CACHE_WORDS or len(self.pieces.code) > CACHE_WORDS:
             self.clear()
         texts = [t or "" for t in texts]
         whole = [any(a in t for a in self.added) for t in texts]
+        plain = [not w and self.plain(t) for t, w in zip(texts, whole, strict=True)]
         see = self.code.__getitem__
-        codes = [np.zeros(0, np.int64) if w else np.fromiter(map(see, self.parts(t)), np.int64) for t, w in zip(texts, whole, strict=True)]
+        easy = self.numbered(list(compress(texts, plain)))
+        codes = [next(easy) if p else np.zeros(0, np.int64) if w else np.fromiter(map(see, [x[1:] if len(x) > 1 and x[0] == " " else (x,) for x in self.find(t)]), np.int64) for t, w, p in zip(texts, whole, plain, strict=True)]
         self.learn()
         lo = 0
         while lo < len(texts):  # some texts at once, by their words
@@ -156,6 +204,30 @@ class WordEncoder:
             lo = hi
 
 
+def _opens(pieces: list[str]) -> np.ndarray:
+    """Which begin with a space and go on with something else."""
+    flags = lambda f, *x: np.fromiter(map(f, *x), bool, len(pieces))
+    second = list(map(itemgetter(slice(1, 2)), pieces))
+    return flags(str.startswith, pieces, repeat(" ")) & flags(bool, second) & ~flags(str.isspace, second)
+
+
+class _Known:
+    """Strings by number, each with its ids."""
+
+    def __init__(self):
+        self.code = defaultdict(count().__next__)
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def new(self) -> list[str]:
+        return list(islice(self.code, len(self.sizes), None))
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some strings, one after another, and how many each has."""
+        sizes = self.sizes[codes]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
 @lru_cache(1)
 def encoder(path: str) -> WordEncoder:
     """One for a Python worker, which serves many tasks: the words of one help the next."""
@@ -168,17 +240,8 @@ def _xxh64(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
 
 
-def frames(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, level: int = LEVEL, bounds: np.ndarray | None = None, null_files: int = 0) -> DataFrame:
-    """key -> (n_tokens, width, checksum, frame, file_no). `bounds` are the largest ids of each file but
-    the last, `null_files` the files of null ids in front of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if bounds is None else bounds)
-
-    def files(keys: pa.Array, sums: np.ndarray) -> np.ndarray:
-        null = np.asarray(keys.is_null())
-        k = np.asarray(keys.fill_null(0))
-        low, high = np.searchsorted(shared.value, k, "left"), np.searchsorted(shared.value, k, "right")
-        low, high = np.where(null, 0, low + null_files), np.where(null, null_files, high + null_files)
-        return (low + (sums + np.arange(len(k))) % (high - low + 1)).astype(np.int32)
+def frames(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, level: int = LEVEL) -> DataFrame:
+    """key -> (n_tokens, width, checksum, frame)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -186,11 +249,11 @@ def frames(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         enc, pack = encoder(path), zstandard.ZstdCompressor(level=level, write_checksum=True)
         width = 2 if max(enc.n, end_id) < 1 << 16 else 4
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo, hi in slices(batch.column(1), SLICE_CHARS):
+                part = batch.slice(lo, hi - lo)
                 raw = [np.append(x, np.uint32(end_id)).astype(f"<u{width}").tobytes() for x in enc(part.column(1).to_pylist())]
-                cols = [part.column(0), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([width] * len(raw), pa.int32()), pa.array(sums := np.fromiter(map(_xxh64, raw), np.int64, len(raw))), pa.array(map(pack.compress, raw), pa.binary()), pa.array(files(part.column(0), sums))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "n_tokens", "width", "checksum", "frame", "file_no"])
+                cols = [part.column(0), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([width] * len(raw), pa.int32()), pa.array(np.fromiter(map(_xxh64, raw), np.int64, len(raw))), pa.array(map(pack.compress, raw), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "n_tokens", "width", "checksum", "frame"])
 
     def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
@@ -201,35 +264,35 @@ def frames(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         finally:
             gc.enable()
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(uncollected, "key long, n_tokens long, width int, checksum long, frame binary, file_no int")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(uncollected, "key long, n_tokens long, width int, checksum long, frame binary")
 
 
-def write(docs: DataFrame, path: str, to: str, key: str = "doc_id", docs_per_file: int = DOCS_PER_FILE, end_id: int = END_ID) -> DataFrame:
+def write(docs: DataFrame, path: str, to: str, key: str = "doc_id", file_bytes: int = FILE_BYTES, end_id: int = END_ID) -> DataFrame:
     """Write all documents below the folder `to`; the manifest has a row for each file:
-    file_no, file, n_docs, n_tokens and `start`, the tokens in the files before it."""
-    own = F.col(key).cast("long")
-    n, known = docs.agg(F.count("*"), F.count(own)).first()
-    files, null_files = max(1, -(-known // docs_per_file)), (n - known) // docs_per_file
-    bounds = docs.agg(F.percentile_approx(own, [i / files for i in range(1, files)], 100 * files)).first()[0] if files > 1 else []
-    dealt = frames(docs, path, key, end_id=end_id, bounds=np.array(bounds or [], np.int64), null_files=null_files)
-    files += null_files
-    dealt = dealt.repartitionById(files, "file_no").sortWithinPartitions("file_no", F.col("key").asc_nulls_first())
+    part, file_no, file, n_docs, n_tokens and `start`, the tokens in the files before it."""
+    made = cut(frames(docs, path, key, end_id=end_id), "frames")
+    size = made.agg(F.sum(F.col("n_tokens") * F.col("width"))).first()[0] or 0
+    # equal ids, and null ones, are spread over several ranges by their checksums
+    order = [F.col("key").asc_nulls_first(), F.col("checksum"), F.xxhash64(F.monotonically_increasing_id())]
+    dealt = made.repartitionByRange(max(1, -(-size // PART_BYTES)), *order).sortWithinPartitions(F.col("key").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        from pyspark import TaskContext
+
+        out, part, no = None, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for no, key_, n_tokens, width, checksum, frame in zip(*(batch.column(c).to_pylist() for c in ("file_no", "key", "n_tokens", "width", "checksum", "frame")), strict=True):
-                if out is None or out.no != no:
-                    if out:
-                        yield out.close()
-                    out = _File(to, no)
+            for key_, n_tokens, width, checksum, frame in zip(*(batch.column(c).to_pylist() for c in ("key", "n_tokens", "width", "checksum", "frame")), strict=True):
+                if out and out.n_tokens * out.width >= file_bytes:
+                    yield out.close()
+                    out, no = None, no + 1
+                out = out or _File(to, part, no)
                 out.add(key_, n_tokens, width, checksum, frame)
         if out:
             yield out.close()
 
-    made = cut(dealt.mapInArrow(run, "file_no int, file string, n_docs long, n_tokens long"), "manifest")
-    before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)
-    return made.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    files = cut(dealt.mapInArrow(run, "part int, file_no int, file string, n_docs long, n_tokens long"), "manifest")
+    discard(made)
+    return running(files, ["part", "file_no"], "n_tokens", "start")
 
 
 def _store(uri: str):
@@ -241,12 +304,12 @@ def _store(uri: str):
 class _File:
     """One file while it is written."""
 
-    def __init__(self, folder: str, no: int):
+    def __init__(self, folder: str, part: int, no: int):
         import uuid
 
         self.fs, self.folder = _store(folder)
         self.fs.create_dir(self.folder, recursive=True)
-        self.no, self.name = no, f"tokens-{no:08d}.zst"
+        self.part, self.no, self.name = part, no, f"tokens-{part:07d}-{no:04d}.zst"
         self.own = f"{self.folder}/_{self.name}.{uuid.uuid4().hex}"
         self.to = self.fs.open_output_stream(self.own)
         self.keys, self.table, self.n_tokens = [], [], 0
@@ -265,7 +328,7 @@ class _File:
         self.to.write(struct.pack("<II", SKIPPABLE_SEEK, len(seek)) + seek)
         self.to.close()
         self.fs.move(self.own, f"{self.folder}/{self.name}")
-        return pa.RecordBatch.from_pydict({"file_no": pa.array([self.no], pa.int32()), "file": pa.array([self.name]), "n_docs": pa.array([len(self.keys)], pa.int64()), "n_tokens": pa.array([self.n_tokens], pa.int64())})
+        return pa.RecordBatch.from_pydict({"part": pa.array([self.part], pa.int32()), "file_no": pa.array([self.no], pa.int32()), "file": pa.array([self.name]), "n_docs": pa.array([len(self.keys)], pa.int64()), "n_tokens": pa.array([self.n_tokens], pa.int64())})
 
 
 class Reader:
@@ -320,7 +383,7 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
                     n[i], crc[i] = len(ids), zlib.crc32(ids.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(r.keys, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc)], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.repartitionById(max(1, manifest.agg(F.max("file_no")).first()[0] or 0) + 1, "file_no").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition("file").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_to_files(spark: SparkSession, docs: DataFrame, path: str, to: str | None = None) -> DataFrame:

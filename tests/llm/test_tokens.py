@@ -59,11 +59,25 @@ def test_spaces_among_other_white_space_are_the_library():
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
-@pytest.mark.parametrize("per_file", [7, 10_000])
-def test_files_round_trip(spark, tmp_path, per_file):
+def test_pieces_of_any_kind_are_the_library(monkeypatch):
+    """Words of vocabulary entries, digits, marks and line ends, so that pieces stand joint, between line ends and alone."""
+    t = lib(BYTE)
+    parts = [t.id_to_token(rnd.randrange(50_000)).replace("Ġ", " ").replace("Ċ", "\n") for _ in range(3000)] + ["\n", "\n\n", ".\nThe", "'s", "'re", "1234", "##", "日本", "é", "a\u0301", "ﬁ", "½", "²"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", "", " ", "\n"]) for _ in range(rnd.randrange(40))) for _ in range(2000)]
+    e = tokens.WordEncoder(BYTE)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 5000)
+    for lo in range(0, len(texts), 200):
+        some = texts[lo : lo + 200]
+        for text, ids, own in zip(some, e(some), t.encode_batch(some, add_special_tokens=False), strict=True):
+            assert ids.tolist() == own.ids, text
+
+
+@pytest.mark.parametrize("per_file", [40, 1 << 20])
+def test_files_round_trip(spark, tmp_path, per_file, monkeypatch):
+    monkeypatch.setattr(tokens, "PART_BYTES", 1000)
     t, rows = lib(BYTE), [(rnd.randrange(-50, 500), x) for x in TEXTS[:60]] + [(None, None), (9, "same"), (9, "same")]
     to = f"file://{tmp_path}/t"
-    manifest = tokens.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), BYTE, to, docs_per_file=per_file)
+    manifest = tokens.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), BYTE, to, file_bytes=per_file)
     got = sorted(tokens.read_back(manifest, to).collect(), key=lambda r: r.start)
     assert [r.key for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k))
     ends = 0
@@ -73,16 +87,19 @@ def test_files_round_trip(spark, tmp_path, per_file):
         crcs = [zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, x in rows if k == r.key]
         assert r.ids_crc32 in crcs
     # one document alone, from any file
-    file = manifest.orderBy("file_no").first()["file"]
+    file = manifest.orderBy("part", "file_no").first()["file"]
     one = tokens.Reader(to, file)
     assert [x.tolist()[-1] for x in one.find(one.keys[-1])][0] == 2
 
 
-def test_ids_that_repeat_or_lack_fill_several_files(spark, tmp_path):
+def test_ids_that_repeat_or_lack_fill_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "PART_BYTES", 100)
     rows = [(None, f"none {k}") for k in range(40)] + [(5, f"five {k}") for k in range(60)] + [(k, f"own {k}") for k in range(40)]
     to = f"file://{tmp_path}/t"
-    manifest = tokens.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), BYTE, to, docs_per_file=10)
-    assert max(r.n_docs for r in manifest.collect()) <= 25 and manifest.agg({"n_docs": "sum"}).first()[0] == 140
+    manifest = tokens.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), BYTE, to, file_bytes=60)
+    made = manifest.collect()
+    # null ids and those that are five stand in several parts, and a part in several files
+    assert max(r.n_docs for r in made) <= 25 and len({r.part for r in made}) > 8 and max(r.file_no for r in made) > 0 and manifest.agg({"n_docs": "sum"}).first()[0] == 140
     got = sorted(tokens.read_back(manifest, to).collect(), key=lambda r: r.start)
     assert [r.key for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k))
 
