@@ -42,7 +42,7 @@ from .bpe import byte_symbols, young_letters
 from ..operators.ranges import running
 from .common import cut, discard, scratch, slices
 
-END_ID, FILE_BYTES, PART_BYTES, SLICE_CHARS, LEVEL, CACHE_WORDS, JOINT = 2, 16 << 20, 64 << 20, 4_000_000, 1, 600_000, 50
+END_ID, FILE_BYTES, PART_BYTES, SLICE_CHARS, LEVEL, CACHE_WORDS, JOINT = 2, 16 << 20, 64 << 20, 8_000_000, 1, 500_000, 50
 #: Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: A space inside or at the end of a run of white space. Python's \s holds all of the pattern's.
@@ -383,7 +383,8 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
                     n[i], crc[i] = len(ids), zlib.crc32(ids.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(r.keys, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc)], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "start").repartition("file").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.select("file", "start")
+    return files.repartition(max(1, min(files.count(), 20_000)), "file").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_to_files(spark: SparkSession, docs: DataFrame, path: str, to: str | None = None) -> DataFrame:
