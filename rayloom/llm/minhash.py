@@ -22,7 +22,8 @@ A pair at similarity 0.8 agrees in fewer than 38 of 64 coordinates with a probab
 Defined results: a text without words, or null, has an empty set and is linked with nothing; a
 text with fewer words than a shingle is one shingle; rows with a null id are compared like any
 other, but only ids name components (null where a component has no id); rows that repeat an id
-are told apart by their text. Other columns are not touched.
+are told apart by their text. Texts are taken whole at any length; an empty table gives no rows.
+Only the key and the text are read, so other columns and their names are no matter.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ from hashlib import blake2b, md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, tidy
 from .components import components
 
-COORDS, MATCH, PERCENT = 64, 38, 80
+COORDS, MATCH, PERCENT, CELL_BYTES = 64, 38, 80, 24 << 20
 CACHE_WORDS = 300_000
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 _draw = np.random.default_rng(8)
@@ -109,10 +110,21 @@ def postings(reps: DataFrame) -> DataFrame:
     return mine.where(left > 0).select("row", "n", F.explode(F.slice("t", 1, left)).alias("t")).select(F.col("t.token").alias("token"), "row", "n")
 
 
+def own_row(key: Column, md5_: Column) -> Column:
+    """What finds a row's text again: its id and its text's digest together, so that ids that repeat or lack
+    meet their own texts only. The set's digest, which is looked at then, settles the rest."""
+    return F.xxhash64(key, md5_)
+
+
+def with_own(df: DataFrame, key: str, text: str) -> DataFrame:
+    t = F.col(text)
+    return df.select(own_row(F.col(key).cast("long"), F.unhex(F.md5(F.coalesce(t, F.lit("")).cast("binary")))).alias("own"), t.alias("text"))
+
+
 def colliding(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole signatures agree in `MATCH` coordinates or more, with the
-    ids and digests that find their texts."""
-    side = lambda x: sigs.select(F.col("row").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "same", "sig")])
+    """The pairs (a, b) whose whole signatures agree in `MATCH` coordinates or more, with what
+    finds their texts."""
+    side = lambda x: sigs.select(F.col("row").alias(x), own_row(F.col("key"), F.col("md5")).alias(f"own_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("same", "sig")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where(F.size(F.array_intersect("sig_a", "sig_b")) >= MATCH).drop("sig_a", "sig_b")
 
@@ -124,13 +136,11 @@ def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, length: int,
     """
     per = pairs.groupBy("a").agg(F.count("*").alias("n"))
     p = cut(pairs.join(per, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / block))).drop("n"), "pairs")
-    ids = p.select(F.col("key_a").alias("k")).union(p.select("key_b")).distinct()
-    texts = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-    texts = texts.join(ids, texts["k"].eqNullSafe(ids["k"]), "left_semi")
-    first = p.select("a", "block", F.lit(None).cast("long").alias("b"), F.col("key_a").alias("k2"), F.col("same_a").alias("same")).distinct()
-    rest = p.select("a", "block", "b", F.col("key_b").alias("k2"), F.col("same_b").alias("same"))
-    wanted = first.unionByName(rest)
-    rows = wanted.join(texts, wanted["k2"].eqNullSafe(texts["k"])).select("a", "block", "b", "same", "text")
+    ids = p.select(F.col("own_a").alias("own")).union(p.select("own_b")).distinct()
+    texts = with_own(df, key, text).join(ids, "own", "left_semi")
+    first = p.select("a", "block", F.lit(None).cast("long").alias("b"), F.col("own_a").alias("own"), F.col("same_a").alias("same")).distinct()
+    rest = p.select("a", "block", "b", F.col("own_b").alias("own"), F.col("same_b").alias("same"))
+    rows = first.unionByName(rest).join(texts, "own").select("a", "block", "b", "same", "text")
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +150,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, length: int,
             a_, block_, b_, same_, texts_ = (batch.column(i).slice(lo, 500).to_pylist() for i in range(5))
             for a, block, b, same, s in zip(a_, block_, b_, same_, see(texts_), strict=True):
                 if digest(s) != same:
-                    continue  # another text under the same id
+                    continue  # another text of the same hash
                 if b is None:
                     at, own = (a, block), s
                 elif at == (a, block):
@@ -203,30 +213,30 @@ def _meet(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tu
     return [(row, least[root(p)]) for (row, _, _), p in zip(rows, part.tolist(), strict=True) if least[root(p)] != row]
 
 
-def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: str, length: int, percent: int, cell: int = 1500) -> DataFrame:
-    """(a, b): links between rows of `rest` (token, row, n, label) in different components."""
+def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: str, length: int, percent: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """(a, b): links between rows of `rest` (token, row, n, label) in different components. A cell holds as many
+    rows as their sets fit in `cell_bytes`, so that of a family of k rows each travels to k / that many."""
     heads = rest.groupBy("token").agg(F.min("row").alias("b"))
     kin = components(rest.join(heads, "token").select(F.col("row").alias("a"), "b"))
     rows = rest.select("row", "n", "label").distinct().join(kin, F.col("row") == F.col("node"), "left")
     # similar sets differ in size by a factor below 100 / percent, so by one step at most
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    rows = rows.select(F.coalesce("component", "row").alias("f"), step.alias("step"), "row", "label")
-    per = rows.groupBy("f", "step").agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).withColumn("cells", F.ceil(F.col("k") / cell))
-    rows = cut(rows.join(per.select("f", "step", "cells"), ["f", "step"]).withColumn("cell", F.pmod(F.xxhash64("row"), "cells")).drop("cells"), "cells")
+    rows = rows.select(F.coalesce("component", "row").alias("f"), step.alias("step"), "row", "label", "n")
+    per = rows.groupBy("f", "step").agg(F.sum(8 * F.col("n") + 4 * COORDS).alias("bytes")).withColumn("cells", F.ceil(F.col("bytes") / cell_bytes))
+    rows = cut(rows.join(per.select("f", "step", "cells"), ["f", "step"]).withColumn("cell", F.pmod(F.xxhash64("row"), "cells")).drop("cells", "n"), "cells")
     cells = per.select("f", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
     x, y = (cells.select("f", F.col("step").alias(f"s{i}"), F.col("cell").alias(f"c{i}")) for i in "12")
     pairs = x.join(y, "f").where(((F.col("s1") == F.col("s2")) & (F.col("c1") <= F.col("c2"))) | (F.col("s2") == F.col("s1") + 1))
     own = (F.col("s1") == F.col("s2")) & (F.col("c1") == F.col("c2"))
     sides = pairs.withColumn("side", F.explode(F.when(own, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))))
     sides = sides.withColumns({"step": F.when(F.col("side") == 1, F.col("s1")).otherwise(F.col("s2")), "cell": F.when(F.col("side") == 1, F.col("c1")).otherwise(F.col("c2"))})
-    texts = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-    named = rows.join(sigs.select("row", "key", "same"), "row")
-    found = named.join(texts, named["key"].eqNullSafe(texts["k"])).select("f", "step", "cell", "row", "label", "same", "text")
+    named = rows.join(sigs.select("row", "same", own_row(F.col("key"), F.col("md5")).alias("own")), "row")
+    found = named.join(with_own(df, key, text), "own").select("f", "step", "cell", "row", "label", "same", "text")
     met = sides.join(found, ["f", "step", "cell"]).select("f", "s1", "c1", "s2", "c2", "side", "row", "label", "same", "text")
     met = met.repartition("f", "s1", "c1", "s2", "c2").sortWithinPartitions("f", "s1", "c1", "s2", "c2", "side")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        see, at, held = Shingles(length), None, ([], [])
+        see, at, held, seen = Shingles(length), None, ([], []), set()
 
         def flush():
             out = _meet(held[0], None if at[1:3] == at[3:] else held[1], percent)
@@ -238,8 +248,9 @@ def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: st
                 if (f, s1, c1, s2, c2) != at:
                     if at and held[0]:
                         yield flush()
-                    at, held = (f, s1, c1, s2, c2), ([], [])
-                if digest(s) == same:
+                    at, held, seen = (f, s1, c1, s2, c2), ([], []), set()
+                if digest(s) == same and row not in seen:  # rows that repeat as a whole bring their text again
+                    seen.add(row)
                     held[side - 1].append((row, label, s))
         if at and held[0]:
             yield flush()

@@ -72,7 +72,7 @@ def test_minhash_edges(spark):
 
 def test_family_cells_meet(spark, monkeypatch):
     """Cells of two rows give the same links as one cell."""
-    monkeypatch.setattr(minhash.families, "__defaults__", (2,))
+    monkeypatch.setattr(minhash.families, "__defaults__", (900,))
     test_minhash(spark, 4)
 
 
@@ -219,3 +219,15 @@ def test_recall_with_the_tables_of_large_inputs(dims):
         per = np.stack([differ[:, lo:hi].sum(1) for lo, hi in zip(edges, edges[1:], strict=False)])
         found = (per.min(axis=0) <= max(1, embeddings.REACH // tables)) & (differ.sum(1) <= embeddings.RADIUS)
         assert found.mean() >= 0.95, (n, tables)
+
+
+def test_rows_without_an_id_meet_their_own_texts_only(spark):
+    """A third of the rows has no id: each is compared by its own text, and copies of whole rows are one class."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words[:40] + [f"own{k}"] * 1 + words[40 : 45 + k % 3])) for k in range(40)] + [(None, "the same text of six words")] * 30 + [(k, " ".join(words[k:] + words[:k])) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df, length=4).collect()
+    assert len(got) == len(rows)
+    lone = [r for r in got if r.key is None]
+    assert sum(r.first for r in lone) == 2  # the family of forty and the copies
+    assert all(r.component is None for r in lone)
