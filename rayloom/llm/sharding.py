@@ -8,7 +8,8 @@ shards. Row number `g` of the `n` rows goes to shard floor(g * shards / n): shar
 shuffled buckets, and their counts differ by one at most (law `rows`).
 
 The number of buckets follows rows and bytes, so a bucket has about `bucket_rows` rows or
-`bucket_bytes` bytes at most, at any size. Records that are equal in all columns share a bucket;
+`bucket_bytes` bytes at most, at any size. Where a task has many buckets, Spark's aggregation holds 128 arrays
+(half a gigabyte) at most before it sorts what is left by bucket and takes one after the other. Records that are equal in all columns share a bucket;
 where they make it more than twice too large it is cut into parts by place (after the records were
 written once, so that both uses see the same parts). Where a record goes depends on nothing but
 the records, not on how files are split. Each array is sorted by the seeded hash before it is
@@ -27,12 +28,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import cut, running, scratch
 
-SHARDS, SEED, BUCKET_ROWS, BUCKET_BYTES, PARTS, MOST_TASKS = 40, 20240, 20_000, 1 << 25, 1 << 20, 20_000
+SHARDS, SEED, BUCKET_ROWS, BUCKET_BYTES, PARTS, TOGETHER, MOST_TASKS = 40, 20240, 2_500, 1 << 22, 1 << 20, 8, 20_000
 
 
 def byte_size(text: Column) -> Column:
@@ -58,10 +58,9 @@ def external_shuffle(df: DataFrame, size: Column | None = None, shards: int = SH
         place = F.pmod(F.xxhash64(F.lit(seed + 2), F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
         rows = cut(rows.join(crowded, "bucket", "left").withColumn("bucket", F.col("bucket") + place).drop("parts"), "scatter")
         counts = tally(rows)
-    upto = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    # a task has one bucket at a time, or a few where there are more than a shuffle has partitions
-    rows = rows.repartition(min(buckets, MOST_TASKS), "bucket")
+    offsets = running(counts, ["bucket"], "n", "before").select(F.col("bucket").alias("b"), "before")
+    # Spark gathers at most 128 arrays at once and goes on by sorting, so a task may have any number of buckets
+    rows = rows.repartition(min(math.ceil(buckets / TOGETHER), MOST_TASKS), "bucket")
     dealt = rows.groupBy("bucket").agg(F.array_sort(F.collect_list("rec"), lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).otherwise(0)).alias("recs"))
     # both sides are dealt by bucket already; the merge join leaves the buckets in order
     ordered = dealt.join(offsets.hint("merge"), dealt["bucket"] == offsets["b"])

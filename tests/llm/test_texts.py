@@ -43,6 +43,17 @@ def test_sharding_reruns_and_digests(spark, tmp_path):
         assert (r.size, r.text_crc32) == (len(text.encode()) + 16, zlib.crc32(text.encode()))
 
 
+def test_many_buckets_in_one_task(spark, monkeypatch):
+    """More arrays than Spark gathers at once, so that it goes on by sorting."""
+    monkeypatch.setattr(sharding, "MOST_TASKS", 1)
+    df = spark.createDataFrame([(k, "t" * (k % 9), "a", None) for k in range(3000)], DOCS)
+    got = sharding.external_shuffle(df, shards=7, bucket_rows=10).collect()
+    assert sorted(r.doc_id for r in got) == list(range(3000))
+    for k in range(7):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    assert max(n := Counter(r.shard for r in got).values()) - min(n) <= 1
+
+
 def test_written_shards_hold_the_records(spark, tmp_path):
     df = spark.createDataFrame(ROWS, DOCS).withColumn("slot", F.lit("clash"))
     out = sharding.write_shards(df, f"{tmp_path}/s", shards=4, bucket_bytes=2_000)
