@@ -185,6 +185,74 @@ def ransac(matches: DataFrame, thr: float = 0.3, trials: int = 1000, seed: int =
     return matches.select(*cols).groupBy("cam_i", "cam_j").applyInPandas(run, matches.select(*cols).schema)
 
 
+def fundamental(a: np.ndarray) -> np.ndarray | None:
+    """The 3 x 3 matrix with x2' F x1 = 0 of eight matches or more (x1, y1, x2, y2): least squares over
+    points moved to their centroid and scaled to a mean distance of sqrt(2), then the nearest matrix of
+    rank two; None where the points of one image are all one."""
+
+    def scaled(p: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        c = p.mean(axis=0)
+        d = np.hypot(*(p - c).T).mean()
+        if not d > 0:
+            return None
+        s = math.sqrt(2) / d
+        return np.c_[(p - c) * s, np.ones(len(p))], np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
+
+    one, two = scaled(a[:, :2]), scaled(a[:, 2:])
+    if one is None or two is None:
+        return None
+    rows = (two[0][:, :, None] * one[0][:, None, :]).reshape(len(a), 9)
+    f = np.linalg.svd(rows, full_matrices=len(a) < 9)[2][-1].reshape(3, 3)
+    u, w, v = np.linalg.svd(f)
+    f = two[1].T @ (u * [w[0], w[1], 0]) @ v @ one[1]
+    n = np.linalg.norm(f)
+    return f / n if n > 0 else None
+
+
+def line_distances(f: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The larger one of the distances of a match's two points from their epipolar lines."""
+    p, q = np.c_[a[:, :2], np.ones(len(a))], np.c_[a[:, 2:], np.ones(len(a))]
+    to, back = p @ f.T, q @ f
+    e = np.abs((q * to).sum(axis=1))
+    return np.maximum(e / np.maximum(np.hypot(to[:, 0], to[:, 1]), 1e-300), e / np.maximum(np.hypot(back[:, 0], back[:, 1]), 1e-300))
+
+
+def ransac_projective(matches: DataFrame, thr: float = 0.3, trials: int = 1000, seed: int = 0, sure: float = 0.999) -> DataFrame:
+    """`ransac` for the whole epipolar geometry of perspective cameras: samples of eight matches, as many as it takes to
+    draw one without an outlier with a probability of `sure` at the share of inliers found so far, `trials` at
+    most; then refits on the inliers until these stay. A pair with fewer than eight matches keeps none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf.sort_values(["kp_i", "kp_j"])[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        if len(a) < 8:
+            return pdf.iloc[:0]
+        draw = np.random.default_rng([seed, *(abs(int(pdf[c].iloc[0])) for c in ("cam_i", "cam_j"))])
+        best, wanted, k = np.zeros(len(a), bool), trials, 0
+        while k < min(wanted, trials):
+            k += 1
+            f = fundamental(a[draw.choice(len(a), 8, replace=False)])
+            ok = best if f is None else line_distances(f, a) < thr
+            if ok.sum() > best.sum():
+                best = ok
+                share = min(ok.mean() ** 8, 1 - 1e-12)
+                wanted = math.ceil(math.log(1 - sure) / math.log(1 - share)) if share > 1e-12 else trials
+        f = None
+        for _ in range(10):
+            if best.sum() < 8:
+                return pdf.iloc[:0]
+            f = fundamental(a[best])
+            if f is None:
+                return pdf.iloc[:0]
+            ok = line_distances(f, a) < thr
+            if (ok == best).all():
+                break
+            best = ok
+        return pdf[line_distances(f, pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)) < thr]
+
+    cols = ["cam_i", "cam_j", "kp_i", "kp_j", "x1", "y1", "x2", "y2"]
+    return matches.select(*cols).groupBy("cam_i", "cam_j").applyInPandas(run, matches.select(*cols).schema)
+
+
 def normalized(points: DataFrame, by: str, axes: str = "xy") -> DataFrame:
     """Points moved to their group's centroid and scaled to a mean distance of sqrt(dimensions)."""
     c = points.groupBy(by).agg(*[F.avg(a).alias(f"m{a}") for a in axes])

@@ -310,6 +310,8 @@ def adjust(spark: SparkSession, obs: DataFrame, points: DataFrame, models: DataF
     for _ in range(s.rounds):
         state = _state(spark, obs, points, models, params, centres, s)
         rows = _reduced(state, free, damping, s).collect()  # cameras' pairs, not observations
+        if not rows:  # no observation
+            return params, points, [0.0]
         costs = costs or [sum(r.cost for r in rows)]
         blocks = {(r.ci, r.cj): np.array(r.block).reshape(width, width) for r in rows if r.ci != -1}
         rhs = {r.ci: np.array(r.rhs) for r in rows if r.ci == r.cj != -1}

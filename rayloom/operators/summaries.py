@@ -7,14 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tracks
-from .ranges import ranked
+from .ranges import placed, quantile, ranked
 
 
 def before_after(errors: DataFrame, by: str = "cam_id") -> DataFrame:
     """Mean and median error before and after, for each group of errors (by, before, after) and, under
-    a null group, for all: one aggregation by grouping sets."""
-    two = [f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("mean", F.avg), ("median", F.median))]
-    return errors.rollup(by).agg(F.count("*").alias("n"), *two)
+    a null group, for all. Means come from one aggregation by grouping sets; medians from places among
+    all errors in order (`ranges.placed`), so that no task holds those of a large group, or all."""
+    names = ("before", "after")
+    total = F.grouping(by).cast("int").alias("__all")
+    means = errors.rollup(by).agg(total, F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in names])
+    label = lambda everything: F.when(everything, F.lit("*")).otherwise(F.concat(F.lit("="), F.coalesce(F.col(by).cast("string"), F.lit(""))))
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("value"), F.lit(a).alias("all")) for c in names for a in (False, True)])).alias("e")
+    long = errors.select(by, sides).select(F.concat_ws("", "e.side", label(F.col("e.all"))).alias("grp"), F.col("e.value").alias("value"))
+    medians = placed(long, "grp", "value").groupBy("grp").agg(quantile(0.5, "value").alias("median"))
+    out = means.withColumn("__name", label(F.col("__all") == 1))
+    for c in names:
+        m = medians.where(F.startswith("grp", F.lit(c))).select(F.substring("grp", len(c) + 1, 1 << 30).alias("__name"), F.col("median").alias(f"median_{c}"))
+        out = out.join(m, "__name", "left")
+    return out.select(by, "n", *[f"{k}_{c}" for c in names for k in ("mean", "median")])
 
 
 def camera_residuals(obs: DataFrame) -> DataFrame:

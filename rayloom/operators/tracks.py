@@ -58,10 +58,18 @@ def restrict_to_free(obs: DataFrame, free: DataFrame) -> DataFrame:
     return obs.join(obs.join(free, "cam_id", "left_semi").select("track_id").distinct(), "track_id", "left_semi")
 
 
-def rank_tracks(obs: DataFrame) -> DataFrame:
-    """Tracks from best to worst: long first, then small mean scale (two places), small error."""
+#: What tracks can be ranked by, and which end is the better one.
+PRIORITY = {"length": F.desc, "scale": F.asc, "cost": F.asc}
+
+
+def rank_tracks(obs: DataFrame, priority: tuple[str, ...] = ("length", "scale", "cost")) -> DataFrame:
+    """Tracks from best to worst in the order of `priority`: long ones, those of a small mean scale (two
+    places) and those of a small error come first; equal ones by their ids."""
+    if not priority or set(priority) - PRIORITY.keys():
+        raise ValueError(f"tracks are ranked by some of {tuple(PRIORITY)}, not by {priority}")
     t = obs.groupBy("track_id").agg(F.count("*").alias("length"), F.round(F.avg("scale"), 2).alias("mean_scale"), F.round(F.avg("err"), 6).alias("cost"))
-    return ranked(t, [F.desc("length"), F.asc("mean_scale"), F.asc("cost"), F.asc("track_id")])
+    own = {"scale": "mean_scale"}
+    return ranked(t, [*[PRIORITY[k](own.get(k, k)) for k in priority], F.asc("track_id")])
 
 
 def camera_track_lists(obs: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
@@ -169,17 +177,17 @@ def select_tracks(obs: DataFrame, ranked: DataFrame, k: int, keep: Callable[[Dat
     return chosen if chosen is not None else obs.limit(0).select("track_id", F.lit(0).alias("tree"))
 
 
-def select_by_sensor(obs: DataFrame, sensors: DataFrame, k: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def select_by_sensor(obs: DataFrame, sensors: DataFrame, k: int, keep: Callable[[DataFrame], DataFrame], priority: tuple[str, ...] = tuple(PRIORITY)) -> DataFrame:
     """(track_id): tracks selected for the cameras (cam_id, sensor) of each sensor by themselves, and for
     all cameras together. The sensors have no camera in common, so one selection of tracks cut by
     sensor would start in one of them only; each sensor, a handful, is a run of its own."""
     names = [r.sensor for r in sensors.select("sensor").distinct().orderBy("sensor").limit(100).collect()]
     o = obs.join(sensors, "cam_id")
-    chosen = select_tracks(obs, rank_tracks(obs), k, keep).select("track_id")
+    chosen = select_tracks(obs, rank_tracks(obs, priority), k, keep).select("track_id")
     for name in names:
         own = o.where(F.col("sensor") == name).drop("sensor")
         own = keep(own.join(valid_tracks(own), "track_id", "left_semi"))
-        chosen = chosen.unionByName(select_tracks(own, rank_tracks(own), k, keep).select("track_id"))
+        chosen = chosen.unionByName(select_tracks(own, rank_tracks(own, priority), k, keep).select("track_id"))
     return chosen.distinct()
 
 

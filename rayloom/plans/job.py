@@ -4,12 +4,20 @@ Tables in: images (image_id, sensor, scene, ts, col0, row0, width, height, alt),
 sensor model's columns), keypoints (image_id, kp_id, col, row, scale, desc) or stored matches. A run
 takes all dates at once (`all`), all dates with pairs of the same or the next dates only (`windowed`), or
 date after date (`by_date`), each against the nearest dates that are refined already and stay as
-they are. Results stand below `out`, date by date, so a run that is started again goes on where the
-last one ended.
+they are.
+
+Results stand in a store below `out` (`sources.store`): a step writes its models, matrices, points, errors
+and its report, and commits them together, so that a run that dies leaves no part of a step behind and a
+date has one set of models, however often it was refined. `results` reads them. With `reset` off, dates with
+results are not refined again: a step of method `all` or `windowed` then takes the others, with the
+cameras of dates that are done held as they are. A step without matches has a report with no
+tracks and no errors, and its models as they came in. Matches are kept by pair of images and used again by
+later steps and runs with the same matching settings (`keep_matches`).
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +25,8 @@ from pyspark.sql import functions as F
 
 from ..operators import footprints, geometry, matching, pairs, regions, solve, summaries, tracks
 from ..session import kept
+from ..sources import files, store
+from ..sources.store import Store
 from . import refine
 
 METHODS, MATCHERS = ("all", "windowed", "by_date"), ("ratio", "epipolar", "window", "stored")
@@ -39,6 +49,8 @@ class Job:
     clean_outliers: bool = True
     most_first_error: float | None = None
     reset: bool = True  # False: dates with stored results are not done again
+    keep_matches: bool = True  # pairs that were matched with the same settings are not matched again
+    rematch: bool = False  # forget what was kept
     matcher: str = "ratio"
     ratio: float = 0.6
     most_distance: float = 250.0
@@ -46,10 +58,12 @@ class Job:
     line_distance: float = 10.0
     ransac: float | None = 0.3
     ransac_trials: int = 1000
+    projective: bool | None = None  # fit whole fundamental matrices, not affine ones; None: for perspective cameras
     slack: float | None = 5.0  # metres over the elbow that matched keypoints may lie apart, None: any
     most_keypoints: int = 60_000
     area: tuple | None = None  # a ring of points in degrees, or several (holes, parts): only keypoints inside count
     select: int = 0
+    priority: tuple[str, ...] = ("length", "scale", "cost")
     sensor_aware: bool = False
     filter_pairs: bool = True
     allowed_pairs: tuple[tuple[str, str], ...] = ()  # of image ids, none: all
@@ -61,6 +75,14 @@ class Job:
         if self.method not in METHODS or self.matcher not in MATCHERS:
             raise ValueError(f"method is one of {METHODS}, matcher one of {MATCHERS}")
         solve.Settings(kind=self.kind, correct=tuple(self.correct))
+        if not self.priority or set(self.priority) - tracks.PRIORITY.keys():
+            raise ValueError(f"priority is some of {tuple(tracks.PRIORITY)}")
+
+    @property
+    def match_folder(self) -> str:
+        """Where matches of these settings are kept."""
+        own = ("matcher", "ratio", "most_distance", "window", "line_distance", "ransac", "ransac_trials", "slack", "most_keypoints", "area", "projective", "kind")
+        return f"{self.out}/matches/{hashlib.sha256(repr([getattr(self, k) for k in own]).encode()).hexdigest()[:16]}"
 
     @classmethod
     def read(cls, values: dict) -> Job:
@@ -128,7 +150,8 @@ def matched(keypoints: DataFrame, cams: DataFrame, models: DataFrame, p: DataFra
     end = lambda s, n: k.select(F.col("cam_id").alias(f"cam_{s}"), F.col("kp_id").alias(f"kp_{s}"), F.col("col").alias(f"x{n}"), F.col("row").alias(f"y{n}"), F.col("east").alias(f"x{s}"), F.col("north").alias(f"y{s}"))
     m = kept(m.join(end("i", 1), ["cam_i", "kp_i"]).join(end("j", 2), ["cam_j", "kp_j"]))
     if job.ransac is not None:
-        good = matching.ransac(m, job.ransac, job.ransac_trials).select("cam_i", "cam_j", "kp_i", "kp_j")
+        whole = job.kind == "perspective" if job.projective is None else job.projective
+        good = (matching.ransac_projective if whole else matching.ransac)(m, job.ransac, job.ransac_trials).select("cam_i", "cam_j", "kp_i", "kp_j")
         m = kept(m.join(good, ["cam_i", "cam_j", "kp_i", "kp_j"], "left_semi"))
     if job.slack is not None:
         m = matching.consistent(m, job.slack)
@@ -140,9 +163,21 @@ def batch(spark: SparkSession, job: Job, cams: DataFrame, models: DataFrame, key
     m = kept(models.join(cams.select("cam_id", "image_id"), "image_id").drop("image_id"))
     k = kept(keypoints.join(cams.select("cam_id", "image_id"), "image_id").drop("image_id"))
     centres, p = candidate_pairs(cams, m, job)
-    if stored is None:
-        found = matched(k, cams, m, p, job)
+    if stored is None and job.keep_matches:
+        n = lambda s: cams.select(F.col("image_id").alias(f"image_{s}"), F.col("cam_id").alias(f"cam_{s}"))
+        named = kept(p.join(n("i"), "cam_i").join(n("j"), "cam_j"))
+
+        def match(new: DataFrame) -> DataFrame:
+            new = new.select(F.struct("image_i", "image_j").alias("x")).unionByName(new.select(F.struct(F.col("image_j").alias("image_i"), F.col("image_i").alias("image_j")).alias("x"))).select("x.*")
+            some = matched(k, cams, m, kept(named.join(new, ["image_i", "image_j"], "left_semi").select("cam_i", "cam_j", "triangulate")), job)
+            return some.join(n("i"), "cam_i").join(n("j"), "cam_j").select("image_i", "image_j", "kp_i", "kp_j")
+
+        found, fresh = store.kept_matches(Store(spark, job.match_folder), named.select("image_i", "image_j"), match)
+        found = found.join(named.select("image_i", "image_j", "cam_i", "cam_j"), ["image_i", "image_j"]).select("cam_i", "cam_j", "kp_i", "kp_j")
+    elif stored is None:
+        found, fresh = matched(k, cams, m, p, job), None
     else:
+        fresh = 0
         n = lambda s: cams.select(F.col("image_id").alias(f"image_{s}"), F.col("cam_id").alias(f"c{s}"))
         s = stored.join(n("i"), "image_i").join(n("j"), "image_j")
         turn = F.col("ci") > F.col("cj")
@@ -150,56 +185,80 @@ def batch(spark: SparkSession, job: Job, cams: DataFrame, models: DataFrame, key
     full = k.join(cams.select("cam_id", "col0", "row0"), "cam_id").select("cam_id", "kp_id", (F.col("col") + F.col("col0")).alias("col"), (F.col("row") + F.col("row0")).alias("row"), "scale")
     old = frozenset(int(r.cam_id) for r in cams.where("adjusted").select("cam_id").collect())  # cameras of n_dates dates
     config = refine.Config(
-        select=job.select, clean_outliers=job.clean_outliers, fixed=old, fix_reference=job.fix_reference and not old, reference_weight=job.reference_weight, most_first_error=job.most_first_error, fit_grid=job.fit_grid,
+        select=job.select, priority=tuple(job.priority), clean_outliers=job.clean_outliers, fixed=old, fix_reference=job.fix_reference and not old, reference_weight=job.reference_weight, most_first_error=job.most_first_error, fit_grid=job.fit_grid,
         solver=solve.Settings(kind=job.kind, correct=tuple(job.correct), rounds=job.rounds),
     )
     sensors = cams.select("cam_id", "sensor") if job.sensor_aware else None
     out = refine.refine(spark, kept(found), kept(full), p.where("triangulate").select("cam_i", "cam_j"), m, centres, config, cams.where("not adjusted").select("cam_id"), sensors)
     named = out["models"].join(cams.where("not adjusted").select("cam_id", "image_id", "date_id"), "cam_id").drop("cam_id")
-    return out | {"models": named}
+    parts = {"models": named, "points": out["points"].select("track_id", "x", "y", "z"), "errors": out["errors"]}
+    if job.kind != "rpc":
+        p0, p1 = (refine.matrices(spark, cams.where("not adjusted"), x, job.kind) for x in (out["first"], out["angles"]))
+        named_p = p1.join(p0.select("image_id", F.col("p").alias("p_first")), "image_id")
+        parts["matrices"] = named_p.join(cams.select("image_id", "date_id"), "image_id")
+    return out | {"tables": parts, "fresh": fresh}
+
+
+REPORT = "date_id string, n_images long, n_tracks long, mean_before double, mean_after double"
 
 
 def run(spark: SparkSession, job: Job, images: DataFrame, models: DataFrame, keypoints: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Refines all chosen dates; (date_id, n_images, n_tracks, mean_before, mean_after) of each step. The
-    results stand in `out`/models (by date_id), `out`/points and `out`/errors (by step)."""
+    """Refines all chosen dates; (date_id, n_images, n_tracks, mean_before, mean_after) of each step, whose
+    name is its first date's."""
     if job.matcher == "stored" and stored is None:
         raise ValueError("no stored matches were given")
     stored = stored if job.matcher == "stored" else None
     dates, own = timeline(images, job)
     dates, own = kept(dates), kept(own)
-    steps = [[r.date_idx] for r in dates.orderBy("date_idx").select("date_idx").collect()] if job.method == "by_date" else [[r.date_idx for r in dates.select("date_idx").collect()]]
+    names = {r.date_idx: r.date_id for r in dates.collect()}  # one row a date
+    kept_here, reset = Store(spark, job.out), job.reset
+    if job.rematch:
+        Store(spark, job.match_folder).put({}, [], reset=True)
+    todo = sorted(k for k, v in names.items() if reset or v not in kept_here.owners())
     rows = []
-    for i, step in enumerate(steps):
-        done = _stored(spark, f"{job.out}/models") if i or not job.reset else None
-        names = dates.where(F.col("date_idx").isin(step))
-        if done is not None and not job.reset and names.join(done, "date_id", "left_anti").isEmpty():
-            continue
-        t = dates.withColumn("adjusted", F.lit(False)) if done is None else summaries.adjusted_before(dates, done, min(step))
-        chosen = names.select("date_idx")
-        if job.method == "by_date" and job.n_dates > 0:
-            near = pairs.nearest_dates(t.select("date_idx", "adjusted"), job.n_dates).where(F.col("date_idx") == step[0]).select(F.col("prev_idx").alias("date_idx"))
-            chosen = chosen.unionByName(near)
-        t = t.withColumn("adjusted", F.col("adjusted") & ~F.col("date_idx").isin(step))
+    for step in [[k] for k in todo] if job.method == "by_date" else [todo] if todo else []:
+        before = set() if reset else set(kept_here.owners())
+        done = sorted(k for k, v in names.items() if v in before and k not in step)
+        if job.method == "by_date":
+            near = [k for k in done if k < step[0]][-job.n_dates :] if job.n_dates > 0 else []
+        elif job.method == "windowed":
+            near = [k for k in done if any(abs(k - i) <= job.n_dates for i in step)]
+        else:
+            near = done
+        t = dates.withColumn("adjusted", F.col("date_idx").isin(near))
+        chosen = spark.createDataFrame([(k,) for k in step + near], "date_idx long")
         cams = kept(summaries.images_of_dates(own.drop("date_idx"), t.select("date_idx", "date_id", "adjusted"), chosen))
-        use = models
-        if done is not None:
-            better = spark.read.parquet(f"{job.out}/models").select("image_id", *geometry.FIELDS).join(cams.where("adjusted").select("image_id"), "image_id", "left_semi")
-            use = models.select("image_id", *geometry.FIELDS).join(better, "image_id", "left_anti").unionByName(better)
-        out = batch(spark, job, cams, kept(use.select("image_id", *geometry.FIELDS)), keypoints, stored)
-        name = names.orderBy("date_idx").first().date_id
-        mode = "overwrite" if job.reset and not i else "append"
-        out["models"].write.mode(mode).partitionBy("date_id").parquet(f"{job.out}/models")
-        d = out["drift"] or (0.0, 0.0, 0.0)
-        out["points"].select("track_id", *[(F.col(c) - F.lit(float(v))).alias(c) for c, v in zip("xyz", d, strict=True)], F.lit(name).alias("step")).write.mode(mode).partitionBy("step").parquet(f"{job.out}/points")
-        out["errors"].withColumn("step", F.lit(name)).write.mode(mode).partitionBy("step").parquet(f"{job.out}/errors")
+        use = models.select("image_id", *geometry.FIELDS)
+        if near:
+            better = kept_here.read("models", "date_id").select("image_id", *geometry.FIELDS).join(cams.where("adjusted").select("image_id"), "image_id", "left_semi")
+            use = use.join(better, "image_id", "left_anti").unionByName(better)
+        out = batch(spark, job, cams, kept(use), keypoints, stored)
+        name = names[step[0]]
         total = out["errors"].where("cam_id IS NULL").first()
-        rows.append((name, cams.where("not adjusted").count(), out["obs"].select("track_id").distinct().count(), total.mean_before, total.mean_after))
-    return spark.createDataFrame(rows, "date_id string, n_images long, n_tracks long, mean_before double, mean_after double")
+        mean = (total.mean_before, total.mean_after) if total else (None, None)
+        row = (name, cams.where("not adjusted").count(), out["obs"].select("track_id").distinct().count(), *mean)
+        d = out["drift"] or (0.0, 0.0, 0.0)
+        tables = out["tables"] | {"points": out["tables"]["points"].select("track_id", *[(F.col(c) - F.lit(float(v))).alias(c) for c, v in zip("xyz", d, strict=True)])}
+        tables = {k: v if k in ("models", "matrices") else v.withColumn("step", F.lit(name)) for k, v in tables.items()}
+        kept_here.put(tables | {"report": spark.createDataFrame([row], REPORT)}, [names[k] for k in step], reset)
+        reset = False  # the first step's commit takes the place of all that was there
+        rows.append(row)
+    return spark.createDataFrame(rows, REPORT)
+
+
+def results(spark: SparkSession, out: str, table: str) -> DataFrame | None:
+    """What runs have left in `out`: models (image_id, date_id, ...), matrices (image_id, date_id, p, p_first and the
+    crop), points (track_id, x, y, z, step), errors (cam_id or null for all, ..., step), report. Of a date
+    that was refined twice the last models count; of steps, all that hold such a date."""
+    return Store(spark, out).read(table, "date_id" if table in ("models", "matrices") else None)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """(date_id) of stored results, if there are any."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    return spark.read.parquet(path).select(F.col("date_id").cast("string")).distinct()
+def write_files(spark: SparkSession, out: str, folder: str) -> None:
+    """The corrected models as text files and, of matrix cameras, the first and corrected matrices as JSON."""
+    models = results(spark, out, "models")
+    if models is not None:
+        files.write_lines(files.rpc_lines(models), f"{folder}/models")
+    m = results(spark, out, "matrices")
+    if m is not None:
+        files.write_lines(files.matrix_json(m), f"{folder}/matrices")
+        files.write_lines(files.matrix_json(m.withColumn("p", F.col("p_first"))), f"{folder}/matrices_first")

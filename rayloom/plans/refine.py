@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, poses, rotation
 from ..operators import geometry, graph, outliers, solve, summaries, tracks
 from ..session import kept
 from .incremental import robust
@@ -25,6 +25,7 @@ class Config:
     """What a run may set; the defaults are the method's."""
 
     select: int = 0  # spanning trees of tracks to keep, 0: all tracks
+    priority: tuple[str, ...] = ("length", "scale", "cost")  # what makes a track better
     clean_outliers: bool = True
     fixed: frozenset[int] = frozenset()
     fix_reference: bool = False  # hold the camera that most others have tracks in common with
@@ -55,6 +56,18 @@ def track_table(matches: DataFrame, keypoints: DataFrame) -> DataFrame:
     return t.join(keypoints.select("cam_id", "kp_id", "col", "row", "scale"), ["cam_id", "kp_id"])
 
 
+def matrices(spark: SparkSession, images: DataFrame, params: dict[int, np.ndarray], kind: str) -> DataFrame:
+    """(image_id, p, col0, row0, width, height) for `files.matrix_json`: the matrices of perspective or affine
+    parameters by camera; images (cam_id, image_id, col0, row0, width, height)."""
+    rows = [(int(k), [float(x) for x in v]) for k, v in params.items()]
+    t = spark.createDataFrame(rows, "cam_id long, theta array<double>").select("cam_id", *[F.col("theta")[i].alias(f"t{i}") for i in range(solve.Settings(kind=kind).size)])
+    c = [F.col(f"t{i}") for i in range(solve.Settings(kind=kind).size)]
+    r = rotation.euler_to_matrix(*c[:3])
+    p = poses.affine_matrix(r, c[3:5], c[5:8]) if kind == "affine" else poses.perspective_matrix(r, c[3:6], c[6:11])
+    p = t.select("cam_id", F.array(*[F.array(*row) for row in p]).alias("p"))
+    return p.join(images.select("cam_id", "image_id", "col0", "row0", "width", "height"), "cam_id").drop("cam_id")
+
+
 def first_points(obs: DataFrame, pairs: DataFrame, models: DataFrame) -> DataFrame:
     """Triangulated tracks: the mean over the track's pairs that `pairs` (cam_i, cam_j) holds."""
     i, j = (obs.select("track_id", F.col("cam_id").alias(f"cam_{k}"), F.col("col").alias(f"c{k}"), F.col("row").alias(f"r{k}")) for k in "ij")
@@ -98,18 +111,28 @@ def corrected_models(models: DataFrame, centres: DataFrame | None, params: dict[
 def refine(spark: SparkSession, matches: DataFrame, keypoints: DataFrame, pairs: DataFrame, models: DataFrame, centres: DataFrame, config: Config | None = None, new: DataFrame | None = None, sensors: DataFrame | None = None) -> dict:
     """Tables `models`, `points`, `obs`, the cameras' parameters `angles` and the errors before and after.
 
-    `new` (cam_id): only tracks that one of these cameras sees are taken; `sensors` (cam_id, sensor): tracks
-    are selected for each sensor and for all.
+    `new` (cam_id): the cameras that are not refined yet. Tracks that none of them sees keep the points that
+    the other cameras give them; they count in the errors and are not moved or selected. `sensors` (cam_id,
+    sensor): tracks are selected for each sensor and for all. Without any match the models come out as
+    they went in, and the errors are an empty table.
     """
     c = config or Config()
     obs = kept(track_table(matches, keypoints))
+    still = None  # tracks of cameras that are refined already
     if new is not None:
-        obs = kept(tracks.tracks_of(obs, new))
+        moving = kept(tracks.tracks_of(obs, new))
+        still = kept(obs.join(moving, "track_id", "left_anti"))
+        obs = moving
     if c.select:
         o = obs.withColumn("err", F.lit(0.0))
-        chosen = tracks.select_by_sensor(o, sensors, c.select, kept) if sensors is not None else tracks.select_tracks(obs, tracks.rank_tracks(o), c.select, kept)
+        chosen = tracks.select_by_sensor(o, sensors, c.select, kept, c.priority) if sensors is not None else tracks.select_tracks(obs, tracks.rank_tracks(o, c.priority), c.select, kept)
         obs = kept(obs.join(chosen, "track_id", "left_semi"))
-    points = kept(first_points(obs, pairs, models).where("miss IS NOT NULL AND NOT isnan(x)"))
+    if still is not None:
+        obs = kept(obs.unionByName(still))
+    points = first_points(obs, pairs, models).where("miss IS NOT NULL AND NOT isnan(x)")
+    if still is not None:
+        points = points.join(still.select("track_id", F.lit(True).alias("is_fixed")).distinct(), "track_id", "left").withColumn("is_fixed", F.coalesce("is_fixed", F.lit(False)))
+    points = kept(points)
     obs = kept(obs.join(points, "track_id", "left_semi").select("track_id", "cam_id", "col", "row"))
     s = c.solver
     start = starting(models, s.kind, c.fit_grid)
@@ -130,7 +153,7 @@ def refine(spark: SparkSession, matches: DataFrame, keypoints: DataFrame, pairs:
         params, moved, _ = solve.adjust(spark, obs, points, start, centres, kept, fixed, s)
     after = solve.errors(solve._state(spark, obs, moved, start, params, centres, s), s)
     both = before.withColumnRenamed("err", "before").join(after.withColumnRenamed("err", "after"), ["track_id", "cam_id"])
-    drift = points.join(moved.toDF("track_id", "x1", "y1", "z1"), "track_id")
+    drift = points.join(moved.select("track_id", *[F.col(k).alias(f"{k}1") for k in "xyz"]), "track_id")
     shift = outliers.drift(drift).first()
     d = None if fixed or shift["dx"] is None else (shift["dx"], shift["dy"], shift["dz"])
-    return {"angles": params, "points": moved, "obs": obs, "drift": d, "errors": summaries.before_after(both), "models": corrected_models(models, centres, params, c.fit_grid, s.kind, d)}
+    return {"angles": params, "points": moved, "obs": obs, "drift": d, "errors": summaries.before_after(both), "first": first, "models": corrected_models(models, centres, params, c.fit_grid, s.kind, d)}

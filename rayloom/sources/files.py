@@ -6,7 +6,7 @@ table; writing gives one row of text a line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,10 +28,16 @@ def read_rpc_texts(spark: SparkSession, path: str) -> DataFrame:
     return parse_rpc_texts(raw)
 
 
+def _first(pairs: Column) -> Column:
+    """Of pairs (t, n) with equal tags t the first."""
+    return F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["t"]), p["t"]) == i + 1)
+
+
 def parse_rpc_texts(raw: DataFrame) -> DataFrame:
     pattern = rf"([A-Z_0-9]+)\s*:\s*({NUMBER})"
     tags, values = (F.regexp_extract_all(F.col("value"), F.lit(pattern), F.lit(i)) for i in (1, 2))
-    m = raw.select("image_id", F.map_from_arrays(tags, values).alias("m"))
+    pairs = F.arrays_zip(tags.alias("t"), values.alias("n"))
+    m = raw.select("image_id", F.map_from_entries(_first(pairs)).alias("m"))
     get = lambda tag: F.try_element_at("m", F.lit(tag)).cast("double")
     vector = lambda tag: F.array(*[get(f"{tag}_{i}") for i in range(1, 21)])
     return m.select("image_id", *[get(t).alias(f) for t, f in SCALARS.items()], *[vector(t).alias(f) for t, f in VECTORS.items()])
@@ -53,9 +59,7 @@ def parse_rpc_xml(raw: DataFrame) -> DataFrame:
     r = raw.select("image_id", own.alias("v"), (inverse > 0).alias("numbered"))
     tags, values = (F.regexp_extract_all("v", F.lit(pattern), F.lit(i)) for i in (1, 2))
     pairs = F.filter(F.arrays_zip(tags.alias("t"), values.alias("n")), lambda p: p["t"].isin(*NUMBERED, *LISTED, *LISTED_SCALARS))
-    # the first of equal tags counts
-    first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["t"]), p["t"]) == i + 1)
-    m = r.select("image_id", "numbered", F.map_from_entries(first).alias("m"))
+    m = r.select("image_id", "numbered", F.map_from_entries(_first(pairs)).alias("m"))
     get = lambda tag: F.try_element_at("m", F.lit(tag)).cast("double")
     other = {f: t for t, f in LISTED_SCALARS.items()}
     less = lambda f: F.when(F.col("numbered"), 1.0).otherwise(0.0) if f in ("row_off", "col_off") else F.lit(0.0)
@@ -98,6 +102,24 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", F.posexplode(ring).alias("i", "p")).select("file", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
+def read_rings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, member, ring, i, x, y) for `operators.regions`: all rings of the polygons and multi-polygons of GeoJSON
+    files, in collections, features or bare. Each polygon is a member; ring 0 is its outer one; the point
+    that closes a ring is left out. Other geometries have no ring."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.parse_json("value").alias("v"))
+    get = lambda p, kind: F.try_variant_get("v", p, kind)
+    inner = F.when(get("$.features", "array<variant>").isNotNull(), F.transform(get("$.features", "array<variant>"), lambda f: F.try_variant_get(f, "$.geometry", "variant")))
+    inner = inner.when(get("$.geometries", "array<variant>").isNotNull(), get("$.geometries", "array<variant>")).when(get("$.geometry", "variant").isNotNull(), F.array(get("$.geometry", "variant"))).otherwise(F.array("v"))
+    g = raw.select("file", F.posexplode(inner).alias("k", "g"))
+    kind, one, many = F.try_variant_get("g", "$.type", "string"), *(F.try_variant_get("g", "$.coordinates", t) for t in ("array<array<array<double>>>", "array<array<array<array<double>>>>"))
+    polygons = F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
+    p = g.select("file", "k", F.posexplode(polygons).alias("part", "rings")).select("file", "k", "part", F.posexplode("rings").alias("ring", "points"))
+    closed = (F.size("points") > 1) & (F.element_at("points", 1) == F.element_at("points", -1))
+    p = p.withColumn("points", F.when(closed, F.slice("points", 1, F.size("points") - 1)).otherwise(F.col("points")))
+    p = p.select("file", F.concat_ws(".", "k", "part").alias("member"), "ring", F.posexplode("points").alias("i", "p"))
+    return p.select("file", "member", "ring", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
 def polygon_json(points: DataFrame, by: str) -> DataFrame:
     """(group, value): one GeoJSON polygon a group of (group, i, x, y)."""
     ring = F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))), lambda p: F.array(p["x"], p["y"]))
