@@ -33,7 +33,7 @@ from hashlib import blake2b, md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, tidy
@@ -81,8 +81,14 @@ def minima(s: np.ndarray) -> np.ndarray:
     return ((out & ~low) | np.arange(COORDS, dtype=np.uint64)).view(np.int64)
 
 
+def with_own(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The texts with what finds them again: a hash of id and text together, so that ids that repeat or lack
+    meet their own texts only. The set's digest, which is looked at then, settles the rest."""
+    return df.select(F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("own"), F.col(text).alias("text"))
+
+
 def signatures(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """row, key, md5 (of the text), n (size of the set), same (digest), sig; row numbers are settled by a cut."""
+    """row, key, own, md5 (of the text), n (size of the set), same (digest), sig; row numbers are settled by a cut."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         see = Shingles(length)
@@ -92,11 +98,12 @@ def signatures(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
                 texts = part.column(1).to_pylist()
                 sets = see(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([md5((t or "").encode()).digest() for t in texts], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([minima(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    names=["key", "md5", "n", "same", "sig"],
+                    [part.column(0), part.column(2), pa.array([md5((t or "").encode()).digest() for t in texts], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([minima(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    names=["key", "own", "md5", "n", "same", "sig"],
                 )
 
-    seen = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), "key long, md5 binary, n long, same binary, sig array<long>")
+    k = F.col(key).cast("long")
+    seen = df.select(k.alias("key"), F.col(text).alias("text"), F.xxhash64(k, text).alias("own")).mapInArrow(tidy(run), "key long, own long, md5 binary, n long, same binary, sig array<long>")
     return cut(seen.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
@@ -110,21 +117,10 @@ def postings(reps: DataFrame) -> DataFrame:
     return mine.where(left > 0).select("row", "n", F.explode(F.slice("t", 1, left)).alias("t")).select(F.col("t.token").alias("token"), "row", "n")
 
 
-def own_row(key: Column, md5_: Column) -> Column:
-    """What finds a row's text again: its id and its text's digest together, so that ids that repeat or lack
-    meet their own texts only. The set's digest, which is looked at then, settles the rest."""
-    return F.xxhash64(key, md5_)
-
-
-def with_own(df: DataFrame, key: str, text: str) -> DataFrame:
-    t = F.col(text)
-    return df.select(own_row(F.col(key).cast("long"), F.unhex(F.md5(F.coalesce(t, F.lit("")).cast("binary")))).alias("own"), t.alias("text"))
-
-
 def colliding(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole signatures agree in `MATCH` coordinates or more, with what
     finds their texts."""
-    side = lambda x: sigs.select(F.col("row").alias(x), own_row(F.col("key"), F.col("md5")).alias(f"own_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("same", "sig")])
+    side = lambda x: sigs.select(F.col("row").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("own", "same", "sig")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where(F.size(F.array_intersect("sig_a", "sig_b")) >= MATCH).drop("sig_a", "sig_b")
 
@@ -230,7 +226,7 @@ def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: st
     own = (F.col("s1") == F.col("s2")) & (F.col("c1") == F.col("c2"))
     sides = pairs.withColumn("side", F.explode(F.when(own, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))))
     sides = sides.withColumns({"step": F.when(F.col("side") == 1, F.col("s1")).otherwise(F.col("s2")), "cell": F.when(F.col("side") == 1, F.col("c1")).otherwise(F.col("c2"))})
-    named = rows.join(sigs.select("row", "same", own_row(F.col("key"), F.col("md5")).alias("own")), "row")
+    named = rows.join(sigs.select("row", "same", "own"), "row")
     found = named.join(with_own(df, key, text), "own").select("f", "step", "cell", "row", "label", "same", "text")
     met = sides.join(found, ["f", "step", "cell"]).select("f", "s1", "c1", "s2", "c2", "side", "row", "label", "same", "text")
     met = met.repartition("f", "s1", "c1", "s2", "c2").sortWithinPartitions("f", "s1", "c1", "s2", "c2", "side")
