@@ -209,16 +209,16 @@ def _meet(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tu
     return [(row, least[root(p)]) for (row, _, _), p in zip(rows, part.tolist(), strict=True) if least[root(p)] != row]
 
 
-def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: str, length: int, percent: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """(a, b): links between rows of `rest` (token, row, n, label) in different components. A cell holds as many
-    rows as their sets fit in `cell_bytes`, so that of a family of k rows each travels to k / that many."""
+def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: str, length: int, percent: int, cell: int = 1500, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """(a, b): links between rows of `rest` (token, row, n, label) in different components. A cell has about `cell`
+    rows, so that many tasks share a large family, and fewer where their sets would not fit in `cell_bytes`."""
     heads = rest.groupBy("token").agg(F.min("row").alias("b"))
     kin = components(rest.join(heads, "token").select(F.col("row").alias("a"), "b"))
     rows = rest.select("row", "n", "label").distinct().join(kin, F.col("row") == F.col("node"), "left")
     # similar sets differ in size by a factor below 100 / percent, so by one step at most
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     rows = rows.select(F.coalesce("component", "row").alias("f"), step.alias("step"), "row", "label", "n")
-    per = rows.groupBy("f", "step").agg(F.sum(8 * F.col("n") + 4 * COORDS).alias("bytes")).withColumn("cells", F.ceil(F.col("bytes") / cell_bytes))
+    per = rows.groupBy("f", "step").agg(F.count("*").alias("k"), F.sum(8 * F.col("n") + 4 * COORDS).alias("bytes")).withColumn("cells", F.ceil(F.greatest(F.col("k") / cell, F.col("bytes") / cell_bytes)))
     rows = cut(rows.join(per.select("f", "step", "cells"), ["f", "step"]).withColumn("cell", F.pmod(F.xxhash64("row"), "cells")).drop("cells", "n"), "cells")
     cells = per.select("f", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
     x, y = (cells.select("f", F.col("step").alias(f"s{i}"), F.col("cell").alias(f"c{i}")) for i in "12")

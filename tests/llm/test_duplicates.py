@@ -72,7 +72,7 @@ def test_minhash_edges(spark):
 
 def test_family_cells_meet(spark, monkeypatch):
     """Cells of two rows give the same links as one cell."""
-    monkeypatch.setattr(minhash.families, "__defaults__", (900,))
+    monkeypatch.setattr(minhash.families, "__defaults__", (2, minhash.CELL_BYTES))
     test_minhash(spark, 4)
 
 
