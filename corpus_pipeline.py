@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before it kept, and
 returns a DataFrame, which `run` writes and reads again as the next one's `docs`. All but the
 last return the columns of `documents`; `n_chars` follows the text.
+
+Defined results: a null or empty text fails the quality rules and goes there. A null doc_id is an id
+like any other, a null source a source of its own. Rows that repeat as a whole pass the rules and line
+dedup each, and of them one stays after near-dedup. A text that loses all its lines goes with them. Texts are
+taken whole at any length. From an empty table every stage makes an empty one. Columns besides those of
+`documents` are left behind by the first stage, whatever they are called.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@ pattern, byte-level symbols, an end-of-word suffix. Its path is a parameter; eac
 Defined results: null and empty texts have no tokens and decode to an empty string. Strings of
 special tokens in a text become these tokens. Texts are taken whole at any length; repeated rows
 give repeated results; columns to keep are named by the caller, so clashing names are no matter.
+An empty table gives no rows. A word without a break costs its length in each of its rounds, which are as many as
+the different pairs that it merges.
 """
 
 from __future__ import annotations

@@ -20,6 +20,7 @@ codes that no table brings together. The test against brute force measures that.
 Defined results: a vector that is null, empty, zero, of another length than most, or holds null
 or non-finite components links with nothing and is its own component. Rows with a null id count
 as links but name no component. Rows that repeat are linked vectors. Empty input gives no rows.
+Only the key and the vector are read, so other columns and their names are no matter.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ themselves move once, to meet their page's list of dropped keys.
 Defined results: a null text stays null, has no lines and loses none; an empty line (no visible
 character) is never counted nor dropped; a null host is a host of its own; rows are told apart
 by their place in the input, so rows that repeat are pages of their own. Very long texts are taken
-whole; other columns pass through untouched.
+whole; an empty table gives no rows. Other columns pass through untouched, but for input columns named
+`line_dedup` (the result's own takes its place) and `__row`, `__host`, `__keys` and `__drop`, which are
+used up on the way.
 """
 
 from __future__ import annotations

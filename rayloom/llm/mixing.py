@@ -19,7 +19,8 @@ A column `mix` of the input gives way to the result's.
 
 Defined results: a null or empty text has size 0 and is taken as 0 words; a null source is the
 last source, one of its own; sources of size 0 have target 0; repeated rows are separate
-documents, drawn separately only by their number. Empty input gives no rows.
+documents, drawn separately only by their number. Empty input gives no rows. A text of any length
+counts whole; one that is longer than its source's target is taken or left as a whole.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ lines from which it applies (ratios over a handful of words say nothing).
 Defined results: a null or empty text has no words, all counts 0, fails the base rule and is
 not kept. Very long texts are taken whole. Repeated rows give repeated results; columns that
 are called like a metric are no obstacle, because metrics live in a struct column of their own.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -37,6 +37,7 @@ more go as a whole. Texts are taken whole at any length: above 2^22 bytes (words
 overlapping pieces. Hashes of contexts and cores have 128 bits, those
 of anchors of words 63 and more. Columns
 of `keep` named like a result (n_bytes, n_removed, n_spans, kept, shares_passage) give way to it.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ that 0.5 is where the odds are even. Scoring reads every whole text.
 Defined results: null and empty texts have no features and score by the intercept alone; with
 no labelled row of either class the score is 0.5. A doc_id that repeats among the documents is
 learnt from once, by the text that comes first in order; columns named `score` or `__text` give way
-to the operator's own. Scores depend on nothing but the text.
+to the operator's own. Scores depend on nothing but the text, which is taken whole at any length. Without
+documents there are no scores, and without labels on them nothing is learnt.
 """
 
 from __future__ import annotations

@@ -100,6 +100,15 @@ def test_features_are_words_pairs_and_skips():
         assert got.tolist() == sorted({x >> 44 for x in found})
 
 
+def test_a_very_long_text_is_scored_whole(spark, data):
+    """What stands behind a long text changes its score."""
+    plain = "lona miko radi " * 100_000
+    w = toxicity.train(*data)
+    df = spark.createDataFrame([(1, plain), (2, plain + "vile nasty grubby " * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(df, w, ["doc_id"]).collect()}
+    assert set(got) == {1, 2} and 0 <= got[1] < got[2] <= 1
+
+
 def test_ids_that_repeat_and_clashing_names(spark, data):
     docs, labels = data
     w = toxicity.train(docs, labels)
