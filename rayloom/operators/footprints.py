@@ -138,7 +138,11 @@ def repaired(rings: DataFrame, by: str) -> DataFrame:
     side = lambda a, b, c, d, p, q: (F.col(c) - F.col(a)) * (F.col(q) - F.col(b)) - (F.col(d) - F.col(b)) * (F.col(p) - F.col(a))
     one, two = ("x", "y", "u", "v"), ("x2", "y2", "u2", "v2")
     crosses = (side(*one, "x2", "y2") * side(*one, "u2", "v2") < 0) & (side(*two, "x", "y") * side(*two, "u", "v") < 0)
-    bad = e.join(f, by).where("i < i2").where(crosses).select(by).distinct().withColumn("bad", F.lit(True))
+    w, boxed = (F.least, F.greatest), []
+    for c, d in (("x", "u"), ("y", "v")):
+        boxed += [w[k](c, d).alias(f"{c}{k}") for k in (0, 1)]
+    near = regions.box_pairs(e.select(by, "i", *boxed), [by], "i").toDF(by, "i", "i2")  # edges whose boxes meet
+    bad = near.join(e, [by, "i"]).join(f, [by, "i2"]).where(crosses).select(by).distinct().withColumn("bad", F.lit(True))
     r = rings.select(by, "i", "x", "y").join(centres(rings, by), by).join(bad, by, "left")
     order = F.when(F.col("bad"), F.atan2(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))).otherwise(F.col("i").cast("double"))
     return r.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(order, "i")) - 1).select(by, F.col("k").alias("i"), "x", "y", "cx", "cy")

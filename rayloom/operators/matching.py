@@ -114,7 +114,7 @@ def idw(points: DataFrame, queries: DataFrame, k: int = 8, per_cell: int = 4) ->
 
     Both are dealt to the cells of a grid with about `per_cell` points a cell, and a query meets the
     points of the nine cells around it. Its k nearest are certain if they are no farther away than a
-    cell's side; queries that have fewer go on with cells twice as large, until all are certain.
+    cell's side; queries that have fewer go on with cells twice, later four times as large, until all are certain.
     """
     s = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]).first()
     q = queries.agg(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]).first()
@@ -122,24 +122,26 @@ def idw(points: DataFrame, queries: DataFrame, k: int = 8, per_cell: int = 4) ->
     if not s["n"] or q["x0"] is None:
         return left.limit(0).select("q_id", F.lit(0.0).alias("z"))
     wide, high = s["x1"] - s["x0"], s["y1"] - s["y0"]
-    side = math.sqrt(wide * high * per_cell / s["n"]) or max(wide, high) * per_cell / s["n"] or 1.0
+    side = first_side = math.sqrt(wide * high * per_cell / s["n"]) or max(wide, high) * per_cell / s["n"] or 1.0
     reach = math.hypot(max(s["x1"], q["x1"]) - min(s["x0"], q["x0"]), max(s["y1"], q["y1"]) - min(s["y0"], q["y0"]))
-    left, done = kept(left), None
+    left, done, factor = kept(left), None, 2
     while True:
         cell = lambda c: F.floor((F.col(c) - s[f"{c[-1]}0"]) / side)  # noqa: B023, E731
         around = F.explode(F.array(*[F.struct((cell("qx") + i).alias("gx"), (cell("qy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
         asked = left.select("q_id", "qx", "qy", around.alias("g")).select("q_id", "qx", "qy", "g.gx", "g.gy")
-        m = asked.join(points.select("p_id", "x", "y", "z", cell("x").alias("gx"), cell("y").alias("gy")), ["gx", "gy"])
-        near = F.struct(F.sqrt(F.pow(F.col("qx") - F.col("x"), 2) + F.pow(F.col("qy") - F.col("y"), 2)).alias("d"), "p_id", "z").alias("c")
-        first = m.select("q_id", "gx", "gy", near).withColumn("k", F.row_number().over(W.partitionBy("q_id", "gx", "gy").orderBy("c"))).where(F.col("k") <= k)
-        best = first.groupBy("q_id").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k).alias("c"))  # k of each of nine cells
+        m = asked.join(points.select("p_id", "x", "y", "z", cell("x").alias("gx"), cell("y").alias("gy")), ["gx", "gy"], "left")
+        d = F.sqrt(F.pow(F.col("qx") - F.col("x"), 2) + F.pow(F.col("qy") - F.col("y"), 2)).alias("d")
+        near = F.when(F.col("p_id").isNotNull(), F.struct(d, "p_id", "z")).alias("c")
+        first = m.select("q_id", "qx", "qy", "gx", "gy", near).withColumn("k", F.row_number().over(W.partitionBy("q_id", "gx", "gy").orderBy(F.col("c").asc_nulls_last()))).where(F.col("k") <= k)
+        best = first.groupBy("q_id", "qx", "qy").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k).alias("c"))  # k of each of nine cells
         sure = (F.size("c") == k) & (F.col("c")[k - 1]["d"] <= side) if side < reach else F.lit(True)
-        best = kept(best.where(sure))
-        done = best if done is None else done.unionByName(best)
-        left = kept(left.join(best, "q_id", "left_anti"))
+        step = kept(best.withColumn("sure", sure))  # the one table of a round
+        done = step.where("sure").select("q_id", "c") if done is None else done.unionByName(step.where("sure").select("q_id", "c"))
+        left = step.where("NOT sure").select("q_id", "qx", "qy")
         if side >= reach or left.isEmpty():
             break
-        side *= 2
+        # few are left after two rounds, so that larger cells cost little
+        side, factor = side * factor, 4 if factor == 2 and side > first_side else factor
     w = lambda c: 1 / F.greatest(c["d"], F.lit(1e-300))
     total = lambda f: F.aggregate("c", F.lit(0.0), lambda a, c: a + f(c))
     z = F.when(F.col("c")[0]["d"] < 1e-10, F.col("c")[0]["z"]).otherwise(total(lambda c: c["z"] * w(c)) / total(w))
@@ -272,17 +274,42 @@ def overlap_keypoints(kp: DataFrame, pairs: DataFrame, boxes: DataFrame) -> Data
     return both.join(kp.select("cam_id", "kp_id", "x", "y"), "cam_id").where("x > x0 and x < x1 and y > y0 and y < y1").select("cam_i", "cam_j", "cam_id", "kp_id")
 
 
-def epipolar_match(kp: DataFrame, pairs: DataFrame, thr: float, ratio: float) -> DataFrame:
+def epipolar_match(kp: DataFrame, pairs: DataFrame, thr: float, ratio: float, bands: int = 64) -> DataFrame:
     """For each keypoint of cam_i the nearest descriptor of cam_j among the keypoints no farther than
     `thr` from its epipolar line, if nearer than `ratio` times the second nearest, where there is one.
     kp (cam_id, kp_id, x, y, desc), pairs (cam_i, cam_j, f: 9 numbers of x_j' F x_i = 0).
 
-    The line is made where the keypoint is, so the join's own condition drops what is off the line;
-    the two smallest distances are kept by aggregation.
+    An image is cut into `bands` strips across and as many down. A keypoint's line crosses each strip along its
+    steeper axis in a few squares (one with those beside it that `thr` reaches into), and meets the keypoints of
+    these squares only: an equi-join on pair and square. The two nearest are kept by rank, before the exchange too.
     """
     line = lambda r: F.col("f")[3 * r] * F.col("x") + F.col("f")[3 * r + 1] * F.col("y") + F.col("f")[3 * r + 2]
-    a = pairs.join(kp.withColumnRenamed("cam_id", "cam_i"), "cam_i").select("cam_i", "cam_j", F.col("kp_id").alias("kp_i"), F.col("desc").alias("di"), *[line(r).alias(k) for r, k in enumerate("abc")])
-    b = kp.select(F.col("cam_id").alias("cam_j"), F.col("kp_id").alias("kp_j"), "x", "y", F.col("desc").alias("dj"))
-    m = a.join(b, "cam_j").where(F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")) <= thr * F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")))
-    two = m.groupBy("cam_i", "cam_j", "kp_i").agg(F.min_by("kp_j", F.struct(F.round(l2(F.col("di"), F.col("dj")), 9), "kp_j")).alias("kp_j"), F.min(F.round(l2(F.col("di"), F.col("dj")), 9)).alias("dist"), F.slice(F.array_sort(F.collect_list(F.round(l2(F.col("di"), F.col("dj")), 9))), 2, 1).alias("next"))
-    return two.where((F.size("next") == 0) | (F.col("dist") < ratio * F.col("next")[0])).select("cam_i", "cam_j", "kp_i", "kp_j", "dist")
+    place = kp.groupBy("cam_id").agg(*[f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))])
+    side = F.greatest((F.col("x1") - F.col("x0")) / bands, (F.col("y1") - F.col("y0")) / bands, F.lit(4.0 * thr), F.lit(1e-9))
+    place = place.select(F.col("cam_id").alias("cam_j"), "x0", "y0", "x1", "y1", side.alias("side"))
+    to = pairs.select("cam_i", "cam_j", "f").join(place, "cam_j")
+    a = to.join(kp.withColumnRenamed("cam_id", "cam_i"), "cam_i").select("cam_i", "cam_j", F.col("kp_id").alias("kp_i"), F.col("desc").alias("di"), *[line(r).alias(k) for r, k in enumerate("abc")], "x0", "y0", "x1", "y1", "side")
+    flat = F.abs("b") >= F.abs("a")  # the line goes from left to right
+    n = F.floor(F.when(flat, F.col("x1") - F.col("x0")).otherwise(F.col("y1") - F.col("y0")) / F.col("side"))
+    a = a.where("a <> 0 OR b <> 0").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), n)))
+    # where the line enters and leaves the strip, and how far `thr` reaches across it
+    low = F.when(flat, F.col("x0")).otherwise(F.col("y0"))
+    at = lambda k: F.when(flat, -(F.col("a") * (low + (F.col("s") + k) * F.col("side")) + F.col("c")) / F.col("b")).otherwise(-(F.col("b") * (low + (F.col("s") + k) * F.col("side")) + F.col("c")) / F.col("a"))
+    reach = thr * F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")) / F.greatest(F.abs("a"), F.abs("b"))
+    other, far = F.when(flat, F.col("y0")).otherwise(F.col("x0")), F.when(flat, F.col("y1")).otherwise(F.col("x1"))
+    # rounding must not part a keypoint on a strip's border from the line, hence a little more
+    more = reach + F.col("side") * 1e-6
+    first = F.floor((F.greatest(F.least(at(0), at(1)) - more, other) - other) / F.col("side"))
+    last = F.floor((F.least(F.greatest(at(0), at(1)) + more, far) - other) / F.col("side"))
+    a = a.withColumns({"t0": first, "t1": last}).where("t0 <= t1").withColumn("t", F.explode(F.sequence("t0", "t1")))
+    a = a.select("cam_i", "cam_j", "kp_i", "di", "a", "b", "c", F.when(flat, F.col("s")).otherwise(F.col("t")).alias("gx"), F.when(flat, F.col("t")).otherwise(F.col("s")).alias("gy"))
+    k = kp.withColumnRenamed("cam_id", "cam_j").join(place, "cam_j")
+    cell = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side")).alias(f"g{c}")
+    b = k.select("cam_j", F.col("kp_id").alias("kp_j"), "x", "y", F.col("desc").alias("dj"), cell("x"), cell("y"))
+    m = a.join(b, ["cam_j", "gx", "gy"]).where(F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")) <= thr * F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")))
+    m = m.select("cam_i", "cam_j", "kp_i", "kp_j", F.round(l2(F.col("di"), F.col("dj")), 9).alias("d"))
+    w = W.partitionBy("cam_i", "cam_j", "kp_i").orderBy("d", "kp_j")
+    two = m.withColumn("k", F.row_number().over(w)).where("k <= 2").groupBy("cam_i", "cam_j", "kp_i")
+    nth = lambda c, n: F.max(F.when(F.col("k") == n, F.col(c)))
+    t = two.agg(nth("kp_j", 1).alias("kp_j"), nth("d", 1).alias("dist"), nth("d", 2).alias("next"))
+    return t.where(F.col("next").isNull() | (F.col("dist") < ratio * F.col("next"))).select("cam_i", "cam_j", "kp_i", "kp_j", "dist")

@@ -57,11 +57,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/rayloom/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """Written to the shared folder and read again: the lineage ends in a file that survives the
     loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rayloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

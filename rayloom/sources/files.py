@@ -19,13 +19,20 @@ VECTORS = {"LINE_NUM_COEFF": "row_num", "LINE_DEN_COEFF": "row_den", "SAMP_NUM_C
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
+def image_of(suffix: str = "") -> Column:
+    """The image that a file is of: what its folder is named for where the sinks here wrote it
+    (image_id=...), else its name without `suffix` and ending."""
+    path = F.col("_metadata.file_path")
+    own = F.url_decode(F.regexp_extract(path, r"/image_id=([^/]*)/[^/]*$", 1))
+    return F.when(own != "", own).otherwise(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), rf"{suffix}(\.[^.]*)?$", "")).alias("image_id")
+
+
 def read_rpc_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row a file of `TAG: value` lines: image_id (file name without ending) and the model.
 
     Files are small and many: whole files are rows, and their lines become a map in one projection.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("image_id"), F.col("value"))
-    return parse_rpc_texts(raw)
+    return parse_rpc_texts(spark.read.text(path, wholetext=True).select(image_of(), F.col("value")))
 
 
 def _first(pairs: Column) -> Column:
@@ -70,7 +77,7 @@ def parse_rpc_xml(raw: DataFrame) -> DataFrame:
 
 def read_rpc_files(spark: SparkSession, path: str) -> DataFrame:
     """Sensor models of any of the three formats; XML is known by its first character."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("image_id"), F.col("value"))
+    raw = spark.read.text(path, wholetext=True).select(image_of(), F.col("value"))
     xml = F.ltrim("value").startswith("<")
     return parse_rpc_texts(raw.where(~xml)).unionByName(parse_rpc_xml(raw.where(xml)))
 
@@ -103,21 +110,21 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rings(spark: SparkSession, path: str) -> DataFrame:
-    """(file, member, ring, i, x, y) for `operators.regions`: all rings of the polygons and multi-polygons of GeoJSON
+    """(path, member, ring, i, x, y) for `operators.regions`: all rings of the polygons and multi-polygons of GeoJSON
     files, in collections, features or bare. Each polygon is a member; ring 0 is its outer one; the point
     that closes a ring is left out. Other geometries have no ring."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.parse_json("value").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("v"))
     get = lambda p, kind: F.try_variant_get("v", p, kind)
     inner = F.when(get("$.features", "array<variant>").isNotNull(), F.transform(get("$.features", "array<variant>"), lambda f: F.try_variant_get(f, "$.geometry", "variant")))
     inner = inner.when(get("$.geometries", "array<variant>").isNotNull(), get("$.geometries", "array<variant>")).when(get("$.geometry", "variant").isNotNull(), F.array(get("$.geometry", "variant"))).otherwise(F.array("v"))
-    g = raw.select("file", F.posexplode(inner).alias("k", "g"))
+    g = raw.select("path", F.posexplode(inner).alias("k", "g"))
     kind, one, many = F.try_variant_get("g", "$.type", "string"), *(F.try_variant_get("g", "$.coordinates", t) for t in ("array<array<array<double>>>", "array<array<array<array<double>>>>"))
     polygons = F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
-    p = g.select("file", "k", F.posexplode(polygons).alias("part", "rings")).select("file", "k", "part", F.posexplode("rings").alias("ring", "points"))
+    p = g.select("path", "k", F.posexplode(polygons).alias("part", "rings")).select("path", "k", "part", F.posexplode("rings").alias("ring", "points"))
     closed = (F.size("points") > 1) & (F.element_at("points", 1) == F.element_at("points", -1))
     p = p.withColumn("points", F.when(closed, F.slice("points", 1, F.size("points") - 1)).otherwise(F.col("points")))
-    p = p.select("file", F.concat_ws(".", "k", "part").alias("member"), "ring", F.posexplode("points").alias("i", "p"))
-    return p.select("file", "member", "ring", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    p = p.select("path", F.concat_ws(".", "k", "part").alias("member"), "ring", F.posexplode("points").alias("i", "p"))
+    return p.select("path", "member", "ring", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
 def polygon_json(points: DataFrame, by: str) -> DataFrame:
@@ -173,6 +180,13 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFr
     return f.select("path", names.image_id(F.col("path")).alias("image_id"), F.col("length").alias("bytes"), names.acquired(F.lit(None).cast("string"), F.col("path")).alias("ts"))
 
 
+def read_params(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, params: map of a name to numbers) of the files that `params_lines` makes."""
+    raw = spark.read.text(path, wholetext=True).select(image_of(), F.split(F.rtrim("value"), "\n").alias("v"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 2).cast("int") - 1), lambda k: F.struct(F.get("v", 2 * k), F.transform(F.split(F.get("v", 2 * k + 1), " "), lambda x: x.cast("double"))))
+    return raw.select("image_id", F.map_from_entries(pairs).alias("params"))
+
+
 def write_lines(lines: DataFrame, path: str, by: str = "image_id") -> None:
     """Rows (by, i, value) as one folder a group of `by`, its lines in order of `i`."""
     lines.repartition(by).sortWithinPartitions(by, "i").select(by, "value").write.partitionBy(by).mode("overwrite").text(path)
@@ -190,10 +204,9 @@ def read_matrices(spark: SparkSession, path: str, suffix: str = "") -> DataFrame
     `suffix` is what a file's name has behind the image's."""
     schema = "P array<array<double>>, height long, width long, col_offset long, row_offset long"
     raw = spark.read.schema(schema).json(path, multiLine=True)
-    name = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1), rf"{suffix}(\.[^.]*)?$", "")
     last = F.col("P")[2][3]
     p = F.transform("P", lambda r: F.transform(r, lambda x: x / last))
-    return raw.select(name.alias("image_id"), p.alias("p"), F.col("col_offset").alias("col0"), F.col("row_offset").alias("row0"), "width", "height")
+    return raw.select(image_of(suffix), p.alias("p"), F.col("col_offset").alias("col0"), F.col("row_offset").alias("row0"), "width", "height")
 
 
 def params_lines(params: DataFrame) -> DataFrame:
@@ -221,3 +234,25 @@ def write_predefined_matches(keypoints: DataFrame, matches: DataFrame, images: D
     keypoints.select("cam_id", "kp_id", "col", "row", "scale").write.mode("overwrite").parquet(f"{folder}/keypoints")
     matches.select("cam_i", "cam_j", "kp_i", "kp_j").write.mode("overwrite").parquet(f"{folder}/matches")
     images.select("cam_id", "image_id").write.mode("overwrite").parquet(f"{folder}/images")
+
+
+def series(spark: SparkSession, folder: str, models_folder: str | None = None, pattern: str = "*.tif", model_pattern: str = "*") -> tuple[DataFrame, DataFrame]:
+    """(images, models) for `plans.job`: the images below a folder, however deep, and the sensor models of the files below
+    `models_folder` (the same folder where it is not given), of any of the three formats, by image. Of images that stand
+    there more than once the newest file counts; an image without a model, or whose name has no time,
+    is left out, and so is a model without an image.
+
+    Image files are not opened: the crop is the whole of what the model covers, from 0; its height is the model's
+    own; the sensor is what stands behind the time in the name.
+    """
+    found = discover(spark, folder, pattern).where("ts IS NOT NULL")
+    one = latest(found).select("image_id", "ts")
+    f = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", model_pattern).load(models_folder or folder)
+    raw = f.select(image_of(), F.col("value")).where(F.col("value").rlike(r"LINE_OFF|LINEOFFSET"))
+    xml = F.ltrim("value").startswith("<")
+    every = parse_rpc_texts(raw.where(~xml)).unionByName(parse_rpc_xml(raw.where(xml)))
+    models = every.withColumn("k", F.row_number().over(W.partitionBy("image_id").orderBy("col_off", "row_off"))).where("k = 1 AND row_off IS NOT NULL").drop("k").join(one.select("image_id"), "image_id", "left_semi")
+    size = models.select("image_id", (2 * F.col("col_scale")).alias("width"), (2 * F.col("row_scale")).alias("height"), F.col("alt_off").alias("alt"))
+    sensor = F.regexp_extract("image_id", r"^\d{8}_\d{6}_([^_]*)", 1)
+    images = one.join(size, "image_id").select("image_id", sensor.alias("sensor"), F.lit(0).alias("scene"), "ts", F.lit(0.0).alias("col0"), F.lit(0.0).alias("row0"), "width", "height", "alt")
+    return images, models

@@ -230,7 +230,7 @@ def test_weights_and_fixed_points(spark):
     assert len(e) == 5 and costs[-1] < costs[0]
 
 
-def test_block_gradients_are_the_dense_solution():
+def test_block_gradients_are_the_dense_solution(spark):
     draw = np.random.default_rng(3)
     a = draw.normal(size=(30, 30))
     a = a @ a.T + np.eye(30)
@@ -239,7 +239,94 @@ def test_block_gradients_are_the_dense_solution():
     blocks = {(i, j): a[slice(*p), slice(*q)] for i, p in ends.items() for j, q in ends.items()}
     rhs = {i: b[slice(*p)] for i, p in ends.items()}
     sizes = {i: 6 for i in ends}
+    rows = [(i, j, m.ravel().tolist(), (rhs[i] if i == j else np.zeros(6)).tolist(), 0.0) for (i, j), m in blocks.items()] + [(-1, -1, [0.0] * 36, [0.0] * 6, 7.0)]
+    in_spark = solve.solve_in_spark(spark.createDataFrame(rows, "ci long, cj long, block array<double>, rhs array<double>, cost double").repartition(3), sizes, kept)
+    assert all(np.allclose(in_spark[k], -np.linalg.solve(a, b)[slice(*ends[k])], atol=1e-7) for k in ends)
     one, two = (solve.solve_blocks(blocks, rhs, sizes, dense) for dense in (100, 1))
     assert all(np.allclose(one[k], two[k], atol=1e-7) and np.allclose(one[k], -np.linalg.solve(a, b)[slice(*ends[k])]) for k in ends)
     with pytest.raises(ValueError):
         solve.Settings(correct=("K", "COMMON_K"))
+
+
+def test_gradients_in_spark_with_owners_of_several_sizes(spark):
+    draw = np.random.default_rng(4)
+    n = {5: 3, 9: 3, solve.COMMON: 2}
+    a = draw.normal(size=(8, 8))
+    a, b = a @ a.T + np.eye(8), draw.normal(size=8)
+    ends = {5: (0, 3), 9: (3, 6), solve.COMMON: (6, 8)}
+    padded = lambda m, r, c: np.pad(m, ((0, 3 - r), (0, 3 - c)), constant_values=9.0).ravel().tolist()
+    rows = [(i, j, padded(a[slice(*p), slice(*q)], n[i], n[j]), np.pad(b[slice(*p)], (0, 3 - n[i]), constant_values=9.0).tolist() if i == j else [0.0] * 3) for i, p in ends.items() for j, q in ends.items()]
+    got = solve.solve_in_spark(spark.createDataFrame(rows, "ci long, cj long, block array<double>, rhs array<double>"), n, kept)
+    assert all(np.allclose(got[k], -np.linalg.solve(a, b)[slice(*ends[k])], atol=1e-8) for k in ends)
+    assert solve.solve_in_spark(spark.createDataFrame(rows, "ci long, cj long, block array<double>, rhs array<double>"), {}, kept) == {}
+
+
+def perturbed(spark, spread=0.02):
+    theta, x, obs = scene("perspective")
+    draw = np.random.default_rng(11)
+    o = spark.createDataFrame(obs, "track_id long, cam_id long, col double, row double")
+    pts = spark.createDataFrame([(t, *map(float, v + draw.normal(scale=spread, size=3))) for t, v in enumerate(x)], "track_id long, x double, y double, z double")
+    off = {k: np.r_[v[:3] + (draw.normal(scale=spread, size=3) if k else 0), v[3:]] for k, v in theta.items()}
+    return theta, x, obs, o, pts, off, spark.createDataFrame([(k, [float(y) for y in v]) for k, v in off.items()], "cam_id long, theta array<double>")
+
+
+def test_steps_in_spark_are_the_dense_steps(spark):
+    _, _, _, o, pts, _, start = perturbed(spark)
+    one, two = (solve.adjust(spark, o, pts, start, None, kept, fixed={0}, settings=solve.Settings(kind="perspective", rounds=1, dense=d)) for d in (6000, 2))
+    assert all(np.allclose(one[0][k], two[0][k], atol=1e-8) for k in one[0]) and np.allclose(one[2], two[2])
+
+
+def test_trust_radius_finds_the_scene(spark):
+    theta, _, obs, o, pts, _, start = perturbed(spark, 0.05)
+    s = solve.Settings(kind="perspective", trust=True, rounds=8, first_radius=1.0)
+    params, _, costs = solve.adjust(spark, o, pts, start, None, kept, fixed={0}, settings=s)
+    assert all(b < a for a, b in zip(costs, costs[1:], strict=False)) and costs[-1] < 1e-3 * costs[0] and costs[-1] < 1e-2 * len(obs)
+    _, _, capped = solve.adjust(spark, o, pts, start, None, kept, fixed={0}, settings=solve.Settings(kind="perspective", trust=True, evaluations=1, first_radius=1e-3))
+    assert 1 <= len(capped) <= 2
+
+
+def test_bounded_steps_end_where_a_plain_loop_does(spark):
+    """One angle may not come nearer to its true value than a bound; points held, so that a small dense loop can tell."""
+    theta, x, obs, o, _, _, _ = perturbed(spark)
+    limit = 0.01
+    start = {k: _with(v, 1, v[1] + 0.03) for k, v in theta.items()}
+    s = solve.Settings(kind="perspective", trust=True, rounds=7, ftol=1e-8, bounds=tuple((i, -10.0, 10.0) for i in (0, 2)) + ((1, max(v[1] for v in theta.values()) + limit, 10.0),))
+    pts = spark.createDataFrame([(t, *map(float, v), True) for t, v in enumerate(x)], "track_id long, x double, y double, z double, is_fixed boolean")
+    df = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in start.items()], "cam_id long, theta array<double>")
+    params, moved, costs = solve.adjust(spark, o, pts, df, None, kept, settings=s)
+    low = s.bounds[-1][1]
+    assert all(v[1] >= low - 1e-12 for v in params.values())
+    # each camera by itself: projected steps with small damping
+    for c in theta:
+        mine = [(t, col, row) for t, k, col, row in obs if k == c]
+        at = np.array([x[t] for t, _, _ in mine])
+        want = np.array([r[1:] for r in mine])
+        cost = lambda v: float(((solve._see(None, at, v, None, "perspective") - want) ** 2).sum())
+        v = _with(start[c], 1, max(start[c][1], low))
+        for _ in range(300):
+            f = solve._see(None, at, v, None, "perspective")
+            j = np.stack([(solve._see(None, at, v + 1e-7 * np.eye(len(v))[k], None, "perspective") - f).ravel() / 1e-7 for k in range(3)], axis=1)
+            free = [k for k in range(3) if not (k == 1 and v[1] <= low and (j.T @ (f - want).ravel())[1] > 0)]
+            d = np.zeros(3)
+            d[free] = -np.linalg.lstsq(j[:, free], (f - want).ravel(), rcond=None)[0]
+            new = np.r_[v[:3] + d, v[3:]]
+            new[1] = max(new[1], low)
+            if cost(new) > cost(v) - 1e-10:
+                break
+            v = new
+        assert cost(params[c]) <= 1.02 * cost(v) + 1e-6, c
+
+
+def _with(v, k, value):
+    out = np.array(v, float)
+    out[k] = value
+    return out
+
+
+def test_steps_turn_back_at_bounds():
+    low, high = np.array([-1.0, -1.0]), np.array([1.0, 1.0])
+    assert len(solve.within(np.zeros(2), np.array([0.5, -0.5]), low, high)) == 1
+    near, back, cut = solve.within(np.array([0.5, 0.0]), np.array([1.0, 0.5]), low, high)
+    assert np.allclose(near, 0.995 * 0.5 * np.array([1.0, 0.5])) and np.allclose(back, [0.0, 0.5]) and np.allclose(cut, [0.5, 0.5])
+    with pytest.raises(ValueError):
+        solve.Settings(bounds=((0, -1.0, 1.0),))

@@ -84,3 +84,27 @@ def test_a_matching_that_fails_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         kept_matches(s, pairs, lambda new: new.select("image_i", "image_j", F.lit(1).alias("kp_i"), F.raise_error(F.lit("lost")).cast("long").alias("kp_j")))
     assert s.batches() == []
+
+
+def test_a_series_from_folders(spark, tmp_path):
+    """Images and models that stand in folders of their own, of two formats, with strays on both sides."""
+    import os as _os
+
+    from rayloom.operators import geometry
+    from rayloom.sources import files
+
+    image = lambda name: (_os.makedirs(_os.path.dirname(f"{tmp_path}/im/{name}"), exist_ok=True), open(f"{tmp_path}/im/{name}", "wb").write(b"II"))
+    for name in ("a/20240101_101500_s1_x.tif", "b/deep/20240102_101500_s2_y.tif", "20240103_101500_s1_lone.tif", "nameless.tif"):
+        image(name)
+    _os.makedirs(f"{tmp_path}/rpc")
+    lines = [f"{t}: {k + 1}.5" for k, t in enumerate(files.SCALARS)] + [f"{t}_{i}: {i}.25" for t in files.VECTORS for i in range(1, 21)]
+    for name in ("20240101_101500_s1_x.rpc", "20240109_101500_s1_none.rpc"):
+        open(f"{tmp_path}/rpc/{name}", "w").write("\n".join(lines))
+    xml = "".join(f"<{t}>{k + 1}.5</{t}>" for k, t in enumerate(files.LISTED_SCALARS)) + "".join(f"<{t}>{' '.join(f'{i}.25' for i in range(1, 21))}</{t}>" for t in files.LISTED)
+    open(f"{tmp_path}/rpc/20240102_101500_s2_y.xml", "w").write(f"<isd>{xml}</isd>")
+    open(f"{tmp_path}/rpc/notes.txt", "w").write("nothing of this kind")
+    images, models = files.series(spark, f"{tmp_path}/im", f"{tmp_path}/rpc")
+    got = {r.image_id: r for r in images.collect()}
+    assert {(k, r.sensor, str(r.ts)[:16]) for k, r in got.items()} == {("20240101_101500_s1_x", "s1", "2024-01-01 10:15"), ("20240102_101500_s2_y", "s2", "2024-01-02 10:15")}
+    assert set(geometry.FIELDS) < set(models.columns) and {r.image_id for r in models.collect()} == set(got)
+    assert {r.row_off for r in models.collect()} == {1.5} and all(r.width == 2 * m.col_scale for m in models.collect() for r in [got[m.image_id]])

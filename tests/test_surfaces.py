@@ -127,3 +127,25 @@ def test_a_fundamental_matrix_of_exact_matches_has_rank_two():
     f = matching.fundamental(m)
     assert np.linalg.svd(f)[1][2] < 1e-12 and matching.line_distances(f, m).max() < 0.6
     assert matching.fundamental(np.ones((9, 4))) is None
+
+
+@pytest.mark.parametrize("bands", [1, 7, 64])
+def test_epipolar_matches_equal_all_pairs(spark, bands):
+    """Lines of any slope, level and upright ones among them, against every keypoint."""
+    g = np.random.default_rng(bands)
+    kp = [(c, k, float(x), float(y), [float(v) for v in g.normal(size=3)]) for c in range(3) for k, (x, y) in enumerate(g.uniform(-100, 900, (150, 2)))]
+    kp += [(1, 150 + k, float(100 * k), 50.0, [0.1, 0.2, 0.3]) for k in range(8)]  # on borders and on one level
+    f = {(0, 1): g.normal(size=9), (0, 2): np.array([0, 0, 0, 0, 0, 1, 0, -1, 0.0]), (1, 2): np.array([0, 0, 1, 0, 0, 0, -1, 0, 0.0])}
+    f[0, 1] *= np.array([1e-4, 1e-4, 1, 1e-4, 1e-4, 1, 1, 1, 100])
+    pairs = spark.createDataFrame([(i, j, [float(v) for v in m]) for (i, j), m in f.items()], "cam_i int, cam_j int, f array<double>")
+    df = spark.createDataFrame(kp, "cam_id int, kp_id int, x double, y double, desc array<double>")
+    got = {(r.cam_i, r.cam_j, r.kp_i): (r.kp_j, r.dist) for r in matching.epipolar_match(df, pairs, 6.0, 0.8, bands).collect()}
+    want = {}
+    for (i, j), m in f.items():
+        m = m.reshape(3, 3)
+        for _, k, x, y, d in (r for r in kp if r[0] == i):
+            a, b, c = m @ [x, y, 1]
+            near = sorted((round(float(np.linalg.norm(np.subtract(d, e))), 9), q) for cam, q, u, v, e in kp if cam == j and abs(a * u + b * v + c) <= 6.0 * np.hypot(a, b))
+            if near and (len(near) == 1 or near[0][0] < 0.8 * near[1][0]):
+                want[i, j, k] = (near[0][1], near[0][0])
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] for k in want) and len(want) > 60
