@@ -41,6 +41,8 @@ from .components import components
 
 COORDS, MATCH, PERCENT, CELL_BYTES = 64, 38, 80, 24 << 20
 CACHE_WORDS = 300_000
+#: Bytes of a set's digest that go along with a pair, beside the 64 bits that find its texts.
+SHORT = 8
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 _draw = np.random.default_rng(8)
 FACTORS = _draw.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,7 +85,7 @@ def minima(s: np.ndarray) -> np.ndarray:
 
 def with_own(df: DataFrame, key: str, text: str) -> DataFrame:
     """The texts with what finds them again: a hash of id and text together, so that ids that repeat or lack
-    meet their own texts only. The set's digest, which is looked at then, settles the rest."""
+    meet their own texts only. The first half of the set's digest, which is looked at then, settles the rest."""
     return df.select(F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("own"), F.col(text).alias("text"))
 
 
@@ -120,7 +122,7 @@ def postings(reps: DataFrame) -> DataFrame:
 def colliding(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole signatures agree in `MATCH` coordinates or more, with what
     finds their texts."""
-    side = lambda x: sigs.select(F.col("row").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("own", "same", "sig")])
+    side = lambda x: sigs.select(F.col("row").alias(x), F.col("own").alias(f"own_{x}"), F.substring("same", 1, SHORT).alias(f"same_{x}"), F.col("sig").alias(f"sig_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where(F.size(F.array_intersect("sig_a", "sig_b")) >= MATCH).drop("sig_a", "sig_b")
 
@@ -145,7 +147,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, length: int,
             found = []
             a_, block_, b_, same_, texts_ = (batch.column(i).slice(lo, 500).to_pylist() for i in range(5))
             for a, block, b, same, s in zip(a_, block_, b_, same_, see(texts_), strict=True):
-                if digest(s) != same:
+                if digest(s)[:SHORT] != same:
                     continue  # another text of the same hash
                 if b is None:
                     at, own = (a, block), s
@@ -226,7 +228,7 @@ def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: st
     own = (F.col("s1") == F.col("s2")) & (F.col("c1") == F.col("c2"))
     sides = pairs.withColumn("side", F.explode(F.when(own, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))))
     sides = sides.withColumns({"step": F.when(F.col("side") == 1, F.col("s1")).otherwise(F.col("s2")), "cell": F.when(F.col("side") == 1, F.col("c1")).otherwise(F.col("c2"))})
-    named = rows.join(sigs.select("row", "same", "own"), "row")
+    named = rows.join(sigs.select("row", F.substring("same", 1, SHORT).alias("same"), "own"), "row")
     found = named.join(with_own(df, key, text), "own").select("f", "step", "cell", "row", "label", "same", "text")
     met = sides.join(found, ["f", "step", "cell"]).select("f", "s1", "c1", "s2", "c2", "side", "row", "label", "same", "text")
     met = met.repartition("f", "s1", "c1", "s2", "c2").sortWithinPartitions("f", "s1", "c1", "s2", "c2", "side")
@@ -245,7 +247,7 @@ def families(rest: DataFrame, sigs: DataFrame, df: DataFrame, key: str, text: st
                     if at and held[0]:
                         yield flush()
                     at, held, seen = (f, s1, c1, s2, c2), ([], []), set()
-                if digest(s) == same and row not in seen:  # rows that repeat as a whole bring their text again
+                if digest(s)[:SHORT] == same and row not in seen:  # rows that repeat as a whole bring their text again
                     seen.add(row)
                     held[side - 1].append((row, label, s))
         if at and held[0]:
