@@ -7,33 +7,37 @@ import numpy as np
 from .cameras import BASIS
 from .geodesy import A, B, E2
 
-POWERS = np.array(BASIS)
-
 
 def terms(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     p = [np.stack([np.ones_like(v), v, v * v, v * v * v]) for v in (x, y, z)]
-    return p[0][POWERS[:, 0]] * p[1][POWERS[:, 1]] * p[2][POWERS[:, 2]]
+    return np.stack([p[0][i] * p[1][j] * p[2][k] for i, j, k in BASIS])
 
 
 def project(rpc: dict, lon, lat, alt) -> np.ndarray:
-    """(2, n): column and row."""
+    """(2, n): column and row, by one model or by a model for each point (numbers of n, coefficients of n x 20)."""
     t = terms(*((np.asarray(v, float) - rpc[f"{k}_off"]) / rpc[f"{k}_scale"] for k, v in (("lon", lon), ("lat", lat), ("alt", alt))))
-    return np.stack([np.asarray(rpc[f"{a}_num"]) @ t / (np.asarray(rpc[f"{a}_den"]) @ t) * rpc[f"{a}_scale"] + rpc[f"{a}_off"] for a in ("col", "row")])
+    poly = lambda c: np.einsum("nk,kn->n", c, t) if np.ndim(c) == 2 else np.asarray(c) @ t
+    return np.stack([poly(rpc[f"{a}_num"]) / poly(rpc[f"{a}_den"]) * rpc[f"{a}_scale"] + rpc[f"{a}_off"] for a in ("col", "row")])
 
 
 def localize(rpc: dict, col, row, alt, rounds: int = 50) -> np.ndarray:
-    """(2, n): longitude and latitude at an altitude, by Newton steps with a numeric Jacobian."""
+    """(2, n): longitude and latitude at an altitude, by Newton steps with a numeric Jacobian; a point is
+    done when its own step is small. One model, or a model for each point, as in `project`."""
     goal, alt = np.stack([np.asarray(col, float), np.asarray(row, float)]), np.asarray(alt, float) + np.zeros(len(np.atleast_1d(col)))
-    lon, lat = np.full(goal.shape[1], rpc["lon_off"]), np.full(goal.shape[1], rpc["lat_off"])
-    step = 1e-6
+    n = goal.shape[1]
+    lon, lat = (np.zeros(n) + rpc[f"{k}_off"] for k in ("lon", "lat"))
+    step, left = 1e-6, np.arange(n)
     for _ in range(rounds):
-        f = project(rpc, lon, lat, alt)
-        a, b = (project(rpc, lon + step, lat, alt) - f) / step, (project(rpc, lon, lat + step, alt) - f) / step
-        e = goal - f
+        m = rpc if len(left) == n else {k: np.asarray(v)[left] if np.ndim(rpc["lon_off"]) else v for k, v in rpc.items()}
+        x, y, h = lon[left], lat[left], alt[left]
+        f = project(m, x, y, h)
+        a, b = (project(m, x + step, y, h) - f) / step, (project(m, x, y + step, h) - f) / step
+        e = goal[:, left] - f
         det = a[0] * b[1] - b[0] * a[1]
         dx, dy = (e[0] * b[1] - b[0] * e[1]) / det, (a[0] * e[1] - e[0] * a[1]) / det
-        lon, lat = lon + dx, lat + dy
-        if max(np.abs(dx).max(initial=0), np.abs(dy).max(initial=0)) < 1e-12:
+        lon[left], lat[left] = x + dx, y + dy
+        left = left[np.maximum(np.abs(dx), np.abs(dy)) >= 1e-12]  # not a number: done too
+        if not len(left):
             break
     return np.stack([lon, lat])
 

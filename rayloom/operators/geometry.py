@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,16 @@ def _model(row: pd.Series, prefix: str = "") -> dict:
     return {f: np.asarray(row[prefix + f], float) if f.endswith(("num", "den")) else float(row[prefix + f]) for f in FIELDS}
 
 
+def _models(rows: pa.RecordBatch, prefix: str = "") -> dict:
+    """A model for each row, for the kernels: an Arrow batch may hold as many cameras as rows."""
+    own = lambda f: rows.column(prefix + f)
+    return {f: own(f).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1) if f.endswith(("num", "den")) else _numbers(rows, prefix + f) for f in FIELDS}
+
+
+def _numbers(rows: pa.RecordBatch, column: str) -> np.ndarray:
+    return rows.column(column).to_numpy(zero_copy_only=False).astype(float)
+
+
 def _with_models(rows: DataFrame, models: DataFrame, cam: str = "cam_id", prefix: str = "") -> DataFrame:
     return rows.join(models.select(F.col("cam_id").alias(cam), *[F.col(f).alias(prefix + f) for f in FIELDS]), cam)
 
@@ -28,30 +39,25 @@ def localize(points: DataFrame, models: DataFrame) -> DataFrame:
     """Points (cam_id, id, col, row, alt) with their lon and lat."""
 
     def run(parts):
-        for pdf in parts:
-            out = []
-            for _, g in pdf.groupby("cam_id"):
-                lon, lat = kernels.localize(_model(g.iloc[0]), g["col"], g["row"], g["alt"])
-                out.append(g[["cam_id", "id", "col", "row", "alt"]].assign(lon=lon, lat=lat))
-            if out:
-                yield pd.concat(out)
+        for rows in parts:
+            at = [_numbers(rows, c) for c in ("col", "row", "alt")]
+            lon, lat = kernels.localize(_models(rows), *at)
+            yield pa.RecordBatch.from_arrays([rows.column("cam_id"), rows.column("id"), *map(pa.array, (*at, lon, lat))], names=["cam_id", "id", "col", "row", "alt", "lon", "lat"])
 
-    return _with_models(points, models).mapInPandas(run, "cam_id long, id long, col double, row double, alt double, lon double, lat double")
+    own = points.select(*[F.col(c).cast("long").alias(c) for c in ("cam_id", "id")], "col", "row", "alt")
+    return _with_models(own, models).mapInArrow(run, "cam_id long, id long, col double, row double, alt double, lon double, lat double")
 
 
 def project(points: DataFrame, models: DataFrame) -> DataFrame:
     """Points (cam_id, id, lon, lat, alt) with col and row."""
 
     def run(parts):
-        for pdf in parts:
-            out = []
-            for _, g in pdf.groupby("cam_id"):
-                col, row = kernels.project(_model(g.iloc[0]), g["lon"], g["lat"], g["alt"])
-                out.append(g[["cam_id", "id"]].assign(col=col, row=row))
-            if out:
-                yield pd.concat(out)
+        for rows in parts:
+            seen = kernels.project(_models(rows), *[_numbers(rows, c) for c in ("lon", "lat", "alt")])
+            yield pa.RecordBatch.from_arrays([rows.column("cam_id"), rows.column("id"), *map(pa.array, seen)], names=["cam_id", "id", "col", "row"])
 
-    return _with_models(points, models).mapInPandas(run, "cam_id long, id long, col double, row double")
+    own = points.select(*[F.col(c).cast("long").alias(c) for c in ("cam_id", "id")], "lon", "lat", "alt")
+    return _with_models(own, models).mapInArrow(run, "cam_id long, id long, col double, row double")
 
 
 def triangulate(matches: DataFrame, models: DataFrame) -> DataFrame:
@@ -107,20 +113,17 @@ def refit(models: DataFrame, n: int = 10) -> DataFrame:
 
 def transfer(points: DataFrame, models: DataFrame) -> DataFrame:
     """Points (id, cam_i, cam_j, col, row, alt) of image i as (id, cam_j, col, row) where j sees the same
-    ground; a pair's rows of a batch go through numpy together."""
+    ground; a batch goes through numpy at once, whatever its pairs."""
 
     def run(parts):
-        for pdf in parts:
-            out = []
-            for _, g in pdf.groupby(["cam_i", "cam_j"]):
-                alt = g["alt"].to_numpy()
-                col, row = kernels.project(_model(g.iloc[0], "j_"), *kernels.localize(_model(g.iloc[0], "i_"), g["col"], g["row"], alt), alt)
-                out.append(g[["id", "cam_j"]].assign(col=col, row=row))
-            if out:
-                yield pd.concat(out)
-
-    rows = _with_models(_with_models(points, models, "cam_i", "i_"), models, "cam_j", "j_")
-    return rows.mapInPandas(run, "id long, cam_j long, col double, row double")
+        for rows in parts:
+            col, row, alt = (_numbers(rows, c) for c in ("col", "row", "alt"))
+            seen = kernels.project(_models(rows, "j_"), *kernels.localize(_models(rows, "i_"), col, row, alt), alt)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("cam_j"), *map(pa.array, seen)], names=["id", "cam_j", "col", "row"])
+
+    own = points.select(*[F.col(c).cast("long").alias(c) for c in ("id", "cam_i", "cam_j")], "col", "row", "alt")
+    rows = _with_models(_with_models(own, models, "cam_i", "i_"), models, "cam_j", "j_")
+    return rows.mapInArrow(run, "id long, cam_j long, col double, row double")
 
 
 def rescaled(models: DataFrame, alpha: float) -> DataFrame:

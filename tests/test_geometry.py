@@ -330,3 +330,17 @@ def test_steps_turn_back_at_bounds():
     assert np.allclose(near, 0.995 * 0.5 * np.array([1.0, 0.5])) and np.allclose(back, [0.0, 0.5]) and np.allclose(cut, [0.5, 0.5])
     with pytest.raises(ValueError):
         solve.Settings(bounds=((0, -1.0, 1.0),))
+
+
+def test_a_batch_holds_as_many_models_as_points():
+    """One point a camera, as a large table deals them: the kernels take a model for each point, and a bad point
+    leaves the others as they are."""
+    ms = [model(k) | {"lon_off": 10.0 + k / 100} for k in range(40)]
+    every = {f: np.array([m[f] for m in ms], float) for f in geometry.FIELDS}
+    col, row, alt = g.uniform(500, 3500, (3, 40))
+    col[7] = np.nan
+    got = kernels.localize(every, col, row, alt / 10)
+    one = np.stack([kernels.localize(m, [c], [r], [h])[:, 0] for m, c, r, h in zip(ms, col, row, alt / 10, strict=True)], axis=1)
+    assert np.isnan(got[:, 7]).all() and np.allclose(got, one, atol=1e-11, rtol=0, equal_nan=True)
+    ok = np.arange(40) != 7
+    assert np.allclose(kernels.project(every, *got, alt / 10)[:, ok], np.stack([col, row])[:, ok], atol=1e-6)
