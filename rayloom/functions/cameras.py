@@ -45,6 +45,18 @@ def project_rpc(rpc: dict, lon: Column, lat: Column, alt: Column) -> tuple[Colum
     return tuple(poly(rpc[f"{a}_num"]) / poly(rpc[f"{a}_den"]) * rpc[f"{a}_scale"] + rpc[f"{a}_off"] for a in ("col", "row"))
 
 
+def project_model(lon: Column, lat: Column, alt: Column) -> tuple[Column, Column]:
+    """Column and row of a ground point by the rational polynomial model in the row's own columns. A term is its
+    coefficient times the differences, each over its scale, from left to right; terms are added in their order."""
+    place = [(v - F.col(f"{k}_off"), F.col(f"{k}_scale")) for k, v in (("lon", lon), ("lat", lat), ("alt", alt))]
+
+    def poly(name: str) -> Column:
+        term = lambda k, e: reduce(lambda a, d: a * d[0] / d[1], [d for d, n in zip(place, e, strict=True) for _ in range(n)], F.col(name)[k])
+        return reduce(lambda a, b: a + b, [term(k, e) for k, e in enumerate(BASIS)])
+
+    return tuple(poly(f"{a}_num") / poly(f"{a}_den") * F.col(f"{a}_scale") + F.col(f"{a}_off") for a in ("col", "row"))
+
+
 def normalised(rpc: dict, axes: tuple[str, ...], v: list[Column]) -> list[Column]:
     """Coordinates less their offset, over their scale: (lon, lat, alt) of the world, (col, row) of an image."""
     return [(c - rpc[f"{a}_off"]) / rpc[f"{a}_scale"] for a, c in zip(axes, v, strict=True)]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geodesy, kernels
+from ..functions import cameras, geodesy, kernels
 from ..session import kept
 from . import geometry, polygons, regions
 
@@ -83,9 +83,11 @@ def keypoints_to_utm(keypoints: DataFrame, crops: DataFrame, models: DataFrame)
 
 def crops_of(ring: DataFrame, models: DataFrame, alt: float) -> DataFrame:
     """(cam_id, col0, row0, width, height): where each image sees an area (i, x, y in degrees), in whole
-    pixels. A ring has few points, so it is joined to every camera."""
-    every = models.select("cam_id").crossJoin(F.broadcast(ring.select("i", "x", "y").limit(10_000)))  # a ring's bound
-    p = geometry.project(every.select("cam_id", F.col("i").cast("long").alias("id"), F.col("x").alias("lon"), F.col("y").alias("lat"), F.lit(float(alt)).alias("alt")), models)
+    pixels. A ring has few points, so it is joined to every camera. Whole pixels are cut off, so the order of the
+    sums counts where an area's corner stands on a pixel's border: it is the one of `cameras.project_model`."""
+    every = models.crossJoin(F.broadcast(ring.select("i", "x", "y").limit(10_000)))  # a ring's bound
+    col, row = cameras.project_model(F.col("x"), F.col("y"), F.lit(float(alt)))
+    p = every.select("cam_id", col.alias("col"), row.alias("row"))
     b = p.groupBy("cam_id").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
     whole = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("long")
     return b.select("cam_id", whole(F.col("c0")).alias("col0"), whole(F.col("r0")).alias("row0"), whole(F.col("c1") - F.col("c0")).alias("width"), whole(F.col("r1") - F.col("r0")).alias("height"))

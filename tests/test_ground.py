@@ -173,3 +173,18 @@ def test_discovery_reads_no_contents(spark, tmp_path):
     f = files.discover(spark, f"{tmp_path}/d")
     assert sorted((r.image_id, r.bytes, str(r.ts)) for r in f.collect()) == [("20200413_151408_a", 5, "2020-04-13 15:14:08"), ("20200414_000001_b", 5, "2020-04-14 00:00:01")]
     assert "content" not in f._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_crops_add_their_terms_in_order(spark):
+    """Corners on the borders of pixels: the sums' order decides, as it does in a plain loop."""
+    vector = lambda *v: [*map(float, v), *[0.0] * (20 - len(v))]
+    lit = {"alt_off": 100.0, "lon_scale": 0.1, "lat_scale": 0.1, "alt_scale": 500.0, "col_off": 2000.0, "row_off": 2000.0, "col_scale": 2000.0, "row_scale": 2000.0, "col_num": vector(0, 1, 0.1, 0.05), "col_den": vector(1), "row_num": vector(0, 0.2, -1, 0.03), "row_den": vector(1)}
+    rows = [lit | {"cam_id": 25 * k + n, "lon_off": k / 10.0, "lat_off": 40 + n / 5.0} for k in range(100) for n in range(25)]
+    schema = "cam_id long, " + ", ".join(f"{f} {'array<double>' if f.endswith(('num', 'den')) else 'double'}" for f in geometry.FIELDS)
+    df = spark.createDataFrame([tuple(r[c] for c in ("cam_id", *geometry.FIELDS)) for r in rows], schema)
+    ring = [(0, 4.9, 42.1), (1, 5.3, 42.07), (2, 5.21, 42.43)]
+    got = {r.cam_id: (r.col0, r.row0) for r in footprints.crops_of(spark.createDataFrame(ring, "i int, x double, y double"), df, 250.0).collect()}
+    for r in rows:
+        at = [(x - r["lon_off"], y - r["lat_off"]) for _, x, y in ring]
+        want = min(2000 + 2000 * (p / 0.1 + 0.1 * q / 0.1 + 0.05 * 150 / 500) for p, q in at), min(2000 + 2000 * (0.2 * p / 0.1 - q / 0.1 + 0.03 * 150 / 500) for p, q in at)
+        assert got[r["cam_id"]] == tuple(map(int, want))
