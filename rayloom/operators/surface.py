@@ -11,7 +11,8 @@ from . import geometry, graph
 
 
 def disparity_points(disparities: DataFrame, ha: list[list[float]], hb: list[list[float]], models: DataFrame, cam_a: int, cam_b: int, box: tuple[float, float, float, float]) -> DataFrame:
-    """(col, row, lon, lat, alt, miss) of the pixels of a rectified image (col, row, dx, dy): each pixel and the one that
+    """(col, row, lon, lat, alt, miss) of the pixels of a rectified image (col, row, dx, dy), and their other columns, such
+    as an id where several rows stand for one pixel: each pixel and the one that
     its disparity leads to are taken back to their images by the rectifying maps `ha` and `hb`, and meet
     in space. Pixels without a disparity, and those whose whole place in the first image is outside of
     `box` (first and last column, first and last row), have no point."""
@@ -20,7 +21,7 @@ def disparity_points(disparities: DataFrame, ha: list[list[float]], hb: list[lis
     d = disparities.where("dx IS NOT NULL AND dy IS NOT NULL AND NOT isnan(dx) AND NOT isnan(dy)")
     ci, ri = poses.homography(back_a, F.col("col"), F.col("row"))
     cj, rj = poses.homography(back_b, F.col("col") + F.col("dx"), F.col("row") + F.col("dy"))
-    at = d.select(F.struct("col", "row").alias("pixel"), ci.alias("ci"), ri.alias("ri"), cj.alias("cj"), rj.alias("rj"))
+    at = d.select(F.struct(*[c for c in d.columns if c not in ("dx", "dy")]).alias("pixel"), ci.alias("ci"), ri.alias("ri"), cj.alias("cj"), rj.alias("rj"))
     near = lambda c, lo, hi: F.round(c).between(lo, hi)
     at = at.where(near("ci", *box[:2]) & near("ri", *box[2:]))
     at = kept(at.withColumn("track_id", F.monotonically_increasing_id()))

@@ -60,7 +60,7 @@ def disparity_points(spark, d):
     s = seen(0, HA).join(seen(1, HB), "id")
     at = s.select("id", F.col("x0").alias("col"), F.col("y0").alias("row"), (F.col("x1") - F.col("x0")).alias("dx"), (F.col("y1") - F.col("y0")).alias("dy"))
     found = surface.disparity_points(at, HA, HB, m, 0, 1, (-1e9, 1e9, -1e9, 1e9))
-    return at.join(found, ["col", "row"]).select("id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("alt", 1).alias("alt"))
+    return found.select("id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("alt", 1).alias("alt"))
 
 
 @query()

@@ -149,3 +149,12 @@ def test_epipolar_matches_equal_all_pairs(spark, bands):
             if near and (len(near) == 1 or near[0][0] < 0.8 * near[1][0]):
                 want[i, j, k] = (near[0][1], near[0][0])
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] for k in want) and len(want) > 60
+
+
+def test_rows_at_one_pixel_keep_their_ids(spark):
+    from rayloom.plans import scene
+
+    same = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    d = spark.createDataFrame([(1, 2000.0, 2000.0, 3.0, 0.5), (2, 2000.0, 2000.0, 3.0, 0.5), (3, 2100.0, 2000.0, 3.0, 0.5)], "id int, col double, row double, dx double, dy double")
+    got = surface.disparity_points(d, same, same, scene.models(spark), 0, 1, (-1e9, 1e9, -1e9, 1e9)).orderBy("id").collect()
+    assert [r.id for r in got] == [1, 2, 3] and got[0][1:] == got[1][1:] != got[2][1:]
