@@ -191,8 +191,8 @@ def union_border(rings: DataFrame, by: str, member: str) -> DataFrame:
 
 
 def union_areas(rings: DataFrame, by: str, member: str) -> DataFrame:
-    """(group, area) of the union of a group's convex rings."""
-    b = union_border(rings, by, member)
+    """(group, area) of the union of a group's rings."""
+    b = regions.covered_border(rings.withColumn("ring", F.lit(0)), by, member)
     return b.groupBy(by).agg((F.sum(F.col("x") * F.col("v") - F.col("u") * F.col("y")) / 2).alias("area"))
 
 
@@ -218,8 +218,9 @@ def shared_parts(rings: DataFrame, by: str, member: str) -> DataFrame:
 
 
 def seen_twice(rings: DataFrame, by: str, member: str) -> DataFrame:
-    """The border of the area that two rings of a group or more cover, as `union_border` gives it."""
-    return union_border(shared_parts(rings, by, member), by, "member")
+    """The border of the area that two rings of a group or more cover, as `regions.covered_border` gives it: from one
+    overlay, not from the rings of all pairs."""
+    return regions.covered_border(rings.withColumn("ring", F.lit(0)), by, member, 2)
 
 
 def footprint_pairs(rings: DataFrame, centres_: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ last point to their first. Rings with fewer than three points, and points withou
   cells are as large as it is, where it stands in four cells at most, and visits the coarser levels that
   occur. The cell that holds the lower left corner of what two boxes share owns the pair, so
   pairs come once. A crowded cell is cut into blocks of its homes, which all its visitors see.
-* An overlay cuts the plane into tiles. A tile holds the edges of the polygons whose boxes meet it, those
-  above and below moved to its border, so that each polygon is whole in it. Between two neighbouring
-  ends or crossings, edges have an order; from edge to edge the number of polygons that cover
-  the plane goes up or down by one. Equal polygons count as one with a weight, and crowded tiles are cut in four.
+* An overlay cuts the plane into tiles. An edge carries how many polygons begin above it, less those that end: edges
+  that polygons share count as one, whatever the number of polygons. A tile holds the pieces of the edges that go through it, and
+  the number of polygons over its lower left corner stands for all that is below; polygons without an edge in a tile have no
+  row there. Between two neighbouring ends or crossings, pieces have an order; from piece to piece the number goes
+  up or down. Crowded tiles are cut in four.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import kept
 from . import geometry, graph, polygons
 
-BLOCK, CROWD, TURN = 1000, 150, 0.7390851332151607
+BLOCK, CROWD, TURN = 1000, 1000, 0.7390851332151607
 
 
 def usable(rings: DataFrame, keys: list[str]) -> DataFrame:
@@ -215,80 +216,283 @@ def _turned(x: str, y: str, back: bool = False):
     return F.col(x) * c - F.col(y) * s, F.col(x) * s + F.col(y) * c
 
 
+def signed(e: np.ndarray) -> np.ndarray:
+    """(x, y, u, v, d) of the edges of one polygon, from left to right: the polygon begins above an edge with
+    d = 1 and ends there with d = -1. Rings that cross or touch themselves are cut where they do."""
+    turn = e[:, 0] > e[:, 2]
+    e = np.where(turn[:, None], e[:, [2, 3, 0, 1]], e)
+    e = e[e[:, 0] < e[:, 2]]
+    if not len(e):
+        return np.zeros((0, 5))
+    x, y, u, v = e.T
+    near = 1e-9 * max(np.ptp(e[:, [0, 2]]), np.ptp(e[:, [1, 3]]))
+    if len(e) <= 1000:
+        rise = (v - y) / (u - x)
+        over = lambda at: y + rise * (at[:, None] - x)
+        mid = (x + u) / 2
+        off = over(mid) - ((y + v) / 2)[:, None]
+        span = (x <= mid[:, None]) & (mid[:, None] < u)
+        np.fill_diagonal(span, False)
+        lo, hi = np.maximum(x[:, None], x), np.minimum(u[:, None], u)
+        gap = lambda at: (y + rise * (at - x)) - (y[:, None] + rise[:, None] * (at - x[:, None]))
+        p, q = gap(lo), gap(hi)
+        crossed = (lo < hi) & (p * q < 0) & (np.minimum(np.abs(p), np.abs(q)) > near)
+        if not (crossed.any() or (span & (np.abs(off) <= near)).any()):
+            return np.c_[e, 1 - 2 * ((span & (off < 0)).sum(axis=1) % 2)]
+    pad = near * 1000
+    _, p = arrange(e, np.zeros(len(e), int), np.ones(len(e), np.int64), (x.min() - pad, u.max() + pad, e[:, [1, 3]].min() - pad, e[:, [1, 3]].max() + pad))
+    return np.c_[p[:, 1:5], p[:, 6] - p[:, 5]]
+
+
+def _oriented(polys: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` and the `signed` edges (`e`: x, y, u, v, d) of polygons with `e`, a list of edges."""
+
+    def run(parts):
+        for pdf in parts:
+            out = [[tuple(r) for r in signed(np.array([(s["x"], s["y"], s["u"], s["v"]) for s in e], float).reshape(-1, 4)).tolist()] for e in pdf["e"]]
+            yield pdf[keep].assign(e=[[dict(zip("xyuvd", r, strict=True)) for r in e] for e in out])
+
+    kinds = ", ".join(f"{c} {polys.schema[c].dataType.simpleString()}" for c in keep)
+    return polys.select(*keep, "e").mapInPandas(run, f"{kinds}, e array<struct<x: double, y: double, u: double, v: double, d: double>>")
+
+
+def split(p: np.ndarray, x0: np.ndarray, y0: np.ndarray, s: np.ndarray, most: int | None = None) -> dict[str, np.ndarray]:
+    """Edges (x, y, u, v), from left to right, cut by the lines of grids of cells `s` from (x0, y0), into columns and
+    rows up to `most`. `src`: whose piece it is; `i`, `j`: its cell; `left`: it comes in through the cell's left side; `up`,
+    `down`: it begins or ends on the bottom; `head`, `tail`: it has the edge's own beginning or end. `lsrc`, `li`, `lj`: edges that cross the left
+    side of column li, and the row where they do."""
+    x, y, u, v = p.T
+    place = lambda c, o, g: np.clip(np.floor((c - o) / g), None if most is None else 0, most).astype(np.int64)
+    runs = lambda n: (np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    i0 = place(x, x0, s)
+    i1 = np.maximum(np.clip(np.ceil((u - x0) / s) - 1, None if most is None else 0, most).astype(np.int64), i0)
+    src, k = runs(i1 - i0 + 1)
+    i, g, ox, oy = i0[src] + k, s[src], x0[src], y0[src]
+    first, last, line = i == i0[src], i == i1[src], ox + i * g
+    a, b = np.where(first, x[src], line), np.where(last, u[src], ox + (i + 1) * g)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = lambda c: y[src] + (v[src] - y[src]) * ((c - x[src]) / (u[src] - x[src]))
+        ya, yb = np.where(first, y[src], at(a)), np.where(last, v[src], at(b))
+        left = (b > a) & (a <= line)
+        up, lo, hi = yb >= ya, np.minimum(ya, yb), np.maximum(ya, yb)
+        j0, j1 = place(lo, oy, g), place(hi, oy, g)
+        begin, end = np.where(up, j0, j1), np.where(up, j1, j0)
+        q, k = runs(j1 - j0 + 1)
+        j = j0[q] + k
+        bottom, top = j == j0[q], j == j1[q]
+        cross = lambda c: np.clip(a[q] + (c - ya[q]) / (yb[q] - ya[q]) * (b[q] - a[q]), a[q], b[q])
+        low, high = oy[q] + j * g[q], oy[q] + (j + 1) * g[q]
+        yl, yh = np.where(bottom, lo[q], low), np.where(top, hi[q], high)
+        xl, xh = np.where(bottom, np.where(up, a, b)[q], cross(low)), np.where(top, np.where(up, b, a)[q], cross(high))
+    r = up[q]
+    e = np.c_[np.where(r, xl, xh), np.where(r, yl, yh), np.where(r, xh, xl), np.where(r, yh, yl)]
+    return {"src": src[q], "i": i[q], "j": j, "e": e, "left": left[q] & (j == begin[q]), "up": r & ~bottom, "down": ~r & ~bottom, "head": first[q] & (j == begin[q]), "tail": last[q] & (j == end[q]), "lsrc": src[left], "li": i[left], "lj": begin[left]}
+
+
+def sweep(e: np.ndarray, d: np.ndarray, up: np.ndarray, down: np.ndarray, base: float, side: float) -> np.ndarray:
+    """The pieces (x, y, u, v, below, above) of edges in a tile, where the number of polygons changes. `d`: by how much it
+    goes up from below an edge to above; `base`: how many polygons cover the tile's lower left corner. Along the bottom the number
+    changes where an edge begins (`up`) or ends (`down`) there."""
+    when = np.r_[e[up, 0], e[down, 2]]
+    much = np.r_[-d[up], d[down]][np.argsort(when, kind="stable")]
+    when, much = np.sort(when), np.r_[0.0, np.cumsum(much)]
+    ok = e[:, 0] < e[:, 2]
+    s, d = e[ok], d[ok]
+    rise = (s[:, 3] - s[:, 1]) / (s[:, 2] - s[:, 0])
+    xs = [s[:, 0], s[:, 2], when]
+    block = max(1, 2_000_000 // max(len(s), 1))
+    for lo in range(0, len(s), block):
+        a, ra = s[lo : lo + block], rise[lo : lo + block]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c = ((s[None, :, 1] - rise[None] * s[None, :, 0]) - (a[:, 1] - ra * a[:, 0])[:, None]) / (ra[:, None] - rise[None])
+        good = (c > np.maximum(a[:, None, 0], s[None, :, 0])) & (c < np.minimum(a[:, None, 2], s[None, :, 2])) & (np.abs(ra[:, None] - rise[None]) > 1e-9)
+        xs.append(c[good])
+    xs = np.unique(np.concatenate(xs))
+    begin, alive, nxt, near = np.argsort(s[:, 0], kind="stable"), np.zeros(0, int), 0, 1e-9 * side
+    out: list[list[float]] = []
+    open_: dict[int, int] = {}
+    for a, b in zip(xs.tolist(), xs[1:].tolist(), strict=False):
+        if b - a <= 1e-12 * side:
+            continue
+        alive = alive[s[alive, 2] > a]
+        end = nxt
+        while end < len(begin) and s[begin[end], 0] <= a:
+            end += 1
+        new = begin[nxt:end]
+        alive, nxt = np.r_[alive, new[s[new, 2] > a]], end
+        if not len(alive):
+            continue
+        ya, yb = (s[alive, 1] + rise[alive] * (x - s[alive, 0]) for x in (a, b))
+        order = np.argsort(ya + yb, kind="stable")
+        y = (ya + yb)[order] / 2
+        cover = base + much[np.searchsorted(when, a, "right")] + np.cumsum(d[alive[order]])
+        # edges at one height are one border
+        first = np.flatnonzero(np.r_[True, np.diff(y) > near])
+        last = np.r_[first[1:] - 1, len(y) - 1]
+        lo, hi = np.r_[cover[0] - d[alive[order[0]]], cover[last[:-1]]], cover[last]
+        for k in np.flatnonzero(lo != hi).tolist():
+            o = order[first[k]]
+            edge, run = int(alive[o]), open_.get(int(alive[o]))
+            if run is not None and out[run][2] == a and out[run][4] == lo[k] and out[run][5] == hi[k]:
+                out[run][2:4] = [b, yb[o]]
+            else:
+                open_[edge] = len(out)
+                out.append([a, ya[o], b, yb[o], lo[k], hi[k]])
+    return np.array(out, float).reshape(-1, 6)
+
+
+def _merged(at: DataFrame, by: str) -> DataFrame:
+    """Pieces on one line between the same ends of one tile as one piece, and a tile's bases as one row."""
+    near = lambda c, o: F.round((F.col(c) - F.col(o)) / F.col("side") * 1e9).cast("long").alias(f"__{c}")
+    key = [by, "tx", "ty", "side", "ox", "oy", "left", "up", "down"]
+    one = at.groupBy(*key, near("x", "tx"), near("y", "ty"), near("u", "tx"), near("v", "ty")).agg(F.sum("d").alias("d"), *[F.min(c).alias(c) for c in "xyuv"])
+    return one.where("d <> 0").select(*key, *"xyuv", "d")
+
+
+_PIECES = "tx double, ty double, side double, ox double, oy double, left boolean, up boolean, down boolean, x double, y double, u double, v double, d double"
+
+
+def _rows(g, tile: list[np.ndarray], flags: list, e: np.ndarray | None, d: np.ndarray, by: str) -> pd.DataFrame:
+    """Rows of _PIECES; without `e` they are bases: what is below the tile's lower left corner."""
+    cols = dict(zip(("tx", "ty", "side", "ox", "oy"), tile, strict=True)) | dict(zip(("left", "up", "down"), flags, strict=True))
+    for k, c in enumerate("xyuv"):
+        cols[c] = e[:, k] if e is not None else np.full(len(d), np.nan)
+    out = pd.DataFrame(cols | {"d": d}, index=range(len(d)))
+    out.insert(0, by, g)
+    return out
+
+
 def tiles(rings: DataFrame, by: str, member: str, crowd: int = CROWD, depth: int = 6) -> DataFrame:
-    """(by, tx, ty, side, edges, weights): the tiles of the polygons' plane. `edges` is a list of (poly, x, y, u, v,
-    w), in turned axes."""
+    """(by, tx, ty, side, ox, oy, base, e): the tiles that edges go through, in turned axes from the group's lower left
+    corner (ox, oy). `base` is how many polygons cover the tile's lower left corner, `e` a list of pieces
+    (x, y, u, v, d, up, down) as `sweep` takes them: what is below the tile is in `base`, not in the list."""
     tx, ty = _turned("x", "y")
     r = usable(rings, [by, member, "ring"]).withColumns({"__x": tx, "__y": ty}).select(by, member, "ring", "i", F.col("__x").alias("x"), F.col("__y").alias("y"))
-    e = edges(r, [by, member, "ring"])
-    flat = e.groupBy(by, member).agg(F.sort_array(F.collect_list(F.struct("x", "y", "u", "v"))).alias("e"), *[f(a, b).alias(n) for f, a, b, n in ((lambda a, b: F.min(F.least(a, b)), "x", "u", "x0"), (lambda a, b: F.max(F.greatest(a, b)), "x", "u", "x1"), (lambda a, b: F.min(F.least(a, b)), "y", "v", "y0"), (lambda a, b: F.max(F.greatest(a, b)), "y", "v", "y1"))])
-    same = flat.withColumn("__d", F.sha2(F.to_json("e"), 256)).groupBy(by, "__d").agg(F.count("*").alias("w"), *[F.first(c).alias(c) for c in ("e", "x0", "x1", "y0", "y1")])
-    same = kept(same.withColumn("p", F.xxhash64(F.col(by), "__d")).drop("__d"), "polygons")
-    extent = same.groupBy(by).agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("mean"), F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("most"))
-    extent = extent.select(F.col(by).alias("__by"), F.greatest(F.col("mean"), F.col("most") / 64, F.lit(1e-300)).alias("side"))
+    flat = edges(r, [by, member, "ring"]).groupBy(by, member).agg(F.sort_array(F.collect_list(F.struct("x", "y", "u", "v"))).alias("e"))
+    same = flat.withColumn("__d", F.sha2(F.to_json("e"), 256)).groupBy(by, "__d").agg(F.count("*").cast("double").alias("w"), F.first("e").alias("e"))
+    end = lambda f, g, a, b: f(F.transform("e", lambda s: g(s[a], s[b])))
+    box = [end(F.array_min, F.least, "x", "u").alias("x0"), end(F.array_max, F.greatest, "x", "u").alias("x1"), end(F.array_min, F.least, "y", "v").alias("y0"), end(F.array_max, F.greatest, "y", "v").alias("y1")]
+    own = _oriented(same, [by, "w"]).where(F.size("e") > 0)
+    own = kept(own.select(by, "w", "e", *box), "polygons")
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    extent = own.groupBy(F.col(by).alias("__by")).agg(F.avg(size).alias("mean"), F.max(size).alias("most"), F.min("x0").alias("ox"), F.min("y0").alias("oy"), F.max("x1").alias("wx"), F.max("y1").alias("wy"))
+    line = own.select(by, "w", F.explode("e").alias("s")).groupBy(by, "s.x", "s.y", "s.u", "s.v").agg(F.sum(F.col("w") * F.col("s.d")).alias("d")).where("d <> 0")
+    line = kept(line, "edges")
+    # a side with a twentieth of a crowd of pieces a tile, were all edges spread evenly
+    n = line.groupBy(F.col(by).alias("__b")).agg(F.count("*").alias("n"), F.avg(F.hypot(F.col("u") - F.col("x"), F.col("v") - F.col("y"))).alias("len"))
+    grid = extent.join(n, F.col("__by").eqNullSafe(F.col("__b"))).drop("__b")
+    even = (F.sqrt(F.col("len") * F.col("len") + 0.2 * crowd * (F.col("wx") - F.col("ox")) * (F.col("wy") - F.col("oy")) / F.col("n")) - F.col("len")) / 2
+    grid = grid.select("__by", "ox", "oy", F.greatest(F.least("mean", even), F.col("most") / 64, F.lit(1e-300)).alias("side"))
+    kind = f"{by} {rings.schema[by].dataType.simpleString()}, "
     shift = 0.3183098861837907  # of a tile, so that round numbers stand on no border
-    box = same.join(extent, same[by].eqNullSafe(extent["__by"])).drop("__by", "e")
-    cell = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}0") / F.col("side") + shift), F.floor(F.col(f"{c}1") / F.col("side") + shift)))
-    at = kept(box.withColumn("tx", cell("x")).withColumn("ty", cell("y")).select(by, "p", "x0", "x1", "y0", "y1", "side", ((F.col("tx") - shift) * F.col("side")).alias("tx"), ((F.col("ty") - shift) * F.col("side")).alias("ty")), "tiles")
-    tile, done = [by, "tx", "ty", "side"], None
+
+    def first(parts):
+        for pdf in parts:
+            g, s = pdf[by].to_numpy(), pdf["side"].to_numpy()
+            ox, oy, d = (pdf[c].to_numpy() for c in ("ox", "oy", "d"))
+            e = pdf[["x", "y", "u", "v"]].to_numpy() - np.c_[ox, oy, ox, oy]
+            c = split(e, -shift * s, -shift * s, s)
+            for q, i, j, p in ((c["src"], c["i"], c["j"], c["e"]), (c["lsrc"], c["li"], c["lj"], None)):
+                flags = [c[f] for f in ("left", "up", "down")] if p is not None else [False] * 3
+                yield _rows(g[q], [(i - 0.0), (j - 0.0), s[q], ox[q], oy[q]], flags, p, d[q], by)
+
+    cut = line.join(grid, line[by].eqNullSafe(grid["__by"])).drop("__by").mapInPandas(first, kind + _PIECES)
+    cut = kept(cut, "tiles")  # tx and ty are numbers of columns and rows here
+    is_base = F.col("x").isNull()
+    tile = [by, "side", "ox", "oy", "tx"]
+    below = cut.groupBy(*tile, "ty").agg(F.sum(F.when(is_base, F.col("d")).otherwise(0.0)).alias("s"), F.max(~is_base).alias("has"))  # one row a tile
+    below = below.withColumn("d", F.sum("s").over(W.partitionBy(*tile).orderBy("ty").rowsBetween(W.unboundedPreceding, -1))).where("has AND d <> 0")
+    none = [F.lit(None).cast("double").alias(c) for c in "xyuv"]
+    own = cut.where(~is_base).unionByName(below.select(*tile, "ty", *[F.lit(False).alias(c) for c in ("left", "up", "down")], *none, "d"))
+    at = own.withColumns({"tx": (F.col("tx") - 0.0) * F.col("side") - shift * F.col("side"), "ty": F.col("ty") * F.col("side") - shift * F.col("side")})
+    at = kept(_merged(at, by), "tiles")
+
+    def quarter(parts):
+        for pdf in parts:
+            b = pdf[np.isnan(pdf["x"].to_numpy())]
+            for i in (0, 1):
+                for j in (0, 1):
+                    h = b["side"].to_numpy() / 2
+                    yield _rows(b[by].to_numpy(), [b["tx"].to_numpy() + i * h, b["ty"].to_numpy() + j * h, h, b["ox"].to_numpy(), b["oy"].to_numpy()], [False] * 3, None, b["d"].to_numpy(), by)
+            p = pdf[~np.isnan(pdf["x"].to_numpy())]
+            g, (X, Y, s, ox, oy, d) = p[by].to_numpy(), (p[c].to_numpy() for c in ("tx", "ty", "side", "ox", "oy", "d"))
+            left, up, down = (p[c].to_numpy(bool) for c in ("left", "up", "down"))
+            h = s / 2
+            c = split(p[["x", "y", "u", "v"]].to_numpy(), X, Y, h, 1)
+            q, i, j = c["src"], c["i"], c["j"]
+            tile_of = lambda q, i, j: [X[q] + i * h[q], Y[q] + j * h[q], h[q], ox[q], oy[q]]  # noqa: B023, E731
+            flags = [c["left"] & ((i == 1) | left[q]), c["up"] | (up[q] & c["head"]), c["down"] | (down[q] & c["tail"])]
+            yield _rows(g[q], tile_of(q, i, j), flags, c["e"], d[q], by)
+            k = (c["lj"] == 0) & ((c["li"] == 1) | left[c["lsrc"]])
+            q = c["lsrc"][k]
+            yield _rows(g[q], tile_of(q, c["li"][k], 1), [False] * 3, None, d[q], by)
+            for own, where, sign in ((up, "head", -1), (down, "tail", 1)):
+                q = c["src"][c[where] & own[c["src"]] & (i == 0)]
+                for j in (0, 1):
+                    yield _rows(g[q], tile_of(q, 1, j), [False] * 3, None, sign * d[q], by)
+
+    done, tile = None, [by, "tx", "ty", "side", "ox", "oy"]
     for k in range(depth + 1):
-        n = at.groupBy(*tile).agg(F.count("*").alias("__n")).select(*[F.col(c).alias(f"__{c}") for c in tile], "__n")
+        n = at.where(~is_base).groupBy(*tile).agg(F.count("*").alias("__n")).where(F.col("__n") > crowd).select(*[F.col(c).alias(f"__{c}") for c in tile[:4]])
         match = at[by].eqNullSafe(n[f"__{by}"]) & (F.col("tx") == F.col("__tx")) & (F.col("ty") == F.col("__ty")) & (F.col("side") == F.col("__side"))
-        at = at.join(n, match).drop(*[f"__{c}" for c in tile])
-        small = at.where(F.col("__n") <= crowd) if k < depth else at
+        last = k == depth or n.isEmpty()
+        small = at if last else at.join(n, match, "left_anti")
         done = small if done is None else done.unionByName(small)
-        if k == depth or at.where(F.col("__n") > crowd).isEmpty():
+        if last:
             break
-        half = F.col("side") / 2
-        quarter = F.explode(F.array(*[F.struct((F.col("tx") + half * i).alias("tx"), (F.col("ty") + half * j).alias("ty")) for i in (0, 1) for j in (0, 1)])).alias("q")
-        big = at.where(F.col("__n") > crowd).select(by, "p", "x0", "x1", "y0", "y1", half.alias("side"), quarter).select(by, "p", "x0", "x1", "y0", "y1", "side", "q.tx", "q.ty")
-        at = kept(big.where((F.col("x0") <= F.col("tx") + F.col("side")) & (F.col("x1") >= F.col("tx")) & (F.col("y0") <= F.col("ty") + F.col("side")) & (F.col("y1") >= F.col("ty"))), "tiles")
-    full = done.select(by, "p", "tx", "ty", "side").join(same.select("p", "w", "e"), "p")
-    # only the edges above, inside and below the tile
-    near = F.filter("e", lambda s: (F.greatest(s["x"], s["u"]) >= F.col("tx")) & (F.least(s["x"], s["u"]) <= F.col("tx") + F.col("side")))
-    return full.select(by, "p", "w", "tx", "ty", "side", near.alias("e")).where(F.size("e") > 0)
+        at = kept(_merged(at.join(n, match, "left_semi").mapInPandas(quarter, kind + _PIECES), by), "tiles")
+    e = F.collect_list(F.when(~is_base, F.struct(*"xyuvd", "up", "down")))
+    return done.groupBy(*tile).agg(F.sum(F.when(is_base, F.col("d")).otherwise(0.0)).alias("base"), e.alias("e")).where(F.size("e") > 0)
 
 
-def _overlay(rings: DataFrame, by: str, member: str, make, schema: str) -> DataFrame:
-    t = tiles(rings, by, member)
+def overlay(rings: DataFrame, by: str, member: str) -> DataFrame:
+    """(by, ox, oy, x, y, u, v, below, above): the pieces of edges between areas of a group that another number of polygons
+    covers, in turned axes from the group's corner (ox, oy), and how many cover the plane on either side."""
+    kind = f"{by} {rings.schema[by].dataType.simpleString()}, "
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["e"].map(len).to_numpy()
-        e = np.array([(s["x"], s["y"], s["u"], s["v"]) for es in pdf["e"] for s in es], float).reshape(-1, 4)
-        one = pdf.iloc[0]
-        box = (one["tx"], one["tx"] + one["side"], one["ty"], one["ty"] + one["side"])
-        return make(one[by], *arrange(e, np.repeat(np.arange(len(pdf)), n), np.repeat(pdf["w"].to_numpy(), n), box))
+    def run(parts):
+        for pdf in parts:
+            for g, ox, oy, side, base, e in zip(*(pdf[c] for c in (by, "ox", "oy", "side", "base", "e")), strict=True):
+                a = np.array([(s["x"], s["y"], s["u"], s["v"], s["d"], s["up"], s["down"]) for s in e], float).reshape(-1, 7)
+                a = a[np.lexsort(a.T[::-1])]
+                p = sweep(a[:, :4], a[:, 4], a[:, 5] > 0, a[:, 6] > 0, base, side)
+                out = pd.DataFrame(p, columns=["x", "y", "u", "v", "below", "above"])
+                out.insert(0, by, g)
+                out.insert(1, "ox", ox)
+                out.insert(2, "oy", oy)
+                yield out
 
-    return t.groupBy(by, "tx", "ty", "side").applyInPandas(run, schema)
+    t = tiles(rings, by, member)
+    return t.repartition(by, "tx", "ty").mapInPandas(run, kind + "ox double, oy double, x double, y double, u double, v double, below double, above double")
 
 
 def covered_areas(rings: DataFrame, by: str, member: str) -> DataFrame:
     """(by, n, area): the area that n polygons of a group cover, for each n from 1; polygons are the
     rings (by, member, ring, i, x, y) of a member."""
-    kind = rings.schema[by].dataType.simpleString()
-
-    def make(g, area, _):
-        some = [(g, n, a) for n, a in area.items() if n > 0 and a > 0]
-        return pd.DataFrame(some, columns=[by, "n", "area"])
-
-    return _overlay(rings, by, member, make, f"{by} {kind}, n long, area double").groupBy(by, "n").agg(F.sum("area").alias("area"))
+    o = overlay(rings, by, member)
+    # what is below a piece, with its sign: an area ends below it, another one begins above
+    under = (F.col("u") - F.col("x")) * (F.col("y") + F.col("v")) / 2
+    part = lambda n, a: F.struct(F.col(n).cast("long").alias("n"), a.alias("a"))
+    p = o.select(by, F.explode(F.array(part("below", under), part("above", -under))).alias("p"), (F.abs("y") + F.abs("u")).alias("far"))
+    s = p.groupBy(by, "p.n").agg(F.sum("p.a").alias("area"), F.max(F.col("far")).alias("far"))
+    return s.where("n > 0 AND area > 1e-13 * far * far").select(by, "n", "area")
+
+
+def above(pieces: DataFrame, by: str, least: int) -> DataFrame:
+    """(by, x, y, u, v): of the pieces of an `overlay`, those that border what `least` polygons or more cover, that
+    area to their left."""
+    p = pieces.where((F.col("below") >= least) != (F.col("above") >= least))
+    on = F.col("above") >= least  # covered above: to the left of a piece from left to right
+    ends = lambda a, b, o: F.when(on, F.col(a)).otherwise(F.col(b)) + F.col(o)
+    b = p.select(by, ends("x", "u", "ox").alias("x"), ends("y", "v", "oy").alias("y"), ends("u", "x", "ox").alias("u"), ends("v", "y", "oy").alias("v"))
+    (x, y), (u, v) = _turned("x", "y", True), _turned("u", "v", True)
+    return b.select(by, x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
 
 
 def covered_border(rings: DataFrame, by: str, member: str, least: int = 1) -> DataFrame:
     """(by, x, y, u, v): the pieces of edges that border what `least` polygons of a group or more cover,
     that area to their left. 1 gives the union, 2 what is seen twice."""
-    kind = rings.schema[by].dataType.simpleString()
-
-    def make(g, _, p):
-        p = p[(p[:, 5] >= least) != (p[:, 6] >= least)]
-        up = (p[:, 6] >= least)[:, None]  # covered above: to the left of a piece from left to right
-        d = pd.DataFrame(np.where(up, p[:, 1:5], p[:, [3, 4, 1, 2]]), columns=["x", "y", "u", "v"])
-        d.insert(0, by, g)
-        return d
-
-    b = _overlay(rings, by, member, make, f"{by} {kind}, x double, y double, u double, v double")
-    (x, y), (u, v) = _turned("x", "y", True), _turned("u", "v", True)
-    return b.select(by, x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+    return above(overlay(rings, by, member), by, least)
 
 
 def border_areas(border: DataFrame, by: str) -> DataFrame:

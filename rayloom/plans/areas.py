@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import regions
-from ..session import table
+from ..session import kept, table
 from .catalog import _r, query
 
 # a band from left to right and back, with ragged borders; half as high it is the hole
@@ -85,8 +85,8 @@ def covered_areas(spark, d):
 
 @query(f"WITH {NOTCHED} SELECT g, CAST(count(*) AS DOUBLE) once, CAST(count(*) FILTER (n >= 2) AS DOUBLE) twice FROM f GROUP BY 1")
 def border_areas(spark, d):
-    r = _notched(spark, d)
-    one, two = (regions.border_areas(regions.covered_border(r, "g", "m", k), "g").select("g", _r(F.col("area")).alias(n)) for k, n in ((1, "once"), (2, "twice")))
+    pieces = kept(regions.overlay(_notched(spark, d), "g", "m"), "pieces")
+    one, two = (regions.border_areas(regions.above(pieces, "g", k), "g").select("g", _r(F.col("area")).alias(n)) for k, n in ((1, "once"), (2, "twice")))
     return one.join(two, "g", "left").select("g", "once", F.coalesce("twice", F.lit(0.0)).alias("twice"))
 
 

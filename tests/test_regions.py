@@ -169,3 +169,17 @@ def test_footprint_plans_have_no_product_and_no_join_on_the_group_alone(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
         assert not any("Join [g#" in line and line.split("Join [")[1].split("]")[0].count("#") == 1 for line in plan.splitlines())
     assert {(r.cam_i, r.cam_j, r.overlap) for r in pairs.collect()} == {(k, k + 1, 0.5) for k in range(4)}
+
+
+def test_polygons_over_one_place_do_not_multiply_tiles(spark):
+    """Many polygons whole over each tile: a tile holds the edges that go through it, and lines that they share count once."""
+    boxes = [(m, m * 37 % 11, m * 53 % 13, m * 37 % 11 + 20 + m % 3, m * 53 % 13 + 20 + m % 4) for m in range(900)]
+    rows = [(0, m, 0, i, float(x), float(y)) for m, a, b, c, d in boxes for i, (x, y) in enumerate([(a, b), (c, b), (c, d), (a, d)])]
+    df = spark.createDataFrame(rows, RINGS)
+    assert regions.tiles(df, "g", "m").agg(F.sum(F.size("e"))).first()[0] < 20 * len(boxes)
+    n = np.zeros((40, 40), int)
+    for _, a, b, c, d in boxes:
+        n[a:c, b:d] += 1
+    want = {k: int(v) for k, v in zip(*np.unique(n[n > 0], return_counts=True), strict=True)}
+    got = {r.n: r.area for r in regions.covered_areas(df, "g", "m").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
