@@ -22,6 +22,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -499,50 +501,83 @@ def border_areas(border: DataFrame, by: str) -> DataFrame:
     return border.groupBy(by).agg((F.sum(F.col("x") * F.col("v") - F.col("u") * F.col("y")) / 2).alias("area"))
 
 
-def pair_areas(rings: DataFrame, by: str, member: str) -> DataFrame:
+def pair_areas(rings: DataFrame, by: str, member: str, border: bool = True) -> DataFrame:
     """(by, a, b, shared, border): for the members a < b of a group whose boxes meet, the area that both
-    cover and the length of border that they have in common."""
+    cover and the length of border that they have in common (null where it is not asked for)."""
     r = kept(edges(rings, [by, member, "ring"]), "edges")
     box = r.groupBy(by, member).agg(F.min(F.least("x", "u")).alias("x0"), F.max(F.greatest("x", "u")).alias("x1"), F.min(F.least("y", "v")).alias("y0"), F.max(F.greatest("y", "v")).alias("y1"))
-    p = box_pairs(box, [by], member)
-    arr = kept(r.groupBy(by, member).agg(F.collect_list(F.struct("x", "y", "u", "v")).alias("e")), "edges")
+    return _pair_areas(box_pairs(box, [by], member), r, by, member, border)
+
+
+def _pair_areas(p: DataFrame, r: DataFrame, by: str, member: str, border: bool) -> DataFrame:
+    """`pair_areas` of the pairs (by, a, b) of polygons with the edges `r`."""
+    (x, y), (u, v) = _turned("x", "y"), _turned("u", "v")
+    turned = r.select(by, member, F.struct(x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v")).alias("s"))
+    arr = kept(_oriented(turned.groupBy(by, member).agg(F.collect_list("s").alias("e")), [by, member]), "edges")
     end = lambda s: arr.select(by, F.col(member).alias(s), F.col("e").alias(f"e{s}"))
-    m = p.join(end("a"), [by, "a"]).join(end("b"), [by, "b"])
+    m = p.join(end("a"), [by, "a"]).join(end("b"), [by, "b"]).select(by, "a", "b", "ea", "eb")
     kind = {c: m.schema[c].dataType.simpleString() for c in (by, "a")}
 
     def run(parts):
-        for pdf in parts:
-            out = []
-            for ea, eb in zip(pdf["ea"], pdf["eb"], strict=True):
-                a, b = (np.array([(s["x"], s["y"], s["u"], s["v"]) for s in z], float) for z in (ea, eb))
-                out.append((shared_area(a, b), shared_border(a, b)))
-            yield pdf[[by, "a", "b"]].assign(shared=[x[0] for x in out], border=[x[1] for x in out])
-
-    return m.mapInPandas(run, f"{by} {kind[by]}, a {kind['a']}, b {kind['a']}, shared double, border double")
-
-
-def shared_area(a: np.ndarray, b: np.ndarray) -> float:
-    """The area that two polygons (x, y, u, v of their edges) both cover."""
-    turn = np.array([[math.cos(TURN), math.sin(TURN)], [-math.sin(TURN), math.cos(TURN)]])
-    e = (np.r_[a, b].reshape(-1, 2) @ turn).reshape(-1, 4)
-    x, y = e[:, [0, 2]], e[:, [1, 3]]
-    pad = 1e-6 * (np.ptp(x) + np.ptp(y))
-    area, _ = arrange(e, np.repeat([0, 1], [len(a), len(b)]), np.ones(len(e), np.int64), (x.min() - pad, x.max() + pad, y.min() - pad, y.max() + pad))
-    return area.get(2, 0.0)
-
-
-def shared_border(a: np.ndarray, b: np.ndarray, close: float = 1e-9) -> float:
-    """The length that edges of two polygons have in common on one line."""
-    d = a[:, 2:] - a[:, :2]
-    n = np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-300)
-    t = d / n[:, None]
-    off = lambda p: np.abs(t[:, None, 0] * (p[None, :, 1] - a[:, None, 1]) - t[:, None, 1] * (p[None, :, 0] - a[:, None, 0]))
-    along = lambda p: t[:, None, 0] * (p[None, :, 0] - a[:, None, 0]) + t[:, None, 1] * (p[None, :, 1] - a[:, None, 1])
-    far = close * max(np.abs(a).max(), np.abs(b).max(), 1e-300)
-    on = (off(b[:, :2]) <= far) & (off(b[:, 2:]) <= far)
-    s, u = along(b[:, :2]), along(b[:, 2:])
-    long = np.minimum(np.maximum(s, u), n[:, None]) - np.maximum(np.minimum(s, u), 0)
-    return float(np.where(on & (long > far), long, 0).sum())
+        for rows in parts:
+            two = []
+            for c in ("ea", "eb"):
+                flat = rows.column(c).flatten()
+                two += [np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in range(5)], axis=1), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(rows.column(c)), 0).to_numpy())]]
+            shared, along = shared_areas(*two, border)
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in (by, "a", "b")] + [pa.array(shared), pa.array(along) if border else pa.nulls(len(shared), pa.float64())], names=[by, "a", "b", "shared", "border"])
+
+    return m.mapInArrow(run, f"{by} {kind[by]}, a {kind['a']}, b {kind['a']}, shared double, border double")
+
+
+def shared_areas(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, border: bool = True, close: float = 1e-9, block: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """The areas that pairs of polygons both cover, and the lengths that their edges have in common on one line. a, b: the `signed` edges
+    of all pairs; na, nb: where those of a pair begin. A polygon is the sum of what is below its edges, with their signs;
+    so what two have in common is a sum over pairs of edges."""
+    pairs = len(na) - 1
+    shared, along, ext, floor = (np.zeros(pairs) for _ in range(4))
+    pair = np.repeat(np.arange(pairs), np.diff(na))
+    low, high = np.full((2, pairs), np.inf), np.full((2, pairs), -np.inf)
+    for e, k in ((a, pair), (b, np.repeat(np.arange(pairs), np.diff(nb)))):
+        for axis, cols in enumerate(((0, 2), (1, 3))):
+            for c in cols:
+                np.minimum.at(low[axis], k, e[:, c])
+                np.maximum.at(high[axis], k, e[:, c])
+    some = np.isfinite(low).all(axis=0)
+    ext[some], floor[some] = (high - low)[:, some].max(axis=0), low[1][some]
+    far = close * np.maximum(np.abs(low), np.abs(high)).max(axis=0)
+    n = np.diff(nb)[pair]  # edges of b that an edge of a meets
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < len(a):
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + block, "right")), lo + 1)
+        i = np.repeat(np.arange(lo, hi), n[lo:hi])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + nb[pair[i]]
+        k = pair[i]
+        if border:
+            p, q = a[i], b[j]
+            tx, ty = p[:, 2] - p[:, 0], p[:, 3] - p[:, 1]
+            size = np.maximum(np.hypot(tx, ty), 1e-300)
+            tx, ty = tx / size, ty / size
+            on = np.ones(len(i), bool)
+            for c in (0, 2):
+                on &= np.abs(tx * (q[:, c + 1] - p[:, 1]) - ty * (q[:, c] - p[:, 0])) <= far[k]
+            s, t = (tx * (q[:, c] - p[:, 0]) + ty * (q[:, c + 1] - p[:, 1]) for c in (0, 2))
+            long = np.minimum(np.maximum(s, t), size) - np.maximum(np.minimum(s, t), 0)
+            along += np.bincount(k, np.where(on & (long > far[k]), long, 0), pairs)
+        x0, x1 = np.maximum(a[i, 0], b[j, 0]), np.minimum(a[i, 2], b[j, 2])
+        ok = x1 > x0
+        i, j, k, x0, x1 = i[ok], j[ok], k[ok], x0[ok], x1[ok]
+        height = lambda e, x: e[:, 1] + (e[:, 3] - e[:, 1]) * ((x - e[:, 0]) / (e[:, 2] - e[:, 0]))
+        p, q = a[i], b[j]
+        f0, f1, g0, g1 = height(p, x0), height(p, x1), height(q, x0) - floor[k], height(q, x1) - floor[k]
+        d0, d1 = f0 - floor[k] - g0, f1 - floor[k] - g1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = d0 / (d0 - d1)
+        less = np.where(d0 * d1 < 0, np.where(d0 < 0, d0 * t, d1 * (1 - t)), np.minimum(d0, 0) + np.minimum(d1, 0))
+        shared += np.bincount(k, p[:, 4] * q[:, 4] * (x1 - x0) * (g0 + g1 + less) / 2, pairs)
+        lo = hi
+    return np.where(shared > 1e-12 * ext * ext, shared, 0.0), along
 
 
 def union_parts(rings: DataFrame, by: str, member: str) -> DataFrame:

@@ -93,7 +93,7 @@ def border_areas(spark, d):
 @query(f"""WITH {NOTCHED}, v AS (SELECT m, g, x, y FROM u WHERE NOT (x >= x0 + 3 AND x < x0 + 6 AND y >= y0 + 4) AND NOT (x >= x0 + 8 AND x < x0 + 10 AND y >= y0 + 3 AND y < y0 + 6))
 SELECT a.g, CAST(a.m AS BIGINT) a, CAST(b.m AS BIGINT) b, CAST(count(*) AS DOUBLE) shared FROM v a JOIN v b ON a.g = b.g AND a.m < b.m AND a.x = b.x AND a.y = b.y GROUP BY 1, 2, 3""")
 def shared_areas(spark, d):
-    return regions.pair_areas(_notched(spark, d), "g", "m").select("g", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("shared", 6).alias("shared")).where("shared > 0")
+    return regions.pair_areas(_notched(spark, d), "g", "m", border=False).select("g", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("shared", 6).alias("shared")).where("shared > 0")
 
 
 @query(f"""WITH RECURSIVE {NOTCHED}, v AS (SELECT m, g, x, y FROM u WHERE NOT (x >= x0 + 3 AND x < x0 + 6 AND y >= y0 + 4) AND NOT (x >= x0 + 8 AND x < x0 + 10 AND y >= y0 + 3 AND y < y0 + 6)),

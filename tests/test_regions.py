@@ -183,3 +183,15 @@ def test_polygons_over_one_place_do_not_multiply_tiles(spark):
     want = {k: int(v) for k, v in zip(*np.unique(n[n > 0], return_counts=True), strict=True)}
     got = {r.n: r.area for r in regions.covered_areas(df, "g", "m").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_pairs_of_one_batch_equal_unit_squares(spark):
+    """Concave polygons with holes, all pairs of a batch at once."""
+    shapes = [[(0, 0), (9, 0), (9, 8), (6, 8), (6, 4), (3, 4), (3, 8), (0, 8)], [(7, 2), (7, 3), (8, 3), (8, 2)]]
+    rows = [(0, m, k, i, float(x + m * 37 % 11), float(y + m * 53 % 13)) for m in range(30) for k, ring in enumerate(shapes) for i, (x, y) in enumerate(ring)]
+    xs, ys = np.meshgrid(np.arange(30) + 0.5, np.arange(30) + 0.5)
+    cover = {m: holds(p, xs, ys) for (_, m), p in polygons(rows).items()}
+    got = regions.pair_areas(spark.createDataFrame(rows, RINGS), "g", "m", border=False).collect()
+    assert {r.border for r in got} == {None} and len(got) > 200
+    found = {(r.a, r.b): r.shared for r in got}
+    assert all(found.get((a, b), 0.0) == pytest.approx((cover[a] & cover[b]).sum(), abs=1e-9) for a in cover for b in cover if a < b)
