@@ -580,14 +580,67 @@ def shared_areas(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, b
     return np.where(shared > 1e-12 * ext * ext, shared, 0.0), along
 
 
+def inner_points(rings: DataFrame, by: str, member: str) -> DataFrame:
+    """(by, member, px, py): points of a grid, in turned axes, that stand inside each polygon, of a grid that is 2^-k times its
+    size; the points of a coarser grid are among those of a finer one, so polygons of any size may have one in common."""
+    (x, y), (u, v) = _turned("x", "y"), _turned("u", "v")
+    turned = edges(rings, [by, member, "ring"]).select(by, member, F.struct(x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v")).alias("s"))
+    kind = {c: rings.schema[c].dataType.simpleString() for c in (by, member)}
+
+    def run(parts):
+        for pdf in parts:
+            for g, m, e in zip(pdf[by], pdf[member], pdf["e"], strict=True):
+                e = np.array([(s["x"], s["y"], s["u"], s["v"], s["d"]) for s in e], float).reshape(-1, 5)
+                if not len(e):
+                    continue
+                low, high = e[:, [0, 1, 2, 3]].reshape(-1, 2).min(axis=0), e[:, [0, 1, 2, 3]].reshape(-1, 2).max(axis=0)
+                size = (high - low).max()
+                step = 2.0 ** (math.ceil(math.log2(size)) - 3)
+                px, py = (q.ravel() for q in np.meshgrid(*(np.arange(math.ceil(a / step), math.floor(b / step) + 1) * step for a, b in zip(low, high, strict=True))))
+                n, clear = np.zeros(len(px)), np.ones(len(px), bool)
+                for x, y, u, v, d in e:
+                    off = py - (y + (v - y) * ((px - x) / (u - x)))
+                    over = (x <= px) & (px < u)
+                    n += np.where(over & (off > 0), d, 0)
+                    clear &= ~over | (np.abs(off) > 1e-6 * size)
+                ok = clear & (n == 1)
+                yield pd.DataFrame({by: g, member: m, "px": px[ok], "py": py[ok]})
+
+    polys = _oriented(turned.groupBy(by, member).agg(F.collect_list("s").alias("e")), [by, member])
+    return polys.mapInPandas(run, f"{by} {kind[by]}, {member} {kind[member]}, px double, py double")
+
+
 def union_parts(rings: DataFrame, by: str, member: str) -> DataFrame:
     """(by, parts): of how many parts a group's union consists; polygons that share an area or a length of
-    border are one part, those that meet in a point are not. A polygon of several parts counts as one."""
-    p = pair_areas(rings, by, member).where("shared > 0 or border > 0")
+    border are one part, those that meet in a point are not. A polygon of several parts counts as one.
+
+    Polygons over one point of a grid share an area, so most links come without pairs. Only polygons of different
+    components of these links, where the components' boxes meet, are compared.
+    """
     name = lambda c: F.xxhash64(F.col(by), F.col(c))
-    links = graph.connected_components(p.select(name("a").alias("a"), name("b").alias("b")))
+    r = kept(edges(rings, [by, member, "ring"]), "edges")
+    inside = kept(inner_points(rings, by, member), "points").withColumn("node", name(member))
+    over = inside.groupBy(F.col(by).alias("__by"), F.col("px").alias("__px"), F.col("py").alias("__py")).agg(F.min("node").alias("b"))
+    at = inside[by].eqNullSafe(over["__by"]) & (F.col("px") == F.col("__px")) & (F.col("py") == F.col("__py"))
+    links = kept(inside.join(over, at).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "links")
+    box = r.groupBy(by, member).agg(F.min(F.least("x", "u")).alias("x0"), F.max(F.greatest("x", "u")).alias("x1"), F.min(F.least("y", "v")).alias("y0"), F.max(F.greatest("y", "v")).alias("y1")).withColumn("node", name(member))
+    box = kept(box.join(graph.connected_components(links), "node", "left").withColumn("comp", F.coalesce("component", "node")).select(by, member, "comp", "x0", "x1", "y0", "y1"), "boxes")
+    comps = kept(box.groupBy(by, "comp").agg(*[f(f"{c}{k}").alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))]), "components")
+    p = kept(box_pairs(comps, [by], "comp"), "pairs")
+    meet = lambda s, t: " and ".join(f"{c}0{s} <= {c}1{t} and {c}0{t} <= {c}1{s}" for c in "xy")
+    named = lambda d, s: d.select(by, *[F.col(c).alias(f"{c}{s}") for c in d.columns if c != by])
+
+    def side(own: str, other: str) -> DataFrame:
+        """The members of one component that meet the box of the other one."""
+        m = p.join(named(box, "_m").withColumnRenamed("comp_m", own), [by, own]).join(named(comps, "_o").withColumnRenamed("comp_o", other), [by, other]).where(meet("_m", "_o"))
+        return m.select(by, "a", "b", *[F.col(f"{c}_m").alias(f"{c}_{own}") for c in (member, "x0", "x1", "y0", "y1")])
+
+    two = side("a", "b").join(side("b", "a"), [by, "a", "b"]).where(meet("_a", "_b"))
+    two = two.select(by, F.col(f"{member}_a").alias("a"), F.col(f"{member}_b").alias("b"))
+    more = _pair_areas(two, r, by, member, True).where("shared > 0 or border > 0").select(name("a").alias("a"), name("b").alias("b"))
+    found = graph.connected_components(links.unionByName(more))
     m = usable(rings, [by, member, "ring"]).select(by, member).distinct().withColumn("node", name(member))
-    return m.join(links, "node", "left").groupBy(by).agg(F.countDistinct(F.coalesce("component", "node")).alias("parts"))
+    return m.join(found, "node", "left").groupBy(by).agg(F.countDistinct(F.coalesce("component", "node")).alias("parts"))
 
 
 def union_or_hull(rings: DataFrame, by: str, member: str) -> DataFrame:

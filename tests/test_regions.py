@@ -195,3 +195,19 @@ def test_pairs_of_one_batch_equal_unit_squares(spark):
     assert {r.border for r in got} == {None} and len(got) > 200
     found = {(r.a, r.b): r.shared for r in got}
     assert all(found.get((a, b), 0.0) == pytest.approx((cover[a] & cover[b]).sum(), abs=1e-9) for a in cover for b in cover if a < b)
+
+
+def test_parts_come_from_common_points_and_few_pairs(spark):
+    """Polygons of one place have an inner point in common, whatever their sizes; others are compared."""
+    box = lambda g, m, x, y, s: [(g, m, 0, i, x + a * s, y + b * s) for i, (a, b) in enumerate([(0, 0), (0, 1), (1, 1), (1, 0)])]
+    rows = [r for m in range(40) for r in box(0, m, m * 0.01, m * 0.02, 1.0 + m % 3)]  # one place
+    rows += box(0, 50, -1.0, 0.0, 1.0) + box(0, 51, 20.0, 20.0, 2.0) + box(0, 52, 22.0, 22.0, 2.0) + box(0, 53, 20.1, 20.1, 0.01)  # a border, alone, a point, inside
+    rows += [r for m, k in ((0, 0), (0, 1), (1, 0)) for r in [(1, m, k, *p[3:]) for p in box(1, m, -5.0 if m + k == 0 else (-3.0 if k else -2.0), -5.0 if m + k == 0 else (-3.0 if k else -2.0), 10.0 if m + k == 0 else (6.0 if k else 4.0))]]
+    df = spark.createDataFrame(rows, RINGS)
+    ps = polygons(rows)
+    inner = regions.inner_points(df, "g", "m").collect()
+    c, s = math.cos(regions.TURN), math.sin(regions.TURN)
+    assert {(r.g, r.m) for r in inner} == set(ps) and all(holds(ps[r.g, r.m], r.px * c + r.py * s, r.py * c - r.px * s) for r in inner)
+    seen = Counter((r.px, r.py) for r in inner if r.g == 0 and r.m < 40)
+    assert max(seen.values()) >= 30
+    assert {r.g: r.parts for r in regions.union_parts(df, "g", "m").collect()} == {0: 3, 1: 2}
