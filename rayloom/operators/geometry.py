@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import cameras, kernels
 
 FIELDS = [f"{k}_{s}" for k in ("row", "col", "lat", "lon", "alt") for s in ("off", "scale")] + [f"{k}_{s}" for k in ("row", "col") for s in ("num", "den")]
 
@@ -24,7 +24,7 @@ def _model(row: pd.Series, prefix: str = "") -> dict:
 def _models(rows: pa.RecordBatch, prefix: str = "") -> dict:
     """A model for each row, for the kernels: an Arrow batch may hold as many cameras as rows."""
     own = lambda f: rows.column(prefix + f)
-    return {f: own(f).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1) if f.endswith(("num", "den")) else _numbers(rows, prefix + f) for f in FIELDS}
+    return {f: own(f).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(cameras.BASIS)) if f.endswith(("num", "den")) else _numbers(rows, prefix + f) for f in FIELDS}
 
 
 def _numbers(rows: pa.RecordBatch, column: str) -> np.ndarray:
