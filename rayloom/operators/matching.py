@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,57 +21,137 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x))
 
 
-BLOCK = 1000
+#: Keypoints of an image that a task holds as an array, and how many rows of them are compared at once.
+BLOCK, ROWS = 16_384, 256
+
+
+def _candidates(x: np.ndarray, y: np.ndarray, k: int, ok: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of x, row of y) of all that can be among the `k` nearest: squared distances by one product of matrices are
+    off by their rounding, so everything stays that is no farther than the k-th and twice that and nine places' rounding."""
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    most = yy.max(initial=0.0)
+    if not np.isfinite(4 * (xx + most)).all():  # numbers too large, or none
+        return np.nonzero(np.ones((len(x), len(y)), bool) if ok is None else ok)
+    d = x @ (-2.0 * y.T)
+    d += yy
+    d += xx[:, None]
+    if ok is not None:
+        d[~ok] = np.inf
+    rows, last = np.arange(len(x)), d.min(axis=1, initial=np.inf)
+    if k == 2 and len(y):
+        first = d.argmin(axis=1)
+        d[rows, first] = np.inf
+        last, d[rows, first] = d.min(axis=1), last
+    off = 4 * (x.shape[1] + 8) * np.finfo(float).eps * (xx + most)
+    reach = (np.sqrt(np.maximum(last + off, 0.0)) + 2e-9) ** 2 + off
+    found = d <= reach[:, None]
+    if not np.isfinite(last).all():
+        found &= d < np.inf
+    return np.nonzero(found)
+
+
+def nearest(x: np.ndarray, y: np.ndarray, k: int = 2, ok: np.ndarray | None = None, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the `k` (1 or 2) nearest rows of y for each row of x, among those that the mask `ok`
+    lets through. Distances count to nine places, ties by the smaller `rank` (by default the place in y)."""
+    r, c = _candidates(x, y, k, ok)
+    d = np.empty(len(r))
+    for lo in range(0, len(r), 20_000):
+        part = slice(lo, lo + 20_000)
+        d[part] = np.sqrt(((x[r[part]] - y[c[part]]) ** 2).sum(axis=1)).round(9)
+    order = np.lexsort((c if rank is None else rank[c], d, r))
+    r, c, d = r[order], c[order], d[order]
+    start = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
+    place = np.arange(len(r)) - np.maximum.accumulate(np.where(start, np.arange(len(r)), 0)) if len(r) else r
+    return r[place < k], c[place < k], d[place < k]
+
+
+def _every(left: np.ndarray, right: np.ndarray) -> Iterator[tuple]:
+    """The rows of `left` in turns, each with all of `right`."""
+    for lo in range(0, len(left), ROWS):
+        yield np.arange(lo, min(lo + ROWS, len(left))), np.arange(len(right)), None
+
+
+def _meet(left: DataFrame, right: DataFrame, by: list[str], counts: DataFrame, k: int, turns: Callable = _every, block: int = BLOCK) -> DataFrame:
+    """(by, kp_i, kp_j, d): of each row of `left` the `k` nearest of each block of `right` with the same `by`, both (by, kp_id,
+    desc, at: numbers for `turns`). counts (by, ni, nj): how many rows either has.
+
+    Rows are cut into blocks by a hash. Two blocks meet in one task as arrays, and `turns(left's numbers, right's)` says which
+    rows are compared, by what mask. What is shuffled grows with the rows times the blocks of the other side.
+    """
+    n = counts.select(*by, *[F.ceil(F.col(c) / block).alias(f"__{c}") for c in ("ni", "nj")])
+    keys = [*by, "__bi", "__bj"]
+
+    def side(rows: DataFrame, own: str, other: str, mark: int) -> DataFrame:
+        r = rows.where(F.col("desc").isNotNull()).join(n, by).withColumn(f"__b{own}", F.pmod(F.xxhash64("kp_id"), f"__n{own}"))
+        r = r.withColumn(f"__b{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"__n{other}") - 1)))
+        return r.select(*keys, F.lit(mark).alias("__side"), "kp_id", "desc", "at")
+
+    rows = side(left, "i", "j", 0).unionByName(side(right, "j", "i", 1))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "__side", "kp_id")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in (*by, "kp_id")}
+    schema = ", ".join([*[f"`{c}` {kind[c]}" for c in by], f"kp_i {kind['kp_id']}", f"kp_j {kind['kp_id']}", "d double"])
+
+    def array(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
+        one = [p.column(name) for p in parts]
+        flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in one])
+        if len({v for c in one for v in pc.unique(pc.list_value_length(c)).to_pylist()}) > 1:
+            raise ValueError(f"{name} of different lengths")
+        total = sum(map(len, one))
+        return flat.reshape(total, len(flat) // total)
+
+    def compared(held: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        (x, y), (p, q) = ([array(h, c) for h in held] for c in ("desc", "at"))
+        own, other = (pa.concat_arrays([b.column("kp_id") for b in h]) for h in held)
+        first = held[0][0]
+        for i, j, ok in turns(p, q):
+            r, c, d = nearest(x[i], y[j], k, ok, j)  # ids stand in order
+            if len(r):
+                same = [pa.concat_arrays([first.column(b)[:1]]).take(pa.array(np.zeros(len(r), np.int64))) for b in by]
+                yield pa.RecordBatch.from_arrays([*same, own.take(pa.array(i[r])), other.take(pa.array(j[c])), pa.array(d)], names=[*by, "kp_i", "kp_j", "d"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [])
+        for batch in parts:
+            if not len(batch):
+                continue
+            new = np.zeros(len(batch), bool)
+            new[0] = True
+            for c in (*keys, "__side"):
+                v = batch.column(c)
+                new[1:] |= pc.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(new)
+            for lo, hi in zip(heads, [*heads[1:], len(batch)], strict=True):
+                key = tuple(batch.column(c)[int(lo)].as_py() for c in keys)
+                if key != at:
+                    if held[0] and held[1]:
+                        yield from compared(held)
+                    at, held = key, ([], [])
+                held[batch.column("__side")[int(lo)].as_py()].append(batch.slice(int(lo), int(hi - lo)))
+        if held[0] and held[1]:
+            yield from compared(held)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _of_pairs(kp: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For `_meet`: the keypoints (cam_id, ...) of either image of each pair (cam_i, cam_j, ...), and their counts."""
+    per = kp.groupBy("cam_id").agg(F.count("*").alias("n"))
+    n = lambda c: per.select(F.col("cam_id").alias(f"cam_{c}"), F.col("n").alias(f"n{c}"))
+    counts = pairs.select("cam_i", "cam_j").join(n("i"), "cam_i").join(n("j"), "cam_j")
+    left, right = (pairs.join(kp.withColumnRenamed("cam_id", c), c) for c in ("cam_i", "cam_j"))
+    return left, right, counts
 
 
 def ratio_match(kp: DataFrame, pairs: DataFrame, ratio: float = 0.6, block: int = BLOCK) -> DataFrame:
     """Nearest descriptor of cam_j for each keypoint of cam_i, if nearer than `ratio` times the
     second nearest (strictly). kp (cam_id, kp_id, desc); pairs (cam_i, cam_j).
 
-    The keypoints of an image are cut into blocks by a hash. Two blocks of two paired images meet in
-    one task as arrays, which returns the two nearest of each keypoint; only these are shuffled again,
-    to find the two nearest of all blocks. Distances count to nine places, ties by the smaller kp_j.
+    All descriptors of two paired images are compared, block by block; only the two nearest of each keypoint
+    and block are shuffled again. Distances count to nine places, ties by the smaller kp_j.
     """
-    per = kp.groupBy("cam_id").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    k = kp.join(per, "cam_id").withColumn("b", F.pmod(F.xxhash64("kp_id"), "blocks"))
-    n = lambda c: per.select(F.col("cam_id").alias(c), F.col("blocks").alias(f"n{c[-1]}"))
-    met = pairs.select("cam_i", "cam_j").join(n("cam_i"), "cam_i").join(n("cam_j"), "cam_j")
-    met = met.withColumn("bi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1))).withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)))
-    side = lambda s, c: met.select("cam_i", "cam_j", "bi", "bj", F.lit(s).alias("side"), F.col(f"cam_{c}").alias("cam_id"), F.col(f"b{c}").alias("b"))
-    rows = side(0, "i").unionByName(side(1, "j")).join(k.select("cam_id", "b", "kp_id", "desc"), ["cam_id", "b"])
-    keys = ["cam_i", "cam_j", "bi", "bj"]
-    rows = rows.select(*keys, "side", "kp_id", F.col("desc").cast("array<double>").alias("desc")).repartition(*keys).sortWithinPartitions(*keys, "side", "kp_id")
-    kind = {c: rows.schema[c].dataType.simpleString() for c in ("cam_i", "cam_j", "kp_id")}
-    schema = f"cam_i {kind['cam_i']}, cam_j {kind['cam_j']}, kp_i {kind['kp_id']}, kp_j {kind['kp_id']}, d double"
-
-    def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, y, ids = np.stack(left["desc"]), np.stack(right["desc"]), right["kp_id"].to_numpy()
-        two, out = min(2, len(y)), []
-        for lo in range(0, len(x), 16):
-            d = np.sqrt(((x[lo : lo + 16, None] - y[None]) ** 2).sum(axis=2)).round(9)
-            best = np.argsort(d, axis=1, kind="stable")[:, :two]  # ids stand in order
-            out.append(pd.DataFrame({"kp_i": np.repeat(left["kp_id"].to_numpy()[lo : lo + 16], two), "kp_j": ids[best].ravel(), "d": np.take_along_axis(d, best, axis=1).ravel()}))
-        found = pd.concat(out)
-        return found.assign(cam_i=key[0], cam_j=key[1])[["cam_i", "cam_j", "kp_i", "kp_j", "d"]]
-
-    def run(parts):
-        at, held = None, ([], [])
-
-        def flush():
-            if held[0] and held[1]:
-                yield nearest(at, *(pd.concat(h) for h in held))
-
-        for pdf in parts:
-            key = pdf[[*keys, "side"]].to_numpy()
-            heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else []
-            for lo, hi in zip(heads, [*heads[1:], len(key)], strict=True):
-                if tuple(key[lo, :4]) != at:
-                    yield from flush()
-                    at, held = tuple(key[lo, :4]), ([], [])
-                held[int(key[lo, 4])].append(pdf.iloc[lo:hi])
-        yield from flush()
-
-    two = rows.mapInPandas(run, schema).select("cam_i", "cam_j", "kp_i", F.struct("d", "kp_j").alias("c"))
+    by = ["cam_i", "cam_j"]
+    left, right, counts = _of_pairs(kp.select("cam_id", "kp_id", "desc", F.array().cast("array<double>").alias("at")), pairs.select(*by))
+    two = _meet(left, right, by, counts, 2, block=block).select(*by, "kp_i", F.struct("d", "kp_j").alias("c"))
     # two rows a block of cam_j
     best = two.groupBy("cam_i", "cam_j", "kp_i").agg(F.slice(F.array_sort(F.collect_list("c")), 1, 2).alias("t"))
     return best.where((F.size("t") == 2) & (F.col("t")[0]["d"] < ratio * F.col("t")[1]["d"])).select("cam_i", "cam_j", "kp_i", F.col("t")[0]["kp_j"].alias("kp_j"), F.col("t")[0]["d"].alias("dist"))
@@ -88,14 +171,32 @@ def inside(points: DataFrame, box: DataFrame) -> DataFrame:
 
 def window_match(a: DataFrame, b: DataFrame, radius: float, most: float, by: tuple[str, ...] = ()) -> DataFrame:
     """For each keypoint of `a` the nearest descriptor of `b` within `radius` in space, if its
-    distance is below `most`. Both (kp_id, x, y, desc). Points meet by grid cells of the radius,
-    and only where they agree in the columns `by`, such as the pair of images that both stand for."""
-    cell = lambda c: F.floor(F.col(c) / radius)
-    around = F.explode(F.array(*[F.struct((cell("x") + i).alias("gx"), (cell("y") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = a.select(*by, F.col("kp_id").alias("kp_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("desc").alias("di"), around.alias("g")).select("*", "g.gx", "g.gy")
-    right = b.select(*by, F.col("kp_id").alias("kp_j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("desc").alias("dj"), cell("x").alias("gx"), cell("y").alias("gy"))
-    m = left.join(right, [*by, "gx", "gy"]).where(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2) <= radius * radius)
-    best = m.select(*by, "kp_i", F.struct(F.round(l2(F.col("di"), F.col("dj")), 9).alias("d"), "kp_j").alias("c")).groupBy(*by, "kp_i").agg(F.min("c").alias("c"))
+    distance is below `most`. Both (kp_id, x, y, desc). Points meet only where they agree in the columns `by`,
+    such as the pair of images that both stand for; blocks of them stand in order of x, so that rows meet
+    what their radius reaches on that axis."""
+
+    def turns(p: np.ndarray, q: np.ndarray) -> Iterator[tuple]:
+        p_order, q_order = np.argsort(p[:, 0], kind="stable"), np.argsort(q[:, 0], kind="stable")
+        xs = q[q_order, 0]
+        for lo in range(0, len(p), ROWS):
+            i = p_order[lo : lo + ROWS]
+            wide = radius + 1e-9 * (radius + np.abs(p[i, 0]).max())
+            near = slice(np.searchsorted(xs, p[i, 0].min() - wide), np.searchsorted(xs, p[i, 0].max() + wide, "right"))
+            j = q_order[near]
+            if len(j):
+                yield i, j, (p[i, :1] - q[j, 0]) ** 2 + (p[i, 1:] - q[j, 1]) ** 2 <= radius * radius
+
+    keys = list(by) or ["__all"]
+
+    def rows(d: DataFrame) -> DataFrame:
+        d = d if by else d.withColumn("__all", F.lit(0))
+        at = F.array(F.col("x").cast("double"), F.col("y").cast("double"))
+        return d.select(*keys, "kp_id", "desc", at.alias("at")).where("NOT (isnull(at[0]) OR isnull(at[1]) OR isnan(at[0]) OR isnan(at[1]))")
+
+    left, right = rows(a), rows(b)
+    counts = left.groupBy(*keys).agg(F.count("*").alias("ni")).join(right.groupBy(*keys).agg(F.count("*").alias("nj")), keys)
+    m = _meet(left, right, keys, counts, 1, turns)
+    best = m.groupBy(*keys, "kp_i").agg(F.min(F.struct("d", "kp_j")).alias("c"))
     return best.where(F.col("c.d") < most).select(*by, "kp_i", "c.kp_j", F.col("c.d").alias("dist"))
 
 
@@ -279,37 +380,40 @@ def epipolar_match(kp: DataFrame, pairs: DataFrame, thr: float, ratio: float, ba
     `thr` from its epipolar line, if nearer than `ratio` times the second nearest, where there is one.
     kp (cam_id, kp_id, x, y, desc), pairs (cam_i, cam_j, f: 9 numbers of x_j' F x_i = 0).
 
-    An image is cut into `bands` strips across and as many down. A keypoint's line crosses each strip along its
-    steeper axis in a few squares (one with those beside it that `thr` reaches into), and meets the keypoints of
-    these squares only: an equi-join on pair and square. The two nearest are kept by rank, before the exchange too.
+    Blocks of two images meet as arrays. Axes are turned along the lines' mean direction; lines stand in order of where they
+    cross the middle of the other block and are cut into `bands` or more bands, each of which meets the keypoints
+    between its outermost lines. Lines across the mean direction meet them all.
     """
     line = lambda r: F.col("f")[3 * r] * F.col("x") + F.col("f")[3 * r + 1] * F.col("y") + F.col("f")[3 * r + 2]
-    place = kp.groupBy("cam_id").agg(*[f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))])
-    side = F.greatest((F.col("x1") - F.col("x0")) / bands, (F.col("y1") - F.col("y0")) / bands, F.lit(4.0 * thr), F.lit(1e-9))
-    place = place.select(F.col("cam_id").alias("cam_j"), "x0", "y0", "x1", "y1", side.alias("side"))
-    to = pairs.select("cam_i", "cam_j", "f").join(place, "cam_j")
-    a = to.join(kp.withColumnRenamed("cam_id", "cam_i"), "cam_i").select("cam_i", "cam_j", F.col("kp_id").alias("kp_i"), F.col("desc").alias("di"), *[line(r).alias(k) for r, k in enumerate("abc")], "x0", "y0", "x1", "y1", "side")
-    flat = F.abs("b") >= F.abs("a")  # the line goes from left to right
-    n = F.floor(F.when(flat, F.col("x1") - F.col("x0")).otherwise(F.col("y1") - F.col("y0")) / F.col("side"))
-    a = a.where("a <> 0 OR b <> 0").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), n)))
-    # where the line enters and leaves the strip, and how far `thr` reaches across it
-    low = F.when(flat, F.col("x0")).otherwise(F.col("y0"))
-    at = lambda k: F.when(flat, -(F.col("a") * (low + (F.col("s") + k) * F.col("side")) + F.col("c")) / F.col("b")).otherwise(-(F.col("b") * (low + (F.col("s") + k) * F.col("side")) + F.col("c")) / F.col("a"))
-    reach = thr * F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")) / F.greatest(F.abs("a"), F.abs("b"))
-    other, far = F.when(flat, F.col("y0")).otherwise(F.col("x0")), F.when(flat, F.col("y1")).otherwise(F.col("x1"))
-    # rounding must not part a keypoint on a strip's border from the line, hence a little more
-    more = reach + F.col("side") * 1e-6
-    first = F.floor((F.greatest(F.least(at(0), at(1)) - more, other) - other) / F.col("side"))
-    last = F.floor((F.least(F.greatest(at(0), at(1)) + more, far) - other) / F.col("side"))
-    a = a.withColumns({"t0": first, "t1": last}).where("t0 <= t1").withColumn("t", F.explode(F.sequence("t0", "t1")))
-    a = a.select("cam_i", "cam_j", "kp_i", "di", "a", "b", "c", F.when(flat, F.col("s")).otherwise(F.col("t")).alias("gx"), F.when(flat, F.col("t")).otherwise(F.col("s")).alias("gy"))
-    k = kp.withColumnRenamed("cam_id", "cam_j").join(place, "cam_j")
-    cell = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side")).alias(f"g{c}")
-    b = k.select("cam_j", F.col("kp_id").alias("kp_j"), "x", "y", F.col("desc").alias("dj"), cell("x"), cell("y"))
-    m = a.join(b, ["cam_j", "gx", "gy"]).where(F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")) <= thr * F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")))
-    m = m.select("cam_i", "cam_j", "kp_i", "kp_j", F.round(l2(F.col("di"), F.col("dj")), 9).alias("d"))
-    w = W.partitionBy("cam_i", "cam_j", "kp_i").orderBy("d", "kp_j")
-    two = m.withColumn("k", F.row_number().over(w)).where("k <= 2").groupBy("cam_i", "cam_j", "kp_i")
-    nth = lambda c, n: F.max(F.when(F.col("k") == n, F.col(c)))
-    t = two.agg(nth("kp_j", 1).alias("kp_j"), nth("d", 1).alias("dist"), nth("d", 2).alias("next"))
-    return t.where(F.col("next").isNull() | (F.col("dist") < ratio * F.col("next"))).select("cam_i", "cam_j", "kp_i", "kp_j", "dist")
+    place = F.array(F.col("x").cast("double"), F.col("y").cast("double"), F.lit(0.0))
+
+    def turns(p: np.ndarray, q: np.ndarray) -> Iterator[tuple]:
+        long = np.hypot(p[:, 0], p[:, 1])
+        unit = p / long[:, None]
+        # directions of lines, not of arrows: twice the angle
+        turn = np.angle(((unit[:, 0] + 1j * unit[:, 1]) ** 2).sum()) / 2
+        c, s = math.cos(turn), math.sin(turn)
+        across, along = q[:, 0] * c + q[:, 1] * s, q[:, 1] * c - q[:, 0] * s
+        cos, sin = unit[:, 0] * c + unit[:, 1] * s, unit[:, 1] * c - unit[:, 0] * s
+        steep = np.abs(cos) > 0.1
+        ends = [np.where(steep, -(unit[:, 2] + sin * t) / np.where(steep, cos, 1.0), 0.0) for t in (along.min(), along.max())]
+        wide = thr / np.where(steep, np.abs(cos), 1.0) + 1e-9 * (thr + np.abs(across).max() + np.abs(ends[0]) + np.abs(ends[1]))
+        low, high = np.where(steep, np.minimum(*ends) - wide, -np.inf), np.where(steep, np.maximum(*ends) + wide, np.inf)
+        order, at = np.lexsort((ends[0] + ends[1], ~steep)), np.argsort(across, kind="stable")
+        for i in np.array_split(order, max(min(bands, len(p)), math.ceil(len(p) / ROWS))):
+            j = at[np.searchsorted(across[at], low[i].min()) : np.searchsorted(across[at], high[i].max(), "right")]
+            if len(j):
+                off = p[i, :1] * q[j, 0]
+                off += p[i, 1:2] * q[j, 1]
+                off += p[i, 2:]
+                yield i, j, np.abs(off, out=off) <= thr * np.sqrt(p[i, :1] * p[i, :1] + p[i, 1:2] * p[i, 1:2])
+
+    by = ["cam_i", "cam_j"]
+    left, right, counts = _of_pairs(kp.select("cam_id", "kp_id", "x", "y", "desc"), pairs.select(*by, "f"))
+    usable = "NOT (exists(at, v -> isnull(v) OR isnan(v)))"
+    left = left.select(*by, "kp_id", "desc", F.array(line(0), line(1), line(2)).alias("at")).where(usable).where("at[0] <> 0 OR at[1] <> 0")
+    right = right.select(*by, "kp_id", "desc", place.alias("at")).where(usable)
+    two = _meet(left, right, by, counts, 2, turns).select(*by, "kp_i", F.struct("d", "kp_j").alias("c"))
+    t = two.groupBy(*by, "kp_i").agg(F.slice(F.array_sort(F.collect_list("c")), 1, 2).alias("t"))  # two rows a block of cam_j
+    first, second = F.col("t")[0], F.get("t", F.lit(1))
+    return t.where(second.isNull() | (first["d"] < ratio * second["d"])).select(*by, "kp_i", first["kp_j"].alias("kp_j"), first["d"].alias("dist"))

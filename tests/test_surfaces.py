@@ -1,6 +1,8 @@
 """Height grids, isolated points, the forest of descriptors and projective fits, against plain loops and made scenes."""
 
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -158,3 +160,52 @@ def test_rows_at_one_pixel_keep_their_ids(spark):
     d = spark.createDataFrame([(1, 2000.0, 2000.0, 3.0, 0.5), (2, 2000.0, 2000.0, 3.0, 0.5), (3, 2100.0, 2000.0, 3.0, 0.5)], "id int, col double, row double, dx double, dy double")
     got = surface.disparity_points(d, same, same, scene.models(spark), 0, 1, (-1e9, 1e9, -1e9, 1e9)).orderBy("id").collect()
     assert [r.id for r in got] == [1, 2, 3] and got[0][1:] == got[1][1:] != got[2][1:]
+
+
+def test_blocks_of_images_find_the_nearest_in_one_product(spark):
+    """Near ties, copies, large offsets and masks against plain distances; 9 billion numbers a loop over rows would take."""
+    g = np.random.default_rng(8)
+    for shift in (0.0, 1e6):
+        x, y = g.normal(size=(40, 8)) + shift, g.normal(size=(90, 8)) + shift
+        y[50:60], x[:5] = y[3], y[3]  # copies
+        y[70], y[71] = x[9] + 1e-10, x[9] - 1e-10  # one distance at nine places
+        ok = g.random((40, 90)) < 0.3
+        ok[7] = False
+        rank = g.permutation(90)
+        for mask in (None, ok):
+            d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)).round(9)
+            want = [(i, j, d[i, j]) for i in range(40) for j in sorted((j for j in range(90) if mask is None or mask[i, j]), key=lambda j: (d[i, j], rank[j]))[:2]]
+            assert list(zip(*matching.nearest(x, y, 2, mask, rank), strict=True)) == want
+            assert list(zip(*matching.nearest(x, y, 1, mask, rank), strict=True)) == [w for k, w in enumerate(want) if not k or want[k - 1][0] != w[0]]
+    assert len(matching.nearest(x, y[:1])[0]) == 40 and len(matching.nearest(x, y[:0])[0]) == 0
+    odd = y.copy()
+    odd[5] = np.nan
+    assert 5 not in matching.nearest(x, odd)[1]
+    # pairs are an array's numbers: 64 million distances of 64 numbers within the time of a test
+    began, a = time.time(), g.normal(size=(8000, 64))
+    for i, j, mask in matching._every(a, a):
+        r, c, d = matching.nearest(a[i], a[j], 2, mask)
+        assert (c[::2] == i).all()
+    assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_matches_do_not_depend_on_blocks(spark, block, monkeypatch):
+    g = np.random.default_rng(9)
+    kp = [(c, k, float(x), float(y), [float(v) for v in np.round(g.normal(size=3), 1)]) for c in range(3) for k, (x, y) in enumerate(g.uniform(0, 100, (40, 2)))] + [(1, 99, 1.0, 1.0, None), (2, 99, None, 1.0, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(kp, "cam_id int, kp_id int, x double, y double, desc array<double>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "cam_i int, cam_j int")
+    monkeypatch.setattr(matching._meet, "__defaults__", (matching._every, block))
+    side = lambda c: pairs.join(df.withColumnRenamed("cam_id", c), c)
+    got = {tuple(r)[:4] for r in matching.window_match(side("cam_i"), side("cam_j"), 30.0, 2.5, ("cam_i", "cam_j")).collect()}
+    lines = pairs.withColumn("f", F.array(*[F.lit(v) for v in (0.0, 0.0, 0.3, 0.0, 0.0, -1.0, -0.3, 1.0, 4.0)]))
+    seen = {tuple(r)[:4] for r in matching.epipolar_match(df, lines, 9.0, 0.9).collect()}
+    want, along = set(), set()
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        for _, k, x, y, d in (r for r in kp if r[0] == i and r[4]):
+            others = [r for r in kp if r[0] == j and r[4] and r[2] is not None]
+            near = sorted((round(math.dist(d, e), 9), q) for _, q, u, v, e in others if (x - u) ** 2 + (y - v) ** 2 <= 900)
+            want |= {(i, j, k, near[0][1])} if near and near[0][0] < 2.5 else set()
+            near = sorted((round(math.dist(d, e), 9), q) for _, q, u, v, e in others if abs(0.3 * u - v - 0.3 * x + y + 4) <= 9 * math.hypot(0.3, 1))
+            along |= {(i, j, k, near[0][1])} if near and (len(near) == 1 or near[0][0] < 0.9 * near[1][0]) else set()
+    assert got == want and seen == along and len(want) > 30 and len(along) > 10
