@@ -22,7 +22,7 @@ def l2(a: Column, b: Column) -> Column:
 
 
 #: Keypoints of an image that a task holds as an array, and how many rows of them are compared at once.
-BLOCK, ROWS = 16_384, 256
+BLOCK, ROWS = 16_384, 512
 
 
 def _candidates(x: np.ndarray, y: np.ndarray, k: int, ok: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -32,22 +32,27 @@ def _candidates(x: np.ndarray, y: np.ndarray, k: int, ok: np.ndarray | None) ->
     most = yy.max(initial=0.0)
     if not np.isfinite(4 * (xx + most)).all():  # numbers too large, or none
         return np.nonzero(np.ones((len(x), len(y)), bool) if ok is None else ok)
-    d = x @ (-2.0 * y.T)
-    d += yy
-    d += xx[:, None]
-    if ok is not None:
-        d[~ok] = np.inf
-    rows, last = np.arange(len(x)), d.min(axis=1, initial=np.inf)
-    if k == 2 and len(y):
-        first = d.argmin(axis=1)
-        d[rows, first] = np.inf
-        last, d[rows, first] = d.min(axis=1), last
-    off = 4 * (x.shape[1] + 8) * np.finfo(float).eps * (xx + most)
-    reach = (np.sqrt(np.maximum(last + off, 0.0)) + 2e-9) ** 2 + off
-    found = d <= reach[:, None]
-    if not np.isfinite(last).all():
-        found &= d < np.inf
-    return np.nonzero(found)
+    turned, out = np.ascontiguousarray(-2.0 * y.T), []
+    for lo in range(0, len(x), 64):  # what a core's cache holds
+        part = slice(lo, lo + 64)
+        d = x[part] @ turned
+        d += yy
+        d += xx[part, None]
+        if ok is not None:
+            d[~ok[part]] = np.inf
+        rows, last = np.arange(len(d)), d.min(axis=1, initial=np.inf)
+        if k == 2 and len(y):
+            first = d.argmin(axis=1)
+            d[rows, first] = np.inf
+            last, d[rows, first] = d.min(axis=1), last
+        off = 4 * (x.shape[1] + 8) * np.finfo(float).eps * (xx[part] + most)
+        reach = (np.sqrt(np.maximum(last + off, 0.0)) + 2e-9) ** 2 + off
+        found = d <= reach[:, None]
+        if not np.isfinite(last).all():
+            found &= d < np.inf
+        r, c = np.divmod(np.flatnonzero(found), max(len(y), 1))  # faster than two places at once
+        out.append((r + lo, c))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
 
 
 def nearest(x: np.ndarray, y: np.ndarray, k: int = 2, ok: np.ndarray | None = None, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
