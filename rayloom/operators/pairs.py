@@ -12,20 +12,27 @@ from pyspark.sql import functions as F
 from .ranges import running
 
 
-def all_pairs(cameras: DataFrame) -> DataFrame:
-    """(cam_i < cam_j) of a camera table, which is small: pairs of images are what is asked for."""
-    a, b = (cameras.select(F.col("cam_id").alias(c)) for c in ("cam_i", "cam_j"))
-    return a.join(b, F.col("cam_i") < F.col("cam_j"))
+def spread(cameras: DataFrame, key: str) -> DataFrame:
+    """A camera table is one small file, but each of its rows stands for many pairs: dealt to all cores."""
+    return cameras.repartition(4 * cameras.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def all_pairs(cameras: DataFrame, *carried: str) -> DataFrame:
+    """(cam_i < cam_j) of a camera table, with the `carried` columns c of both as c_i and c_j. Pairs of images are what
+    is asked for, so they are quadratic; each task has some rows for cam_i and, broadcast, a row a camera for cam_j."""
+    a, b = (cameras.select(F.col("cam_id").alias(f"cam_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in carried]) for s in "ij")
+    return spread(a, "cam_i").join(F.broadcast(b), F.col("cam_i") < F.col("cam_j"))
 
 
 def date_window_pairs(cameras: DataFrame, ahead: int = 1) -> DataFrame:
     """Pairs of images of one date or of the next `ahead` dates; cameras (cam_id, date_idx).
 
-    The date range is spelled out as an equality on each offset, so the join stays a hash join.
+    The date range is spelled out as an equality on each offset, so the join stays a hash join; dates are few, so
+    the images of one are dealt to all tasks, which have, broadcast, a row a camera for cam_j.
     """
     a = cameras.select(F.col("cam_id").alias("cam_i"), F.col("date_idx").alias("di"), F.explode(F.sequence(F.col("date_idx"), F.col("date_idx") + ahead)).alias("dj"))
     b = cameras.select(F.col("cam_id").alias("cam_j"), F.col("date_idx").alias("dj"))
-    p = a.join(b, "dj").where((F.col("dj") > F.col("di")) | (F.col("cam_i") < F.col("cam_j")))
+    p = spread(a, "cam_i").join(F.broadcast(b), "dj").where((F.col("dj") > F.col("di")) | (F.col("cam_i") < F.col("cam_j")))
     return p.select("cam_i", "cam_j", "di", "dj")
 
 
@@ -36,7 +43,8 @@ def qualify_pairs(pairs: DataFrame, least_overlap: float = 0.1, least_baseline:
     m = pairs.where(F.col("overlap") > least_overlap).withColumn("good", F.col("baseline") / orbit > least_baseline)
     ends = m.select(F.explode(F.array("cam_i", "cam_j")).alias("cam_id"), "good")
     poor = ends.groupBy("cam_id").agg(F.max("good").alias("any")).where("not any").select("cam_id")
-    i, j = (poor.select(F.col("cam_id").alias(c), F.lit(True).alias(f"poor_{c[-1]}")) for c in ("cam_i", "cam_j"))
+    # a row a camera, so that pairs are not shuffled
+    i, j = (F.broadcast(poor.select(F.col("cam_id").alias(c), F.lit(True).alias(f"poor_{c[-1]}"))) for c in ("cam_i", "cam_j"))
     r = m.join(i, "cam_i", "left").join(j, "cam_j", "left")
     return r.select("cam_i", "cam_j", "overlap", "baseline", (F.col("good") | F.coalesce("poor_i", F.lit(False)) | F.coalesce("poor_j", F.lit(False))).alias("triangulate"))
 

@@ -229,9 +229,8 @@ def date_window_pairs(spark, d):
 m AS (SELECT *, baseline / 500000.0 > 0.25 good FROM p WHERE overlap > 0.1), e AS (SELECT cam_i c, good FROM m UNION ALL SELECT cam_j, good FROM m), poor AS (SELECT c FROM e GROUP BY 1 HAVING NOT bool_or(good))
 SELECT cam_i, cam_j, good OR cam_i IN (SELECT c FROM poor) OR cam_j IN (SELECT c FROM poor) triangulate FROM m""")
 def pair_qualification(spark, d):
-    s = table(spark, d, "supplier")
-    a, b = (s.select(F.col("s_suppkey").alias(f"cam_{i}"), F.col("s_acctbal").alias(f"v{i}")) for i in "ij")
-    p = pairs.all_pairs(cams(spark, d)).join(a, "cam_i").join(b, "cam_j").select("cam_i", "cam_j", (F.abs(F.col("vi") - F.col("vj")) / 10000).alias("overlap"), (F.abs(F.col("vi") + F.col("vj")) * 20).alias("baseline"))
+    c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cam_id"), F.col("s_acctbal").alias("v"))
+    p = pairs.all_pairs(c, "v").select("cam_i", "cam_j", (F.abs(F.col("v_i") - F.col("v_j")) / 10000).alias("overlap"), (F.abs(F.col("v_i") + F.col("v_j")) * 20).alias("baseline"))
     return pairs.qualify_pairs(p).select("cam_i", "cam_j", "triangulate")
 
 

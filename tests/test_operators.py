@@ -201,3 +201,14 @@ def test_image_pairs_all_has_every_camera(spark, tmp_path):
     spark.createDataFrame([(i, i % 25) for i in range(60)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     got = sorted(tuple(r) for r in catalog.QUERIES["image_pairs_all"](spark, str(tmp_path)).collect())
     assert got == [(i, j) for i in range(60) for j in range(i + 1, 60)]
+
+
+def test_pairs_are_made_by_all_tasks(spark):
+    """A camera table of one file, and few dates: pairs do not land in one task, and are not shuffled."""
+    cams = spark.range(2000).coalesce(1).select(F.col("id").alias("cam_id"), (F.col("id") % 2).alias("date_idx"), F.col("id").alias("v"))
+    for p, n in ((pairs.all_pairs(cams), 1999000), (pairs.date_window_pairs(cams), 1999000), (pairs.all_pairs(cams, "v").where("v_i = cam_i AND v_j = cam_j"), 1999000)):
+        per = [r["count"] for r in p.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert sum(per) == n and len(per) >= 8 and max(per) < n / 4
+    q = pairs.qualify_pairs(pairs.all_pairs(cams, "v").select("cam_i", "cam_j", (F.col("v_j") / 2000).alias("overlap"), F.col("v_i").cast("double").alias("baseline")))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
