@@ -35,16 +35,19 @@ def read_rpc_texts(spark: SparkSession, path: str) -> DataFrame:
     return parse_rpc_texts(spark.read.text(path, wholetext=True).select(image_of(), F.col("value")))
 
 
-def _first(pairs: Column) -> Column:
-    """Of pairs (t, n) with equal tags t the first."""
-    return F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["t"]), p["t"]) == i + 1)
+def _found(raw: DataFrame, text: Column, pattern: str, others: Column | None = None, *also: Column) -> DataFrame:
+    """(image_id, also, m): tags and numbers that the pattern finds in a text, as a map; of equal tags the first. What was found
+    is a column of its own, or each element would search the whole text again."""
+    own = raw.select("image_id", *also, *[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(c) for i, c in ((1, "__t"), (2, "__n"))])
+    first = F.filter(F.arrays_zip("__t", "__n"), lambda p, i: F.array_position(F.col("__t"), p["__t"]) == i + 1)
+    if others is not None:
+        first = F.filter(first, lambda p: F.array_contains(others, p["__t"]))
+    return own.select(*[c for c in own.columns if c not in ("__t", "__n")], F.map_from_entries(first).alias("m"))
 
 
 def parse_rpc_texts(raw: DataFrame) -> DataFrame:
     pattern = rf"([A-Z_0-9]+)\s*:\s*({NUMBER})"
-    tags, values = (F.regexp_extract_all(F.col("value"), F.lit(pattern), F.lit(i)) for i in (1, 2))
-    pairs = F.arrays_zip(tags.alias("t"), values.alias("n"))
-    m = raw.select("image_id", F.map_from_entries(_first(pairs)).alias("m"))
+    m = _found(raw, F.col("value"), pattern)
     get = lambda tag: F.try_element_at("m", F.lit(tag)).cast("double")
     vector = lambda tag: F.array(*[get(f"{tag}_{i}") for i in range(1, 21)])
     return m.select("image_id", *[get(t).alias(f) for t, f in SCALARS.items()], *[vector(t).alias(f) for t, f in VECTORS.items()])
@@ -64,9 +67,8 @@ def parse_rpc_xml(raw: DataFrame) -> DataFrame:
     # offsets and scales stand outside the inverse model, behind it or before
     own = F.when(inverse > 0, F.concat(F.expr("substring(value, locate('<Inverse_Model>', value))"), F.regexp_replace("value", r"(?s)<Direct_Model>.*?</Direct_Model>|<Inverse_Model>.*?</Inverse_Model>", ""))).otherwise(F.col("value"))
     r = raw.select("image_id", own.alias("v"), (inverse > 0).alias("numbered"))
-    tags, values = (F.regexp_extract_all("v", F.lit(pattern), F.lit(i)) for i in (1, 2))
-    pairs = F.filter(F.arrays_zip(tags.alias("t"), values.alias("n")), lambda p: p["t"].isin(*NUMBERED, *LISTED, *LISTED_SCALARS))
-    m = r.select("image_id", "numbered", F.map_from_entries(_first(pairs)).alias("m"))
+    known = F.array(*[F.lit(t) for t in (*NUMBERED, *LISTED, *LISTED_SCALARS)])
+    m = _found(r, F.col("v"), pattern, known, F.col("numbered"))
     get = lambda tag: F.try_element_at("m", F.lit(tag)).cast("double")
     other = {f: t for t, f in LISTED_SCALARS.items()}
     less = lambda f: F.when(F.col("numbered"), 1.0).otherwise(0.0) if f in ("row_off", "col_off") else F.lit(0.0)
@@ -76,8 +78,11 @@ def parse_rpc_xml(raw: DataFrame) -> DataFrame:
 
 
 def read_rpc_files(spark: SparkSession, path: str) -> DataFrame:
-    """Sensor models of any of the three formats; XML is known by its first character."""
-    raw = spark.read.text(path, wholetext=True).select(image_of(), F.col("value"))
+    return parse_rpc_files(spark.read.text(path, wholetext=True).select(image_of(), F.col("value")))
+
+
+def parse_rpc_files(raw: DataFrame) -> DataFrame:
+    """Sensor models of texts (image_id, value) of any of the three formats; XML is known by its first character."""
     xml = F.ltrim("value").startswith("<")
     return parse_rpc_texts(raw.where(~xml)).unionByName(parse_rpc_xml(raw.where(xml)))
 
@@ -181,12 +186,29 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFr
 
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, params: map of a name to numbers) of the files that `params_lines` makes."""
-    raw = spark.read.text(path, wholetext=True).select(image_of(), F.split(F.rtrim("value"), "\n").alias("v"))
+    return parse_params(spark.read.text(path, wholetext=True).select(image_of(), F.col("value")))
+
+
+def parse_params(raw: DataFrame) -> DataFrame:
+    """(image_id, params: map of a name to numbers) of the texts (image_id, value) that `params_lines` makes."""
+    raw = raw.select("image_id", F.split(F.rtrim("value"), "\n").alias("v"))
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 2).cast("int") - 1), lambda k: F.struct(F.get("v", 2 * k), F.transform(F.split(F.get("v", 2 * k + 1), " "), lambda x: x.cast("double"))))
     return raw.select("image_id", F.map_from_entries(pairs).alias("params"))
 
 
+def write_packed(lines: DataFrame, path: str) -> None:
+    """Rows (image_id, i, value) as a text an image, many texts a file: a JSON record a line with the image and its whole
+    text. A file and a folder an image, as `write_lines` makes them, cost some milliseconds each to make, commit, list and
+    open, which is what a job of many thousands of images would do and nothing else."""
+    text = F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: F.concat(x["value"], F.lit("\n")))  # an image's own lines
+    lines.groupBy("image_id").agg(F.array_join(text, "").alias("value")).write.mode("overwrite").json(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, value) of what `write_packed` wrote, for the parsers."""
+    return spark.read.schema("image_id string, value string").json(path)
+
+
 def write_lines(lines: DataFrame, path: str, by: str = "image_id") -> None:
     """Rows (by, i, value) as one folder a group of `by`, its lines in order of `i`."""
     lines.repartition(by).sortWithinPartitions(by, "i").select(by, "value").write.partitionBy(by).mode("overwrite").text(path)
@@ -202,11 +224,22 @@ def matrix_json(matrices: DataFrame) -> DataFrame:
 def read_matrices(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """(image_id, p, col0, row0, width, height): matrices divided by their last entry, and crops, of JSON files;
     `suffix` is what a file's name has behind the image's."""
-    schema = "P array<array<double>>, height long, width long, col_offset long, row_offset long"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(MATRIX).json(path, multiLine=True)
+    return _matrices(raw.select(image_of(suffix), *raw.columns))
+
+
+MATRIX = "P array<array<double>>, height long, width long, col_offset long, row_offset long"
+
+
+def parse_matrices(raw: DataFrame) -> DataFrame:
+    """`read_matrices` for texts (image_id, value)."""
+    return _matrices(raw.select("image_id", F.from_json("value", MATRIX).alias("v")).select("image_id", "v.*"))
+
+
+def _matrices(raw: DataFrame) -> DataFrame:
     last = F.col("P")[2][3]
     p = F.transform("P", lambda r: F.transform(r, lambda x: x / last))
-    return raw.select(image_of(suffix), p.alias("p"), F.col("col_offset").alias("col0"), F.col("row_offset").alias("row0"), "width", "height")
+    return raw.select("image_id", p.alias("p"), F.col("col_offset").alias("col0"), F.col("row_offset").alias("row0"), "width", "height")
 
 
 def params_lines(params: DataFrame) -> DataFrame:
