@@ -211,3 +211,16 @@ def test_parts_come_from_common_points_and_few_pairs(spark):
     seen = Counter((r.px, r.py) for r in inner if r.g == 0 and r.m < 40)
     assert max(seen.values()) >= 30
     assert {r.g: r.parts for r in regions.union_parts(df, "g", "m").collect()} == {0: 3, 1: 2}
+
+
+def test_points_meet_the_runs_near_them_only(spark):
+    """A row of 3000 runs and 20,000 points in it: all were compared."""
+    runs = [(1, 5, 10 * k - 700, 10 * k - 700 + k % 9) for k in range(3000)] + [(1, 6, -1000, 40_000), (2, 5, 3, 3)]
+    r = spark.createDataFrame(runs, "g int, row long, c0 long, c1 long")
+    points = [(k, 1 + k % 2, (k * 7 % 31_000) - 800 + 0.5, 5.0 + k % 3) for k in range(20_000)]
+    df = spark.createDataFrame(points, "id int, g int, col double, row double")
+    got = sorted(x.id for x in regions.masked(df, r, "g").collect())
+    held = {(g, row, c) for g, row, a, b in runs for c in range(a, b + 1)}
+    assert got == [k for k, g, c, y in points if (g, int(y), int(np.floor(c))) in held] and len(got) > 1000
+    plan = regions.masked(df, r, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__cell" in plan.split("LeftSemi")[1].splitlines()[0]
