@@ -23,6 +23,8 @@ def l2(a: Column, b: Column) -> Column:
 
 #: Keypoints of an image that a task holds as an array, and how many rows of them are compared at once.
 BLOCK, ROWS = 16_384, 512
+#: How many keypoints of a window's tile are compared at once.
+TILE = 128
 
 
 def _candidates(x: np.ndarray, y: np.ndarray, k: int, ok: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -177,19 +179,27 @@ def inside(points: DataFrame, box: DataFrame) -> DataFrame:
 def window_match(a: DataFrame, b: DataFrame, radius: float, most: float, by: tuple[str, ...] = ()) -> DataFrame:
     """For each keypoint of `a` the nearest descriptor of `b` within `radius` in space, if its
     distance is below `most`. Both (kp_id, x, y, desc). Points meet only where they agree in the columns `by`,
-    such as the pair of images that both stand for; blocks of them stand in order of x, so that rows meet
-    what their radius reaches on that axis."""
+    such as the pair of images that both stand for; blocks of them are cut into strips along x and these into tiles along y, so
+    that rows meet what their radius reaches on both axes."""
 
     def turns(p: np.ndarray, q: np.ndarray) -> Iterator[tuple]:
-        p_order, q_order = np.argsort(p[:, 0], kind="stable"), np.argsort(q[:, 0], kind="stable")
-        xs = q[q_order, 0]
-        for lo in range(0, len(p), ROWS):
-            i = p_order[lo : lo + ROWS]
-            wide = radius + 1e-9 * (radius + np.abs(p[i, 0]).max())
-            near = slice(np.searchsorted(xs, p[i, 0].min() - wide), np.searchsorted(xs, p[i, 0].max() + wide, "right"))
-            j = q_order[near]
-            if len(j):
-                yield i, j, (p[i, :1] - q[j, 0]) ** 2 + (p[i, 1:] - q[j, 1]) ** 2 <= radius * radius
+        p_order, q_order = (np.argsort(a[:, 0], kind="stable") for a in (p, q))
+
+        def reached(sorted_: np.ndarray, own: np.ndarray) -> slice:
+            wide = radius + 1e-9 * (radius + np.abs(own).max())
+            return slice(np.searchsorted(sorted_, own.min() - wide), np.searchsorted(sorted_, own.max() + wide, "right"))
+
+        strip = math.ceil(math.sqrt(len(p) / TILE)) * TILE  # as many strips as tiles in each
+        for at in range(0, len(p), strip):
+            across = p_order[at : at + strip]
+            near = q_order[reached(q[q_order, 0], p[across, 0])]
+            across, near = (i[np.argsort(a[i, 1], kind="stable")] for i, a in ((across, p), (near, q)))
+            ys = q[near, 1]
+            for lo in range(0, len(across), TILE):
+                i = across[lo : lo + TILE]
+                j = near[reached(ys, p[i, 1])]
+                if len(j):
+                    yield i, j, (p[i, :1] - q[j, 0]) ** 2 + (p[i, 1:] - q[j, 1]) ** 2 <= radius * radius
 
     keys = list(by) or ["__all"]
 

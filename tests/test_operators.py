@@ -6,6 +6,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,21 @@ def test_window_match_is_strict(spark):
     assert matching.window_match(kp, other, 30, 5).count() == 0
 
 
+def test_windows_meet_what_their_radius_reaches(spark, monkeypatch):
+    """On both axes: a strip along one of them would compare a fifth of all pairs here."""
+    seen, meet = {}, matching._meet
+    monkeypatch.setattr(matching, "_meet", lambda *a: seen.update(turns=a[5]) or meet(*a))
+    kp = spark.createDataFrame([(1, 0.0, 0.0, [0.0])], "kp_id long, x double, y double, desc array<double>")
+    assert matching.window_match(kp, kp, 5.0, 1.0).count() == 1
+    g = np.random.default_rng(4)
+    p, q = g.uniform(0, 100, (4000, 2)), g.uniform(0, 100, (3000, 2))
+    met, cells = np.zeros((4000, 3000), np.int8), 0
+    for i, j, ok in seen["turns"](p, q):
+        met[np.ix_(i, j)] += ok
+        cells += ok.size
+    assert (met == (((p[:, None] - q[None]) ** 2).sum(axis=2) <= 25)).all() and cells < 0.1 * met.size
+
+
 def test_plans_have_no_cartesian_product(spark, con):
     for name in ("covisibility", "idw", "ratio_match", "local_window_match", "date_window_pairs", "timeline_groups", "pair_qualification"):
         plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
