@@ -98,6 +98,23 @@ def test_forest_of_few_and_odd_descriptors(spark, monkeypatch):
     assert forest.forest_match(df.where("false"), pairs).count() == 0
 
 
+def test_a_query_goes_once_to_each_part_of_a_tree(spark, monkeypatch):
+    """Not once to each leaf, nor for each image that it asks."""
+    placed, real = [], forest._placed
+    monkeypatch.setattr(forest, "_placed", lambda *a: placed.append(real(*a)) or placed[-1])
+    at = {(c, k): v for c in range(4) for k, v in enumerate(np.random.default_rng(c).normal(size=(150, 8)))}
+    kp = spark.createDataFrame([(*k, v.tolist()) for k, v in at.items()], "cam_id int, kp_id int, desc array<double>")
+    pairs = spark.createDataFrame([(i, j) for i in range(4) for j in range(i + 1, 4)], "cam_i int, cam_j int")
+    rows = forest.two_nearest(kp, pairs, leaf=4).collect()
+    assert sum(d.count() for d in placed) <= 450 * forest.TREES * (1 + 4)  # stored ones stand in one part, queries in four at most
+    right = 0
+    for r in rows:
+        d = {k: round(math.dist(at[r.cam_i, r.kp_i], at[r.cam_j, k]), 9) for k in range(150)}
+        assert len(r.t) == 2 and all(abs(x.d - d[x.kp_j]) < 1e-8 for x in r.t) and r.t[0].kp_j != r.t[1].kp_j
+        right += [x.kp_j for x in r.t] == sorted(d, key=lambda k: (d[k], k))[:2]
+    assert len({(r.cam_i, r.cam_j, r.kp_i) for r in rows}) == len(rows) == 900 and right > 600
+
+
 def scene(seed, n=120, outliers=50):
     """Two perspective cameras that look at points of depth, and matches of which some are wrong."""
     g = np.random.default_rng(seed)
