@@ -59,7 +59,8 @@ def fill_runs(rings: DataFrame, by: str, first: str | None = None, last: str | N
     that are wanted; `whole`: points are moved to the nearest pixel first.
 
     An edge crosses the rows from its lower end to below its upper one, so each row of an area has an even
-    number of crossings, whatever points it goes through; they are taken two by two from left to right.
+    number of crossings, whatever points it goes through; they are taken two by two from left to right. Runs of a row
+    have no column in common: where one begins in the pixel that another ends in, it leaves that pixel out.
     """
     own = rings if not whole else rings.withColumns({"x": F.rint("x"), "y": F.rint("y")})
     bounds = [c for c in (first, last) if c]
@@ -74,8 +75,9 @@ def fill_runs(rings: DataFrame, by: str, first: str | None = None, last: str | N
     x0, y0, x1, y1 = (F.when(up, F.col(a)).otherwise(F.col(b)) for a, b in (("x", "u"), ("y", "v"), ("u", "x"), ("v", "y")))
     c = e.select(by, "row", (x0 + (F.col("row") - y0) * (x1 - x0) / (y1 - y0)).alias("c"))
     w = W.partitionBy(by, "row").orderBy("c")
-    c = c.withColumns({"k": F.row_number().over(w), "next": F.lead("c").over(w)}).where("k % 2 = 1")
-    return c.select(by, "row", F.ceil("c").alias("c0"), F.floor("next").alias("c1")).where("c0 <= c1")
+    c = c.withColumns({"k": F.row_number().over(w), "next": F.lead("c").over(w), "last": F.lag("c").over(w)}).where("k % 2 = 1")
+    begin = F.greatest(F.ceil("c"), F.floor("last") + 1)  # a null counts nothing
+    return c.select(by, "row", begin.alias("c0"), F.floor("next").alias("c1")).where("c0 <= c1")
 
 
 def masked(points: DataFrame, runs: DataFrame, by: str) -> DataFrame:

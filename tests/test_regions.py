@@ -147,6 +147,15 @@ def test_runs_hold_their_borders_and_meet_points(spark):
     assert {(r.col, r.row) for r in regions.masked(p, runs, "area").collect()} == {(2.0, 2.0), (6.9, 5.9), (3.9, 4.5)}
 
 
+def test_runs_have_no_column_in_common(spark):
+    """Parts that touch in a pixel, so that the pixels of a row are the sum of its runs."""
+    parts = [[(2, 2), (2, 6), (4, 6), (4, 2)], [(4, 2), (4, 6), (6, 6), (6, 2)], [(6, 2), (6, 6), (6.5, 6), (6.5, 2)], [(8, 2), (8, 6), (8, 7)]]
+    df = spark.createDataFrame([(1, ring, i, *map(float, p)) for ring, ps in enumerate(parts) for i, p in enumerate(ps)], "area int, ring int, i int, x double, y double")
+    runs = regions.fill_runs(df, "area").collect()
+    assert sorted((r.c0, r.c1) for r in runs if r.row == 3) == [(2, 4), (5, 6), (8, 8)]
+    assert len({(r.row, c) for r in runs for c in range(r.c0, r.c1 + 1)}) == sum(r.c1 - r.c0 + 1 for r in runs)
+
+
 @pytest.mark.parametrize("block", [1000, 3])
 def test_box_pairs_equal_all_pairs(spark, block):
     boxes = []
