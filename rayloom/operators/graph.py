@@ -44,7 +44,8 @@ def connectivity_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def best_neighbours(edges: DataFrame, k: int) -> DataFrame:
     """The `k` heaviest edges of each node; edges (a, b, n)."""
-    both = edges.select("a", "b", "n").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # edges are made once
+    both = edges.select(F.explode(ends).alias("e"), "n").select("e.a", "e.b", "n")
     return both.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(F.desc("n"), F.asc("b")))).where(F.col("place") <= k)
 
 

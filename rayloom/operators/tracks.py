@@ -5,19 +5,30 @@ One row stands for one keypoint of one camera in one track; what is missing is a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import kept as written
 from .ranges import ranked
 
 
+#: Observations of a task of the self-join on tracks, about.
+TASK = 500_000
+
+
 def covisibility(obs: DataFrame, least: int = 10, strict: bool = False) -> DataFrame:
     """(cam_i < cam_j, n): tracks that two cameras share, where there are `least` or more
-    (`strict`: more). A self-join on the track, so its size is the sum of squared track lengths."""
-    a, b = (obs.select("track_id", F.col("cam_id").alias(c)) for c in ("cam_i", "cam_j"))
+    (`strict`: more). A self-join on the track, so its size is the sum of squared track lengths. A task sorts both sides and
+    counts pairs in memory, so where tasks would have more than `TASK` observations there are more of them."""
+    own = written(obs.select("track_id", "cam_id"), "obs")
+    tasks = math.ceil(own.count() / TASK)
+    if tasks > obs.sparkSession.sparkContext.defaultParallelism:
+        own = own.repartition(tasks, "track_id")
+    a, b = (own.select("track_id", F.col("cam_id").alias(c)) for c in ("cam_i", "cam_j"))
     n = a.join(b, "track_id").where("cam_i < cam_j").groupBy("cam_i", "cam_j").agg(F.count("*").alias("n"))
     return n.where(F.col("n") > least if strict else F.col("n") >= least)
 

@@ -126,6 +126,23 @@ def test_selected_tracks_span_the_cameras(spark):
     assert {t for k, t in got if k == 0} == {5, 0} and {t for k, t in got if k == 1} == {1, 2, 3}
 
 
+def test_shared_tracks_are_counted_by_more_tasks_where_there_are_more(spark, monkeypatch):
+    monkeypatch.setattr(tracks, "TASK", 100)
+    seen = sorted({(rnd.randrange(300), rnd.randrange(40)) for _ in range(1500)})
+    covis = tracks.covisibility(spark.createDataFrame(seen, "track_id int, cam_id int"), 1)
+    assert "hashpartitioning(track_id#" in (plan := covis._jdf.queryExecution().toString()) and f", {math.ceil(len(seen) / 100)}), REPARTITION_BY_NUM" in plan
+    want = {}
+    for t, i in seen:
+        for u, j in seen:
+            if t == u and i < j:
+                want[i, j] = want.get((i, j), 0) + 1
+    assert {(r.cam_i, r.cam_j): r.n for r in covis.collect()} == want
+    best = graph.best_neighbours(covis.select(F.col("cam_i").alias("a"), F.col("cam_j").alias("b"), "n"), 2)
+    assert best._jdf.queryExecution().sparkPlan().toString().count("Join") == 1  # edges are made once
+    of = lambda c: sorted((-n, i + j - c) for (i, j), n in want.items() if c in (i, j))[:2]
+    assert {(r.a, r.b, r.n, r.place) for r in best.collect()} == {(c, b, -n, place) for c in range(40) for place, (n, b) in enumerate(of(c), 1)}
+
+
 def test_window_match_is_strict(spark):
     kp = spark.createDataFrame([(1, 0.0, 0.0, [0.0, 0.0]), (2, 100.0, 0.0, [5.0, 5.0])], "kp_id long, x double, y double, desc array<double>")
     other = spark.createDataFrame([(7, 29.9, 0.0, [3.0, 4.0]), (8, 30.1, 0.0, [0.0, 0.0])], "kp_id long, x double, y double, desc array<double>")
