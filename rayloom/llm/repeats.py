@@ -18,9 +18,10 @@ first cut into small collections that together hold every possible match:
    Burrows-Wheeler transform, its rank there is the place of the new suffix, and the common
    prefixes with the new neighbours follow from the weight of the symbol and the range minimum
    of the old common prefixes. Documents with one text stand for each other, and only one of them
-   goes in. Transform, common prefixes and suffix numbers are files that each
-   round reads and writes from front to back. A window repeats if the common prefix of its
-   suffix with a neighbour reaches `WINDOW` bytes.
+   goes in. Transform, common prefixes and suffix numbers are columns that each round goes
+   through from front to back; a collection has fewer than `BATCH` + `HOT` documents of less than
+   2 `BLOCK` symbols, so its columns stand in memory. A window repeats if the common prefix of
+   its suffix with a neighbour reaches `WINDOW` bytes.
 4. The repeated windows of a context hold at all its occurrences; each text's ranges are joined
    and cut out of it.
 
@@ -43,10 +44,9 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -172,8 +172,9 @@ def halved(b: DataFrame) -> DataFrame:
 class Columnwise:
     """Transform, common prefixes and suffix numbers of a collection of short documents."""
 
-    def __init__(self, docs: list[tuple[bytes, int, int, bytes]], folder: str):
-        """docs: left bytes, number of the core, its weight, right bytes."""
+    def __init__(self, docs: list[tuple[bytes, int, int, bytes]], folder: str | None = None):
+        """docs: left bytes, number of the core, its weight, right bytes. folder: where the columns
+        stand between rounds; without one they stay in memory."""
         self.folder, self.n = folder, len(docs)
         sizes = np.array([len(a) + 1 + len(b) for a, _, _, b in docs], np.int64)
         raw = np.frombuffer(b"".join(x for a, _, _, b in docs for x in (a, b"\0", b)), np.uint8)
@@ -190,13 +191,17 @@ class Columnwise:
             place[live] = self.insert(place[live], symbols[ends[live] - 1 - j], weights, live, j + 1)
 
     def write(self, **arrays: np.ndarray) -> None:
+        if self.folder is None:
+            self.held = arrays
+            return
         self.kinds = {k: v.dtype for k, v in arrays.items()}
         for k, v in arrays.items():
-            v.tofile(f"{self.folder}/{k}.next")
-            os.replace(f"{self.folder}/{k}.next", f"{self.folder}/{k}")
+            # a new file each time: some file systems wait for the disk where one takes another's place
+            Path(self.folder, k).unlink(missing_ok=True)
+            v.tofile(f"{self.folder}/{k}")
 
     def read(self, name: str) -> np.ndarray:
-        return np.fromfile(f"{self.folder}/{name}", self.kinds[name])
+        return self.held[name] if self.folder is None else np.fromfile(f"{self.folder}/{name}", self.kinds[name])
 
     def insert(self, place: np.ndarray, symbol: np.ndarray, weights: np.ndarray, live: np.ndarray, size: int) -> np.ndarray:
         """Put a symbol in front of each live document's latest suffix; the new suffixes' places."""
@@ -209,17 +214,17 @@ class Columnwise:
         ended = np.count_nonzero(bwt == 0)
         before, after = order[np.maximum(at - 1, 0)], order[np.minimum(at + 1, len(order) - 1)]
         has_before, has_after = (at > 0) & (bwt[before] == symbol), (at + 1 < len(order)) & (bwt[after] == symbol)
-        least = _range_minima(lcp)
-        up = np.where(has_before, weights[symbol] + least(np.where(has_before, before + 1, place), place), 0)
-        down = np.where(has_after, weights[symbol] + least(np.where(has_after, place + 1, place), np.where(has_after, after, place)), 0)
+        least = _range_minima(lcp, np.r_[np.where(has_before, before + 1, place), np.where(has_after, place + 1, place)], np.r_[place, np.where(has_after, after, place)])
+        up = np.where(has_before, weights[symbol] + least[: len(place)], 0)
+        down = np.where(has_after, weights[symbol] + least[len(place) :], 0)
         new = self.n + at - ended
         total = len(bwt) + len(new)
         old = np.ones(total, bool)
         old[new] = False
+        source = np.cumsum(old) - 1
 
         def merged(x: np.ndarray, values) -> np.ndarray:
-            out = np.empty(total, x.dtype)
-            out[old] = x
+            out = x.take(source, mode="clip")
             out[new] = values
             return out
 
@@ -236,21 +241,18 @@ class Columnwise:
         return self.read("doc")[hit], self.read("size")[hit]
 
 
-def _range_minima(x: np.ndarray):
-    table = [x]
-    while 2 << (len(table) - 1) <= len(x):
-        half = 1 << (len(table) - 1)
-        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
-
-    def least(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        out = np.empty(len(lo), np.int64)
-        level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            i = level == k
-            out[i] = np.minimum(table[k][lo[i]], table[k][hi[i] - (1 << int(k)) + 1])
-        return out
-
-    return least
+def _range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of x[lo], ..., x[hi] for each pair of places."""
+    level = (np.frexp((hi - lo + 1).astype(np.float64))[1] - 1).astype(np.uint8)
+    order = np.argsort(level, kind="stable")
+    out, at = np.empty(len(lo), np.int64), 0
+    for k, n in enumerate(np.bincount(level).tolist()):
+        if k:
+            x = np.minimum(x[: -(1 << (k - 1))], x[1 << (k - 1) :])  # of 2^k places in a row
+        i = order[at : at + n]
+        out[i] = np.minimum(x[lo[i]], x[hi[i] - (1 << k) + 1])
+        at += n
+    return out
 
 
 def construct(groups: DataFrame, window: int, batch: int = BATCH) -> DataFrame:
@@ -260,8 +262,7 @@ def construct(groups: DataFrame, window: int, batch: int = BATCH) -> DataFrame:
     def solve(held: list[list[tuple]]) -> list[tuple]:
         docs = [(r[5], k, window - r[3] + 1, r[6]) for k, g in enumerate(held) for r in g]
         flat = list(chain.from_iterable(held))
-        with tempfile.TemporaryDirectory() as folder:
-            doc, size = Columnwise(docs, folder).repeated(window)
+        doc, size = Columnwise(docs).repeated(window)
         left, right = (np.array([len(r[i]) for r in flat]) for i in (5, 6))
         start = left[doc] + 1 + right[doc] - size  # symbols before the suffix
         ok = (start >= 0) & (start <= left[doc])

@@ -124,6 +124,48 @@ def test_columnwise(tmp_path):
         assert lcp == weight(y[:n])
 
 
+def test_columnwise_without_files(tmp_path):
+    """In memory the columns are those of the files, and the files are written anew, not over each other."""
+    docs = [(bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 9))), rnd.randrange(5), 20, bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(0, 9)))) for _ in range(300)]
+    held, filed = repeats.Columnwise(docs), repeats.Columnwise(docs, str(tmp_path))
+    for name in ("bwt", "lcp", "doc", "size"):
+        assert held.read(name).tolist() == filed.read(name).tolist()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bwt", "doc", "lcp", "size"]
+    assert all(x.tolist() == y.tolist() for x, y in zip(held.repeated(22), filed.repeated(22), strict=True))
+
+
+def test_construction_leaves_the_disk_alone(monkeypatch):
+    """A collection's rounds wrote and replaced four files each, and waited for the disk."""
+    import tempfile
+
+    import pyarrow as pa
+
+    class Rows:
+        """Stands for a table: the function that its tasks would run."""
+
+        select = repartition = sortWithinPartitions = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    def no_files(*_, **__):
+        raise AssertionError("a file")
+
+    monkeypatch.setattr(tempfile, "TemporaryDirectory", no_files)
+    core = b"k" * 16
+    # windows of 8 bytes of one core of 5: the left or right bytes of two blocks agree in part
+    blocks = [(1, b"c1", 10, 4, core, b"xyz", b"abc"), (1, b"c2", 20, 4, core, b"qyz", b"abd"), (1, b"c3", 30, 4, core, b"mno", b"pqr")]
+    names = ["anchor", "ctx", "at", "size", "key", "left", "right"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*blocks, strict=True)], names=names)
+    out = [r for b in repeats.construct(Rows(), 8)(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["ctx"], r["lo"], r["hi"]) for r in out) == [(b"c1", 11, 13), (b"c2", 21, 23)]
+
+
+def test_range_minima():
+    x = np.array([rnd.randrange(1000) for _ in range(200)], np.uint16)
+    lo = np.array([rnd.randrange(200) for _ in range(500)])
+    hi = np.array([rnd.randrange(a, 200) for a in lo.tolist()])
+    assert repeats._range_minima(x, lo, hi).tolist() == [int(x[a : b + 1].min()) for a, b in zip(lo, hi, strict=True)]
+
+
 def test_embeddings(spark):
     g = np.random.default_rng(3)
     base = g.normal(size=(60, 32))
