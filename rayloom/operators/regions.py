@@ -82,13 +82,14 @@ def fill_runs(rings: DataFrame, by: str, first: str | None = None, last: str | N
 
 def masked(points: DataFrame, runs: DataFrame, by: str) -> DataFrame:
     """Points (by, col, row) whose pixel stands in a run of their group; each once. Runs meet the points of the `SPAN`s of
-    columns that they reach into, so that a row of many runs costs a point no more than a short one."""
+    columns that they reach into, so that a row of many runs costs a point no more than a short one. How many runs a small table of
+    rings makes is not seen in its size, so they are never broadcast: both sides are sorted."""
     cells = F.explode(F.sequence(F.floor(F.col("c0") / SPAN), F.floor(F.col("c1") / SPAN))).alias("__cell")
     r = runs.select(F.col(by).alias("__by"), F.col("row").alias("__row"), "c0", "c1", cells)
     r = r.select("__by", "__row", "__cell", F.greatest("c0", F.col("__cell") * SPAN).alias("c0"), F.least("c1", F.col("__cell") * SPAN + SPAN - 1).alias("c1")).distinct()
     column = F.floor("col")
     at = (F.col(by) == F.col("__by")) & (F.floor("row") == F.col("__row")) & (F.floor(column / SPAN) == F.col("__cell")) & column.between(F.col("c0"), F.col("c1"))
-    return points.join(r, at, "left_semi")
+    return points.join(r.hint("merge"), at, "left_semi")
 
 
 def area_rings(area: DataFrame, crops: DataFrame, models: DataFrame) -> DataFrame:

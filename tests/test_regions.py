@@ -233,3 +233,12 @@ def test_points_meet_the_runs_near_them_only(spark):
     assert got == [k for k, g, c, y in points if (g, int(y), int(np.floor(c))) in held] and len(got) > 1000
     plan = regions.masked(df, r, "g")._jdf.queryExecution().optimizedPlan().toString()
     assert "__cell" in plan.split("LeftSemi")[1].splitlines()[0]
+
+
+def test_runs_are_not_broadcast(spark):
+    """A small table of rings makes many runs: by its size they were sent to every task through the driver."""
+    rings = spark.createDataFrame([(1, 0, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (9000.0, 0.0), (9000.0, 900.0), (0.0, 900.0)])], "g int, ring int, i int, x double, y double")
+    points = spark.createDataFrame([(1, 5.5, 7.5), (1, 9500.0, 7.5), (2, 5.5, 7.5)], "g int, col double, row double")
+    df = regions.masked(points, regions.fill_runs(rings, "g"), "g")
+    assert [tuple(r) for r in df.collect()] == [(1, 5.5, 7.5)]
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
