@@ -9,19 +9,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .ranges import running
 
+#: Cameras of a block: two of them make a tile of pairs.
+TILE = 256
+
 
 def spread(cameras: DataFrame, key: str) -> DataFrame:
     """A camera table is one small file, but each of its rows stands for many pairs: dealt to all cores."""
     return cameras.repartition(4 * cameras.sparkSession.sparkContext.defaultParallelism, key)
 
 
+def _blocks(cameras: DataFrame, *carried: str) -> tuple[DataFrame, int]:
+    """(block, cam_id, carried) and the number of blocks: `TILE` cameras or less in order of cam_id, inside a block in order of the
+    `carried` columns. Written, so that cameras of one id stand in the same blocks wherever these are read."""
+    own = cameras.select("cam_id", *carried).where("cam_id IS NOT NULL").withColumn("__one", F.lit(1).cast("long"))
+    own = running(own, ["cam_id"], "__one", "__at")
+    n = own.count()
+    size = max(1, min(TILE, -(-n // 64)))
+    own = own.select(F.floor(F.col("__at") / size).alias("block"), "cam_id", *carried)
+    return kept(own.repartition("block").sortWithinPartitions("block", *carried, "cam_id"), "cameras"), -(-n // size)
+
+
+def _paired(tiles: DataFrame, tasks: int, blocks: DataFrame, *carried: str) -> DataFrame:
+    """The pairs of the cameras of two blocks (k, l), which are in `tasks` partitions. Blocks come by broadcast, a row a camera in
+    all. Between the joins nothing is fused, else Spark holds the pairs of a whole tile before it hands out the first."""
+    i, j = (F.broadcast(blocks.select(F.col("block").alias(c), F.col("cam_id").alias(f"cam_{s}"), *[F.col(x).alias(f"{x}_{s}") for x in carried])) for c, s in ("ki", "lj"))
+    p = tiles.join(i, "k").drop("k")
+    return p.coalesce(tasks).join(j, "l").where("cam_i < cam_j").drop("l")
+
+
 def all_pairs(cameras: DataFrame, *carried: str) -> DataFrame:
-    """(cam_i < cam_j) of a camera table, with the `carried` columns c of both as c_i and c_j. Pairs of images are what
-    is asked for, so they are quadratic; each task has some rows for cam_i and, broadcast, a row a camera for cam_j."""
-    a, b = (cameras.select(F.col("cam_id").alias(f"cam_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in carried]) for s in "ij")
-    return spread(a, "cam_i").join(F.broadcast(b), F.col("cam_i") < F.col("cam_j"))
+    """(cam_i < cam_j) of a camera table, with the `carried` columns c of both as c_i and c_j, of kinds that have an order. Pairs of images are
+    what is asked for, so they are quadratic. They come by tiles of two blocks of cameras: neighbouring rows have one cam_i, and
+    the cam_j of the rows one block before, so a file of pairs takes a fraction of a byte a pair."""
+    blocks, n = _blocks(cameras, *carried)
+    spark, count = cameras.sparkSession, n * (n + 1) // 2
+    # at most 480 tiles a task: its ids fit a file's dictionary of 1 MB
+    tasks = max(1, min(count, max(4 * spark.sparkContext.defaultParallelism, -(-count // 480))))
+    t = spark.range(0, count, 1, tasks)
+    # the tile id = l (l + 1) / 2 + k; a root that is off by one is put right
+    t = t.withColumn("l", F.floor((F.sqrt(8.0 * F.col("id") + 1.0) - 1.0) / 2.0))
+    t = t.withColumn("l", F.expr("l + CASE WHEN l * (l + 1) > 2 * id THEN -1 WHEN (l + 1) * (l + 2) <= 2 * id THEN 1 ELSE 0 END"))
+    return _paired(t.select(F.expr("id - l * (l + 1) div 2").alias("k"), "l"), tasks, blocks, *carried)
 
 
 def date_window_pairs(cameras: DataFrame, ahead: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ import glob
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -245,3 +246,22 @@ def test_pairs_are_made_by_all_tasks(spark):
     q = pairs.qualify_pairs(pairs.all_pairs(cams, "v").select("cam_i", "cam_j", (F.col("v_j") / 2000).alias("overlap"), F.col("v_i").cast("double").alias("baseline")))
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_pairs_come_by_tiles(spark, monkeypatch):
+    """Rows of pairs near each other have few cameras, else a file of them takes some bytes a pair: each row of cameras ran through all others."""
+    monkeypatch.setattr(pairs, "TILE", 8, raising=False)
+    got = pairs.all_pairs(spark.range(600).select((F.col("id") * 7919).alias("cam_id"))).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.cam_i // 7919, r.cam_j // 7919) for r in got) == [(i, j) for i in range(600) for j in range(i + 1, 600)]
+    runs = [got[k : k + 64] for k in range(0, len(got) - 64, 64)]
+    few = [len({r.cam_j for r in run}) <= 24 and len({r.cam_i for r in run}) <= 24 for run in runs if len({r.task for r in run}) == 1]
+    assert len(few) > 1000 and all(few)
+
+
+def test_pairs_of_repeated_and_missing_cameras(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 4, raising=False)
+    rows = [(f"c{k // 5:02d}", None if k % 7 == 0 else k) for k in range(60)] + [(None, 1)]
+    got = pairs.all_pairs(spark.createDataFrame(rows, "cam_id string, v long"), "v").collect()
+    every = [(a, v, b, w) for a, v in rows for b, w in rows if a and b and a < b]
+    assert Counter(tuple(r) for r in got) == Counter(every) and got[0].asDict().keys() == {"cam_i", "v_i", "cam_j", "v_j"}
+    assert pairs.all_pairs(spark.createDataFrame([], "cam_id long")).count() == 0
