@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
@@ -67,19 +67,49 @@ def date_window_pairs(cameras: DataFrame, ahead: int = 1) -> DataFrame:
     return p.select("cam_i", "cam_j", "di", "dj")
 
 
+def _met(pairs: DataFrame, least_overlap: float, least_baseline: float, orbit: float) -> DataFrame:
+    """Pairs with enough overlap, and whether they have enough baseline to triangulate (`good`)."""
+    return pairs.where(F.col("overlap") > least_overlap).withColumn("good", F.col("baseline") / orbit > least_baseline)
+
+
+def _poor(ends: DataFrame) -> DataFrame:
+    """The cameras (cam_id) of `ends` (cam_id, good) without a good pair."""
+    return ends.groupBy("cam_id").agg(F.max("good").alias("any")).where("not any").select("cam_id")
+
+
 def qualify_pairs(pairs: DataFrame, least_overlap: float = 0.1, least_baseline: float = 0.25, orbit: float = 500_000.0) -> DataFrame:
     """Pairs (cam_i, cam_j, overlap, baseline) to match, with `triangulate`: overlap strictly above
     its least share; baseline over orbit height strictly above its own; a camera that would have
     no pair to triangulate keeps all its pairs."""
-    m = pairs.where(F.col("overlap") > least_overlap).withColumn("good", F.col("baseline") / orbit > least_baseline)
-    ends = m.select(F.explode(F.array("cam_i", "cam_j")).alias("cam_id"), "good")
-    poor = ends.groupBy("cam_id").agg(F.max("good").alias("any")).where("not any").select("cam_id")
+    m = _met(pairs, least_overlap, least_baseline, orbit)
+    poor = _poor(m.select(F.explode(F.array("cam_i", "cam_j")).alias("cam_id"), "good"))
     # a row a camera, so that pairs are not shuffled
     i, j = (F.broadcast(poor.select(F.col("cam_id").alias(c), F.lit(True).alias(f"poor_{c[-1]}"))) for c in ("cam_i", "cam_j"))
     r = m.join(i, "cam_i", "left").join(j, "cam_j", "left")
     return r.select("cam_i", "cam_j", "overlap", "baseline", (F.col("good") | F.coalesce("poor_i", F.lit(False)) | F.coalesce("poor_j", F.lit(False))).alias("triangulate"))
 
 
+def qualify_all(cameras: DataFrame, overlap: Column, baseline: Column, *carried: str, least_overlap: float = 0.1, least_baseline: float = 0.25, orbit: float = 500_000.0) -> DataFrame:
+    """`qualify_pairs` of all pairs of cameras (cam_id, carried), whose `overlap` and `baseline` are made of the `carried` columns c as
+    c_i and c_j. All pairs are gone through once: most cameras have a good pair in their own block already, and those that have none there
+    are compared with all others alone. Whether a camera is poor is then one of its columns."""
+    own = kept(cameras.select("cam_id", *carried).where("cam_id IS NOT NULL"), "cameras")
+    met = lambda p: _met(p.withColumns({"overlap": overlap, "baseline": baseline}), least_overlap, least_baseline, orbit)
+    blocks, n = _blocks(own, *carried)
+    spark = cameras.sparkSession
+    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+    near = met(_paired(spark.range(0, n, 1, tasks).select(F.col("id").alias("k"), F.col("id").alias("l")), tasks, blocks, *carried))
+    sound = near.where("good").select(F.explode(F.array("cam_i", "cam_j")).alias("cam_id")).distinct()
+    a = spread(own.join(F.broadcast(sound), "cam_id", "left_anti"), "cam_id").select(*[F.col(c).alias(f"__a_{c}") for c in ("cam_id", *carried)])
+    b = F.broadcast(own.select(*[F.col(c).alias(f"__b_{c}") for c in ("cam_id", *carried)]))
+    first = F.col("__a_cam_id") < F.col("__b_cam_id")
+    ends = [F.when(first == (s == "i"), F.col(f"__a_{c}")).otherwise(F.col(f"__b_{c}")).alias(f"{c}_{s}") for s in "ij" for c in carried]
+    rest = a.join(b, F.col("__a_cam_id") != F.col("__b_cam_id")).select(F.col("__a_cam_id").alias("cam_id"), *ends)
+    poor = _poor(met(rest).select("cam_id", "good")).withColumn("__poor", F.lit(True))
+    own = own.join(F.broadcast(poor), "cam_id", "left").withColumn("__poor", F.coalesce("__poor", F.lit(False)))
+    return met(all_pairs(own, *carried, "__poor")).select("cam_i", "cam_j", "overlap", "baseline", (F.col("good") | F.col("__poor_i") | F.col("__poor_j")).alias("triangulate"))
+
+
 def nearest_dates(dates: DataFrame, n: int = 1) -> DataFrame:
     """For each date index the `n` nearest earlier adjusted ones; dates (date_idx, adjusted).
 

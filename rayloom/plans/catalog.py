@@ -230,8 +230,8 @@ m AS (SELECT *, baseline / 500000.0 > 0.25 good FROM p WHERE overlap > 0.1), e A
 SELECT cam_i, cam_j, good OR cam_i IN (SELECT c FROM poor) OR cam_j IN (SELECT c FROM poor) triangulate FROM m""")
 def pair_qualification(spark, d):
     c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cam_id"), F.col("s_acctbal").alias("v"))
-    p = pairs.all_pairs(c, "v").select("cam_i", "cam_j", (F.abs(F.col("v_i") - F.col("v_j")) / 10000).alias("overlap"), (F.abs(F.col("v_i") + F.col("v_j")) * 20).alias("baseline"))
-    return pairs.qualify_pairs(p).select("cam_i", "cam_j", "triangulate")
+    overlap, baseline = F.abs(F.col("v_i") - F.col("v_j")) / 10000, F.abs(F.col("v_i") + F.col("v_j")) * 20
+    return pairs.qualify_all(c, overlap, baseline, "v").select("cam_i", "cam_j", "triangulate")
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) date_idx FROM orders), a AS (SELECT *, date_idx % 3 = 0 adjusted FROM d),

@@ -265,3 +265,26 @@ def test_pairs_of_repeated_and_missing_cameras(spark, monkeypatch):
     every = [(a, v, b, w) for a, v in rows for b, w in rows if a and b and a < b]
     assert Counter(tuple(r) for r in got) == Counter(every) and got[0].asDict().keys() == {"cam_i", "v_i", "cam_j", "v_j"}
     assert pairs.all_pairs(spark.createDataFrame([], "cam_id long")).count() == 0
+
+
+def test_pairs_are_qualified_in_one_pass(spark, monkeypatch):
+    """Equal to `qualify_pairs` of all pairs, of which only those inside a block and those of cameras without a good one there are
+    counted: poor cameras, cameras with a good pair far away, without a value, and of one name."""
+    monkeypatch.setattr(pairs, "TILE", 8)
+    r = random.Random(8)
+    rows = [(k, None if k % 41 == 0 else r.choice([r.uniform(0, 5), 20 + r.uniform(0, 1)] + [-30.0] * (k % 5 == 0) if k < 150 else [60.0])) for k in range(200)] + [(7, 3.0), (None, 1.0), (300, 500.0), (301, float("nan"))]
+    cams = spark.createDataFrame(rows, "cam_id long, v double")
+    overlap, baseline = F.abs(F.col("v_i") - F.col("v_j")), F.when(F.col("v_j") < 400, F.abs(F.col("v_i") + F.col("v_j")))
+    some = dict(least_overlap=2.5, least_baseline=0.5, orbit=100.0)
+    every = pairs.qualify_pairs(pairs.all_pairs(cams, "v").withColumns({"overlap": overlap, "baseline": baseline}).select("cam_i", "cam_j", "overlap", "baseline"), **some)
+    got = pairs.qualify_all(cams, overlap, baseline, "v", **some)
+    assert Counter(map(str, got.collect())) == Counter(map(str, every.collect()))
+    kinds = got.select("triangulate", (F.col("baseline") / 100.0 > 0.5).alias("good")).distinct().collect()
+    assert {(True, True), (False, False), (True, False), (None, None)} <= {tuple(x) for x in kinds}
+
+
+def test_all_pairs_are_qualified_without_counting_them(spark, tmp_path):
+    """The ends of all pairs were counted, and all pairs made twice."""
+    spark.createDataFrame([(i, i * 37 % 997 * 10.0) for i in range(400)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    plan = catalog.QUERIES["pair_qualification"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
