@@ -111,16 +111,16 @@ def inside_area(keypoints: DataFrame, area: DataFrame, crops: DataFrame, models:
 # ---- pairs of boxes ----
 
 
-def box_pairs(boxes: DataFrame, by: list[str], member: str, block: int = BLOCK) -> DataFrame:
-    """(by, a, b): the pairs of members a < b of a group whose boxes (by, member, x0, x1, y0, y1) meet,
-    borders included. Boxes without a number meet nothing."""
+def _cells(boxes: DataFrame, by: list[str], member: str, block: int) -> tuple[DataFrame, DataFrame, list[str], DataFrame] | None:
+    """Boxes at home in the blocks of their cells and as visitors of all blocks there (m, lev, x0, x1, y0, y1, side), the key of a
+    block, and the cells with their `blocks`; none where no box has a number."""
     size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     own = boxes.select(*by, F.col(member).alias("m"), *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")])
     own = own.where(F.coalesce((F.abs(size) < float("inf")) & (size >= 0), F.lit(False)))
     own = kept(own.withColumn("lev", F.ceil(F.log2(F.greatest(size, F.lit(2.0**-60)))).cast("int")), "boxes")
     levels = sorted(r.lev for r in own.select("lev").distinct().collect())  # of a double's exponents
     if not levels:
-        return own.select(*by, F.col("m").alias("a"), F.col("m").alias("b"))
+        return None
     at = own.withColumn("l", F.explode(F.array(*[F.lit(x) for x in levels]))).where("l >= lev").withColumn("side", F.pow(F.lit(2.0), F.col("l")))
     span = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}0") / F.col("side")), F.floor(F.col(f"{c}1") / F.col("side"))))
     at = at.withColumn("cx", span("x")).withColumn("cy", span("y"))
@@ -128,8 +128,18 @@ def box_pairs(boxes: DataFrame, by: list[str], member: str, block: int = BLOCK)
     homes = at.where("l = lev").groupBy(*cell).agg(F.ceil(F.count("*") / block).alias("blocks"))
     home = at.where("l = lev").join(homes, cell).withColumn("k", F.pmod(F.xxhash64("m"), "blocks"))
     seen = at.join(homes, cell).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    side = lambda d, s: d.select(*cell, "k", *[F.col(c).alias(f"{c}{s}") for c in ("m", "lev", "x0", "x1", "y0", "y1", "side")])
-    p = side(home, "h").join(side(seen, "s"), [*cell, "k"])
+    return home.drop("blocks"), seen.drop("blocks"), [*cell, "k"], homes
+
+
+def box_pairs(boxes: DataFrame, by: list[str], member: str, block: int = BLOCK) -> DataFrame:
+    """(by, a, b): the pairs of members a < b of a group whose boxes (by, member, x0, x1, y0, y1) meet,
+    borders included. Boxes without a number meet nothing."""
+    found = _cells(boxes, by, member, block)
+    if not found:
+        return boxes.select(*by, F.col(member).alias("a"), F.col(member).alias("b")).where("false")
+    home, seen, cell, _ = found
+    side = lambda d, s: d.select(*cell, *[F.col(c).alias(f"{c}{s}") for c in ("m", "lev", "x0", "x1", "y0", "y1", "side")])
+    p = side(home, "h").join(side(seen, "s"), cell)
     p = p.where("x0h <= x1s and x0s <= x1h and y0h <= y1s and y0s <= y1h and mh <> ms").where("levs < levh or mh < ms")
     owner = (F.floor(F.greatest("x0h", "x0s") / F.col("sideh")) == F.col("cx")) & (F.floor(F.greatest("y0h", "y0s") / F.col("sideh")) == F.col("cy"))
     return p.where(owner).select(*by, F.least("mh", "ms").alias("a"), F.greatest("mh", "ms").alias("b"))
@@ -515,7 +525,126 @@ def pair_areas(rings: DataFrame, by: str, member: str, border: bool = True) -> D
     cover and the length of border that they have in common (null where it is not asked for)."""
     r = kept(edges(rings, [by, member, "ring"]), "edges")
     box = r.groupBy(by, member).agg(F.min(F.least("x", "u")).alias("x0"), F.max(F.greatest("x", "u")).alias("x1"), F.min(F.least("y", "v")).alias("y0"), F.max(F.greatest("y", "v")).alias("y1"))
-    return _pair_areas(box_pairs(box, [by], member), r, by, member, border)
+    return _pair_areas(box_pairs(box, [by], member), r, by, member, border) if border else _cell_areas(box, r, by, member)
+
+
+def _cell_areas(box: DataFrame, r: DataFrame, by: str, member: str) -> DataFrame:
+    """`pair_areas` without borders. Polygons, not pairs of them, are sent to the cells in which they meet: a task holds
+    the polygons at home in one block of a cell, and those that visit it stream past."""
+    kind = {c: r.schema[c].dataType.simpleString() for c in (by, member)}
+    schema = f"{by} {kind[by]}, a {kind[member]}, b {kind[member]}, shared double, border double"
+    found = _cells(box.where(F.col(member).isNotNull()), [by], member, BLOCK)
+    if not found:
+        return r.sparkSession.createDataFrame([], schema)
+    home, seen, cell, homes = found
+    # what is below upright edges is nothing, so axes need no turn here
+    own = r.select(by, member, F.struct("x", "y", "u", "v").alias("s")).groupBy(by, member).agg(F.collect_list("s").alias("e"))
+    own = kept(_oriented(own, [by, member]).withColumnRenamed(member, "m"), "edges")
+    rows = home.withColumn("__seen", F.lit(False)).unionByName(seen.withColumn("__seen", F.lit(True))).join(own, [by, "m"])
+    blocks = homes.agg(F.sum("blocks")).first()[0]
+    # a number of its own: by their bytes, which stand for the square of them in pairs, few tasks would do
+    rows = rows.repartition(max(1, min(blocks, 2000)), *cell).sortWithinPartitions(*cell, "__seen")
+    cols = ("m", "lev", "x0", "x1", "y0", "y1", "side", "cx", "cy", "__seen", "e")
+
+    def run(parts):
+        key, at_home, one = None, [], None
+        for batch in parts:
+            k, flag = batch.column("__key").to_numpy(), batch.column("__seen").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (flag[1:] != flag[:-1])]) if len(k) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(k)], strict=True):
+                if k[lo] != key:
+                    key, at_home, one = k[lo], [], None
+                if not flag[lo]:
+                    at_home.append(batch.slice(lo, hi - lo))
+                elif at_home:
+                    one = one or _Polygons(pa.Table.from_batches(at_home))
+                    step = max(1, 1_000_000 // len(one.m))
+                    for i in range(lo, hi, step):
+                        yield from _met(one, _Polygons(pa.Table.from_batches([batch.slice(i, min(step, hi - i))])), batch.column(by)[lo], by)
+
+    return rows.select(by, F.xxhash64(*cell).alias("__key"), *cols).mapInArrow(run, schema)
+
+
+class _Polygons:
+    """Polygons of one cell, their edges in arrays by how many they have, from the cell's corner."""
+
+    def __init__(self, t: pa.Table):
+        t = t.combine_chunks()
+        col = lambda c: t.column(c).to_numpy()
+        self.m, self.lev = t.column("m").combine_chunks(), col("lev")
+        self.side, self.cx, self.cy = (col(c)[0] for c in ("side", "cx", "cy"))
+        self.box = np.stack([col(c) for c in ("x0", "x1", "y0", "y1")])
+        e = t.column("e").combine_chunks()
+        flat = e.flatten()
+        ox, oy = self.cx * self.side, self.cy * self.side
+        x, y, u, v, d = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        parts = np.stack([x - ox, u - ox, y - oy, (v - y) / (u - x), d])
+        n = pc.fill_null(pc.list_value_length(e), 0).to_numpy()
+        first = np.cumsum(n) - n
+        # as many as they have, from 16 on the next power of two; the rest are edges without a width
+        self.size = np.where(n <= 16, n, 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(int))
+        self.place, self.edges = np.zeros(len(n), int), {}
+        for c in np.unique(self.size[n > 0]).tolist():
+            own = np.flatnonzero((self.size == c) & (n > 0))
+            self.place[own] = np.arange(len(own))
+            k = np.arange(c)
+            real = k < n[own][:, None]
+            self.edges[c] = np.where(real, parts[:, np.where(real, first[own][:, None] + k, 0)], 0.0)
+
+
+def _met(a: _Polygons, b: _Polygons, g: pa.Scalar, by: str):
+    """Batches of `_cell_areas`: the polygons `a` at home with the visitors `b`."""
+    (ax0, ax1, ay0, ay1), (bx0, bx1, by0, by1) = a.box[:, :, None], b.box
+    i, j = np.nonzero((ax0 <= bx1) & (bx0 <= ax1) & (ay0 <= by1) & (by0 <= ay1))
+    at = lambda k, c: np.floor(np.maximum(a.box[k][i], b.box[k][j]) / a.side) == c
+    ok = at(0, a.cx) & at(2, a.cy)
+    i, j = i[ok], j[ok]
+    p, q = a.m.take(pa.array(i)), b.m.take(pa.array(j))
+    less, lower = pc.less(p, q), b.lev[j] < a.lev[i]
+    ok = less.to_numpy(zero_copy_only=False) | (lower & pc.not_equal(p, q).to_numpy(zero_copy_only=False))
+    keep = pa.array(ok)
+    i, j, p, q, less = i[ok], j[ok], p.filter(keep), q.filter(keep), less.filter(keep)
+    area = areas_in_common(a, b, i, j)
+    for lo in range(0, len(i), 100_000):
+        n = slice(lo, min(lo + 100_000, len(i)))
+        c = [x[n] for x in (p, q, less)]
+        size = len(c[0])
+        yield pa.RecordBatch.from_arrays([pa.repeat(g, size), pc.if_else(c[2], c[0], c[1]), pc.if_else(c[2], c[1], c[0]), pa.array(area[n]), pa.nulls(size, pa.float64())], names=[by, "a", "b", "shared", "border"])
+
+
+def areas_in_common(a: _Polygons, b: _Polygons, i: np.ndarray, j: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """The areas that polygons a[i] and b[j] of a cell both cover: the sum, over pairs of edges, of what is below both, with
+    their signs. Of two edges f and g, that is the integral of g and of f - g where f is lower."""
+    out = np.zeros(len(i))
+    for c, ea in a.edges.items():
+        for d, eb in b.edges.items():
+            own = np.flatnonzero((a.size[i] == c) & (b.size[j] == d))
+            n, m = max(1, block // (c * d)), max(1, block // d)  # pairs at once, and edges of a where these are too many
+            steps = np.arange(min(c, m) * d)
+            for lo in range(0, len(own), n):
+                o = own[lo : lo + n]
+                pi, qj = a.place[i[o]], b.place[j[o]]
+                q = eb[:2, qj][:, :, None, :]
+                for k in range(0, c, m):
+                    p = ea[:2, pi, k : k + m][:, :, :, None]
+                    x = np.maximum(p[0], q[0])
+                    w = np.minimum(p[1], q[1]) - x
+                    x, w = (z.reshape(len(o), -1) for z in (x, w))
+                    at = pair, r = np.nonzero(w > 0)  # few edges are above each other
+                    x, w = x[at], w[at]
+                    f, g = (pi * c + k)[pair] + (steps // d)[r], (qj * d)[pair] + (steps % d)[r]
+                    (fx, fy, fs, fd), (gx, gy, gs, gd) = ([e[k].take(t) for k in (0, 2, 3, 4)] for e, t in ((ea, f), (eb, g)))
+                    f, g = fy + fs * (x - fx), gy + gs * (x - gx)
+                    h = g + gs * w
+                    d0, d1 = f - g, f + fs * w - h
+                    less = np.minimum(d0, 0.0) + np.minimum(d1, 0.0)
+                    cross = np.flatnonzero(d0 * d1 < 0)
+                    s, t = d0[cross], d1[cross]
+                    less[cross] = np.where(s < 0, s * s, -t * t) / (s - t)
+                    out[o] += np.bincount(pair, w * (g + h + less) * (fd * gd), len(o)) / 2
+    low, high = (f(a.box[k][:, i], b.box[k][:, j]) for f, k in ((np.minimum, [0, 2]), (np.maximum, [1, 3])))
+    ext = (high - low).max(axis=0, initial=0.0)
+    return np.where(out > 1e-12 * ext * ext, out, 0.0)
 
 
 def _pair_areas(p: DataFrame, r: DataFrame, by: str, member: str, border: bool) -> DataFrame:

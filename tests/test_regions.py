@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,39 @@ def test_runs_are_not_broadcast(spark):
     df = regions.masked(points, regions.fill_runs(rings, "g"), "g")
     assert [tuple(r) for r in df.collect()] == [(1, 5.5, 7.5)]
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_areas_in_common_without_pairs_of_rows(spark, monkeypatch):
+    """Polygons were joined to a row for each pair of them, twice. Equal to the way over pairs, for boxes of many sizes in small blocks."""
+    rows = scene() + [(1, 200 + k, 0, i, x * 40.0 - 9, y * 40.0 - 9) for k in range(2) for i, (x, y) in enumerate([(0, 0), (2 + k, 0), (2 + k, 2), (1, 1), (0, 2)])] + star(1, 300, 30, 30, 20, n=40) + [(0, 400, 0, 0, 1.0, 1.0)]
+    df = spark.createDataFrame([(g, f"m{m:03d}", *r) for g, m, *r in rows] + [(None, "m", 0, i, float(i % 2), float(i)) for i in range(3)], RINGS.replace("m int", "m string"))
+    for block in (1000, 3):
+        monkeypatch.setattr(regions, "BLOCK", block)
+        got = {(r.g, r.a, r.b): r.shared for r in regions.pair_areas(df, "g", "m", border=False).collect()}
+        every = regions.pair_areas(df, "g", "m").collect()
+        assert len(every) == len(got) > 100 and all(r.a < r.b and abs(got[r.g, r.a, r.b] - r.shared) < 1e-6 for r in every)
+    plan = regions.pair_areas(df, "g", "m", border=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan.split("RepartitionByExpression")[0] and "RepartitionByExpression" in plan
+    empty = regions.pair_areas(df.where("g > 9"), "g", "m", border=False)
+    assert empty.columns == ["g", "a", "b", "shared", "border"] and empty.count() == 0
+
+
+def test_edges_of_large_polygons_meet_in_parts():
+    def made(seed, n):
+        r = np.random.default_rng(seed)
+        at = [2 * np.pi * np.arange(k) / k for k in n]
+        xy = [np.c_[8 + 7 * r.uniform(0.4, 1, len(t)) * np.cos(t), 8 + 7 * r.uniform(0.4, 1, len(t)) * np.sin(t)] for t in at]
+        e = [regions.signed(np.c_[q, np.roll(q, -1, axis=0)]) for q in xy]
+        cols = {"m": np.arange(len(n)), "lev": [4] * len(n), "side": [16.0] * len(n), "cx": [0] * len(n), "cy": [0] * len(n)}
+        box = {c: [f(q[:, k]) for q in xy] for c, f, k in (("x0", np.min, 0), ("x1", np.max, 0), ("y0", np.min, 1), ("y1", np.max, 1))}
+        kind = pa.list_(pa.struct([(c, pa.float64()) for c in "xyuvd"]))
+        return e, regions._Polygons(pa.table(cols | box | {"e": pa.array([[dict(zip("xyuvd", z, strict=True)) for z in q.tolist()] for q in e], kind)}))
+
+    (e, a), (f, b) = made(1, [5, 9, 60, 33]), made(2, [7, 100, 17])
+    i, j = (k.ravel() for k in np.meshgrid(np.arange(4), np.arange(3)))
+    begin = lambda x: np.r_[0, np.cumsum([len(q) for q in x])]
+    p, q = [e[k] for k in i], [f[k] for k in j]
+    want = regions.shared_areas(np.concatenate(p), begin(p), np.concatenate(q), begin(q), False)[0]
+    assert (want > 1).all()
+    for block in (1 << 16, 300, 1):
+        assert np.allclose(regions.areas_in_common(a, b, i, j, block), want, rtol=1e-12)
